@@ -15,8 +15,10 @@ whatever their length; one piece of any length costs n log n.
 
 from __future__ import annotations
 
+import hashlib
 import heapq
 import json
+import re
 
 import regex
 from pyspark.sql import DataFrame, SparkSession
@@ -27,9 +29,10 @@ from shelfloom.llm.common import add_columns, renamed
 
 #: Fixed value: how byte-level BPE splits a text into pieces.
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-CACHE_PIECES = 200_000
+#: The same over a text of ASCII alone, in the standard library's faster engine.
+ASCII_PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-z]+| ?[0-9]+| ?[^\sA-Za-z0-9]+|\s+(?!\S)|\s+"
+CACHE_PIECES = 600_000
 CACHE_CHARS = 48
-SLICE_CHARS = 1 << 16
 
 
 def byte_letters() -> list[str]:
@@ -56,40 +59,50 @@ class Counter:
         self.special = sorted((t["content"] for t in special), key=len, reverse=True)
         self.split = regex.compile("|".join(map(regex.escape, self.special))) if special else None
         self.pieces = regex.compile(PIECES)
+        self.ascii_pieces = re.compile(ASCII_PIECES, re.A)
         self.known: dict[str, int] = {}
 
     def piece(self, text: str) -> int:
-        symbols = [self.letters[b] for b in text.encode("utf-8", "surrogatepass")]
-        n, rank = len(symbols), self.rank
+        letters, rank = self.letters, self.rank
+        symbols = [letters[b] for b in text.encode("utf-8", "surrogatepass")]
+        n = len(symbols)
+        heap = []
+        for i in range(n - 1):
+            r = rank.get((symbols[i], symbols[i + 1]))
+            if r is not None:
+                heap.append(r << 40 | i)  # lowest rank first, then leftmost
+        if not heap:
+            return n
+        heapq.heapify(heap)
         after = [*range(1, n), -1]
         before = list(range(-1, n - 1))
-        heap = [
-            (r, i, symbols[i], symbols[i + 1])
-            for i in range(n - 1)
-            if (r := rank.get((symbols[i], symbols[i + 1]))) is not None
-        ]
-        heapq.heapify(heap)
         merges = 0
         while heap:
-            _, i, left, right = heapq.heappop(heap)
+            top = heapq.heappop(heap)
+            i = top & 0xFFFFFFFFFF
             j = after[i]
-            if j < 0 or symbols[i] != left or symbols[j] != right:
+            if j < 0 or not symbols[i] or rank.get((symbols[i], symbols[j])) != top >> 40:
                 continue  # the pair is gone
-            merged = symbols[i] = left + right
+            merged = symbols[i] = symbols[i] + symbols[j]
             symbols[j] = ""
             k = after[i] = after[j]
             merges += 1
             if k >= 0:
                 before[k] = i
-                if (r := rank.get((merged, symbols[k]))) is not None:
-                    heapq.heappush(heap, (r, i, merged, symbols[k]))
-            if (h := before[i]) >= 0 and (r := rank.get((symbols[h], merged))) is not None:
-                heapq.heappush(heap, (r, h, symbols[h], merged))
+                r = rank.get((merged, symbols[k]))
+                if r is not None:
+                    heapq.heappush(heap, r << 40 | i)
+            h = before[i]
+            if h >= 0:
+                r = rank.get((symbols[h], merged))
+                if r is not None:
+                    heapq.heappush(heap, r << 40 | h)
         return n - merges
 
     def _plain(self, text: str) -> int:
         total, known = 0, self.known
-        for m in self.pieces.finditer(text):
+        pieces = self.ascii_pieces if text.isascii() else self.pieces
+        for m in pieces.finditer(text):
             p = m[0]
             n = known.get(p)
             if n is None:
@@ -113,16 +126,29 @@ class Counter:
         return total + self._plain(text[at:])
 
 
+_counters: dict[str, Counter] = {}
+
+
+def _counter(key: str, shipped) -> Counter:
+    """One counter per worker process and vocabulary: its memory of pieces
+    outlives the task."""
+    if key not in _counters:
+        _counters.clear()
+        _counters[key] = Counter(shipped.value)
+    return _counters[key]
+
+
 def with_counts(docs: DataFrame, path: str, *, text_col: str = "text", name: str = "n_tokens") -> DataFrame:
     """``docs`` with the token count of every text. The vocabulary file is read
     on the driver and shipped once to every executor (a few MB, fixed)."""
     with open(path, encoding="utf-8") as f:
-        spec = json.load(f)
+        content = f.read()
+    spec, key = json.loads(content), hashlib.sha256(content.encode()).hexdigest()
     spec["model"] = {k: v for k, v in spec["model"].items() if k != "vocab"}
     shipped = docs.sparkSession.sparkContext.broadcast(spec)
 
     def factory():
-        counter = Counter(shipped.value)
+        counter = _counter(key, shipped)
         return lambda text: (counter.count(text),)
 
     return add_columns(docs, [text_col], T.StructType([T.StructField(name, T.LongType())]), factory)

@@ -91,7 +91,8 @@ def _sub(fps: np.ndarray, tiles: np.ndarray) -> np.ndarray:
 def _star(left: np.ndarray, right: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
     """Links between two arrays: all of them while they are few, else a forest
     with the same components."""
-    near = np.bitwise_count(left[:, None] ^ right[None, :]) <= radius
+    # unsigned, as numpy counts the bits of a signed number's absolute value
+    near = np.bitwise_count(left.view(np.uint64)[:, None] ^ right.view(np.uint64)[None, :]) <= radius
     i, j = np.nonzero(near)
     if len(i) <= 2 * (len(left) + len(right)):
         return left[i], right[j]
