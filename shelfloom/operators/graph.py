@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shelfloom.llm.common import materialise
+from shelfloom.runtime import materialise
 
 
 def _round(edges: DataFrame) -> DataFrame:
@@ -28,11 +28,10 @@ def _round(edges: DataFrame) -> DataFrame:
 
 def components(edges: DataFrame, u: str, v: str) -> DataFrame:
     """(node, component) of every node on an edge between different nodes; the
-    component is its smallest node. Nulls and self-links are no edges."""
-    found = edges.select(F.greatest(u, v).alias("u"), F.least(u, v).alias("v")).filter(
-        F.col(u).isNotNull() & F.col(v).isNotNull() if (u, v) == ("u", "v") else "u is not null and v is not null"
-    )
-    current, before = materialise(found.filter("u > v").distinct(), "edges"), None
+    component is its smallest node. Edges with a null end are none."""
+    ends = edges.select(F.col(u).alias("a"), F.col(v).alias("b")).filter("a <> b")
+    ends = ends.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
+    current, before = materialise(ends, "edges"), None
     while True:
         now = current.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == before or now[0] == 0:

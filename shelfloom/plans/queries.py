@@ -1,9 +1,458 @@
-"""Queries over the driver's tables."""
+"""Queries over the driver's tables, with the SQL of each that SQL expresses."""
 
+from __future__ import annotations
 
-def queries():
-    return {}
+import re
+from collections.abc import Callable
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-def oracle_sql():
-    return {}
+from shelfloom.actions import destinations, located
+from shelfloom.config import DEFAULT_FILTERS, Filters, Priorities, scaled_threshold
+from shelfloom.functions import dates, names
+from shelfloom.functions.hashing import full_hash, hamming, similarity_pct
+from shelfloom.operators import dedup, filters, quality, selection, similar
+from shelfloom.plans.library import FILES_SQL, HASHES_SQL, files, hashes
+from shelfloom.runtime import table
+
+THRESHOLD = 20
+SAMPLE = 64
+SCAN = Filters(max_size_mb=0, excluded_patterns=DEFAULT_FILTERS.excluded_patterns)
+
+
+def rivals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups for the selection queries: files of one language and length
+    class, with all evidence."""
+    f = files(spark, sf_dir)
+    name_date = dates.filename_timestamp(F.col("name"))
+    best = dates.best_date(name_date, F.lit(None).cast("timestamp_ntz"), F.col("mtime"))
+    return f.select(
+        F.expr("substring(ext, 2) || '-' || CAST(doc_id % 97 AS STRING)").alias("grp"),
+        "path",
+        "name",
+        "pixels",
+        "size",
+        "mtime",
+        names.importance(F.col("name")).alias("importance"),
+        names.provenance(F.col("name")).alias("provenance"),
+        best["ts"].alias("ts"),
+        best["source"].alias("ts_source"),
+    )
+
+
+def exact_dup_groups(s, d):
+    g = dedup.duplicate_groups(files(s, d).select("path", "ext", "size", "content"))
+    return g.select("ext", "sha256", "n", F.array_join("members", "|").alias("members"))
+
+
+def exact_dup_images_style(s, d):
+    g = dedup.duplicate_groups(files(s, d).select("path", "ext", "size", "content"), by_extension=False)
+    return g.select("sha256", "n", F.array_join("members", "|").alias("members"))
+
+
+def exact_dup_totals(s, d):
+    return dedup.totals(dedup.duplicate_groups(files(s, d).select("path", "ext", "size", "content")))
+
+
+def exact_dup_survivors(s, d):
+    f = files(s, d)
+    rows = dedup.duplicate_rows(f.select("path", "name", "ext", "size", "mtime", "pixels", "content"))
+    best = dates.best_date(dates.filename_timestamp(F.col("name")), F.lit(None).cast("timestamp_ntz"), F.col("mtime"))
+    rows = rows.select(
+        F.concat_ws("-", "ext", "sha256").alias("grp"), "path", "name", "pixels", "size",
+        names.importance(F.col("name")).alias("importance"), names.provenance(F.col("name")).alias("provenance"),
+        best["ts"].alias("ts"), best["source"].alias("ts_source"),
+    )
+    return selection.ledger(selection.ranked(rows)).select("grp", "path", "tier", F.round("total", 6).alias("total"), "is_kept")
+
+
+def size_candidates(s, d):
+    return dedup.size_candidates(files(s, d).select("path", "ext", "size"))
+
+
+def sample_stats(s, d):
+    return dedup.sample_stats(files(s, d).select("path", "ext", "size", "content"), SAMPLE)
+
+
+def skip_reasons(s, d):
+    return filters.scanned(files(s, d).select("path", "name", "ext", "size"), filters=SCAN).select("path", "skip_reason")
+
+
+def skip_summary(s, d):
+    return filters.skip_summary(filters.scanned(files(s, d).select("path", "name", "ext", "size"), filters=SCAN))
+
+
+def kept_files(s, d):
+    scanned = filters.scanned(files(s, d).select("path", "name", "ext", "size"), [".en", ".de"], SCAN)
+    return filters.kept(scanned).select("path", "size")
+
+
+def name_importance(s, d):
+    return files(s, d).select("path", names.importance(F.col("name")).alias("importance"))
+
+
+def name_provenance(s, d):
+    name = F.col("name")
+    return files(s, d).select(
+        "path", names.provenance(name).alias("provenance"), names.video_provenance(name, dates.filename_timestamp(name)).alias("video_provenance")
+    )
+
+
+def filename_dates(s, d):
+    return files(s, d).select("path", F.date_format(dates.filename_timestamp(F.col("name")), "yyyy-MM-dd HH:mm:ss").alias("ts"))
+
+
+def name_parts(s, d):
+    n = F.col("name")
+    return files(s, d).select("path", names.stem(n).alias("stem"), names.suffix(n).alias("suffix"), names.base_name(F.col("path")).alias("base"), names.strip_collision(n).alias("plain"))
+
+
+def best_dates(s, d):
+    best = dates.best_date(dates.filename_timestamp(F.col("name")), F.when(F.col("pixels") % 3000 == 0, F.col("mtime")), F.col("mtime"))
+    return files(s, d).select("path", F.date_format(best["ts"], "yyyy-MM-dd HH:mm:ss").alias("ts"), best["source"].alias("source"))
+
+
+def score_table(s, d):
+    from shelfloom.operators.scoring import score_table as table_of
+
+    t = table_of(rivals(s, d))
+    r = lambda c: F.round(c, 5).alias(c)
+    return t.select("grp", "path", r("s_resolution"), r("s_size"), r("s_date"), r("s_filename"), r("boost"), r("total"), "date_decides")
+
+
+def best_file(s, d):
+    return selection.ranked(rivals(s, d)).filter("rank = 1").select("grp", "path", "tier")
+
+
+def best_video(s, d):
+    name_date = dates.filename_timestamp(F.col("name"))
+    rows = rivals(s, d).withColumn("provenance", names.video_provenance(F.col("name"), name_date))
+    rows = rows.withColumn("ts_source", F.when(name_date.isNotNull(), "filename").otherwise("modified"))
+    return selection.ranked_videos(rows).filter("rank = 1").select("grp", "path", "tier")
+
+
+def selection_reasons(s, d):
+    e = selection.explained(selection.ranked(rivals(s, d)))
+    return e.select("grp", "kept", "rival", "reason", "criterion", F.round("margin", 5).alias("margin"), F.array_join("notes", "|").alias("notes"))
+
+
+def deletion_reasons(s, d):
+    return selection.deletion_reasons(selection.ranked(rivals(s, d)))
+
+
+def resolution_sacrifice(s, d):
+    return selection.resolution_sacrifice(selection.ranked(rivals(s, d)))
+
+
+def replay_diff(s, d):
+    return selection.replay_diff(rivals(s, d), Priorities(), Priorities(order=(1, 2, 4, 3)))
+
+
+def replay_counts(s, d):
+    return replay_diff(s, d).groupBy("changed").agg(F.count(F.lit(1)).alias("n"))
+
+
+def hamming_pairs(s, d):
+    return similar.hamming_pairs(hashes(s, d), THRESHOLD, secondary=False)
+
+
+def similar_groups(s, d):
+    return similar.similar_groups(hashes(s, d), THRESHOLD, secondary=False)
+
+
+def similarity_pct_query(s, d):
+    h = hashes(s, d)
+    return similar.similarity_to_first(similar.similar_groups(h, THRESHOLD, secondary=False), h)
+
+
+def hamming_sides(s, d):
+    """Both hashes of every embedding against those of embedding 0."""
+    h = hashes(s, d)
+    first = h.filter(F.col("path") == "v000000").select(F.col("phash").alias("p0"), F.col("dhash").alias("d0"))
+    # one row, found by its id
+    both = h.join(F.broadcast(first.limit(1)), F.lit(True))
+    p = hamming(F.col("phash"), F.col("p0"))
+    return both.select("path", p.alias("distance"), hamming(F.col("dhash"), F.col("d0")).alias("distance2"), similarity_pct(p, 64).alias("pct"))
+
+
+def thresholds(s, d):
+    rows = [(base, side, scaled_threshold(base, side)) for base in range(1, 11) for side in (8, 10, 12, 16)]
+    return s.createDataFrame(rows, "base int, side int, threshold int")
+
+
+def small_filter(s, d):
+    p = table(s, d, "part").select("p_partkey", (F.col("p_size") * 15).alias("width"), (F.col("p_partkey") % 900).cast("int").alias("height"))
+    return quality.small_files(p).select("p_partkey", "reason")
+
+
+def small_stats(s, d):
+    p = table(s, d, "part").select((F.col("p_size") * 15).alias("width"), (F.col("p_partkey") % 900).cast("int").alias("height"), F.col("p_partkey").alias("size"))
+    return quality.small_stats(quality.small_files(p))
+
+
+def recycle_destinations(s, d):
+    f = files(s, d).select("path", F.expr("substring(path, 6, locate('/', path, 6) - 6)").alias("folder"), F.expr("substring(name, 1, 5) || '.dat'").alias("name"))
+    return destinations(f, "/bin", "duplicates").select("path", "destination")
+
+
+def restore_plan(s, d):
+    f = files(s, d).select("doc_id", "path", "name", "size")
+    removed = f.select(
+        F.col("path").alias("original"),
+        F.expr("'/bin/' || name || CASE WHEN doc_id % 3 = 0 THEN '?' ELSE '' END").alias("reported"),
+        "size",
+    )
+    in_bin = f.filter("doc_id % 5 <> 0").select(F.expr("'/bin/' || CASE WHEN doc_id % 4 = 0 THEN 'x/' ELSE '' END || name").alias("path"), "name", "size")
+    in_bin = in_bin.groupBy("path", "name").agg(F.max("size").alias("size"))
+    return located(removed, in_bin).select("original", "actual", "status")
+
+
+def restore_counts(s, d):
+    return restore_plan(s, d).groupBy("status").agg(F.count(F.lit(1)).alias("n"))
+
+
+def folder_union(s, d):
+    """Two overlapping folders; a path comes once."""
+    f = files(s, d).select("path", "size", "ext")
+    return f.filter("ext in ('.en', '.de')").unionByName(f.filter("ext in ('.de', '.fr')")).dropDuplicates(["path"]).select("path", "size")
+
+
+def unhashed(s, d):
+    f = files(s, d).select("path", "size")
+    return similar.unhashed(f, f.filter("size % 7 <> 0"))
+
+
+def cross_volume(s, d):
+    from shelfloom.actions import capacity
+
+    f = files(s, d).select("size", F.expr("doc_id % 3").alias("device"))
+    return capacity(f, 0, 1 << 30)
+
+
+def content_digests(s, d):
+    return files(s, d).select("path", full_hash(F.col("content")).alias("sha256"))
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    out = {f.__name__: f for f in (
+        exact_dup_groups, exact_dup_images_style, exact_dup_totals, exact_dup_survivors, size_candidates, sample_stats,
+        skip_reasons, skip_summary, kept_files, name_importance, name_provenance, filename_dates, name_parts, best_dates,
+        score_table, best_file, best_video, selection_reasons, deletion_reasons, resolution_sacrifice, replay_diff, replay_counts,
+        hamming_pairs, similar_groups, hamming_sides, thresholds, small_filter, small_stats, recycle_destinations,
+        restore_plan, restore_counts, folder_union, unhashed, cross_volume, content_digests,
+    )}
+    return out | {"similarity_pct": similarity_pct_query}
+
+
+# ---------------------------------------------------------------------------
+# DuckDB SQL
+
+
+def _sql_match(words: str, text: str, pattern: str) -> str:
+    return f"list_contains({words}, '{pattern}')" if re.fullmatch("[a-z]+", pattern) else f"contains({text}, '{pattern}')"
+
+
+def _norm(text: str) -> str:
+    return f"regexp_replace(translate(lower({text}), '٠١٢٣٤٥٦٧٨٩', '0123456789'), '{names.BIDI}', '', 'g')"
+
+
+def _importance_sql() -> str:
+    ranked = sorted(names.IMPORTANCE, key=len, reverse=True)
+    case = "CASE " + " ".join(f"WHEN {_sql_match('w', 't', p)} THEN {names.IMPORTANCE[p]}" for p in ranked) + " ELSE 5 END"
+    copied = " OR ".join(["num", *[_sql_match("w", "t", p) for p in names.COPY_WORDS]])
+    return f"""
+a_imp AS (SELECT *, {_norm("name")} AS t FROM files),
+b_imp AS (SELECT *, string_split_regex(t, '[^a-z]+') AS w, regexp_matches(t, '{names.NUMBERED}') OR regexp_matches(t, '{names.ARABIC_NUMBERED}') AS num FROM a_imp),
+c_imp AS (SELECT *, CASE WHEN regexp_matches(regexp_replace(t, '\\.[^.]*$', ''), '{names.CARVED}') THEN 5 ELSE {case} END AS b FROM b_imp),
+imp AS (SELECT * EXCLUDE (t, w, num, b), CASE WHEN num THEN least(b, 3) WHEN {copied} THEN least(b, 3) + 1 ELSE b + 1 END AS importance FROM c_imp)"""
+
+
+def _marker(words: str, markers: list[str]) -> str:
+    return f"len(list_filter({words}, lambda x: regexp_matches(x, '^({'|'.join(markers)})[0-9]*$'))) > 0"
+
+
+def _class_sql(text: str, words: str, original: list[str], image: bool) -> str:
+    tests = [
+        f"CASE WHEN regexp_matches({text}, '{names.NUMBERED_END}') AND NOT regexp_matches({text}, '{names.YEAR_END}') THEN 1 ELSE 3 END",
+        f"CASE WHEN {_marker(words, names.RECOVERY_MARKERS)} THEN 0 ELSE 3 END",
+        f"CASE WHEN {_marker(words, names.COPY_MARKERS)} THEN 1 ELSE 3 END",
+        f"CASE WHEN {_marker(words, names.WEAK_MARKERS)} THEN 2 ELSE 3 END",
+    ]
+    if image:
+        tests += [f"CASE WHEN regexp_matches({text}, '{names.ARABIC_NUMBERED}') THEN 1 ELSE 3 END", f"CASE WHEN regexp_matches({text}, '{names.CARVED}') THEN 0 ELSE 3 END"]
+    worst = f"least({', '.join(tests)})"
+    return f"CASE WHEN {worst} = 3 AND {_marker(words, original)} THEN 4 ELSE {worst} END"
+
+
+_STEM_SQL = "regexp_replace(name, '^(.+)\\.[^.]+$', '\\1')"
+
+
+def _provenance_sql() -> str:
+    return f"""
+a_pro AS (SELECT *, {_norm(_STEM_SQL)} AS t FROM imp),
+b_pro AS (SELECT *, string_split_regex(t, '{names.TOKEN_GAP}') AS w FROM a_pro),
+pro AS (SELECT * EXCLUDE (t, w), {_class_sql("t", "w", names.ORIGINAL_MARKERS, True)} AS provenance,
+    {_class_sql("t", "w", names.VIDEO_ORIGINAL_MARKERS, False)} AS video_plain,
+    len(list_filter(w, lambda x: x <> '')) > 0 AND len(list_filter(w, lambda x: x <> '' AND NOT regexp_matches(x, '^[0-9]+$'))) = 0 AS all_digits FROM b_pro)"""
+
+
+def _dates_sql() -> str:
+    """The name shapes of the library hold one date each, so first matches do."""
+    t = "translate(lower(name), '٠١٢٣٤٥٦٧٨٩', '0123456789')"
+    stamp = lambda e: f"try_strptime({e}, '%Y-%m-%d %H:%M:%S')"
+    timed = []
+    for pattern, kind, day_first in dates.TIMED:
+        p = pattern.replace("(?<![0-9])", "(?:^|[^0-9])").replace("(?![0-9])", "(?:[^0-9]|$)")
+        body = f"regexp_extract(t, '{p}', 0)"
+        if kind == "packed":
+            x = f"regexp_replace({body}, '[^0-9]', '', 'g')"
+            y, m, dd = ((5, 4), (3, 2), (1, 2)) if day_first else ((1, 4), (5, 2), (7, 2))
+            cut = lambda c, x=x: f"substr({x}, {c[0]}, {c[1]})"
+            timed.append(stamp(f"{cut(y)} || '-' || {cut(m)} || '-' || {cut(dd)} || ' ' || {cut((9, 2))} || ':' || {cut((11, 2))} || ':' || {cut((13, 2))}"))
+        else:
+            x = f"regexp_extract_all({body}, '[0-9]+')"
+            y, m, dd = (3, 2, 1) if day_first else (1, 2, 3)
+            timed.append(stamp(f"{x}[{y}] || '-' || {x}[{m}] || '-' || {x}[{dd}] || ' ' || {x}[4] || ':' || {x}[5] || ':' || {x}[6]"))
+    plain = []
+    for pattern, day_first in dates.DATED:
+        a, b, c = (f"regexp_extract(t, '{pattern}', {k})" for k in (1, 2, 3))
+        y, m, dd = (c, b, a) if day_first else (a, b, c)
+        plain.append(f"CASE WHEN {y} BETWEEN '1900' AND '2100' THEN {stamp(f'''{y} || '-' || {m} || '-' || {dd} || ' 00:00:00' ''')} END")
+    ok = lambda e: f"CASE WHEN year({e}) BETWEEN 1900 AND 2100 THEN {e} END"
+    return f"dat AS (SELECT * EXCLUDE (t), coalesce({', '.join([*map(ok, timed), *plain])}) AS name_ts FROM (SELECT *, {t} AS t FROM pro))"
+
+
+def _evidence_sql() -> str:
+    return FILES_SQL + "," + _importance_sql() + "," + _provenance_sql() + ",\n" + _dates_sql()
+
+
+def _rivals_sql() -> str:
+    return _evidence_sql() + """,
+rivals AS (SELECT substr(ext, 2) || '-' || CAST(doc_id % 97 AS VARCHAR) AS grp, path, name, pixels, size, mtime, importance, provenance,
+    coalesce(name_ts, mtime) AS ts, CASE WHEN name_ts IS NOT NULL THEN 'filename' ELSE 'modified' END AS ts_source,
+    CASE WHEN video_plain = 3 AND all_digits AND name_ts IS NOT NULL THEN 4 ELSE video_plain END AS video_provenance FROM dat)"""
+
+
+def _ratio(value: str, low: str, high: str, n: str) -> str:
+    return f"CASE WHEN NOT ({n} >= 2 AND {high} / {low} >= 1.05) THEN 5.0 ELSE coalesce(least(10.0, greatest(0.0, 10.0 * ln({value} / {low}) / ln({high} / {low}))), 0.0) END"
+
+
+def _scored_sql(priorities: Priorities = Priorities(), name: str = "scored") -> str:
+    w = priorities.weights
+    pos = lambda c: f"CASE WHEN {c} > 0 THEN CAST({c} AS DOUBLE) END"
+    stats = ", ".join(f"min({pos(c)}) OVER g AS {c}_lo, max({pos(c)}) OVER g AS {c}_hi, count({pos(c)}) OVER g AS {c}_n" for c in ("pixels", "size"))
+    # a group of one file has no span: known = 1
+    return f"""
+{name}_a AS (SELECT *, {stats}, min(importance) OVER g AS i_lo, max(importance) OVER g AS i_hi, count(ts) OVER g AS known,
+    max(epoch_us(ts)) OVER g - min(epoch_us(ts)) OVER g < 60000000 AS noise,
+    max(CASE WHEN ts_source = 'filename' AND ts = date_trunc('day', ts) THEN 1 ELSE 0 END) OVER g = 1 AS any_day FROM rivals WINDOW g AS (PARTITION BY grp)),
+{name}_b AS (SELECT *, CASE WHEN any_day THEN epoch_us(CAST(date_trunc('day', ts) AS TIMESTAMP)) / 1e6 ELSE epoch_us(ts) / 1e6 END AS used FROM {name}_a),
+{name}_c AS (SELECT *, min(used) OVER (PARTITION BY grp) AS d_lo, max(used) OVER (PARTITION BY grp) AS d_hi FROM {name}_b),
+{name}_d AS (SELECT *, {_ratio(pos("pixels"), "pixels_lo", "pixels_hi", "pixels_n")} AS s_resolution, {_ratio(pos("size"), "size_lo", "size_hi", "size_n")} AS s_size,
+    CASE WHEN known = 0 THEN 5.0 WHEN known = 1 THEN CASE WHEN ts IS NOT NULL THEN 10.0 ELSE 3.0 END WHEN noise OR d_lo = d_hi THEN 5.0
+        ELSE coalesce(10.0 * (d_hi - used) / nullif(d_hi - d_lo, 0), 3.0) END AS s_date,
+    CASE WHEN i_lo = i_hi THEN 5.0 ELSE least(10.0, greatest(0.0, importance * 10.0 / CAST(9.0 AS DOUBLE))) END AS s_filename,
+    CASE WHEN pixels_n >= 2 AND pixels_hi / pixels_lo > 2 THEN least(3.0, 1 + 0.5 * log2(pixels_hi / pixels_lo)) ELSE 1.0 END AS boost,
+    coalesce(known >= 2 AND NOT (noise OR d_lo = d_hi) AND d_hi - d_lo >= {priorities.gate_gap_seconds}, false) AS date_decides FROM {name}_c),
+{name}_e AS (SELECT *, s_resolution * {float(w["resolution"])} * boost AS w_resolution, s_size * {float(w["size"])} AS w_size,
+    s_date * {float(w["date"])} AS w_date, s_filename * {float(w["filename"])} AS w_filename FROM {name}_d),
+{name}_f AS (SELECT *, CAST(w_resolution + w_size + w_date + w_filename AS DOUBLE) AS total,
+    CASE WHEN provenance = 0 THEN 0 WHEN date_decides THEN 3 ELSE least(provenance, 3) END AS tier FROM {name}_e),
+{name} AS (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY tier DESC, round(total, 9) DESC, lower(name), path) AS rank FROM {name}_f)"""
+
+
+def oracle_sql() -> dict[str, str]:
+    shared = """
+keyed AS (SELECT *, sha256(text) AS sha256 FROM files), dup AS (SELECT ext, sha256, count(*) AS n, string_agg(path, '|' ORDER BY path) AS members
+    FROM keyed GROUP BY ext, sha256 HAVING count(*) > 1)"""
+    pattern = " OR ".join(f"regexp_matches(lower(name), '{p}')" for p in ("\\.tmp$", "\\.temp$", "_backup", "\\.bak$"))
+    reason = f"CASE WHEN {pattern} THEN 'excluded_pattern' WHEN size < 1024 THEN 'too_small' END"
+    pairs = f"""
+reps AS (SELECT p, min(path) AS rep FROM hashes GROUP BY p),
+pairs AS (SELECT a.rep AS a, b.rep AS b, hamming(a.p, b.p) AS distance FROM reps a JOIN reps b ON a.rep < b.rep AND hamming(a.p, b.p) <= {THRESHOLD})"""
+    rec = HASHES_SQL.replace("WITH raw", "WITH RECURSIVE raw") + "," + pairs + """,
+sym AS (SELECT a AS u, b AS v FROM pairs UNION SELECT b, a FROM pairs),
+reach AS (SELECT u AS node, u AS seen FROM sym UNION SELECT reach.node, sym.v FROM reach JOIN sym ON sym.u = reach.seen),
+comp AS (SELECT node, min(seen) AS component FROM reach GROUP BY node),
+placed AS (SELECT h.path, h.p, coalesce(c.component, r.rep) AS component FROM hashes h JOIN reps r ON h.p = r.p LEFT JOIN comp c ON c.node = r.rep),
+grouped AS (SELECT *, count(*) OVER (PARTITION BY component) AS n FROM placed)"""
+    rivals_sql, scored = _rivals_sql(), _scored_sql()
+    small = "SELECT p_partkey, p_size * 15 AS w, p_partkey % 900 AS h FROM part"
+    why = "CASE WHEN w < 300 AND h < 300 THEN 'both' WHEN w < 300 THEN 'width' WHEN h < 300 THEN 'height' END"
+    replay = rivals_sql + "," + _scored_sql() + "," + _scored_sql(Priorities(order=(1, 2, 4, 3)), "again") + """,
+diff AS (SELECT a.grp, a.path AS kept_before, b.path AS kept_after, a.path <> b.path AS changed FROM scored a JOIN again b ON a.grp = b.grp AND a.rank = 1 AND b.rank = 1)"""
+    gains = {c: f"CASE WHEN act_{c} THEN k_{c} - r_{c} END" for c in ("resolution", "size", "date", "filename")}
+    act = ", ".join(f"max(s_{c}) - min(s_{c}) > 1e-6 AS act_{c}, max(w_{c}) FILTER (rank = 1) AS k_{c}, max(w_{c}) FILTER (rank = 2) AS r_{c}" for c in gains)
+    explained = rivals_sql + "," + scored + f""",
+two AS (SELECT grp, max(path) FILTER (rank = 1) AS kept, max(path) FILTER (rank = 2) AS rival, max(tier) FILTER (rank = 1) AS kt, max(tier) FILTER (rank = 2) AS rt,
+    max(total) FILTER (rank = 1) - max(total) FILTER (rank = 2) AS margin, max(pixels) FILTER (rank = 1) AS kp, max(CASE WHEN pixels > 0 THEN pixels END) AS bp, {act} FROM scored GROUP BY grp HAVING count(*) > 1),
+gain AS (SELECT *, {", ".join(f"{g} AS g_{c}" for c, g in gains.items())} FROM two),
+top AS (SELECT *, greatest(g_resolution, g_size, g_date, g_filename, 0) AS best, -least(g_resolution, g_size, g_date, g_filename, 0) AS lost FROM gain),
+crit AS (SELECT *, CASE {" ".join(f"WHEN g_{c} > 1e-9 AND g_{c} >= best - 1e-9 THEN '{c}'" for c in gains)} END AS c0, kt > rt AND margin <= 0.05 AS gate FROM top),
+told AS (SELECT *, CASE WHEN gate THEN 'provenance_gate' WHEN margin > 0.05 AND c0 IS NOT NULL THEN 'criterion_decided' ELSE 'tie' END AS reason FROM crit)
+SELECT grp, kept, rival, reason, CASE WHEN reason = 'criterion_decided' THEN c0 END AS criterion, round(margin, 5) AS margin,
+    concat_ws('|', CASE WHEN lost > 0.5 THEN 'deleted_higher' END, CASE WHEN kt > rt THEN 'name_class' END, CASE WHEN gate AND best > 1e-9 THEN 'also_favoured' END,
+        CASE WHEN kp < bp THEN 'resolution_sacrifice' END) AS notes FROM told"""
+    kg = {c: f"(k.w_{c} - s.w_{c})" for c in gains}
+    kbest = f"greatest({', '.join(kg.values())}, 0)"
+    deletion = rivals_sql + "," + scored + f"""
+SELECT s.grp, s.path, k.path AS kept, CASE WHEN k.tier > s.tier AND k.total - s.total <= 0.05 THEN CASE WHEN s.tier = 0 THEN 'recovered_name' ELSE 'provenance_gate' END
+    WHEN k.total - s.total <= 0.05 THEN 'tie_alphabetical' {" ".join(f"WHEN {g} > 1e-9 AND {g} >= {kbest} - 1e-9 THEN 'lower_{c}'" for c, g in kg.items())} ELSE 'tie_alphabetical' END AS reason
+FROM scored s JOIN scored k ON s.grp = k.grp AND k.rank = 1 AND s.rank > 1"""
+    vid_ratio = _ratio("CAST(vi AS DOUBLE)", "v_lo", "v_hi", "v_n")
+    video = rivals_sql + "," + scored + f""",
+vid_a AS (SELECT *, CASE video_provenance WHEN 4 THEN 9 WHEN 3 THEN 5 WHEN 2 THEN 3 WHEN 1 THEN 2 ELSE 1 END AS vi FROM scored),
+vid_b AS (SELECT *, CAST(min(vi) OVER g AS DOUBLE) AS v_lo, CAST(max(vi) OVER g AS DOUBLE) AS v_hi, count(*) OVER g AS v_n FROM vid_a WINDOW g AS (PARTITION BY grp)),
+vid_c AS (SELECT *, 3.0 * s_date + 2.0 * s_size + {vid_ratio} AS vt, CASE WHEN video_provenance = 0 THEN 0 WHEN date_decides THEN 3 ELSE video_provenance END AS v_tier FROM vid_b)
+SELECT grp, path, v_tier AS tier FROM (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY v_tier DESC, round(CAST(vt AS DOUBLE), 9) DESC, mtime, path) AS vr FROM vid_c) WHERE vr = 1"""
+    survivors = _evidence_sql() + """,
+keyed AS (SELECT *, sha256(text) AS sha256, count(*) OVER (PARTITION BY ext, sha256(text)) AS copies FROM dat),
+rivals AS (SELECT ext || '-' || sha256 AS grp, path, name, pixels, size, mtime, importance, provenance, coalesce(name_ts, mtime) AS ts,
+    CASE WHEN name_ts IS NOT NULL THEN 'filename' ELSE 'modified' END AS ts_source FROM keyed WHERE copies > 1),""" + scored + """
+SELECT grp, path, tier, round(total, 6) AS total, rank = 1 AS is_kept FROM scored"""
+    return {
+        "exact_dup_groups": FILES_SQL + "," + shared + " SELECT * FROM dup",
+        "exact_dup_images_style": FILES_SQL + " SELECT sha256(text) AS sha256, count(*) AS n, string_agg(path, '|' ORDER BY path) AS members FROM files GROUP BY 1 HAVING count(*) > 1",
+        "exact_dup_totals": FILES_SQL + "," + shared + " SELECT count(*) AS groups, CAST(coalesce(sum(n), 0) AS BIGINT) AS files, CAST(coalesce(sum(n - 1), 0) AS BIGINT) AS deletable FROM dup",
+        "exact_dup_survivors": survivors,
+        "size_candidates": FILES_SQL + " SELECT path, ext, size FROM (SELECT *, count(*) OVER (PARTITION BY ext, size) AS n FROM files) WHERE n > 1",
+        "sample_stats": FILES_SQL + f""",
+a AS (SELECT *, encode(text) AS b, count(*) OVER (PARTITION BY ext, size) AS n FROM files), c AS (SELECT * FROM a WHERE n > 1),
+e AS (SELECT *, count(*) OVER (PARTITION BY ext, size, hex(b)[1:{2 * SAMPLE}], CASE WHEN size > {2 * SAMPLE} THEN hex(b)[-{2 * SAMPLE}:] ELSE '' END) AS m FROM c)
+SELECT (SELECT count(*) FROM files) AS scanned, count(*) AS size_candidates, CAST(coalesce(sum(size), 0) AS BIGINT) AS naive_bytes, CAST(coalesce(sum(least(size, {2 * SAMPLE})), 0) AS BIGINT) AS sampled_bytes,
+    count(*) FILTER (m > 1) AS sample_candidates, CAST(coalesce(sum(size) FILTER (m > 1), 0) AS BIGINT) AS full_bytes FROM e""",
+        "skip_reasons": FILES_SQL + f" SELECT path, {reason} AS skip_reason FROM files",
+        "skip_summary": FILES_SQL + f" SELECT reason, count(*) AS n, reason = 'excluded_pattern' AS liftable FROM (SELECT {reason} AS reason FROM files) WHERE reason IS NOT NULL GROUP BY reason",
+        "kept_files": FILES_SQL + f" SELECT path, size FROM files WHERE ext IN ('.en', '.de') AND ({reason}) IS NULL",
+        "name_importance": _evidence_sql() + " SELECT path, importance FROM dat",
+        "name_provenance": rivals_sql + " SELECT path, provenance, video_provenance FROM rivals",
+        "filename_dates": _evidence_sql() + " SELECT path, strftime(name_ts, '%Y-%m-%d %H:%M:%S') AS ts FROM dat",
+        "name_parts": FILES_SQL + f" SELECT path, {_STEM_SQL} AS stem, regexp_extract(name, '^.+(\\.[^.]+)$', 1) AS suffix, name AS base, regexp_replace(name, '^(.+)_[0-9]+(\\.[^.]+)?$', '\\1\\2') AS plain FROM files",
+        "best_dates": _evidence_sql() + """,
+x AS (SELECT *, CASE WHEN pixels % 3000 = 0 THEN mtime END AS exif FROM dat)
+SELECT path, strftime(CASE WHEN name_ts IS NOT NULL AND (exif IS NULL OR name_ts <= exif) THEN name_ts WHEN exif IS NOT NULL THEN exif ELSE mtime END, '%Y-%m-%d %H:%M:%S') AS ts,
+    CASE WHEN name_ts IS NOT NULL AND (exif IS NULL OR name_ts <= exif) THEN 'filename' WHEN exif IS NOT NULL THEN 'exif' ELSE 'modified' END AS source FROM x""",
+        "score_table": rivals_sql + "," + scored + " SELECT grp, path, " + ", ".join(f"round(CAST({c} AS DOUBLE), 5) AS {c}" for c in ("s_resolution", "s_size", "s_date", "s_filename", "boost", "total")) + ", date_decides FROM scored",
+        "best_file": rivals_sql + "," + scored + " SELECT grp, path, tier FROM scored WHERE rank = 1",
+        "best_video": video,
+        "selection_reasons": explained,
+        "deletion_reasons": deletion,
+        "resolution_sacrifice": rivals_sql + "," + scored + " SELECT grp, pixels AS kept_px, best_px FROM (SELECT *, max(CASE WHEN pixels > 0 THEN pixels END) OVER (PARTITION BY grp) AS best_px FROM scored) WHERE rank = 1 AND pixels < best_px",
+        "replay_diff": replay + " SELECT * FROM diff",
+        "replay_counts": replay + " SELECT changed, count(*) AS n FROM diff GROUP BY changed",
+        "hamming_pairs": HASHES_SQL + "," + pairs + " SELECT a, b, CAST(distance AS INTEGER) AS distance FROM pairs",
+        "similar_groups": rec + " SELECT path, component FROM grouped WHERE n > 1",
+        "similarity_pct": rec + " SELECT g.component AS anchor, g.path AS other, round_even((64 - hamming(g.p, f.p)) / CAST(64 AS DOUBLE) * 100, 1) AS pct FROM grouped g JOIN hashes f ON f.path = g.component WHERE g.n > 1 AND g.path <> g.component",
+        "hamming_sides": HASHES_SQL + " SELECT h.path, CAST(hamming(h.p, f.p) AS INTEGER) AS distance, CAST(hamming(h.q, f.q) AS INTEGER) AS distance2, round_even((64 - hamming(h.p, f.p)) / CAST(64 AS DOUBLE) * 100, 1) AS pct FROM hashes h, (SELECT * FROM hashes WHERE path = 'v000000') f",
+        "thresholds": "SELECT CAST(b AS INTEGER) AS base, CAST(s AS INTEGER) AS side, CASE WHEN s = 8 THEN CAST(b AS INTEGER) ELSE CAST(greatest(1, round_even(b * s * s / 64.0, 0)) AS INTEGER) END AS threshold FROM range(1, 11) t(b), (VALUES (8), (10), (12), (16)) v(s)",
+        "small_filter": f"SELECT p_partkey, {why} AS reason FROM ({small}) WHERE w < 300 OR h < 300",
+        "small_stats": f"SELECT count(*) AS n, count(*) FILTER (r = 'both') AS n_both, count(*) FILTER (r = 'width') AS n_width, count(*) FILTER (r = 'height') AS n_height, CAST(coalesce(sum(p_partkey), 0) AS BIGINT) AS bytes FROM (SELECT *, {why} AS r FROM ({small})) WHERE r IS NOT NULL",
+        "recycle_destinations": FILES_SQL + """,
+f AS (SELECT path, string_split(path, '/')[3] AS folder, substr(name, 1, 5) AS s FROM files), k AS (SELECT *, row_number() OVER (PARTITION BY folder, s ORDER BY path) - 1 AS k FROM f)
+SELECT path, '/bin/duplicates/' || folder || '/' || s || CASE WHEN k > 0 THEN '_' || k ELSE '' END || '.dat' AS destination FROM k""",
+        "folder_union": FILES_SQL + " SELECT path, size FROM files WHERE ext IN ('.en', '.de', '.fr')",
+        "unhashed": FILES_SQL + " SELECT path, size FROM files WHERE size % 7 = 0",
+        "cross_volume": FILES_SQL + f" SELECT CAST(coalesce(sum(size) FILTER (doc_id % 3 <> 0), 0) AS BIGINT) AS needed, coalesce(sum(size) FILTER (doc_id % 3 <> 0), 0) = 0 OR coalesce(sum(size) FILTER (doc_id % 3 <> 0), 0) + {512 << 20} <= {1 << 30} AS fits FROM files",
+        "content_digests": FILES_SQL + " SELECT path, sha256(text) AS sha256 FROM files",
+    }
