@@ -28,8 +28,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from shelfloom.llm import graph
 from shelfloom.llm.common import add_columns, materialise, renamed, ship
+from shelfloom.operators import graph
 
 SEED = 42
 TILE = 4096
@@ -227,7 +227,8 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     """(_id, fp, component_id) of every row."""
     rows = renamed(docs, _id=id_col, _text=text_col)
     marked = materialise(with_fingerprint(rows, text_col="_text", shingle=shingle).select("_id", "fp"), "simhash-rows")
-    named = components(marked, radius).withColumnRenamed("fp", "_fp")
+    # A written table, so that adaptive execution may split a hot fingerprint.
+    named = materialise(components(marked, radius).withColumnRenamed("fp", "_fp"), "simhash-components")
     return marked.join(named, F.col("fp") == F.col("_fp")).select("_id", "fp", "component_id")
 
 
