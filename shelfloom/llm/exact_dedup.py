@@ -71,10 +71,11 @@ def recipes(docs: DataFrame, *, id_col: str, text_col: str, hasher=chunk_hash, c
 def groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", hasher=chunk_hash, cut: str = CUT) -> DataFrame:
     """(_id, _keep, _size, _sha256) of every row."""
     rows = recipes(docs, id_col=id_col, text_col=text_col, hasher=hasher, cut=cut)
-    # The list of identifiers is the key. Equal lists combine before the shuffle,
-    # and the join back is split where one list is hot.
+    # The list of identifiers is the key. Equal lists combine before the shuffle;
+    # the groups are written, so that the join back may be split where one is hot.
     rows = rows.withColumn("_recipe", F.concat_ws(",", "_recipe"))
     kept = rows.groupBy(F.col("_recipe").alias("_r")).agg(F.max("_id").alias("_keep"), F.count(F.lit(1)).alias("_size"))
+    kept = materialise(kept, "recipe-groups")
     return rows.join(kept, F.col("_recipe") == F.col("_r")).select("_id", "_keep", "_size", "_sha256")
 
 
