@@ -6,7 +6,7 @@ from __future__ import annotations
 import json
 import os
 import shutil
-from collections.abc import Iterable
+from collections.abc import Iterable, Mapping
 from dataclasses import asdict, dataclass
 from pathlib import Path
 
@@ -76,9 +76,14 @@ def free_name(path: Path, mark: str = "_{}") -> Path:
     return out
 
 
-def move(plan: Iterable[tuple[str, str]], *, survivors: set[str], dry_run: bool = True, force: bool = False) -> list[Move]:
-    """Move (original, destination) pairs. A file whose survivor is missing is
-    the only copy left and stays; repeating a finished plan changes nothing."""
+def move(plan: Iterable[tuple[str, str]], *, survivors: Mapping[str, str] | None = None, dry_run: bool = True, force: bool = False) -> list[Move]:
+    """Move (original, destination) pairs. ``survivors`` names the file that
+    stays for each original: if that one is missing or is itself planned to go,
+    the original may be the only copy left and stays. Originals without a
+    survivor (corrupt or small files) are not copies and go. Repeating a
+    finished plan changes nothing."""
+    plan = list(plan)
+    going = {os.path.realpath(original) for original, _ in plan}
     out = []
     for original, wanted in plan:
         source, target = Path(original), Path(wanted)
@@ -86,7 +91,7 @@ def move(plan: Iterable[tuple[str, str]], *, survivors: set[str], dry_run: bool
             out.append(Move(original, None, "gone"))
         elif dry_run:
             out.append(Move(original, wanted, "dry_run"))
-        elif survivors and not any(Path(s).exists() for s in survivors if s != original):
+        elif (keeper := (survivors or {}).get(original)) and (not Path(keeper).exists() or os.path.realpath(keeper) in going):
             out.append(Move(original, None, "skipped_error"))
         elif (state := access(original)) == "protected" or state == "force_deletable" and not force:
             out.append(Move(original, None, "skipped_readonly" if state == "force_deletable" else "skipped_protected"))

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import json
 from dataclasses import dataclass, field
+from typing import Any
 
 CRITERIA = ("resolution", "size", "date", "filename")
 # Hash side per scan mode.
@@ -55,3 +57,34 @@ def scaled_threshold(base: int, side: int) -> int:
     64 bits, half to even."""
     base = max(1, int(base) or 5)
     return base if side == 8 else max(1, round(base * side * side / 64))
+
+
+def _number(value: Any, default: float) -> float:
+    return value if isinstance(value, (int, float)) and not isinstance(value, bool) else default
+
+
+def load(path: str) -> tuple[Filters, Priorities]:
+    """Filters and priorities of a JSON settings file. What is missing or of
+    another kind has its default; so has all of it if the file is unreadable."""
+    try:
+        with open(path, encoding="utf-8") as f:
+            settings = json.load(f)
+    except (OSError, ValueError):
+        settings = {}
+    part = lambda name: settings[name] if isinstance(settings, dict) and isinstance(settings.get(name), dict) else {}
+    f, p, base, first = part("filters"), part("priorities"), DEFAULT_FILTERS, Priorities()
+    patterns, order, enabled = f.get("exclude_patterns"), p.get("order"), p.get("enabled")
+    filters = Filters(
+        min_size_bytes=int(_number(f.get("min_file_size_bytes"), base.min_size_bytes)),
+        max_size_mb=int(_number(f.get("max_file_size_mb"), base.max_size_mb)),
+        include_hidden=bool(f.get("include_hidden", base.include_hidden)),
+        include_system=bool(f.get("include_system", base.include_system)),
+        excluded_patterns=tuple(map(str, patterns)) if isinstance(patterns, list) else base.excluded_patterns,
+    )
+    valid = isinstance(order, list) and sorted(map(str, order)) == ["1", "2", "3", "4"] and all(isinstance(x, int) for x in order)
+    return filters, Priorities(
+        order=tuple(order) if valid else first.order,
+        enabled={c: bool(enabled.get(c, True)) for c in CRITERIA} if isinstance(enabled, dict) else first.enabled,
+        oldest=str(p.get("date_priority", "oldest")).strip().lower() != "newest",
+        gate_gap_hours=float(_number(p.get("name_gate_date_gap_hours"), first.gate_gap_hours)),
+    )

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from shelfloom.config import CRITERIA, Priorities
 from shelfloom.functions.names import RECOVERED
-from shelfloom.operators.scoring import group, score_table, video_score_table
+from shelfloom.functions.dates import is_day_level
+from shelfloom.operators.scoring import date_scores, group, score_table, video_score_table
 
 # Margins of the explanation.
 MARGIN = 0.05
@@ -54,13 +55,14 @@ def resolution_sacrifice(rows: DataFrame) -> DataFrame:
 
 
 def explained(rows: DataFrame) -> DataFrame:
-    """(grp, kept, rival, reason, criterion, margin, notes): one row a group of
-    two or more, from ``ranked`` rows. Reasons: provenance_gate,
-    criterion_decided, tie."""
+    """(grp, kept, rival, reason, criterion, margin, notes, caveat): one row a
+    group of two or more, from ``ranked`` rows. Reasons: provenance_gate,
+    criterion_decided, tie. ``caveat`` is the criterion that the note
+    deleted_higher or within_threshold is about."""
     spread = {f"_active_{c}": F.max(f"s_{c}").over(group()) - F.min(f"s_{c}").over(group()) > SPREAD for c in CRITERIA}
     best = F.max(F.when(F.col("pixels") > 0, F.col("pixels"))).over(group())
     rows = rows.withColumns(spread).withColumn("_best_px", best)
-    columns = ["path", "tier", "total", "provenance", "pixels", "_best_px", *[f"w_{c}" for c in CRITERIA], *spread]
+    columns = ["path", "tier", "total", "provenance", "pixels", "size", "importance", "ts", "ts_source", "_best_px", *[f"w_{c}" for c in CRITERIA], *spread]
     pair = F.struct(*columns)
     both = (
         rows.filter("rank <= 2")
@@ -76,10 +78,21 @@ def explained(rows: DataFrame) -> DataFrame:
     gate = gap & (margin <= MARGIN)
     reason = F.when(gate, F.lit("provenance_gate")).when((margin > MARGIN) & criterion.isNotNull(), F.lit("criterion_decided")).otherwise(F.lit("tie"))
     lost = F.greatest(*[-g for g in gains.values()], F.lit(0.0))
+    higher = F.when(lost > NOTE_GAIN, F.coalesce(*[F.when(-g >= lost - 1e-9, F.lit(c)) for c, g in gains.items()]))
+    raw = {"size": "size", "resolution": "pixels", "filename": "importance"}
+    value = lambda side, c: F.coalesce(F.col(f"{side}.{raw[c]}"), F.lit(0))
+    above = {
+        c: F.when(~F.col(f"k._active_{c}") & (value("r", c) > value("k", c)), value("r", c) / F.greatest(value("k", c), F.lit(1))) for c in raw
+    }
+    within = F.coalesce(*[F.when(x == F.greatest(*above.values()), F.lit(c)) for c, x in above.items()])
+    dates_differ = F.coalesce(F.col("k.ts") != F.col("r.ts"), F.lit(False))
+    by_day = F.coalesce(is_day_level(F.col("k.ts"), F.col("k.ts_source")), F.lit(False)) | F.coalesce(is_day_level(F.col("r.ts"), F.col("r.ts_source")), F.lit(False))
     notes = [
-        F.when(lost > NOTE_GAIN, F.lit("deleted_higher")),
+        F.when(higher.isNotNull(), F.lit("deleted_higher")).when(within.isNotNull(), F.lit("within_threshold")),
+        F.when(dates_differ & by_day & ~F.col("k._active_date"), F.lit("day_level")),
         F.when(gap, F.lit("name_class")),
         F.when(gate & (top > 1e-9), F.lit("also_favoured")),
+        F.when(gate & dates_differ, F.lit("date_gap")),
         F.when(F.col("k.pixels") < F.col("k._best_px"), F.lit("resolution_sacrifice")),
     ]
     return both.select(
@@ -90,9 +103,30 @@ def explained(rows: DataFrame) -> DataFrame:
         F.when(reason == "criterion_decided", criterion).alias("criterion"),
         margin.alias("margin"),
         F.filter(F.array(*notes), lambda n: n.isNotNull()).alias("notes"),
+        F.coalesce(higher, within).alias("caveat"),
     )
 
 
+def video_reasons(rows: DataFrame) -> DataFrame:
+    """(grp, path, against, decided_by, date_note) from ``ranked_videos`` rows
+    of groups of two or more: every loser against the survivor, the survivor
+    against the runner-up. ``decided_by`` is provenance, date, size, filename or
+    tie; ``date_note`` (older, newer) only where the survivor and the runner-up
+    have the same name class."""
+    pick = F.struct("path", "provenance", "ts", "s_date", "s_size", "s_filename")
+    place = lambda k: F.max(F.when(F.col("rank") == k, pick)).over(group())
+    rows = rows.withColumns({"k": place(1), "r": place(2)}).filter("r is not null")
+    rows = rows.withColumn("o", F.when(F.col("rank") == 1, F.col("r")).otherwise(pick))
+    gains = {c: (F.col(f"k.s_{c}") - F.col(f"o.s_{c}")) * w for c, w in (("date", 3.0), ("size", 2.0), ("filename", 1.0))}
+    decided = F.when(F.col("k.provenance") != F.col("o.provenance"), F.lit("provenance"))
+    for c, gain in gains.items():
+        decided = decided.when(gain > MARGIN, F.lit(c))
+    same = (F.col("rank") == 1) & (F.col("k.provenance") == F.col("r.provenance"))
+    note = F.when(same & (F.col("k.ts") < F.col("r.ts")), F.lit("older")).when(same & (F.col("k.ts") > F.col("r.ts")), F.lit("newer"))
+    against = F.when(F.col("rank") == 1, F.col("r.path")).otherwise(F.col("k.path"))
+    return rows.select("grp", "path", against.alias("against"), decided.otherwise(F.lit("tie")).alias("decided_by"), note.alias("date_note"))
+
+
 def deletion_reasons(rows: DataFrame) -> DataFrame:
     """(grp, path, kept, reason): why each other member goes."""
     w = group()
@@ -114,5 +148,24 @@ def replay_diff(rows: DataFrame, before: Priorities, after: Priorities) -> DataF
     return both.withColumn("changed", F.col("kept_before") != F.col("kept_after"))
 
 
+def replay_causes(rows: DataFrame, priorities: Priorities = Priorities()) -> DataFrame:
+    """(grp, kept_before, kept_after, cause) of a recorded run decided again.
+    ``rows`` also hold ``was_kept`` and the dates of that run, ``old_ts`` and
+    ``old_source``. Causes: name_gate (the earlier survivor is of a lower tier),
+    date_restored (its dates tied and now they do not), rescored; null where the
+    survivor is the same. Groups without a recorded survivor have no row."""
+    rows = rows.withColumn("_old_date", date_scores(F.col("old_ts"), F.col("old_source"), priorities.oldest))
+    new, old = F.col("rank") == 1, F.col("was_kept")
+    tied = lambda c: F.min(F.round(c, 6)) == F.max(F.round(c, 6))
+    both = ranked(rows, priorities).groupBy("grp").agg(
+        F.max(F.when(old, F.col("path"))).alias("kept_before"),
+        F.max(F.when(new, F.col("path"))).alias("kept_after"),
+        (F.max(F.when(new, F.col("tier"))) > F.max(F.when(old, F.col("tier")))).alias("_gate"),
+        (tied("_old_date") & ~tied("s_date")).alias("_date"),
+    ).filter("kept_before is not null")
+    cause = F.when(F.col("_gate"), "name_gate").when(F.col("_date"), "date_restored").otherwise("rescored")
+    return both.select("grp", "kept_before", "kept_after", F.when(F.col("kept_before") != F.col("kept_after"), cause).alias("cause"))
+
+
 def any_true(columns: list[Column]) -> Column:
     return reduce(lambda a, b: a | b, columns, F.lit(False))

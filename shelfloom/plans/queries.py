@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from shelfloom.actions import destinations, located
@@ -125,16 +125,28 @@ def best_file(s, d):
     return selection.ranked(rivals(s, d)).filter("rank = 1").select("grp", "path", "tier")
 
 
-def best_video(s, d):
+def _ranked_videos(s, d):
     name_date = dates.filename_timestamp(F.col("name"))
     rows = rivals(s, d).withColumn("provenance", names.video_provenance(F.col("name"), name_date))
     rows = rows.withColumn("ts_source", F.when(name_date.isNotNull(), "filename").otherwise("modified"))
-    return selection.ranked_videos(rows).filter("rank = 1").select("grp", "path", "tier")
+    return selection.ranked_videos(rows)
+
+
+def best_video(s, d):
+    return _ranked_videos(s, d).filter("rank = 1").select("grp", "path", "tier")
+
+
+def video_reasons(s, d):
+    return selection.video_reasons(_ranked_videos(s, d))
 
 
 def selection_reasons(s, d):
     e = selection.explained(selection.ranked(rivals(s, d)))
-    return e.select("grp", "kept", "rival", "reason", "criterion", F.round("margin", 5).alias("margin"), F.array_join("notes", "|").alias("notes"))
+    return e.select("grp", "kept", "rival", "reason", "criterion", F.round("margin", 5).alias("margin"), F.array_join("notes", "|").alias("notes"), "caveat")
+
+
+def reason_counts(s, d):
+    return selection_reasons(s, d).groupBy("reason").agg(F.count(F.lit(1)).alias("n"))
 
 
 def deletion_reasons(s, d):
@@ -149,6 +161,20 @@ def replay_diff(s, d):
     return selection.replay_diff(rivals(s, d), Priorities(), Priorities(order=(1, 2, 4, 3)))
 
 
+def replay_causes(s, d):
+    """A recorded run that kept the first path and knew dates to the day."""
+    rows = rivals(s, d).withColumns({
+        "was_kept": F.col("path") == F.min("path").over(Window.partitionBy("grp")),
+        "old_ts": F.date_trunc("day", "ts").cast("timestamp_ntz"),
+        "old_source": F.lit("none"),
+    })
+    return selection.replay_causes(rows)
+
+
+def replay_cause_counts(s, d):
+    return replay_causes(s, d).groupBy("cause").agg(F.count(F.lit(1)).alias("n"))
+
+
 def replay_counts(s, d):
     return replay_diff(s, d).groupBy("changed").agg(F.count(F.lit(1)).alias("n"))
 
@@ -238,7 +264,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     out = {f.__name__: f for f in (
         exact_dup_groups, exact_dup_images_style, exact_dup_totals, exact_dup_survivors, size_candidates, sample_stats,
         skip_reasons, skip_summary, kept_files, name_importance, name_provenance, filename_dates, name_parts, best_dates,
-        score_table, best_file, best_video, selection_reasons, deletion_reasons, resolution_sacrifice, replay_diff, replay_counts,
+        score_table, best_file, best_video, video_reasons, selection_reasons, reason_counts, deletion_reasons, resolution_sacrifice,
+        replay_diff, replay_counts, replay_causes, replay_cause_counts,
         hamming_pairs, similar_groups, hamming_sides, thresholds, small_filter, small_stats, recycle_destinations,
         restore_plan, restore_counts, folder_union, unhashed, cross_volume, content_digests,
     )}
@@ -338,7 +365,7 @@ def _ratio(value: str, low: str, high: str, n: str) -> str:
     return f"CASE WHEN NOT ({n} >= 2 AND {high} / {low} >= 1.05) THEN 5.0 ELSE coalesce(least(10.0, greatest(0.0, 10.0 * ln({value} / {low}) / ln({high} / {low}))), 0.0) END"
 
 
-def _scored_sql(priorities: Priorities = Priorities(), name: str = "scored") -> str:
+def _scored_sql(priorities: Priorities = Priorities(), name: str = "scored", source: str = "rivals") -> str:
     w = priorities.weights
     pos = lambda c: f"CASE WHEN {c} > 0 THEN CAST({c} AS DOUBLE) END"
     stats = ", ".join(f"min({pos(c)}) OVER g AS {c}_lo, max({pos(c)}) OVER g AS {c}_hi, count({pos(c)}) OVER g AS {c}_n" for c in ("pixels", "size"))
@@ -346,7 +373,7 @@ def _scored_sql(priorities: Priorities = Priorities(), name: str = "scored") ->
     return f"""
 {name}_a AS (SELECT *, {stats}, min(importance) OVER g AS i_lo, max(importance) OVER g AS i_hi, count(ts) OVER g AS known,
     max(epoch_us(ts)) OVER g - min(epoch_us(ts)) OVER g < 60000000 AS noise,
-    max(CASE WHEN ts_source = 'filename' AND ts = date_trunc('day', ts) THEN 1 ELSE 0 END) OVER g = 1 AS any_day FROM rivals WINDOW g AS (PARTITION BY grp)),
+    max(CASE WHEN ts_source = 'filename' AND ts = date_trunc('day', ts) THEN 1 ELSE 0 END) OVER g = 1 AS any_day FROM {source} WINDOW g AS (PARTITION BY grp)),
 {name}_b AS (SELECT *, CASE WHEN any_day THEN epoch_us(CAST(date_trunc('day', ts) AS TIMESTAMP)) / 1e6 ELSE epoch_us(ts) / 1e6 END AS used FROM {name}_a),
 {name}_c AS (SELECT *, min(used) OVER (PARTITION BY grp) AS d_lo, max(used) OVER (PARTITION BY grp) AS d_hi FROM {name}_b),
 {name}_d AS (SELECT *, {_ratio(pos("pixels"), "pixels_lo", "pixels_hi", "pixels_n")} AS s_resolution, {_ratio(pos("size"), "size_lo", "size_hi", "size_n")} AS s_size,
@@ -386,14 +413,21 @@ diff AS (SELECT a.grp, a.path AS kept_before, b.path AS kept_after, a.path <> b.
     act = ", ".join(f"max(s_{c}) - min(s_{c}) > 1e-6 AS act_{c}, max(w_{c}) FILTER (rank = 1) AS k_{c}, max(w_{c}) FILTER (rank = 2) AS r_{c}" for c in gains)
     explained = rivals_sql + "," + scored + f""",
 two AS (SELECT grp, max(path) FILTER (rank = 1) AS kept, max(path) FILTER (rank = 2) AS rival, max(tier) FILTER (rank = 1) AS kt, max(tier) FILTER (rank = 2) AS rt,
-    max(total) FILTER (rank = 1) - max(total) FILTER (rank = 2) AS margin, max(pixels) FILTER (rank = 1) AS kp, max(CASE WHEN pixels > 0 THEN pixels END) AS bp, {act} FROM scored GROUP BY grp HAVING count(*) > 1),
+    max(total) FILTER (rank = 1) - max(total) FILTER (rank = 2) AS margin, max(pixels) FILTER (rank = 1) AS kp, max(pixels) FILTER (rank = 2) AS rp,
+    max(size) FILTER (rank = 1) AS ks, max(size) FILTER (rank = 2) AS rs, max(importance) FILTER (rank = 1) AS ki, max(importance) FILTER (rank = 2) AS ri,
+    coalesce(max(ts) FILTER (rank = 1) <> max(ts) FILTER (rank = 2), false) AS differ, coalesce(bool_or(ts_source = 'filename' AND ts = date_trunc('day', ts)) FILTER (rank <= 2), false) AS by_day, max(CASE WHEN pixels > 0 THEN pixels END) AS bp, {act} FROM scored GROUP BY grp HAVING count(*) > 1),
 gain AS (SELECT *, {", ".join(f"{g} AS g_{c}" for c, g in gains.items())} FROM two),
 top AS (SELECT *, greatest(g_resolution, g_size, g_date, g_filename, 0) AS best, -least(g_resolution, g_size, g_date, g_filename, 0) AS lost FROM gain),
-crit AS (SELECT *, CASE {" ".join(f"WHEN g_{c} > 1e-9 AND g_{c} >= best - 1e-9 THEN '{c}'" for c in gains)} END AS c0, kt > rt AND margin <= 0.05 AS gate FROM top),
-told AS (SELECT *, CASE WHEN gate THEN 'provenance_gate' WHEN margin > 0.05 AND c0 IS NOT NULL THEN 'criterion_decided' ELSE 'tie' END AS reason FROM crit)
-SELECT grp, kept, rival, reason, CASE WHEN reason = 'criterion_decided' THEN c0 END AS criterion, round(margin, 5) AS margin,
-    concat_ws('|', CASE WHEN lost > 0.5 THEN 'deleted_higher' END, CASE WHEN kt > rt THEN 'name_class' END, CASE WHEN gate AND best > 1e-9 THEN 'also_favoured' END,
-        CASE WHEN kp < bp THEN 'resolution_sacrifice' END) AS notes FROM told"""
+crit AS (SELECT *, CASE {" ".join(f"WHEN g_{c} > 1e-9 AND g_{c} >= best - 1e-9 THEN '{c}'" for c in gains)} END AS c0, kt > rt AND margin <= 0.05 AS gate,
+    CASE WHEN lost > 0.5 THEN CASE {" ".join(f"WHEN -g_{c} >= lost - 1e-9 THEN '{c}'" for c in gains)} END END AS higher,
+    {", ".join(f"CASE WHEN NOT act_{c} AND r{x} > k{x} THEN r{x} / CAST(greatest(k{x}, 1) AS DOUBLE) END AS q_{c}" for c, x in (("size", "s"), ("resolution", "p"), ("filename", "i")))} FROM top),
+told AS (SELECT *, CASE WHEN gate THEN 'provenance_gate' WHEN margin > 0.05 AND c0 IS NOT NULL THEN 'criterion_decided' ELSE 'tie' END AS reason,
+    greatest(q_size, q_resolution, q_filename) AS q FROM crit),
+noted AS (SELECT *, CASE WHEN q_size = q THEN 'size' WHEN q_resolution = q THEN 'resolution' WHEN q_filename = q THEN 'filename' END AS near FROM told),
+explained AS (SELECT grp, kept, rival, reason, CASE WHEN reason = 'criterion_decided' THEN c0 END AS criterion, round(margin, 5) AS margin,
+    concat_ws('|', CASE WHEN higher IS NOT NULL THEN 'deleted_higher' WHEN near IS NOT NULL THEN 'within_threshold' END,
+        CASE WHEN differ AND by_day AND NOT act_date THEN 'day_level' END, CASE WHEN kt > rt THEN 'name_class' END, CASE WHEN gate AND best > 1e-9 THEN 'also_favoured' END,
+        CASE WHEN gate AND differ THEN 'date_gap' END, CASE WHEN kp < bp THEN 'resolution_sacrifice' END) AS notes, coalesce(higher, near) AS caveat FROM noted)"""
     kg = {c: f"(k.w_{c} - s.w_{c})" for c in gains}
     kbest = f"greatest({', '.join(kg.values())}, 0)"
     deletion = rivals_sql + "," + scored + f"""
@@ -404,8 +438,30 @@ FROM scored s JOIN scored k ON s.grp = k.grp AND k.rank = 1 AND s.rank > 1"""
     video = rivals_sql + "," + scored + f""",
 vid_a AS (SELECT *, CASE video_provenance WHEN 4 THEN 9 WHEN 3 THEN 5 WHEN 2 THEN 3 WHEN 1 THEN 2 ELSE 1 END AS vi FROM scored),
 vid_b AS (SELECT *, CAST(min(vi) OVER g AS DOUBLE) AS v_lo, CAST(max(vi) OVER g AS DOUBLE) AS v_hi, count(*) OVER g AS v_n FROM vid_a WINDOW g AS (PARTITION BY grp)),
-vid_c AS (SELECT *, 3.0 * s_date + 2.0 * s_size + {vid_ratio} AS vt, CASE WHEN video_provenance = 0 THEN 0 WHEN date_decides THEN 3 ELSE video_provenance END AS v_tier FROM vid_b)
-SELECT grp, path, v_tier AS tier FROM (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY v_tier DESC, round(CAST(vt AS DOUBLE), 9) DESC, mtime, path) AS vr FROM vid_c) WHERE vr = 1"""
+vid_c AS (SELECT *, 3.0 * s_date + 2.0 * s_size + {vid_ratio} AS vt, {vid_ratio} AS s_class, CASE WHEN video_provenance = 0 THEN 0 WHEN date_decides THEN 3 ELSE video_provenance END AS v_tier FROM vid_b),
+videos AS (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY v_tier DESC, round(CAST(vt AS DOUBLE), 9) DESC, mtime, path) AS vr FROM vid_c)"""
+    video_why = video + """
+SELECT s.grp, s.path, CASE WHEN s.vr = 1 THEN o.path ELSE k.path END AS against,
+    CASE WHEN k.video_provenance <> o.video_provenance THEN 'provenance' WHEN 3.0 * (k.s_date - o.s_date) > 0.05 THEN 'date' WHEN 2.0 * (k.s_size - o.s_size) > 0.05 THEN 'size'
+        WHEN k.s_class - o.s_class > 0.05 THEN 'filename' ELSE 'tie' END AS decided_by,
+    CASE WHEN s.vr = 1 AND k.video_provenance = o.video_provenance THEN CASE WHEN k.ts < o.ts THEN 'older' WHEN k.ts > o.ts THEN 'newer' END END AS date_note
+FROM videos s JOIN videos k ON k.grp = s.grp AND k.vr = 1 JOIN videos o ON o.grp = s.grp AND o.vr = greatest(s.vr, 2)"""
+    causes = rivals_sql + "," + scored + """,
+dayed AS (SELECT * REPLACE (CAST(date_trunc('day', ts) AS TIMESTAMP) AS ts, 'none' AS ts_source) FROM rivals),""" + _scored_sql(name="older", source="dayed") + """,
+both_runs AS (SELECT s.grp, min(s.path) AS kept_before, max(s.path) FILTER (s.rank = 1) AS kept_after, max(s.tier) FILTER (s.rank = 1) > arg_min(s.tier, s.path) AS gate,
+    min(round(o.s_date, 6)) = max(round(o.s_date, 6)) AND min(round(s.s_date, 6)) <> max(round(s.s_date, 6)) AS dated FROM scored s JOIN older o ON s.grp = o.grp AND s.path = o.path GROUP BY s.grp),
+causes AS (SELECT grp, kept_before, kept_after, CASE WHEN kept_before = kept_after THEN NULL WHEN gate THEN 'name_gate' WHEN dated THEN 'date_restored' ELSE 'rescored' END AS cause FROM both_runs)"""
+    restored = FILES_SQL + """,
+items AS (SELECT path AS original, '/bin/' || name || CASE WHEN doc_id % 3 = 0 THEN '?' ELSE '' END AS reported, size FROM files),
+bins AS (SELECT '/bin/' || CASE WHEN doc_id % 4 = 0 THEN 'x/' ELSE '' END || name AS actual, name, max(size) AS bin_size FROM files WHERE doc_id % 5 <> 0 GROUP BY 1, 2),
+keyed AS (SELECT *, name AS k FROM bins UNION SELECT *, regexp_replace(name, '^(.+)_[0-9]+(\\.[^.]+)?$', '\\1\\2') FROM bins),
+hits AS (SELECT original, actual, size = bin_size AS same, 1 AS step FROM items JOIN bins ON reported = actual
+    UNION ALL SELECT original, actual, size = bin_size, 2 FROM items JOIN bins ON string_split(reported, '/')[-1] = name
+    UNION ALL SELECT original, actual, size = bin_size, 3 FROM items JOIN keyed ON string_split(original, '/')[-1] = k),
+nearest AS (SELECT * FROM hits QUALIFY step = min(step) OVER (PARTITION BY original)),
+sized AS (SELECT * FROM nearest QUALIFY same = max(same) OVER (PARTITION BY original)),
+placed AS (SELECT original, min(actual) AS actual, count(*) AS n FROM sized GROUP BY original),
+restored AS (SELECT i.original, p.actual, CASE WHEN n > 1 THEN 'ambiguous' WHEN n = 1 THEN 'found' ELSE 'missing' END AS status FROM items i LEFT JOIN placed p ON i.original = p.original)"""
     survivors = _evidence_sql() + """,
 keyed AS (SELECT *, sha256(text) AS sha256, count(*) OVER (PARTITION BY ext, sha256(text)) AS copies FROM dat),
 rivals AS (SELECT ext || '-' || sha256 AS grp, path, name, pixels, size, mtime, importance, provenance, coalesce(name_ts, mtime) AS ts,
@@ -435,11 +491,17 @@ SELECT path, strftime(CASE WHEN name_ts IS NOT NULL AND (exif IS NULL OR name_ts
     CASE WHEN name_ts IS NOT NULL AND (exif IS NULL OR name_ts <= exif) THEN 'filename' WHEN exif IS NOT NULL THEN 'exif' ELSE 'modified' END AS source FROM x""",
         "score_table": rivals_sql + "," + scored + " SELECT grp, path, " + ", ".join(f"round(CAST({c} AS DOUBLE), 5) AS {c}" for c in ("s_resolution", "s_size", "s_date", "s_filename", "boost", "total")) + ", date_decides FROM scored",
         "best_file": rivals_sql + "," + scored + " SELECT grp, path, tier FROM scored WHERE rank = 1",
-        "best_video": video,
-        "selection_reasons": explained,
+        "best_video": video + " SELECT grp, path, v_tier AS tier FROM videos WHERE vr = 1",
+        "video_reasons": video_why,
+        "selection_reasons": explained + " SELECT * FROM explained",
+        "reason_counts": explained + " SELECT reason, count(*) AS n FROM explained GROUP BY reason",
         "deletion_reasons": deletion,
         "resolution_sacrifice": rivals_sql + "," + scored + " SELECT grp, pixels AS kept_px, best_px FROM (SELECT *, max(CASE WHEN pixels > 0 THEN pixels END) OVER (PARTITION BY grp) AS best_px FROM scored) WHERE rank = 1 AND pixels < best_px",
         "replay_diff": replay + " SELECT * FROM diff",
+        "replay_causes": causes + " SELECT * FROM causes",
+        "replay_cause_counts": causes + " SELECT cause, count(*) AS n FROM causes GROUP BY cause",
+        "restore_plan": restored + " SELECT * FROM restored",
+        "restore_counts": restored + " SELECT status, count(*) AS n FROM restored GROUP BY status",
         "replay_counts": replay + " SELECT changed, count(*) AS n FROM diff GROUP BY changed",
         "hamming_pairs": HASHES_SQL + "," + pairs + " SELECT a, b, CAST(distance AS INTEGER) AS distance FROM pairs",
         "similar_groups": rec + " SELECT path, component FROM grouped WHERE n > 1",

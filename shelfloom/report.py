@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterable
 from pathlib import Path
 
@@ -9,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from shelfloom.actions import Move, free_name
+from shelfloom.catalog import SECTIONS
 from shelfloom.functions.names import after_colon
 
 TEXT = {
@@ -34,6 +36,34 @@ def render(title: str, groups: Iterable[dict], moves: list[Move], *, dry_run: bo
     return "\n".join(lines)
 
 
+def render_files(title: str, files: Iterable[tuple[str, str]], moves: list[Move], *, dry_run: bool, bin_path: str) -> str:
+    """A report of single files, corrupt or small: (path, why it goes)."""
+    moved = {m.original: m.destination for m in moves}
+    why: Counter = Counter()
+    body = []
+    for path, reason in files:
+        why[reason] += 1
+        body += [f"Removed: {path}", *([f"Moved to: {moved[path]}"] if moved.get(path) else []), f"Because: {reason}"]
+    failed = sum(m.outcome == "failed" for m in moves)
+    head = [title, f"Dry run: {'yes' if dry_run else 'no'}", f"Bin: {bin_path}", f"Failed: {failed}", f"Files: {sum(why.values())}"]
+    return "\n".join([*head, *(f"  {k}: {n}" for k, n in sorted(why.items())), "", *body, ""])
+
+
+def render_restore(outcomes: Iterable[tuple[str, str]], ambiguous: int = 0) -> str:
+    """A report of (original, outcome) pairs with the count of each outcome."""
+    outcomes = list(outcomes)
+    counts = Counter(o for _, o in outcomes)
+    lines = ["Restore", *(f"  {k}: {n}" for k, n in sorted(counts.items())), f"  ambiguous: {ambiguous}", ""]
+    return "\n".join([*lines, *(f"{outcome}: {original}" for original, outcome in outcomes), ""])
+
+
+def operation_of(name: str, section: str) -> str | None:
+    """The operation of a section whose report has this file name, by the
+    longest prefix that fits; None for other sections' reports."""
+    prefixes = [SECTIONS[section]["report"], *(("corrupted", "similar", "small_images") if section == "image" else ())]
+    return max((p for p in prefixes if name.startswith(p + "_")), key=len, default=None)
+
+
 def write(folder: str, prefix: str, stamp: str, text: str) -> str:
     target = free_name(Path(folder) / f"{prefix}_{stamp}.txt")
     target.parent.mkdir(parents=True, exist_ok=True)

@@ -1,5 +1,6 @@
 """Files on disk, dedup, similarity, media, actions, reports, streaming."""
 
+import datetime
 import os
 import struct
 import zlib
@@ -11,9 +12,9 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from shelfloom import actions, report
-from shelfloom.config import RECOVERY_FILTERS, Filters
+from shelfloom.config import RECOVERY_FILTERS, Filters, Priorities, load
 from shelfloom.functions import images
-from shelfloom.operators import dedup, filters, graph, similar
+from shelfloom.operators import dedup, filters, graph, selection, similar
 from shelfloom.sources import files as source
 from shelfloom.streaming import incremental
 
@@ -140,12 +141,22 @@ def test_move_report_restore(spark, tmp_path):
     keep.write_text("same")
     lose.write_text("same")
     plan = [(str(lose), str(tmp_path / "bin" / "b.txt"))]
-    assert actions.move(plan, survivors={str(keep)})[0].outcome == "dry_run" and lose.exists()
-    moves = actions.move(plan, survivors={str(keep)}, dry_run=False)
+    kept_by = {str(lose): str(keep)}
+    assert actions.move(plan, survivors=kept_by)[0].outcome == "dry_run" and lose.exists()
+    both = [*plan, (str(keep), str(tmp_path / "bin" / "a.txt"))]
+    swapped = actions.move(both, survivors={**kept_by, str(keep): str(lose)}, dry_run=False)
+    assert [m.outcome for m in swapped] == ["skipped_error"] * 2 and keep.exists() and lose.exists()
+    moves = actions.move(plan, survivors=kept_by, dry_run=False)
     assert moves[0].outcome == "moved" and not lose.exists()
-    assert actions.move(plan, survivors={str(keep)}, dry_run=False)[0].outcome == "gone"
-    only = actions.move([(str(keep), str(tmp_path / "bin" / "a.txt"))], survivors={str(lose)}, dry_run=False)
+    assert actions.move(plan, survivors=kept_by, dry_run=False)[0].outcome == "gone"
+    # another group's survivor exists, but this file's own does not
+    (tmp_path / "c.txt").write_text("other")
+    only = actions.move([(str(keep), str(tmp_path / "bin" / "a.txt"))], survivors={str(keep): str(lose), "x": str(tmp_path / "c.txt")}, dry_run=False)
     assert only[0].outcome == "skipped_error" and keep.exists()
+    single = actions.move([(str(tmp_path / "c.txt"), str(tmp_path / "bin" / "c.txt"))], dry_run=False)
+    assert single[0].outcome == "moved"
+    text = report.render_files("Small", [(str(tmp_path / "c.txt"), "width")], single, dry_run=False, bin_path="bin")
+    assert f"Moved to: {single[0].destination}\nBecause: width" in text and "  width: 1" in text
     text = report.render("Duplicates", [{"kept": str(keep), "reason": "criterion_decided", "criterion": "date", "losers": [str(lose)]}], moves, dry_run=False, bin_path="bin")
     paths = [report.write(str(tmp_path / "reports"), "duplicates", "20260101", text) for _ in range(2)]
     assert len(set(paths)) == 2 and report.newest(str(tmp_path / "reports"), "duplicates")
@@ -159,9 +170,43 @@ def test_move_report_restore(spark, tmp_path):
     lose.write_text("other text")
     assert actions.restore(found, dry_run=False)[0][1] == "restored" and (tmp_path / "b_restored.txt").exists()
     assert actions.restore([("x", None, "missing")]) == [("x", "missing")]
+    assert "  missing: 1\n  restored: 1\n  ambiguous: 2" in report.render_restore([("x", "missing"), ("y", "restored")], 2)
+    assert report.operation_of("small_images_2026.txt", "image") == "small_images" and report.operation_of("small_images_1.txt", "video") is None
+    assert report.operation_of("video_duplicates_1.txt", "video") == "video_duplicates" and report.operation_of("video_duplicates_1.txt", "image") is None
     assert actions.cleaned_folder("/data/photos/2020/x.jpg", "/home/me") == "data/photos/2020"
 
 
+def test_settings(tmp_path):
+    path = tmp_path / "settings.json"
+    assert load(str(path)) == (Filters(), Priorities())
+    path.write_text("[1, 2")
+    assert load(str(path)) == (Filters(), Priorities())
+    path.write_text('{"filters": {"max_file_size_mb": 0, "include_hidden": true, "exclude_patterns": []}, "priorities": {"order": [1, 2, 3, 4], "date_priority": "Newest", "name_gate_date_gap_hours": "x", "enabled": {"size": false}}}')
+    filters_, priorities = load(str(path))
+    assert filters_ == RECOVERY_FILTERS and filters_.recovery
+    assert priorities.order == (1, 2, 3, 4) and not priorities.oldest and priorities.gate_gap_hours == 24 and not priorities.enabled["size"]
+    path.write_text('{"filters": 3, "priorities": {"order": [1, 1, 2, "3"]}}')
+    assert load(str(path)) == (Filters(), Priorities())
+
+
+def test_replay_and_video_reasons(spark):
+    t = lambda d: datetime.datetime(2020, 1, d, 12)
+    # grp, path, name, pixels, size, importance, provenance, ts, was_kept
+    rows = [
+        ("g", "g/1", "IMG_1.jpg", 100, 100, 8, 4, t(1), False), ("g", "g/2", "IMG_1 (1).jpg", 100, 100, 3, 1, t(1), True),
+        ("h", "h/1", "IMG_2.jpg", 100, 100, 8, 4, t(1), False), ("h", "h/2", "IMG_3.jpg", 100, 100, 8, 4, t(9), True),
+        ("i", "i/1", "IMG_4.jpg", 100, 100, 8, 4, t(1), True), ("i", "i/2", "IMG_5.jpg", 100, 100, 8, 4, t(9), False),
+        ("j", "j/1", "IMG_6.jpg", 100, 100, 8, 4, t(1), False),
+    ]
+    df = spark.createDataFrame(rows, "grp string, path string, name string, pixels long, size long, importance int, provenance int, ts timestamp_ntz, was_kept boolean")
+    df = df.withColumns({"ts_source": F.lit("exif"), "old_ts": F.lit(None).cast("timestamp_ntz"), "old_source": F.lit("none"), "mtime": F.col("ts")})
+    got = {r.grp: (r.kept_after, r.cause) for r in selection.replay_causes(df).collect()}
+    assert got == {"g": ("g/1", "name_gate"), "h": ("h/1", "date_restored"), "i": ("i/1", None)}
+    why = {r.path: (r.against, r.decided_by, r.date_note) for r in selection.video_reasons(selection.ranked_videos(df)).collect()}
+    assert why["g/1"] == ("g/2", "provenance", None) and why["g/2"] == ("g/1", "provenance", None)
+    assert why["h/1"] == ("h/2", "date", "older") and why["h/2"] == ("h/1", "date", None) and "j/1" not in why
+
+
 def test_stream(spark, tmp_path):
     schema = "path string, ext string, content binary"
     data, known, out = (str(tmp_path / n) for n in ("in", "known", "out"))
