@@ -27,11 +27,13 @@ def add_columns(
     outputs: T.StructType,
     factory: Callable[[], Callable[..., tuple]],
 ) -> DataFrame:
-    """``df`` with the ``outputs`` appended. ``factory()`` runs once a task and
-    returns a function from the input values of one row (``None`` for null) to
-    the tuple of output values."""
+    """``df`` with the ``outputs`` appended; they replace columns of the same
+    names. ``factory()`` runs once a task and returns a function from the input
+    values of one row (``None`` for null) to the tuple of output values."""
     ship(df.sparkSession)
     arrow_out = to_arrow_schema(outputs)
+    made_names = {n.lower() for n in outputs.names}
+    kept = [k for k, c in enumerate(df.columns) if c.lower() not in made_names]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fn = factory()
@@ -45,10 +47,10 @@ def add_columns(
                     for i, field in enumerate(arrow_out)
                 ]
                 yield pa.RecordBatch.from_arrays(
-                    [*part.columns, *made], names=[*part.schema.names, *arrow_out.names]
+                    [*(part.column(k) for k in kept), *made], names=[*(part.schema.names[k] for k in kept), *arrow_out.names]
                 )
 
-    schema = T.StructType([*df.schema.fields, *outputs.fields])
+    schema = T.StructType([*(df.schema.fields[k] for k in kept), *outputs.fields])
     return df.mapInArrow(run, schema)
 
 
@@ -58,6 +60,14 @@ def renamed(df: DataFrame, **columns: str) -> DataFrame:
     return df.select(*[F.col(source).alias(name) for name, source in columns.items()])
 
 
+def fenced(df: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """``df`` with all columns under names of their own, and the new name of
+    each, for operators that hand on whole rows: no inner name can clash.
+    ``toDF(*df.columns)`` gives the names back."""
+    names = {c: f"in_{k}" for k, c in enumerate(df.columns)}
+    return df.toDF(*names.values()), names
+
+
 def unit_hash(column) -> F.Column:
     """A value in [0, 1) that depends on the key alone."""
     return F.pmod(F.xxhash64(F.lit(7), column), F.lit(1 << 40)) / F.lit(float(1 << 40))

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from shelfloom.llm.common import add_columns, renamed
+from shelfloom.llm.common import add_columns, fenced, renamed
 
 Q = 12
 WINDOW = 80
@@ -193,9 +193,11 @@ def marked(
     item_text_col: str = "text",
     name: str = "_items",
 ) -> DataFrame:
-    """``docs`` with an array of (item_id, n_windows), empty where clean."""
+    """``docs`` with an array of (item_id, n_windows), empty where clean; it
+    replaces a column of the same name."""
     kind = T.ArrayType(T.StructType([T.StructField("item_id", T.LongType()), T.StructField("n_windows", T.LongType())]))
-    out, found = docs, []
+    out, names = fenced(docs)
+    found = []
     for k, items in enumerate(blocks(benchmark, id_col=item_col, text_col=item_text_col)):
         shipped = docs.sparkSession.sparkContext.broadcast(Index(items))  # at most BLOCK_CHARS characters
 
@@ -204,10 +206,9 @@ def marked(
             return lambda text: ([{"item_id": i, "n_windows": n} for i, n in sorted(index.found(text).items())],)
 
         found.append(f"{name}_{k}")
-        out = add_columns(out, [text_col], T.StructType([T.StructField(found[-1], kind)]), factory)
-    if not found:
-        return out.withColumn(name, F.array().cast(kind))
-    return out.withColumn(name, F.concat(*found)).drop(*found)
+        out = add_columns(out, [names[text_col]], T.StructType([T.StructField(found[-1], kind)]), factory)
+    marks = F.concat(*found) if found else F.array().cast(kind)
+    return out.select(*[F.col(names[c]).alias(c) for c in docs.columns if c != name], marks.alias(name))
 
 
 def query(spark: SparkSession, documents: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -218,4 +219,6 @@ def query(spark: SparkSession, documents: DataFrame, benchmark: DataFrame) -> Da
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents that hold no item, with all their columns."""
-    return marked(docs, benchmark).filter(F.size("_items") == 0).drop("_items")
+    rows, names = fenced(docs)
+    clean = marked(rows, benchmark, text_col=names["text"]).filter(F.size("_items") == 0)
+    return clean.drop("_items").toDF(*docs.columns)

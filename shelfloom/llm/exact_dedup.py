@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfloom.llm.common import materialise, renamed
+from shelfloom.llm.common import fenced, materialise, renamed
 
 MIN_CHUNK, MAX_CHUNK = 512, 4096
 #: A cut after any of these letter pairs and a blank; what is left at the end is the last chunk.
@@ -97,8 +97,10 @@ def keep_largest(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
         found.filter("_id is not null").groupBy(F.col("_id").alias("_gone"), "_sha256").agg(F.max(F.col("_id") == F.col("_keep")).alias("_stays"))
         .filter("not _stays").select("_gone", "_sha256")
     )
-    digest = F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256)
-    return docs.join(gone, (F.col(id_col) == F.col("_gone")) & (digest == F.col("_sha256")), "left_anti")
+    rows, names = fenced(docs)
+    digest = F.sha2(F.coalesce(F.col(names[text_col]), F.lit("")), 256)
+    kept = rows.join(gone, (F.col(names[id_col]) == F.col("_gone")) & (digest == F.col("_sha256")), "left_anti")
+    return kept.toDF(*docs.columns)
 
 
 ORACLE = """

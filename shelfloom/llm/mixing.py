@@ -31,7 +31,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from shelfloom.llm.common import materialise
+from shelfloom.llm.common import fenced, materialise
 
 BUCKETS_HEX = 3  # 16**3 slots per leaf
 UNKNOWN = "unknown"
@@ -126,10 +126,12 @@ def mixed(
     source_col: str = "source",
 ) -> DataFrame:
     """The chosen rows with all their columns, once for each epoch that takes
-    them, and ``domain``, ``epoch`` and ``n_tokens``."""
+    them, and ``domain``, ``epoch`` and ``n_tokens``, which replace columns of
+    the same names."""
     mix = mix or Mix()
-    columns = [c for c in docs.columns if c not in ("domain", "epoch", "n_tokens")]
-    rows = prepared(docs, id_col=id_col, text_col=text_col, lang_col=lang_col, source_col=source_col)
+    rows, names = fenced(docs)
+    columns = [F.col(names[c]).alias(c) for c in docs.columns if c not in ("domain", "epoch", "n_tokens")]
+    rows = prepared(rows, id_col=names[id_col], text_col=names[text_col], lang_col=names[lang_col], source_col=names[source_col])
     leaf = ["_domain", "_lang", "_source"]
     slim = materialise(rows.select(*leaf, "_n", "_key"), "mix-tokens")
     plan = leaf_quotas(slim, mix).filter("_quota > 0 and _supply > 0")
@@ -153,7 +155,7 @@ def mixed(
     whole = all_rows.filter("_whole > 0").withColumn("epoch", F.explode(F.sequence(F.lit(1), F.col("_whole").cast("int"))))
     inside = all_rows.filter("_slot < _end").withColumn("epoch", (F.col("_whole") + 1).cast("int"))
     edge = all_rows.filter("_slot = _end")
-    running = Window.partitionBy(*leaf).orderBy("_order", "_key", "_n", F.coalesce(F.col(text_col), F.lit(""))).rowsBetween(Window.unboundedPreceding, -1)
+    running = Window.partitionBy(*leaf).orderBy("_order", "_key", "_n", F.coalesce(F.col(names[text_col]), F.lit(""))).rowsBetween(Window.unboundedPreceding, -1)
     edge = (
         edge.withColumn("_sofar", F.col("_start") + F.coalesce(F.sum("_n").over(running), F.lit(0)))
         .filter("_sofar < _part")

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from shelfloom.llm.common import add_columns, class_rates, drawn, renamed
+from shelfloom.llm.common import add_columns, class_rates, drawn, fenced, renamed
 from shelfloom.llm.ftrl import Ftrl, probabilities
 
 DIM = 1 << 18
@@ -217,5 +217,6 @@ def query(spark: SparkSession, documents: DataFrame, labels: DataFrame, threshol
 def keep_good(documents: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:
     """The documents that the classifier accepts, with all their columns."""
     model = train(documents, labels, held_out=held_out())
-    scored = score(documents, model, name="_quality_score")
-    return scored.filter(F.col("_quality_score") >= threshold).drop("_quality_score")
+    rows, names = fenced(documents)
+    scored = score(rows, model, text_col=names["text"])
+    return scored.filter(F.col("score") >= threshold).drop("score").toDF(*documents.columns)

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from shelfloom.llm.common import add_columns, materialise, renamed, ship
+from shelfloom.llm.common import add_columns, fenced, materialise, renamed, ship
 from shelfloom.operators import graph
 
 SEED = 42
@@ -248,4 +248,5 @@ def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     # An id leaves if none of its rows leads its group.
     leaves = found.groupBy("_id").agg(F.max(F.col("component_id") == F.col("_id")).alias("_leads"))
     gone = leaves.filter("not _leads").select(F.col("_id").alias("_gone"))
-    return docs.join(gone, F.col(id_col) == F.col("_gone"), "left_anti")
+    rows, names = fenced(docs)
+    return rows.join(gone, F.col(names[id_col]) == F.col("_gone"), "left_anti").toDF(*docs.columns)

@@ -246,6 +246,41 @@ def test_oracles(spark, name):
     assert rows_of(got.select(*names)) == sorted((plain(r) for r in want.fetchall()), key=repr)
 
 
+INNER = (
+    "_id _text _n _lang _source _domain _key _order _slot _whole _part _end _start _sofar epoch domain n_tokens _gone _sha256 _items _items_0 "
+    "_quality_score Score fp _fp component_id spans score lang_pred _recipe _keep _doc _label _i _v item_id _leads _stays in_0 in_1 N_CHARS2"
+).split()
+
+
+def test_stages_carry_columns_with_inner_names(spark):
+    docs, labels, benchmark = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels", "benchmark"))
+    stages = {
+        "quality": lambda d: quality.keep_good(d, labels), "exact": exact_dedup.keep_largest, "near": simhash.keep_one,
+        "decontaminate": lambda d: decontam.keep_clean(d, benchmark), "mix": mixing.mixed,
+    }
+    # names that differ in case alone cannot be told apart by name, so they are left out
+    inner = [n for k, n in enumerate(INNER) if n.lower() not in [m.lower() for m in INNER[:k]]]
+    clashing = docs.select("*", *[F.lit("mine").alias(n) for n in inner])
+    for name, stage in stages.items():
+        plain, got = stage(docs), stage(clashing)
+        made = {"domain", "epoch", "n_tokens"} if name == "mix" else set()
+        assert set(got.columns) == {*clashing.columns, *made}, name
+        assert rows_of(got.select(*plain.columns)) == rows_of(plain), name
+        own = [n for n in inner if n not in made]
+        assert got.filter(F.array_min(F.array(*[F.col(n) == "mine" for n in own])) == F.lit(False)).count() == 0, name
+
+
+def test_outputs_replace_columns_of_their_names(spark, odd):
+    docs = odd.withColumns({"n_tokens": F.lit("mine"), "lang_pred": F.lit("mine"), "TEXT_OUT": F.lit("mine")})
+    import public_tokenizers
+
+    counted = bpe.with_counts(docs, public_tokenizers.path("byte_bpe_50k.json"))
+    assert counted.columns.count("n_tokens") == 1 and counted.filter("n_tokens is null").count() == 0
+    assert secrets.with_spans(docs).filter(F.size("spans") > 0).count() == 1
+    assert simhash.with_fingerprint(docs).select("fp").distinct().count() > 1
+    assert decontam.marked(docs, docs.limit(0).select(F.lit(1).cast("long").alias("item_id"), "text"), name="fp").filter(F.size("fp") > 0).count() == 0
+
+
 def test_pipeline(spark):
     import corpus_pipeline as P
 
