@@ -13,6 +13,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from shelfloom.config import Safety
 from shelfloom.functions.names import strip_collision
 
 RESERVE = 512 << 20
@@ -60,6 +61,15 @@ def access(path: str) -> str:
     return "force_deletable" if os.access(os.path.dirname(path), os.W_OK) else "protected"
 
 
+def refusal(count: int, safety: Safety, *, large_confirmed: bool = False, confirmed: bool = False) -> str | None:
+    """Why an operation on ``count`` files may not start: too_many or
+    unconfirmed; None if it may. ``count`` is ``deletable`` of
+    ``dedup.totals``."""
+    if 0 < safety.max_files < count and not large_confirmed:
+        return "too_many"
+    return "unconfirmed" if safety.confirm and not confirmed else None
+
+
 @dataclass
 class Move:
     original: str

@@ -52,6 +52,16 @@ class Priorities:
         return max(0.0, self.gate_gap_hours) * 3600.0
 
 
+@dataclass(frozen=True)
+class Safety:
+    """What an action asks for before it moves anything; ``max_files`` 0 means
+    any number."""
+
+    dry_run: bool = True
+    confirm: bool = True
+    max_files: int = 0
+
+
 def scaled_threshold(base: int, side: int) -> int:
     """Hamming threshold for a hash of ``side`` squared bits, in proportion to
     64 bits, half to even."""
@@ -63,16 +73,32 @@ def _number(value: Any, default: float) -> float:
     return value if isinstance(value, (int, float)) and not isinstance(value, bool) else default
 
 
-def load(path: str) -> tuple[Filters, Priorities]:
-    """Filters and priorities of a JSON settings file. What is missing or of
-    another kind has its default; so has all of it if the file is unreadable."""
+def _part(path: str, name: str) -> dict:
+    """One part of a JSON settings file, empty if it cannot be read."""
     try:
         with open(path, encoding="utf-8") as f:
             settings = json.load(f)
     except (OSError, ValueError):
-        settings = {}
-    part = lambda name: settings[name] if isinstance(settings, dict) and isinstance(settings.get(name), dict) else {}
-    f, p, base, first = part("filters"), part("priorities"), DEFAULT_FILTERS, Priorities()
+        return {}
+    part = settings.get(name) if isinstance(settings, dict) else None
+    return part if isinstance(part, dict) else {}
+
+
+def load_safety(path: str) -> Safety:
+    """Safety settings of a JSON settings file; a limit that is no number is
+    none."""
+    s, base = _part(path, "safety"), Safety()
+    try:
+        most = int(s.get("max_files_per_operation", base.max_files))
+    except (TypeError, ValueError):
+        most = 0
+    return Safety(bool(s.get("dry_run_mode", base.dry_run)), bool(s.get("confirm_before_delete", base.confirm)), max(0, most))
+
+
+def load(path: str) -> tuple[Filters, Priorities]:
+    """Filters and priorities of a JSON settings file. What is missing or of
+    another kind has its default; so has all of it if the file is unreadable."""
+    f, p, base, first = _part(path, "filters"), _part(path, "priorities"), DEFAULT_FILTERS, Priorities()
     patterns, order, enabled = f.get("exclude_patterns"), p.get("order"), p.get("enabled")
     filters = Filters(
         min_size_bytes=int(_number(f.get("min_file_size_bytes"), base.min_size_bytes)),

@@ -46,7 +46,7 @@ def filename_scores(importance: Column) -> Column:
     return F.when(low == high, F.lit(TIE)).otherwise(F.coalesce(scaled, F.lit(0.0)))
 
 
-def _seconds(ts: Column) -> Column:
+def seconds(ts: Column) -> Column:
     return F.timestamp_diff("MICROSECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), ts) / 1e6
 
 
@@ -54,10 +54,10 @@ def _date_state(ts: Column, source: Column) -> tuple[Column, Column, Column, Col
     """(known dates, seconds compared, least, greatest, undecided)."""
     w = group()
     known = F.count(ts).over(w)
-    exact = _seconds(ts)
+    exact = seconds(ts)
     noise = F.max(exact).over(w) - F.min(exact).over(w) < DATE_NOISE_SECONDS
     any_day = F.max(F.coalesce(is_day_level(ts, source), F.lit(False)).cast("int")).over(w) == 1
-    used = F.when(any_day, _seconds(F.date_trunc("day", ts).cast("timestamp_ntz"))).otherwise(exact)
+    used = F.when(any_day, seconds(F.date_trunc("day", ts).cast("timestamp_ntz"))).otherwise(exact)
     low, high = F.min(used).over(w), F.max(used).over(w)
     return known, used, low, high, noise | (low == high)
 

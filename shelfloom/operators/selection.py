@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from shelfloom.config import CRITERIA, Priorities
 from shelfloom.functions.names import RECOVERED
 from shelfloom.functions.dates import is_day_level
-from shelfloom.operators.scoring import date_scores, group, score_table, video_score_table
+from shelfloom.operators.scoring import date_scores, group, score_table, seconds, video_score_table
 
 # Margins of the explanation.
 MARGIN = 0.05
@@ -55,10 +55,12 @@ def resolution_sacrifice(rows: DataFrame) -> DataFrame:
 
 
 def explained(rows: DataFrame) -> DataFrame:
-    """(grp, kept, rival, reason, criterion, margin, notes, caveat): one row a
-    group of two or more, from ``ranked`` rows. Reasons: provenance_gate,
-    criterion_decided, tie. ``caveat`` is the criterion that the note
-    deleted_higher or within_threshold is about."""
+    """(grp, kept, rival, reason, criterion, margin, notes, caveat, kept_class,
+    rival_class, favoured, gap_hours): one row a group of two or more, from
+    ``ranked`` rows. Reasons: provenance_gate, criterion_decided, tie.
+    ``caveat`` is the criterion that the note deleted_higher or
+    within_threshold is about, ``favoured`` the criteria behind also_favoured
+    and ``gap_hours`` the distance of the dates behind date_gap."""
     spread = {f"_active_{c}": F.max(f"s_{c}").over(group()) - F.min(f"s_{c}").over(group()) > SPREAD for c in CRITERIA}
     best = F.max(F.when(F.col("pixels") > 0, F.col("pixels"))).over(group())
     rows = rows.withColumns(spread).withColumn("_best_px", best)
@@ -104,6 +106,10 @@ def explained(rows: DataFrame) -> DataFrame:
         margin.alias("margin"),
         F.filter(F.array(*notes), lambda n: n.isNotNull()).alias("notes"),
         F.coalesce(higher, within).alias("caveat"),
+        F.col("k.provenance").alias("kept_class"),
+        F.col("r.provenance").alias("rival_class"),
+        F.filter(F.array(*[F.when(gate & (gains[c] > 1e-9), F.lit(c)) for c in ("date", "resolution", "size", "filename")]), lambda c: c.isNotNull()).alias("favoured"),
+        F.when(gate & dates_differ, F.abs(seconds(F.col("k.ts")) - seconds(F.col("r.ts"))) / 3600.0).alias("gap_hours"),
     )
 
 

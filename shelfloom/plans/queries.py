@@ -145,6 +145,12 @@ def selection_reasons(s, d):
     return e.select("grp", "kept", "rival", "reason", "criterion", F.round("margin", 5).alias("margin"), F.array_join("notes", "|").alias("notes"), "caveat")
 
 
+def reason_details(s, d):
+    """What the notes of ``selection_reasons`` are about."""
+    e = selection.explained(selection.ranked(rivals(s, d)))
+    return e.select("grp", "kept_class", "rival_class", F.array_join("favoured", "|").alias("favoured"), F.round("gap_hours", 5).alias("gap_hours"))
+
+
 def reason_counts(s, d):
     return selection_reasons(s, d).groupBy("reason").agg(F.count(F.lit(1)).alias("n"))
 
@@ -264,7 +270,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     out = {f.__name__: f for f in (
         exact_dup_groups, exact_dup_images_style, exact_dup_totals, exact_dup_survivors, size_candidates, sample_stats,
         skip_reasons, skip_summary, kept_files, name_importance, name_provenance, filename_dates, name_parts, best_dates,
-        score_table, best_file, best_video, video_reasons, selection_reasons, reason_counts, deletion_reasons, resolution_sacrifice,
+        score_table, best_file, best_video, video_reasons, selection_reasons, reason_details, reason_counts, deletion_reasons, resolution_sacrifice,
         replay_diff, replay_counts, replay_causes, replay_cause_counts,
         hamming_pairs, similar_groups, hamming_sides, thresholds, small_filter, small_stats, recycle_destinations,
         restore_plan, restore_counts, folder_union, unhashed, cross_volume, content_digests,
@@ -415,6 +421,8 @@ diff AS (SELECT a.grp, a.path AS kept_before, b.path AS kept_after, a.path <> b.
 two AS (SELECT grp, max(path) FILTER (rank = 1) AS kept, max(path) FILTER (rank = 2) AS rival, max(tier) FILTER (rank = 1) AS kt, max(tier) FILTER (rank = 2) AS rt,
     max(total) FILTER (rank = 1) - max(total) FILTER (rank = 2) AS margin, max(pixels) FILTER (rank = 1) AS kp, max(pixels) FILTER (rank = 2) AS rp,
     max(size) FILTER (rank = 1) AS ks, max(size) FILTER (rank = 2) AS rs, max(importance) FILTER (rank = 1) AS ki, max(importance) FILTER (rank = 2) AS ri,
+    max(provenance) FILTER (rank = 1) AS kc, max(provenance) FILTER (rank = 2) AS rc,
+    abs(epoch_us(max(ts) FILTER (rank = 1)) - epoch_us(max(ts) FILTER (rank = 2))) / 3600000000.0 AS apart,
     coalesce(max(ts) FILTER (rank = 1) <> max(ts) FILTER (rank = 2), false) AS differ, coalesce(bool_or(ts_source = 'filename' AND ts = date_trunc('day', ts)) FILTER (rank <= 2), false) AS by_day, max(CASE WHEN pixels > 0 THEN pixels END) AS bp, {act} FROM scored GROUP BY grp HAVING count(*) > 1),
 gain AS (SELECT *, {", ".join(f"{g} AS g_{c}" for c, g in gains.items())} FROM two),
 top AS (SELECT *, greatest(g_resolution, g_size, g_date, g_filename, 0) AS best, -least(g_resolution, g_size, g_date, g_filename, 0) AS lost FROM gain),
@@ -427,7 +435,10 @@ noted AS (SELECT *, CASE WHEN q_size = q THEN 'size' WHEN q_resolution = q THEN
 explained AS (SELECT grp, kept, rival, reason, CASE WHEN reason = 'criterion_decided' THEN c0 END AS criterion, round(margin, 5) AS margin,
     concat_ws('|', CASE WHEN higher IS NOT NULL THEN 'deleted_higher' WHEN near IS NOT NULL THEN 'within_threshold' END,
         CASE WHEN differ AND by_day AND NOT act_date THEN 'day_level' END, CASE WHEN kt > rt THEN 'name_class' END, CASE WHEN gate AND best > 1e-9 THEN 'also_favoured' END,
-        CASE WHEN gate AND differ THEN 'date_gap' END, CASE WHEN kp < bp THEN 'resolution_sacrifice' END) AS notes, coalesce(higher, near) AS caveat FROM noted)"""
+        CASE WHEN gate AND differ THEN 'date_gap' END, CASE WHEN kp < bp THEN 'resolution_sacrifice' END) AS notes, coalesce(higher, near) AS caveat FROM noted),
+details AS (SELECT grp, kc AS kept_class, rc AS rival_class,
+    concat_ws('|', {", ".join(f"CASE WHEN gate AND g_{c} > 1e-9 THEN '{c}' END" for c in ("date", "resolution", "size", "filename"))}) AS favoured,
+    CASE WHEN gate AND differ THEN round(CAST(apart AS DOUBLE), 5) END AS gap_hours FROM noted)"""
     kg = {c: f"(k.w_{c} - s.w_{c})" for c in gains}
     kbest = f"greatest({', '.join(kg.values())}, 0)"
     deletion = rivals_sql + "," + scored + f"""
@@ -494,6 +505,7 @@ SELECT path, strftime(CASE WHEN name_ts IS NOT NULL AND (exif IS NULL OR name_ts
         "best_video": video + " SELECT grp, path, v_tier AS tier FROM videos WHERE vr = 1",
         "video_reasons": video_why,
         "selection_reasons": explained + " SELECT * FROM explained",
+        "reason_details": explained + " SELECT * FROM details",
         "reason_counts": explained + " SELECT reason, count(*) AS n FROM explained GROUP BY reason",
         "deletion_reasons": deletion,
         "resolution_sacrifice": rivals_sql + "," + scored + " SELECT grp, pixels AS kept_px, best_px FROM (SELECT *, max(CASE WHEN pixels > 0 THEN pixels END) OVER (PARTITION BY grp) AS best_px FROM scored) WHERE rank = 1 AND pixels < best_px",

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from shelfloom import actions, report
-from shelfloom.config import RECOVERY_FILTERS, Filters, Priorities, load
+from shelfloom.config import RECOVERY_FILTERS, Filters, Priorities, Safety, load, load_safety
 from shelfloom.functions import images
 from shelfloom.operators import dedup, filters, graph, selection, similar
 from shelfloom.sources import files as source
@@ -189,6 +189,21 @@ def test_settings(tmp_path):
     assert load(str(path)) == (Filters(), Priorities())
 
 
+def test_safety(tmp_path):
+    path = tmp_path / "s.json"
+    assert load_safety(str(path)) == Safety()
+    path.write_text('{"safety": {"max_files_per_operation": "x", "dry_run_mode": false}}')
+    assert load_safety(str(path)) == Safety(dry_run=False)
+    path.write_text('{"safety": {"max_files_per_operation": "5", "confirm_before_delete": false}}')
+    limited = load_safety(str(path))
+    assert limited == Safety(confirm=False, max_files=5)
+    assert actions.refusal(5, limited) is None
+    assert actions.refusal(6, limited) == "too_many"
+    assert actions.refusal(6, limited, large_confirmed=True) is None
+    assert actions.refusal(10**6, Safety()) == "unconfirmed"
+    assert actions.refusal(10**6, Safety(), confirmed=True) is None
+
+
 def test_replay_and_video_reasons(spark):
     t = lambda d: datetime.datetime(2020, 1, d, 12)
     # grp, path, name, pixels, size, importance, provenance, ts, was_kept
