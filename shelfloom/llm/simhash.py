@@ -213,13 +213,18 @@ def _blocks(left: np.ndarray, right: np.ndarray):
 def components(marked: DataFrame, radius: int = 3) -> DataFrame:
     """(fp, component_id) of every fingerprint in ``marked`` (_id, fp)."""
     smallest = materialise(marked.groupBy("fp").agg(F.min("_id").alias("least_id")), "simhash-distinct")
-    groups = materialise(graph.components(links(smallest, radius), "u", "v"), "simhash-groups")
+    return named_components(smallest, links(smallest, radius), "fp")
+
+
+def named_components(smallest: DataFrame, edges: DataFrame, key: str) -> DataFrame:
+    """(key, component_id) of every key in ``smallest`` (key, least_id)."""
+    groups = materialise(graph.components(edges, "u", "v"), "simhash-groups")
     # A group's members are few against the table; its least id is a grouped minimum.
-    member = groups.join(smallest, F.col("node") == F.col("fp")).select("node", "component", "least_id")
+    member = groups.join(smallest, F.col("node") == F.col(key)).select("node", "component", "least_id")
     named = member.groupBy("component").agg(F.min("least_id").alias("group_id"))
     linked = groups.join(named, "component").select("node", "group_id")
-    return smallest.join(linked, F.col("fp") == F.col("node"), "left").select(
-        "fp", F.when(F.col("node").isNotNull(), F.col("group_id")).otherwise(F.col("least_id")).alias("component_id")
+    return smallest.join(linked, F.col(key) == F.col("node"), "left").select(
+        key, F.when(F.col("node").isNotNull(), F.col("group_id")).otherwise(F.col("least_id")).alias("component_id")
     )
 
 
@@ -244,7 +249,11 @@ def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     columns. Rows without id stay, as they have no smallest id to yield to.
     Only (id, group) pairs are computed; the texts move once, in the join that
     takes out the other members."""
-    found = near_duplicates(docs, id_col=id_col, text_col=text_col, shingle=shingle, radius=radius)
+    return leaders(docs, near_duplicates(docs, id_col=id_col, text_col=text_col, shingle=shingle, radius=radius), id_col)
+
+
+def leaders(docs: DataFrame, found: DataFrame, id_col: str) -> DataFrame:
+    """The documents that lead their group in ``found`` (_id, component_id)."""
     # An id leaves if none of its rows leads its group.
     leaves = found.groupBy("_id").agg(F.max(F.col("component_id") == F.col("_id")).alias("_leads"))
     gone = leaves.filter("not _leads").select(F.col("_id").alias("_gone"))

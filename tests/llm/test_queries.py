@@ -300,3 +300,35 @@ def test_pipeline(spark):
             found = decontam.query(spark, before, spark.read.parquet(f"{SF}/benchmark.parquet"))
             assert old - ids == {r.doc_id for r in found.collect()}
     assert P.STAGES[-1][1](spark, seen, SF).count() > 0
+
+
+def shingle_sets(texts):
+    words = [(t or "").lower().split() for t in texts]
+    return [{tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set() for w in words]
+
+
+def test_near_stage_finds_every_similar_pair(spark):
+    import corpus_pipeline as P
+
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(rng.randint(3, 8)))
+    texts = []
+    for _ in range(40):
+        base = [word() for _ in range(rng.choice([3, 30, 90, 250]))]
+        for _ in range(rng.randint(1, 5)):
+            made = list(base)
+            for _ in range(rng.randint(0, 1 + len(base) // 40)):
+                made[rng.randrange(len(made))] = word()
+            texts.append(" ".join(made))
+    texts += [None, "", " \n"]
+    docs = spark.createDataFrame([(k, t, "en", "s", len(t or "")) for k, t in enumerate(texts)], DOCS)
+    sets, group, distant = shingle_sets(texts), list(range(len(texts))), 0
+    for j in range(len(texts)):
+        for i in range(j):
+            if sets[i] == sets[j] or (sets[i] | sets[j]) and 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]):
+                distant += bin(simhash.fingerprint(texts[i]) ^ simhash.fingerprint(texts[j])).count("1") > 3
+                old, new = group[j], group[i]
+                group = [new if g == old else g for g in group]
+    want = {min(i for i, g in enumerate(group) if g == x) for x in group}
+    assert distant > 5
+    assert {r.doc_id for r in P.near_stage(spark, docs, "").collect()} == want
