@@ -2,7 +2,9 @@
 
 Texts and items are lower-cased and every run of signs and blanks becomes one
 blank. An item is read as overlapping windows of ``WINDOW`` characters, half a
-window apart. A window with an edit budget of ``e`` edits that occurs in a text
+window apart, and as passages: from every word start ``WORDS`` words, or ``SHORT``
+characters where those are fewer. So every run of ``WORDS`` words of an item holds
+a whole window. A window with an edit budget of ``e`` edits that occurs in a text
 shares at least ``len - q + 1 - e * q`` of its q-grams with it, and they lie on
 diagonals no more than ``e`` apart. The operator counts shared q-grams in
 overlapping bands of diagonals, keeps the bands that meet that bound, and
@@ -31,10 +33,14 @@ from shelfloom.llm.common import add_columns, fenced, renamed
 
 Q = 12
 WINDOW = 80
+#: The smallest passage of a longer item that counts: so many words, or so many characters from a word start.
+WORDS, SHORT = 13, 64
 EDITS = 0.05
 BAND = 16
 BLOCK_CHARS = 1 << 20
 PIECE = 1 << 18
+#: Where a passage may start; scripts without blanks get starts within their long runs.
+_START = re.compile(r"\S{1,16}")
 _GAP = re.compile(r"[\W_]+")
 _P = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
 
@@ -61,11 +67,30 @@ def qgrams(codes: np.ndarray) -> np.ndarray:
 
 
 def windows(item: str) -> list[str]:
-    """Overlapping windows of a plain item; the last one ends with it."""
+    """Overlapping windows of a plain item, each once; the last one of
+    ``WINDOW`` characters ends with it."""
     if len(item) <= WINDOW:
-        return [item]
-    starts = [*range(0, len(item) - WINDOW, WINDOW // 2), len(item) - WINDOW]
-    return [item[s : s + WINDOW] for s in starts]
+        out = [item]
+    else:
+        starts = [*range(0, len(item) - WINDOW, WINDOW // 2), len(item) - WINDOW]
+        out = [item[s : s + WINDOW] for s in starts]
+    return list(dict.fromkeys([*out, *passages(item)]))
+
+
+def passages(item: str) -> list[str]:
+    """The smallest passages that count, from every word start of an item that
+    is longer than one."""
+    ends = [m.end() for m in re.finditer(r"\S+", item)]
+    out, k = [], 0
+    for m in _START.finditer(item):
+        while ends[k] < m.end():
+            k += 1
+        stops = [m.start() + SHORT] if m.start() + SHORT <= len(item) else []
+        stops += ends[k + WORDS - 1 : k + WORDS]
+        # a passage under Q characters is no evidence
+        if stops and min(stops) - m.start() >= Q:
+            out.append(item[m.start() : min(stops)].rstrip())
+    return out
 
 
 def budget(length: int) -> int:

@@ -171,6 +171,18 @@ def test_decontamination_against_full_alignment():
     assert planted > 40
 
 
+def test_decontamination_finds_every_short_excerpt():
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 11)))
+    items = [[word() for _ in range(n)] for n in (13, 20, 37, 60)]
+    index = decontam.Index([(k, " ".join(w)) for k, w in enumerate(items)])
+    for k, words in enumerate(items):
+        for at in range(len(words) - 12):
+            doc = " ".join([*(word() for _ in range(15)), *words[at : at + 13], *(word() for _ in range(15))])
+            assert set(index.found(doc)) == {k}, (k, at)
+    assert all(not index.found(" ".join(word() for _ in range(60))) for _ in range(50))
+
+
 def test_decontamination_pieces_and_signs():
     index = decontam.Index([(7, decontam.plain("the quick brown fox jumps over the lazy dog again and again"))])
     text = "z " * (decontam.PIECE // 2 - 10) + "The%%% quick*** brown### fox$$$ JUMPS over the lazy dog again and again" + " y" * 1000
