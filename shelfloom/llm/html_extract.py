@@ -5,9 +5,10 @@ root-to-leaf path the text length, the punctuation and the length inside links
 are added up; length and punctuation per node, damped by the share of links,
 are smoothed over the sequence of paths in page order, fused by multiplication
 and compared with a threshold from their own spread. The paths above it are
-content. Their common region (an ``article`` or ``main`` above the heaviest
-path, else the container that holds most of their text) then takes in its
-headings and short blocks, whose own ratios are low. Containers that name
+content, and all text on them stays, wherever it lies. Their regions (every
+outermost ``article`` or ``main`` that holds some of it, else the container that
+holds most of it) then add their headings and short blocks, whose own ratios are
+low; regions only add. Containers that name
 themselves boilerplate (nav, header, footer, aside, form, or a class or id such
 as ``advert`` or ``comments``) are never content.
 
@@ -223,32 +224,29 @@ def extract(page: str | None) -> str:
     if not chosen:
         return ""
     held: dict[int, list] = {}
+    regions: set[int] = set()
     total = 0
-    best, heaviest = None, -1.0
     for owner, _, text, link in nodes:
         if owner.boiler or owner.path not in chosen or text.isspace():
             continue
         size = len(text) if not link else 0
         total += size
-        for e in _above(owner):
+        chain = _above(owner)
+        for e in chain:
             held.setdefault(id(e), [0, e])[0] += size
-        if chosen[owner.path] > heaviest:
-            best, heaviest = owner, chosen[owner.path]
-    named = [e for e in _above(best) if e.name in ("article", "main")]
-    if named:
-        # the outermost article or main above the heaviest path
-        region = named[-1]
-    else:
+        # the outermost article or main above it
+        regions.update([id(e) for e in chain if e.name in ("article", "main")][-1:])
+    if not regions:
         # the deepest container that still holds most of the content
         fit = [(len(e.path), e) for n, e in held.values() if n >= 0.6 * total and e.name not in ("p", "h1", "h2", "h3")]
-        region = max(fit, key=lambda x: x[0])[1] if fit else _above(best)[-1]
+        regions.update([id(max(fit, key=lambda x: x[0])[1])] if fit else [])
     inside: dict[int, bool] = {}
     blocks: list[tuple[int, list[str]]] = []
     for owner, block, text, _ in nodes:
         if owner.boiler:
             continue
         if id(owner) not in inside:
-            inside[id(owner)] = any(e is region for e in _above(owner))
+            inside[id(owner)] = owner.path in chosen or any(id(e) in regions for e in _above(owner))
         if not inside[id(owner)]:
             continue
         if not blocks or blocks[-1][0] != block:

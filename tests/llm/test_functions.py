@@ -133,6 +133,17 @@ def test_html_without_article():
     assert html_extract.extract(page) == "\n".join(["Some text here, with a comma. And more of it."] * 5)
 
 
+def test_html_keeps_all_chosen_text():
+    part = lambda name, n: "".join(f"<p>{name} {k}, a sentence with signs. And another one, longer.</p>" for k in range(n))
+    lines = lambda name, n: [f"{name} {k}, a sentence with signs. And another one, longer." for k in range(n)]
+    teaser = f"<body><article>{part('teaser', 1)}</article><article><h1>Title</h1>{part('real', 9)}</article></body>"
+    assert html_extract.extract(teaser).split("\n") == [*lines("teaser", 1), "Title", *lines("real", 9)]
+    split = f"<body><div>{part('first', 13)}</div><div>{part('second', 7)}</div></body>"
+    assert html_extract.extract(split).split("\n") == [*lines("first", 13), *lines("second", 7)]
+    quote = f"<body><div><blockquote>{part('quoted', 13)}</blockquote>{part('own', 7)}</div></body>"
+    assert html_extract.extract(quote).split("\n") == [*lines("quoted", 13), *lines("own", 7)]
+
+
 def test_html_edges():
     assert [html_extract.extract(x) for x in (None, "", "<p>", "<!--", "<script>x", "<nav>a</nav>")] == [""] * 6
     assert html_extract.extract("no markup & all") == "no markup & all"
