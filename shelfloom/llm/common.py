@@ -9,6 +9,7 @@ objects of one slice, whatever the size of the table.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -68,23 +69,58 @@ def fenced(df: DataFrame) -> tuple[DataFrame, dict[str, str]]:
     return df.toDF(*names.values()), names
 
 
-def unit_hash(column) -> F.Column:
-    """A value in [0, 1) that depends on the key alone."""
-    return F.pmod(F.xxhash64(F.lit(7), column), F.lit(1 << 40)) / F.lit(float(1 << 40))
+def unit_hash(*columns) -> F.Column:
+    """A value in [0, 1) that depends on the columns alone."""
+    return F.pmod(F.xxhash64(F.lit(7), *columns), F.lit(1 << 40)) / F.lit(float(1 << 40))
 
 
-def class_rates(counted: DataFrame, label: str, per_class: int) -> dict:
-    """Sampling rate of every class so that about ``per_class`` rows of each
-    are drawn. One aggregated row per class reaches the driver."""
-    rows = counted.groupBy(label).count().collect()
-    return {r[label]: min(1.0, per_class / r["count"]) for r in rows if r[label] is not None}
+def class_sizes(df: DataFrame, label: str, hashed: F.Column) -> dict:
+    """label -> (rows, about how many different hashes). One aggregated row a
+    label reaches the driver."""
+    rows = df.groupBy(label).agg(F.count(F.lit(1)).alias("n"), F.approx_count_distinct(hashed).alias("d")).collect()
+    return {r[label]: (r["n"], max(1, r["d"])) for r in rows if r[label] is not None}
 
 
-def drawn(df: DataFrame, key: str, label: str, rates: dict) -> DataFrame:
-    """The rows whose key hash is under their class's rate."""
-    if not rates:
-        return df.limit(0)
+def thinned(df: DataFrame, label: str, hashed: F.Column, sizes: dict, per_class: int) -> DataFrame:
+    """The rows whose hash is under their class's rate: somewhat more than
+    ``per_class`` different hashes of each class. Rows of equal hash stay or go
+    together, however many they are."""
     keep = F.lit(False)
-    for value, rate in rates.items():
-        keep = keep | ((F.col(label) == F.lit(value)) & (unit_hash(F.col(key)) < F.lit(rate)))
+    for value, (_, distinct) in sizes.items():
+        keep = keep | ((F.col(label) == F.lit(value)) & (hashed < F.lit(1.2 * per_class / distinct + 1e-9)))
     return df.filter(keep)
+
+
+def capped(df: DataFrame, label: str, order: list[str], sizes: dict, per_class: int) -> DataFrame:
+    """At most ``per_class`` rows of each label, the first by ``order``. Every
+    task hands on its own first rows only."""
+    parts = [df.filter(F.col(label) == F.lit(v)).orderBy(*order).limit(per_class) for v in sorted(sizes, key=str)]
+    return reduce(DataFrame.unionByName, parts) if parts else df.limit(0)
+
+
+def text_digest(column: str) -> F.Column:
+    """SHA-256 of a text as 32 bytes; null counts as empty."""
+    return F.unhex(F.sha2(F.coalesce(F.col(column), F.lit("")), 256))
+
+
+def one_row_each(docs: DataFrame, decided: DataFrame, *, id_col: str, text_col: str) -> DataFrame:
+    """The rows of ``docs`` that stay, with all their columns. ``decided`` has
+    (_id, _digest, _stays) of every row. Of rows that repeat both id and text
+    of one that stays, one stays. Only ids and digests of rows that go, or that
+    repeat, meet the texts in a join; null ids are ids like any other here."""
+    marks = decided.groupBy("_id", "_digest").agg(F.max("_stays").alias("_stays"), F.count(F.lit(1)).alias("_rows"))
+    # written, so that the joins may be split where one mark is hot
+    marks = materialise(marks.filter("not _stays or _rows > 1"), "marks")
+    rows, names = fenced(docs)
+    keyed = rows.withColumn("_digest", text_digest(names[text_col]))
+
+    def same(side: DataFrame):
+        return F.col(names[id_col]).eqNullSafe(F.col("_id")) & (keyed["_digest"] == side["_digest"])
+
+    kept = keyed.join(marks, same(marks), "left_anti")
+    again = marks.filter("_stays")
+    if not again.isEmpty():
+        # equal rows become one inside every task before they are shuffled
+        repeated = keyed.join(again, same(again), "left_semi")
+        kept = kept.unionByName(repeated.dropDuplicates([names[id_col], "_digest"]))
+    return kept.select(*names.values()).toDF(*docs.columns)

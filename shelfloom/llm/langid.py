@@ -3,12 +3,16 @@ character n-grams, trained with follow-the-regularised-leader under elastic-net
 penalties, then calibrated by one temperature.
 
 N-grams of 1 to 3 characters of the lower-cased text, every run of characters
-that are no letters counting as one blank, are hashed into ``DIM`` numbers.
+that are no letters counting as one blank and one blank standing at both ends,
+are hashed into ``DIM`` numbers. The document frequencies behind the weights
+are counted over all rows that may be learnt from; the weights themselves are
+fitted on a sample of bounded size.
 
 Defined results: ``und`` with score 0 where the text is null or has no letter,
 and everywhere if there is nothing to learn from; with a single learnt language
 that language with score 1; ties go to the language that sorts first; whole
-texts count, in blocks of ``BLOCK`` characters; repeated rows get equal results.
+texts count, in blocks that make no difference to the result; repeated rows get
+equal results and count once in the sample; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -16,47 +20,76 @@ from __future__ import annotations
 import re
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from shelfloom.llm.common import add_columns, class_rates, drawn, renamed
+from shelfloom.llm.common import add_columns, class_sizes, renamed, ship, thinned, unit_hash
 from shelfloom.llm.ftrl import Ftrl, probabilities
 from shelfloom.llm.quality import held_out
 
 DIM = 1 << 16
-#: Bound of the training sample: at most about so many rows of each language.
+#: Bound of the training sample: at most so many rows of each language.
 TRAIN_PER_LANGUAGE = 600
 EPOCHS = 3
-BLOCK = 1 << 18
+BLOCK = 1 << 16
 _LETTER = re.compile(r"[^\W\d_]")
 _OTHER = re.compile(r"[\W\d_]+")
 _P = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
 _SHIFT = np.uint64(64 - 16)
 
 
-def counts(text: str) -> np.ndarray:
-    """How often each hashed n-gram occurs in the whole text."""
-    total = np.zeros(DIM, np.int64)
-    for start in range(0, len(text), BLOCK):
-        # two characters of the next block, so that no n-gram is lost between blocks
-        part = " " + _OTHER.sub(" ", text[start : start + BLOCK + 2].lower()).strip() + " "
-        c = np.frombuffer(part.encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
+def counts(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """The hashed n-grams of the whole text and how often each occurs."""
+    plain = " " + _OTHER.sub(" ", text.lower()).strip() + " "
+    codes = np.frombuffer(plain.encode("utf-32-le", "surrogatepass"), "<u4")
+    total = None
+    for start in range(0, len(codes), BLOCK):
+        # the n-grams that begin in this block; the last two may end in the next
+        c = codes[start : start + BLOCK + 2].astype(np.uint64)
         one = c * _P[0]
         two = (one[:-1] ^ np.uint64(2)) * _P[1] + c[1:] * _P[3]
         three = (two[:-1] ^ np.uint64(3)) * _P[2] + c[2:] * _P[3]
-        for h in (one, two, three):
-            h = h ^ (h >> np.uint64(31))
-            total += np.bincount(((h * _P[1]) >> _SHIFT).astype(np.int64), minlength=DIM)
-    return total
+        h = np.concatenate([one[:BLOCK], two[:BLOCK], three[:BLOCK]])
+        h ^= h >> np.uint64(31)
+        found = ((h * _P[1]) >> _SHIFT).astype(np.uint16)
+        if len(codes) <= BLOCK:
+            i, n = np.unique(found, return_counts=True)
+            return i.astype(np.int64), n
+        total = np.bincount(found, minlength=DIM) + (0 if total is None else total)
+    i = np.flatnonzero(total)
+    return i, total[i]
 
 
 def sparse_counts(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     if not text or not _LETTER.search(text):
         return np.empty(0, np.int64), np.empty(0)
-    n = counts(text)
-    i = np.flatnonzero(n)
-    return i, n[i].astype(float)
+    i, n = counts(text)
+    return i, n.astype(float)
+
+
+def document_frequencies(texts: DataFrame) -> tuple[np.ndarray, int]:
+    """In how many of the rows of ``texts`` (_text) each n-gram number occurs,
+    and the number of rows with any. Every task adds up its own rows; ``DIM``
+    sums reach the driver, whatever the size of the table."""
+    ship(texts.sparkSession)
+
+    def run(batches):
+        seen, rows = np.zeros(DIM, np.int64), 0
+        for batch in batches:
+            for text in batch.column(0).to_pylist():
+                i, _ = sparse_counts(text)
+                seen[i] += 1
+                rows += len(i) > 0
+        i = np.flatnonzero(seen)
+        if len(i):
+            yield pa.RecordBatch.from_pydict({"i": pa.array([*i.tolist(), DIM], pa.int32()), "n": pa.array([*seen[i].tolist(), rows], pa.int64())})
+
+    sums = texts.select("_text").mapInArrow(run, "i int, n long").groupBy("i").agg(F.sum("n").alias("n")).toPandas()
+    out = np.zeros(DIM + 1, np.int64)
+    out[sums["i"].to_numpy(dtype=np.int64)] = sums["n"].to_numpy(dtype=np.int64)
+    return out[:DIM], int(out[DIM])
 
 
 def tfidf(i: np.ndarray, n: np.ndarray, idf: np.ndarray) -> np.ndarray:
@@ -92,13 +125,16 @@ def train(
     per_language: int = TRAIN_PER_LANGUAGE,
     seed: int = 5,
 ) -> Model:
-    """Learn from all rows of ``documents`` that have a language, through a
-    sample of about ``per_language`` rows of each. Executors make the sparse
-    counts, the driver gets those of the sample."""
+    """Learn from all rows of ``documents`` that have a language: n-gram
+    statistics over all of them, weights through a sample of ``per_language``
+    different rows of each language at most. Executors make the sparse counts,
+    the driver gets those of the sample."""
     known = renamed(documents, _id=id_col, _text=text_col, _lang=lang_col).filter(
         F.col("_lang").isNotNull() & F.col("_text").isNotNull()
     )
-    rates = class_rates(known.select("_lang"), "_lang", per_language)
+    sizes = class_sizes(known, "_lang", F.xxhash64("_id", "_text"))
+    if len(sizes) < 2:
+        return Model(sorted(sizes))
     out = T.StructType([T.StructField("_i", T.BinaryType()), T.StructField("_n", T.BinaryType())])
 
     def factory():
@@ -108,35 +144,51 @@ def train(
 
         return one
 
-    made = add_columns(drawn(known, "_id", "_lang", rates), ["_text"], out, factory)
-    rows = made.select(F.coalesce(F.col("_id").cast("string"), F.lit("")).alias("_id"), "_lang", "_i", "_n").collect()
-    rows = sorted((r for r in rows if len(r._i)), key=lambda r: (r._id, r._lang, r._i))
+    few = thinned(known.withColumn("_h", unit_hash("_id", "_text")), "_lang", F.col("_h"), sizes, per_language)
+    # Equal rows have become one; about 1.2 * per_language rows a language are left to be numbered.
+    few = few.groupBy("_lang", "_h").agg(F.min("_text").alias("_text"))
+    first = F.row_number().over(Window.partitionBy("_lang").orderBy("_h", "_text"))
+    few = few.withColumn("_k", first).filter(F.col("_k") <= per_language)
+    made = add_columns(few.select("_lang", "_h", "_text"), ["_text"], out, factory)
+    rows = made.select("_h", "_lang", "_i", "_n").collect()
+    rows = sorted((r for r in rows if len(r._i)), key=lambda r: (r._h, r._lang, r._i))
     languages = sorted({r._lang for r in rows})
     if len(languages) < 2:
         return Model(languages)
     vectors = [(np.frombuffer(r._i, "<i4").astype(np.int64), np.frombuffer(r._n, "<f4").astype(float)) for r in rows]
-    df = np.zeros(DIM)
-    for i, _ in vectors:
-        df[i] += 1
-    idf = np.log((1 + len(rows)) / (1 + df)) + 1.0
+    seen, of = document_frequencies(known)
+    idf = np.log((1 + of) / (1 + seen)) + 1.0
     place = {x: k for k, x in enumerate(languages)}
     examples = [(i, tfidf(i, n, idf), place[r._lang], 1.0) for (i, n), r in zip(vectors, rows, strict=True)]
-    # every tenth example calibrates and is not fitted
-    fitted = [e for k, e in enumerate(examples) if k % 10] or examples
+    # every tenth example of a language calibrates and is not fitted
+    nth: dict[int, int] = {}
+    aside, fitted = [], []
+    for e in examples:
+        nth[e[2]] = nth.get(e[2], 0) + 1
+        (fitted if nth[e[2]] % 10 else aside).append(e)
     model = Ftrl(len(languages), DIM, alpha=1.0, l1=1e-3, l2=1e-2)
     model.fit(fitted, EPOCHS, seed)
     weights, bias = model.weights()
-    aside = examples[::10]
+    aside = aside or examples
     logits = np.array([weights[:, i] @ v + bias for i, v, _, _ in aside])
     target = np.array([t for _, _, t, _ in aside])
-    grid = np.exp(np.linspace(np.log(0.05), np.log(10.0), 80))
+    return Model(languages, idf, weights, bias, temperature(logits, target))
+
+
+def temperature(logits: np.ndarray, target: np.ndarray) -> float:
+    """The divisor of the logits with the least log loss, of 160 between 0.05
+    and 10."""
+    grid = np.exp(np.linspace(np.log(0.05), np.log(10.0), 160))
     loss = [-np.log(probabilities(logits / t)[np.arange(len(target)), target] + 1e-12).mean() for t in grid]
-    return Model(languages, idf, weights, bias, float(grid[int(np.argmin(loss))]))
+    return float(grid[int(np.argmin(loss))])
 
 
 def predict(documents: DataFrame, model: Model, *, text_col: str = "text") -> DataFrame:
     """``documents`` with ``lang_pred`` and ``score``."""
-    shipped = documents.sparkSession.sparkContext.broadcast(model)  # languages x DIM weights
+    weights = model.weights if model.weights is None else model.weights.astype(np.float32)
+    # languages x DIM numbers of 4 bytes: a quarter MiB a language, whatever the size of the table
+    model = Model(model.languages, model.idf, weights, model.bias, model.temperature)
+    shipped = documents.sparkSession.sparkContext.broadcast(model)
     out = T.StructType([T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
     return add_columns(documents, [text_col], out, lambda: shipped.value.predict)
 

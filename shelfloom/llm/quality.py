@@ -8,10 +8,12 @@ one before it). A feature's value is its share of the view's n-grams, so the
 score of a text is the mean weight of its n-grams and costs one gather.
 
 Defined results: null and empty texts have no n-grams and get the score of the
-bias alone; texts of any length are read whole, in blocks of words; repeated
-rows get equal scores; without labelled rows of both classes the model is the
-prior (or 0.5 without any). Labels that are neither 0 nor 1 are not learnt
-from. Several labels of one id all count.
+bias alone; texts of any length are read whole, in blocks of words that make no
+difference to the result; repeated rows get equal scores; without labelled rows
+of both classes the model is the prior (or 0.5 without any). Labels that are
+neither 0 nor 1 are not learnt from, nor are labels without an id. Different
+labels of one id all count; equal ones count once in the sample. An empty table
+gives no rows.
 """
 
 from __future__ import annotations
@@ -24,15 +26,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from shelfloom.llm.common import add_columns, class_rates, drawn, fenced, renamed
+from shelfloom.llm.common import add_columns, capped, class_sizes, fenced, renamed, thinned, unit_hash
 from shelfloom.llm.ftrl import Ftrl, probabilities
 
 DIM = 1 << 18
-#: Bound of the training sample: at most about so many labelled rows of each class.
+#: Bound of the training sample: at most so many labelled rows of each class.
 TRAIN_PER_CLASS = 2500
 EPOCHS = 4
 SCALE = 8.0
 BLOCK_WORDS = 1 << 16
+CARRY = 3
 CACHE_WORDS = 200_000
 _TOKEN = re.compile(r"\w+|[^\w\s]+")
 _M1, _M2, _M3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
@@ -62,42 +65,44 @@ class _Words(dict):
         return value
 
 
-def _grams(codes: np.ndarray) -> list[np.ndarray]:
-    """Feature numbers of one block of words: word view, then shape view."""
+def _grams(codes: np.ndarray, old: int = 0) -> list[np.ndarray]:
+    """Feature numbers of one block of words: word view, then shape view. The
+    first ``old`` words are those of the block before; n-grams that end there
+    have been counted."""
     word, shape = codes >> np.uint64(32), codes & np.uint64(0xFFFFFFFF)
     same = np.zeros(len(word), np.uint64)
     same[1:] = word[1:] == word[:-1]
     shape = shape * np.uint64(2) + same
 
-    def number(salt: int, parts: list[np.ndarray]) -> np.ndarray:
-        h = np.full(len(parts[0]), salt, np.uint64)
-        for p in parts:
-            h = (h ^ p) * _M1
+    def number(salt: int, view: np.ndarray, n: int) -> np.ndarray:
+        first = max(0, old - n + 1)
+        stop = max(first, len(view) - n + 1)
+        h = np.full(stop - first, salt, np.uint64)
+        for k in range(n):
+            h = (h ^ view[first + k : stop + k]) * _M1
             h ^= h >> np.uint64(29)
         return ((h * _M2) >> np.uint64(46)).astype(np.int64)
 
-    return [
-        number(1, [word]),
-        number(2, [word[:-1], word[1:]]),
-        number(3, [shape]),
-        number(4, [shape[:-1], shape[1:]]),
-        number(5, [shape[:-2], shape[1:-1], shape[2:]]),
-    ]
+    return [number(1, word, 1), number(2, word, 2), number(3, shape, 1), number(4, shape, 2), number(5, shape, 3)]
 
 
 def _blocks(text: str | None, words: _Words):
-    """Feature numbers of the whole text, block by block; the blocks overlap by
-    the two words that an n-gram may reach back."""
+    """Feature numbers of the whole text, block by block. Each block begins
+    with the three words before it: an n-gram reaches back by two, and whether
+    the first of these repeats its own predecessor takes a third. Every n-gram
+    is counted once, wherever the blocks end."""
     if not text:
         return
     codes: list[int] = []
+    old = 0
     for m in _TOKEN.finditer(text):
         codes.append(words[m[0]])
-        if len(codes) >= BLOCK_WORDS:
-            yield _grams(np.array(codes, np.uint64))
-            codes = codes[-2:]
-    if codes:
-        yield _grams(np.array(codes, np.uint64))
+        if len(codes) >= BLOCK_WORDS + old:
+            yield _grams(np.array(codes, np.uint64), old)
+            codes = codes[-CARRY:]
+            old = len(codes)
+    if len(codes) > old:
+        yield _grams(np.array(codes, np.uint64), old)
 
 
 def features(text: str | None, words: _Words) -> tuple[np.ndarray, np.ndarray]:
@@ -141,18 +146,21 @@ def train(
     seed: int = 11,
 ) -> tuple[np.ndarray, float]:
     """Weights and bias. ``held_out`` is a condition on ``id_col``; its rows
-    are never learnt from. The sample is bounded by ``per_class``; its features
-    are made by the executors and at most ``per_class`` sparse vectors a class
-    reach the driver."""
+    are never learnt from. The sample holds ``per_class`` rows a class at most,
+    however often an id or a row repeats; its features are made by the executors
+    and reach the driver as sparse vectors."""
     known = labels if held_out is None else labels.filter(~held_out)
     known = renamed(known, _id=id_col, _label=label_col).filter(
         F.col("_label").isin(0, 1) & F.col("_id").isNotNull()
     )
-    rates = class_rates(known, "_label", per_class)
-    sample = drawn(known, "_id", "_label", rates)
+    sizes = class_sizes(known, "_label", F.xxhash64("_id"))
+    sample = thinned(known.withColumn("_h", unit_hash("_id")), "_label", F.col("_h"), sizes, per_class).distinct()
+    sample = capped(sample, "_label", ["_h", "_id"], sizes, per_class)
     texts = renamed(documents, _doc=id_col, _text=text_col)
-    # The sample holds about 2 * per_class ids, whatever the size of the tables.
+    # The sample holds at most 2 * per_class ids, whatever the size of the tables.
     joined = texts.join(F.broadcast(sample), F.col("_doc") == F.col("_id"))
+    # An id may have any number of rows, so the rows are capped as well.
+    joined = capped(joined, "_label", ["_h", "_id", "_text"], sizes, per_class)
     out = T.StructType([T.StructField("_i", T.BinaryType()), T.StructField("_v", T.BinaryType())])
 
     def factory():
@@ -170,7 +178,7 @@ def train(
     if min(share) == 0:
         prior = 0.0 if max(share) == 0 else 4.0 if share[1] else -4.0
         return np.zeros(DIM, np.float32), prior
-    true = {c: share[c] / rates[c] for c in (0, 1)}  # undo the sampling: weights follow the table
+    true = {c: sizes[c][0] for c in (0, 1)}  # undo the sampling: weights follow the table
     weight = {c: true[c] / sum(true.values()) * len(rows) / share[c] for c in (0, 1)}
     examples = [
         (np.frombuffer(r._i, "<i4").astype(np.int64), np.frombuffer(r._v, "<f4").astype(float), r._label, weight[r._label])
