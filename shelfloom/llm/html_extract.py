@@ -1,20 +1,27 @@
 """Main text of web pages by tag-path ratios.
 
-A page is read into text nodes, each with the path of open tags above it. Per
-root-to-leaf path the text length, the punctuation and the length inside links
-are added up; length and punctuation per node, damped by the share of links,
-are smoothed over the sequence of paths in page order, fused by multiplication
-and compared with a threshold from their own spread. The paths above it are
-content, and all text on them stays, wherever it lies. Their regions (every
-outermost ``article`` or ``main`` that holds some of it, else the container that
-holds most of it) then add their headings and short blocks, whose own ratios are
-low; regions only add. Containers that name
-themselves boilerplate (nav, header, footer, aside, form, or a class or id such
-as ``advert`` or ``comments``) are never content.
+A page is read into blocks of text, each with the path of open tags (and their
+classes) above it. Per root-to-leaf path the text length and the punctuation of its blocks are
+added up and divided by the number of blocks; both ratios are damped by the
+share of the path's text inside links and taken as logarithms, so that one very
+long paragraph does not drown the rest. Along the blocks in page order the
+ratios are smoothed with Gaussian weights, times the share of their open
+elements that two blocks have in common, so a heading takes part in the text
+below it and a box beside the text does not. The smoothed ratios are fused by
+multiplication; a path has the best score of its blocks, damped by its links
+again. Paths that reach ``LEAST`` of the mean score (by text length) are
+content, and every block on them is in the result.
+
+Lists of names play two parts only. Scripts, styles, forms and the like are no
+text. Containers that say by tag, class, id or role that they are a menu, a
+notice or reader comments are left out before the ratios are made, since a
+well-written comment has the ratios of an article. A container that holds an
+``article`` or ``main`` is not judged by its class or id.
 
 Defined results: null, empty and markup-only pages give the empty text; markup
 that is cut off ends with the page; unclosed elements end with their parent;
-repeated rows get equal results.
+pages of any length and depth are read whole; repeated rows get equal results;
+an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -36,6 +43,7 @@ _ATTR = re.compile(r"""([^\s=>"'/]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)
 _SPACE = re.compile(r"\s+")
 _PUNCT = re.compile(r"[.,;:!?…。，、！？；：]")
 _WORDS = re.compile(r"[a-z]+")
+_NUMBER = re.compile(r"[0-9]+")
 
 # Element kinds of HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -55,48 +63,82 @@ BOILER_WORDS = frozenset(
     "social sponsor sponsored subscribe toolbar widget".split()
 )
 BOILER_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert form menu menubar".split())
+#: Words that turn the next one round: ``has-sidebar`` is a page beside a sidebar.
+TURNS = frozenset("has with no without".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: What an opening tag closes first, up to its container.
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 HOLDS = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table", "tbody", "thead", "tfoot"}, "td": {"tr", "table"}, "th": {"tr", "table"}, "option": {"select"}}
 
+#: A path is content from this share of the page's mean score on.
+LEAST = 0.1
+#: Gaussian weights of the neighbours on either side.
+KERNEL = tuple((k, math.exp(-k * k / 2.0)) for k in (-2, -1, 1, 2))
+#: Least affinity of blocks that are children of one element.
+SIBLINGS = 0.5
+
 
 class Element:
     """An open element. ``owner``: what its text counts for, the nearest block
-    above, or itself if only it is boilerplate."""
+    above, or itself if it alone is flagged. ``path`` numbers the steps of
+    the open tags, ``depth`` counts the blocks below the body."""
 
-    __slots__ = ("article", "boiler", "link", "name", "owner", "parent", "path")
+    __slots__ = ("article", "depth", "flag", "link", "name", "out", "owner", "parent", "path")
 
-    def __init__(self, name: str, parent: Element | None, boiler: bool):
-        self.name, self.parent = name, parent
+    def __init__(self, name: str, parent: Element | None, flag: str, path: int):
+        self.name, self.parent, self.flag, self.path = name, parent, flag, path
         above = parent is not None
-        self.boiler = boiler or (above and parent.boiler)
         self.link = name == "a" or (above and parent.link)
         self.article = name in ("article", "main") or (above and parent.article)
-        self.path = f"{parent.path}/{name}" if above else name
-        inline = above and name in INLINE and self.boiler == parent.owner.boiler
-        self.owner = parent.owner if inline else self
-
-
-def _is_boiler(name: str, attrs: str, article: bool) -> bool:
+        inline = name in INLINE
+        self.depth = parent.depth + (not inline and name != "body") if above else 0
+        self.owner = parent.owner if above and inline and not flag else self
+        self.out = None
+
+    def boiler(self) -> bool:
+        """Whether this element or one above it is flagged."""
+        chain, e = [], self
+        while e is not None and e.out is None:
+            chain.append(e)
+            e = e.parent
+        found = e is not None and e.out
+        for e in reversed(chain):
+            found = e.out = found or bool(e.flag)
+        return found
+
+
+def _judged(name: str, attrs: str, article: bool) -> tuple[str, str]:
+    """What makes an element boilerplate: its ``tag`` (or role), a ``word`` of
+    its class or id, or nothing; and its step of the path: name and class,
+    numbers left out."""
+    label = name
     if name in BOILER_TAGS:
         # an article's own header holds its title
-        return not (name == "header" and article)
+        return "" if name == "header" and article else "tag", label
     if name in ("html", "body", "article", "main") or not attrs.strip():
-        return False
+        return "", label
+    flag = ""
     for m in _ATTR.finditer(attrs):
         key = m[1].lower()
         value = html.unescape(m[2] or m[3] or m[4] or "").lower()
-        if key in ("class", "id") and not BOILER_WORDS.isdisjoint(_WORDS.findall(value)):
-            return True
+        if key == "class" and name not in INLINE:
+            label = f"{name}.{_NUMBER.sub('', value)}"
+        if key in ("class", "id"):
+            for group in value.split():
+                words = _WORDS.findall(group)
+                for k, w in enumerate(words):
+                    if w in BOILER_WORDS and not (k and words[k - 1] in TURNS) and not (w == "header" and article):
+                        flag = flag or "word"
         if key == "role" and value.strip() in BOILER_ROLES or key == "hidden" or key == "aria-hidden" and value == "true":
-            return True
-    return False
+            flag = "tag"
+    return flag, label
 
 
 def _nodes(page: str) -> list[tuple[Element, int, str, bool]]:
-    """(block element, block number, text, inside a link) in page order."""
-    root = Element("html", None, False)
-    stack = [root]
+    """(owner, block number, text, inside a link) in page order."""
+    paths: dict[tuple[int, str], int] = {}
+    root = Element("html", None, "", 0)
+    stack, opened = [root], {"html": 1}
     out: list[tuple[Element, int, str, bool]] = []
     block, at, raw = 0, 0, None
 
@@ -105,6 +147,11 @@ def _nodes(page: str) -> list[tuple[Element, int, str, bool]]:
             top = stack[-1]
             out.append((top.owner, block, html.unescape(piece), top.link))
 
+    def cut(k: int) -> None:
+        for e in stack[k:]:
+            opened[e.name] -= 1
+        del stack[k:]
+
     while at < len(page):
         if raw:
             end = re.compile(rf"</{re.escape(raw)}[\s/>]", re.I).search(page, at)
@@ -129,20 +176,22 @@ def _nodes(page: str) -> list[tuple[Element, int, str, bool]]:
             if name == "p" or name in INLINE:  # never reach out of the enclosing block
                 for k in range(len(stack) - 1, 0, -1):
                     if stack[k].name == name:
-                        del stack[k:]
+                        cut(k)
                         break
                     if stack[k].name not in INLINE and stack[k].name != "p":
                         break
-            elif any(e.name == name for e in stack[1:]):
-                while stack.pop().name != name:
-                    pass
+            elif opened.get(name, 0) > (name == "html"):
+                k = len(stack) - 1
+                while stack[k].name != name:
+                    k -= 1
+                cut(k)
             continue
-        if name in ("html", "body") and any(e.name == name for e in stack):
+        if name in ("html", "body") and opened.get(name, 0):
             continue
         if name not in INLINE:  # a block ends an open paragraph and what is open in it
             for k in range(len(stack) - 1, 0, -1):
                 if stack[k].name == "p":
-                    del stack[k:]
+                    cut(k)
                     break
                 if stack[k].name not in INLINE:
                     break
@@ -151,108 +200,123 @@ def _nodes(page: str) -> list[tuple[Element, int, str, bool]]:
                 if stack[k].name in HOLDS[name]:
                     break
                 if stack[k].name in CLOSES[name]:
-                    del stack[k:]
+                    cut(k)
                     break
         attrs = m[3] or ""
         if name in VOID or attrs.endswith("/") and name not in RAW:
             continue
-        stack.append(Element(name, stack[-1], _is_boiler(name, attrs, stack[-1].article)))
+        top = stack[-1]
+        flag, label = _judged(name, attrs, top.article)
+        stack.append(Element(name, top, flag, paths.setdefault((top.path, label), len(paths) + 1)))
+        opened[name] = opened.get(name, 0) + 1
+        if name in ("article", "main"):
+            while top is not None:
+                top.flag = "" if top.flag == "word" else top.flag
+                top = top.parent
         if name in RAW:
             raw = name
     return out
 
 
-def _smooth(values: list[float]) -> list[float]:
-    """Gaussian weights over the two neighbours on either side."""
-    kernel = [math.exp(-(k * k) / 2.0) for k in range(-2, 3)]
+def affinity(a: Element, b: Element) -> float:
+    """The share of their open blocks that two elements have in common; at
+    least ``SIBLINGS`` for children of one element, and 1 for one element."""
+    if a is b:
+        return 1.0
+    if a.parent is b.parent:
+        least = SIBLINGS
+    else:
+        least = 0.0
+    deep = max(a.depth, b.depth)
+    chain = []
+    while a is not b:
+        if a.depth > b.depth or (a.depth == b.depth and b.parent is None):
+            a = a.parent
+        elif b.depth > a.depth or a.parent is None:
+            b = b.parent
+        else:
+            chain.append(a)
+            a, b = a.parent, b.parent
+    return max(least, a.depth / deep if deep else 0.0)
+
+
+class Block:
+    """The text of one block that is no boilerplate."""
+
+    __slots__ = ("linked", "owner", "parts", "signs", "size")
+
+    def __init__(self, owner: Element):
+        self.owner, self.parts, self.size, self.linked, self.signs = owner, [], 0, 0, 0
+
+    def add(self, text: str, link: bool) -> None:
+        self.parts.append(text)
+        if not text.isspace():
+            self.size += len(text)
+            self.linked += len(text) if link else 0
+            self.signs += len(_PUNCT.findall(text))
+
+
+def blocks_of(page: str) -> list[Block]:
+    """Blocks with text, in page order."""
+    out: list[Block] = []
+    last = None
+    for owner, number, text, link in _nodes(page):
+        if owner.boiler():
+            continue
+        if number != last:
+            out.append(Block(owner))
+            last = number
+        out[-1].add(text, link)
+    return [b for b in out if b.size]
+
+
+def smoothed(values: list[float], blocks: list[Block]) -> list[float]:
+    """Every block's value with those of its neighbours, by distance and
+    affinity."""
     out = []
-    for i in range(len(values)):
-        total = weight = 0.0
-        for k, w in zip(range(i - 2, i + 3), kernel, strict=True):
+    for i, value in enumerate(values):
+        total, weight = value, 1.0
+        for step, w in KERNEL:
+            k = i + step
             if 0 <= k < len(values):
+                w *= affinity(blocks[i].owner, blocks[k].owner)
                 total += w * values[k]
                 weight += w
         out.append(total / weight)
     return out
 
 
-def _above(element: Element) -> list[Element]:
-    chain = []
-    while element is not None:
-        chain.append(element)
-        element = element.parent
-    return chain
-
-
-def content_paths(nodes: list) -> dict[str, float]:
-    """Fused score of every tag path that is above the threshold."""
-    length: dict[str, int] = {}
-    count: dict[str, int] = {}
-    signs: dict[str, int] = {}
-    linked: dict[str, int] = {}
-    last = None
-    for owner, block, text, link in nodes:
-        size = len(text) if not text.isspace() else 0
-        if owner.boiler or not size:
-            continue
-        p = owner.path
-        length[p] = length.get(p, 0) + size
-        signs[p] = signs.get(p, 0) + len(_PUNCT.findall(text))
-        linked[p] = linked.get(p, 0) + (size if link else 0)
-        if (p, block) != last:
-            count[p] = count.get(p, 0) + 1
-            last = (p, block)
-    if not length:
-        return {}
-    paths = list(length)
-    plain = [1.0 - linked[p] / length[p] for p in paths]
-    by_text = _smooth([length[p] / count[p] * r for p, r in zip(paths, plain, strict=True)])
-    by_sign = _smooth([signs[p] / count[p] * r for p, r in zip(paths, plain, strict=True)])
-    fused = [t * (1.0 + s) for t, s in zip(by_text, by_sign, strict=True)]
-    mean = sum(fused) / len(fused)
-    spread = math.sqrt(sum((x - mean) ** 2 for x in fused) / len(fused))
-    limit = min(spread, max(fused)) if len(fused) > 1 else 0.0
-    return {p: x * length[p] for p, x in zip(paths, fused, strict=True) if x >= limit}
+def path_scores(blocks: list[Block]) -> tuple[dict[int, float], float]:
+    """Fused score of every tag path, and the threshold."""
+    length: dict[int, int] = {}
+    count: dict[int, int] = {}
+    signs: dict[int, int] = {}
+    linked: dict[int, int] = {}
+    for b in blocks:
+        p = b.owner.path
+        length[p] = length.get(p, 0) + b.size
+        count[p] = count.get(p, 0) + 1
+        signs[p] = signs.get(p, 0) + b.signs
+        # a title that links to its own page is a title
+        linked[p] = linked.get(p, 0) + (0 if b.owner.name in HEADINGS else b.linked)
+    plain = {p: 1.0 - linked[p] / length[p] for p in length}
+    by_text = smoothed([math.log1p(length[b.owner.path] / count[b.owner.path] * plain[b.owner.path]) for b in blocks], blocks)
+    by_sign = smoothed([math.log1p(signs[b.owner.path] / count[b.owner.path] * plain[b.owner.path]) for b in blocks], blocks)
+    score = dict.fromkeys(length, 0.0)
+    for b, t, s in zip(blocks, by_text, by_sign, strict=True):
+        p = b.owner.path
+        score[p] = max(score[p], t * (1.0 + s) * plain[p])
+    mean = sum(score[p] * length[p] for p in score) / max(1, sum(length.values()))
+    return score, LEAST * mean
 
 
 def extract(page: str | None) -> str:
-    """The main text: blocks of the content region joined by line feeds."""
-    if not page:
-        return ""
-    nodes = _nodes(page)
-    chosen = content_paths(nodes)
-    if not chosen:
+    """The main text: the blocks on content paths, joined by line feeds."""
+    blocks = blocks_of(page) if page else []
+    if not blocks:
         return ""
-    held: dict[int, list] = {}
-    regions: set[int] = set()
-    total = 0
-    for owner, _, text, link in nodes:
-        if owner.boiler or owner.path not in chosen or text.isspace():
-            continue
-        size = len(text) if not link else 0
-        total += size
-        chain = _above(owner)
-        for e in chain:
-            held.setdefault(id(e), [0, e])[0] += size
-        # the outermost article or main above it
-        regions.update([id(e) for e in chain if e.name in ("article", "main")][-1:])
-    if not regions:
-        # the deepest container that still holds most of the content
-        fit = [(len(e.path), e) for n, e in held.values() if n >= 0.6 * total and e.name not in ("p", "h1", "h2", "h3")]
-        regions.update([id(max(fit, key=lambda x: x[0])[1])] if fit else [])
-    inside: dict[int, bool] = {}
-    blocks: list[tuple[int, list[str]]] = []
-    for owner, block, text, _ in nodes:
-        if owner.boiler:
-            continue
-        if id(owner) not in inside:
-            inside[id(owner)] = owner.path in chosen or any(id(e) in regions for e in _above(owner))
-        if not inside[id(owner)]:
-            continue
-        if not blocks or blocks[-1][0] != block:
-            blocks.append((block, []))
-        blocks[-1][1].append(text)
-    lines = (_SPACE.sub(" ", "".join(parts)).strip() for _, parts in blocks)
+    score, limit = path_scores(blocks)
+    lines = (_SPACE.sub(" ", "".join(b.parts)).strip() for b in blocks if score[b.owner.path] >= limit and score[b.owner.path] > 0)
     return "\n".join(x for x in lines if x)
 
 
