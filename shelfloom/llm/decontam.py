@@ -12,16 +12,23 @@ verifies each by alignment inside the band. A text holds an item if it holds
 one of its windows.
 
 The items are a query set, shipped to the tasks in blocks of ``BLOCK_CHARS``
-characters; more items mean more passes, not more memory.
+characters, as q-grams of each item, not of each window. One block is one pass
+over the texts. More blocks mean more passes, one after another, each written
+and its index freed before the next; what the passes hand on are digests of the
+texts that hold an item.
 
 Defined results: null and empty texts hold nothing; items with fewer than ``Q``
-letters and digits are too short to be evidence and match nothing; items under
-one window count as a whole; null items are skipped; repeated items and rows
-match like any other; texts of any length are read whole, piece by piece.
+characters are too short to be evidence and match nothing; items under one
+window count as a whole; items without text are skipped, items without id count
+together under the null id; items that repeat an id add up; repeated rows get
+equal results; texts of any length are read whole, in pieces that make no
+difference to the result; an empty table, of either kind, gives no rows and
+marks none.
 """
 
 from __future__ import annotations
 
+import itertools
 import re
 
 import numpy as np
@@ -29,7 +36,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from shelfloom.llm.common import add_columns, fenced, renamed
+from shelfloom.llm.common import add_columns, fenced, materialise, renamed
 
 Q = 12
 WINDOW = 80
@@ -37,7 +44,7 @@ WINDOW = 80
 WORDS, SHORT = 13, 64
 EDITS = 0.05
 BAND = 16
-BLOCK_CHARS = 1 << 20
+BLOCK_CHARS = 1 << 22
 PIECE = 1 << 18
 #: Where a passage may start; scripts without blanks get starts within their long runs.
 _START = re.compile(r"\S{1,16}")
@@ -67,17 +74,21 @@ def qgrams(codes: np.ndarray) -> np.ndarray:
 
 
 def windows(item: str) -> list[str]:
-    """Overlapping windows of a plain item, each once; the last one of
-    ``WINDOW`` characters ends with it."""
+    """Overlapping windows of a plain item, each text once."""
+    return list(dict.fromkeys(item[a:b] for a, b in spans(item)))
+
+
+def spans(item: str) -> list[tuple[int, int]]:
+    """(start, end) of the windows; the last one of ``WINDOW`` characters ends
+    with the item."""
     if len(item) <= WINDOW:
-        out = [item]
+        out = [(0, len(item))]
     else:
-        starts = [*range(0, len(item) - WINDOW, WINDOW // 2), len(item) - WINDOW]
-        out = [item[s : s + WINDOW] for s in starts]
-    return list(dict.fromkeys([*out, *passages(item)]))
+        out = [(s, s + WINDOW) for s in [*range(0, len(item) - WINDOW, WINDOW // 2), len(item) - WINDOW]]
+    return out + passages(item)
 
 
-def passages(item: str) -> list[str]:
+def passages(item: str) -> list[tuple[int, int]]:
     """The smallest passages that count, from every word start of an item that
     is longer than one."""
     ends = [m.end() for m in re.finditer(r"\S+", item)]
@@ -89,7 +100,7 @@ def passages(item: str) -> list[str]:
         stops += ends[k + WORDS - 1 : k + WORDS]
         # a passage under Q characters is no evidence
         if stops and min(stops) - m.start() >= Q:
-            out.append(item[m.start() : min(stops)].rstrip())
+            out.append((m.start(), m.start() + len(item[m.start() : min(stops)].rstrip())))
     return out
 
 
@@ -99,20 +110,28 @@ def budget(length: int) -> int:
 
 
 class Index:
-    """q-grams of a block of items. ``items``: (id, plain text)."""
+    """q-grams of a block of items, each stored once: a window is a stretch of
+    its item, not a copy. ``items``: (id, plain text)."""
 
-    def __init__(self, items: list[tuple[int, str]]):
-        self.ids, self.text, hashes, owner, at = [], [], [], [], []
+    def __init__(self, items: list[tuple[int | None, str]]):
+        self.ids, self.text, self.windows, self.need, self.edits = [], [], [], [], []
+        hashes, owner, at = [], [], []
         for item, text in items:
-            for w in windows(text):
-                if len(w) < Q:
-                    continue
-                h = qgrams(_codes(w))
-                hashes.append(h)
-                owner.append(np.full(len(h), len(self.ids), np.int32))
-                at.append(np.arange(len(h), dtype=np.int32))
-                self.ids.append(item)
-                self.text.append(w)
+            found = sorted({text[a:b]: (a, b) for a, b in reversed(spans(text)) if b - a >= Q}.values())
+            if not found:
+                continue
+            h = qgrams(_codes(text))
+            hashes.append(h)
+            owner.append(np.full(len(h), len(self.ids), np.int32))
+            at.append(np.arange(len(h), dtype=np.int32))
+            self.ids.append(item)
+            self.text.append(text)
+            w = np.array(found, np.int64)
+            edits = np.array([budget(b - a) for a, b in found], np.int64)
+            self.windows.append(w)
+            self.edits.append(edits)
+            # q-grams that a window shares with any text that holds it
+            self.need.append(w[:, 1] - w[:, 0] - Q + 1 - edits * Q)
         h = np.concatenate(hashes) if hashes else np.empty(0, np.uint64)
         order = np.argsort(h, kind="stable")
         self.hash, self.first, self.many = np.unique(h[order], return_index=True, return_counts=True)
@@ -120,11 +139,12 @@ class Index:
         self.at = (np.concatenate(at) if at else np.empty(0, np.int32))[order]
         self.seen = np.zeros(1 << 20, bool)
         self.seen[(self.hash >> np.uint64(44)).astype(np.int64)] = True
-        self.edits = np.array([budget(len(w)) for w in self.text], np.int64)
-        self.need = np.array([len(w) - Q + 1 - e * Q for w, e in zip(self.text, self.edits, strict=True)], np.int64)
+        self.most = np.array([e.max() for e in self.edits], np.int64)
+        self.least = np.array([n.min() for n in self.need], np.int64)
 
-    def bands(self, text: str) -> list[tuple[int, int]]:
-        """(window, band) that share enough q-grams with a plain text."""
+    def bands(self, text: str) -> list[tuple[int, int, int]]:
+        """(item number, window, band) that share enough q-grams with a plain
+        text."""
         h = qgrams(_codes(text))
         i = np.flatnonzero(self.seen[(h >> np.uint64(44)).astype(np.int64)]) if len(self.hash) else np.empty(0, int)
         if not len(i):
@@ -137,33 +157,43 @@ class Index:
             return []
         many = self.many[k]
         entry = np.repeat(self.first[k] - np.concatenate([[0], np.cumsum(many)[:-1]]), many) + np.arange(many.sum())
-        w, diagonal = self.owner[entry].astype(np.int64), np.repeat(i, many) - self.at[entry]
+        owner, at = self.owner[entry].astype(np.int64), self.at[entry].astype(np.int64)
+        diagonal = np.repeat(i, many) - at
         band = diagonal // BAND
         # bands overlap: the first diagonals of one also belong to the one before
-        shared = diagonal - band * BAND < self.edits[w]
-        w, band = np.concatenate([w, w[shared]]), np.concatenate([band, band[shared] - 1])
-        key, n = np.unique(w * (1 << 40) + (band + (1 << 20)), return_counts=True)
-        key = key[n >= self.need[key >> 40]]
-        return [(int(x >> 40), int(x & ((1 << 40) - 1)) - (1 << 20)) for x in key]
-
-    def found(self, text: str | None) -> dict[int, int]:
-        """item id -> number of its windows that the whole text holds (pieces
-        of very long texts overlap and may count one twice)."""
-        out: dict[int, int] = {}
-        if not text:
-            return out
-        carry, keep = "", WINDOW + 4 * BAND
-        for s in range(0, len(text), PIECE):
-            part = plain(text[s : s + PIECE])
-            if carry.endswith(" ") and part.startswith(" "):
-                part = part[1:]
-            part = carry + part
-            held: set[int] = set()
-            for w, band in self.bands(part):
-                if w not in held and aligned(self.text[w], part, band * BAND, BAND + int(self.edits[w]), int(self.edits[w])):
-                    held.add(w)
-                    out[self.ids[w]] = out.get(self.ids[w], 0) + 1
-            carry = part[-keep:]
+        shared = diagonal - band * BAND < self.most[owner]
+        owner, at, band = (np.concatenate([x, x[shared] - d]) for x, d in ((owner, 0), (at, 0), (band, 1)))
+        order = np.lexsort((at, band, owner))
+        owner, at, band = owner[order], at[order], band[order]
+        edge = np.flatnonzero((owner[1:] != owner[:-1]) | (band[1:] != band[:-1])) + 1
+        start, stop = np.concatenate([[0], edge]), np.concatenate([edge, [len(owner)]])
+        enough = stop - start >= self.least[owner[start]]
+        out = []
+        for a, b in zip(start[enough].tolist(), stop[enough].tolist()):
+            k = int(owner[a])
+            w = self.windows[k]
+            # hits of the band that begin inside each window
+            n = np.searchsorted(at[a:b], w[:, 1] - Q, "right") - np.searchsorted(at[a:b], w[:, 0])
+            out += [(k, x, int(band[a])) for x in np.flatnonzero(n >= self.need[k]).tolist()]
+        return out
+
+    def found(self, text: str | None) -> dict[int | None, int]:
+        """item id -> number of its windows that the whole text holds."""
+        out: dict[int | None, int] = {}
+        whole = plain(text) if text else ""
+        held: set[tuple[int, int]] = set()
+        # pieces overlap by more than a window with its edits; one found in both counts once
+        for s in range(0, len(whole), PIECE):
+            part = whole[s : s + PIECE + WINDOW + 4 * BAND]
+            for k, w, band in self.bands(part):
+                if (k, w) in held:
+                    continue
+                a, b = self.windows[k][w].tolist()
+                edits = int(self.edits[k][w])
+                # a band is of diagonals to the item's start
+                if aligned(self.text[k][a:b], part, band * BAND + a, BAND + edits, edits):
+                    held.add((k, w))
+                    out[self.ids[k]] = out.get(self.ids[k], 0) + 1
         return out
 
 
@@ -198,7 +228,7 @@ def aligned(pattern: str, text: str, start: int, width: int, edits: int) -> bool
 def blocks(benchmark: DataFrame, *, id_col: str, text_col: str, size: int = BLOCK_CHARS):
     """The items in blocks of bounded size, one block at a time on the driver."""
     held, chars = [], 0
-    for r in renamed(benchmark, _id=id_col, _text=text_col).filter("_text is not null and _id is not null").toLocalIterator():
+    for r in renamed(benchmark, _id=id_col, _text=text_col).filter("_text is not null").toLocalIterator():
         text = plain(r._text).strip()
         held.append((r._id, text))
         chars += len(text)
@@ -209,6 +239,48 @@ def blocks(benchmark: DataFrame, *, id_col: str, text_col: str, size: int = BLOC
         yield held
 
 
+KIND = T.ArrayType(T.StructType([T.StructField("item_id", T.LongType()), T.StructField("n_windows", T.LongType())]))
+
+
+def _pass(rows: DataFrame, text_col: str, items: list, name: str):
+    """``rows`` with the marks of one block of items, and what to free once
+    they are written."""
+    shipped = rows.sparkSession.sparkContext.broadcast(Index(items))  # of at most BLOCK_CHARS characters
+
+    def factory():
+        index = shipped.value
+
+        def one(text):
+            found = index.found(text)
+            order = sorted(found, key=lambda i: (i is None, i or 0))
+            return ([{"item_id": i, "n_windows": found[i]} for i in order],)
+
+        return one
+
+    return add_columns(rows, [text_col], T.StructType([T.StructField(name, KIND)]), factory), shipped
+
+
+def _digest(column) -> F.Column:
+    return F.unhex(F.sha2(F.coalesce(column, F.lit("")), 256))
+
+
+def marks(rows: DataFrame, text_col: str, found) -> DataFrame:
+    """(_digest, _item, _n) of the texts that hold an item, over several blocks
+    of items: one pass over the texts a block, its result written and its index
+    freed before the next, so that memory and Python stages stay those of one
+    block. Equal texts are marked once."""
+    out = None
+    texts = rows.select(F.col(text_col).alias("_text"))
+    for items in found:
+        marked, shipped = _pass(texts, "_text", items, "_m")
+        hits = marked.filter(F.size("_m") > 0).select(_digest(F.col("_text")).alias("_digest"), F.explode("_m").alias("_i"))
+        hits = materialise(hits.select("_digest", "_i.item_id", "_i.n_windows").distinct(), "decontam-marks")
+        shipped.destroy()
+        out = hits if out is None else out.unionByName(hits)
+    # an item of several rows may lie in several blocks
+    return out.groupBy("_digest", F.col("item_id").alias("_item")).agg(F.sum("n_windows").alias("_n"))
+
+
 def marked(
     docs: DataFrame,
     benchmark: DataFrame,
@@ -219,21 +291,20 @@ def marked(
     name: str = "_items",
 ) -> DataFrame:
     """``docs`` with an array of (item_id, n_windows), empty where clean; it
-    replaces a column of the same name."""
-    kind = T.ArrayType(T.StructType([T.StructField("item_id", T.LongType()), T.StructField("n_windows", T.LongType())]))
-    out, names = fenced(docs)
-    found = []
-    for k, items in enumerate(blocks(benchmark, id_col=item_col, text_col=item_text_col)):
-        shipped = docs.sparkSession.sparkContext.broadcast(Index(items))  # at most BLOCK_CHARS characters
-
-        def factory(shipped=shipped):
-            index = shipped.value
-            return lambda text: ([{"item_id": i, "n_windows": n} for i, n in sorted(index.found(text).items())],)
-
-        found.append(f"{name}_{k}")
-        out = add_columns(out, [names[text_col]], T.StructType([T.StructField(found[-1], kind)]), factory)
-    marks = F.concat(*found) if found else F.array().cast(kind)
-    return out.select(*[F.col(names[c]).alias(c) for c in docs.columns if c != name], marks.alias(name))
+    replaces a column of the same name, whatever its case."""
+    rows, names = fenced(docs)
+    text = names[text_col]
+    found = blocks(benchmark, id_col=item_col, text_col=item_text_col)
+    first = list(itertools.islice(found, 2))
+    if len(first) < 2:
+        out, _ = _pass(rows, text, first[0] if first else [], "_found")
+    else:
+        hits = marks(rows, text, itertools.chain(first, found)).groupBy("_digest").agg(
+            F.sort_array(F.collect_list(F.struct(F.col("_item").isNull().alias("last"), F.col("_item").alias("item_id"), F.col("_n").alias("n_windows")))).alias("_all")
+        )
+        plain_marks = F.transform(F.coalesce(F.col("_all"), F.array().cast("array<struct<last:boolean,item_id:bigint,n_windows:bigint>>")), lambda m: F.struct(m["item_id"].alias("item_id"), m["n_windows"].alias("n_windows")))
+        out = rows.withColumn("_key", _digest(F.col(text))).join(hits, F.col("_key") == F.col("_digest"), "left").withColumn("_found", plain_marks)
+    return out.select(*[F.col(names[c]).alias(c) for c in docs.columns if c.lower() != name.lower()], F.col("_found").alias(name))
 
 
 def query(spark: SparkSession, documents: DataFrame, benchmark: DataFrame) -> DataFrame:
