@@ -1,20 +1,30 @@
 """Secret scans: fixed patterns, and password guess cost on the values that
 stand in a credential context.
 
-The guess cost of a value is the cheapest way to cut it into dictionary words,
-dates, repeats, keyboard walks and brute-force spans: a dynamic program over
-its characters, in bits. A value whose cost reaches ``STRONG_BITS`` is a span
-of kind ``guess``; spans of the base patterns stay whatever their cost.
+The guess cost of a value is the cheapest way to cut it into dictionary words
+(forwards or backwards, with letters swapped for signs), dates, repeats,
+keyboard walks and brute-force spans: a dynamic program over its characters, in
+bits. A value whose cost reaches ``STRONG_BITS`` is a span of kind ``guess``;
+spans of the base patterns stay whatever their cost.
+
+The dictionary is what people put into passwords, then the words of a public
+tokenizer's vocabulary in its own order, which is about that of their frequency
+in public text: so prose behind a context word costs little and is no secret. A
+caller may give another vocabulary file, or none.
 
 Defined results: null and empty texts have no spans; offsets count code
 points, ends exclusive; equal spans of several contexts are one; texts and
-values of any length are read whole.
+values of any length are read whole; repeated rows get equal results; an empty
+table gives no rows.
 """
 
 from __future__ import annotations
 
+import json
 import math
 import re
+from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -29,9 +39,15 @@ HEX = re.compile(r"[0-9a-f]{24,}")  # runs are maximal, so the first 24 decide
 ASSIGN_LEAST, ACCESS_LEAST = 6, 20
 KINDS = ("assign", "access", "hex", "guess")
 
-#: Further credential contexts, whose values only the guess cost judges.
+#: Further credential contexts, whose values only the guess cost judges. A key word stands alone or as a part
+#: of a longer name (``AWS_SECRET_ACCESS_KEY``, ``secretAccessKey``), and blanks of any kind may be around the sign.
+_BEFORE = r"(?:(?<![A-Za-z])|(?-i:(?<=[a-z])(?=[A-Z])))"
+_AFTER = r"(?:(?![A-Za-z])|(?-i:(?<=[a-z])(?=[A-Z])))"
 CONTEXT = re.compile(
-    r"""\b(?:pwd|pass(?:word|wd|phrase|code)?|credentials?|auth(?:orization)?|bearer|private_?key|access_?key|client_?secret|secret(?:_?key)?|token|api_?key|login|pin)["']?\x20*(?:[:=]|\bis\b)\x20*(?:bearer\x20+)?["']?([^\s"'<>,;]{6,})""",
+    _BEFORE
+    + r"(?:pwd|pass(?:word|wd|phrase|code)?|credentials?|auth(?:orization)?|bearer|private_?key|access_?key|secret|token|api_?key|login|pin)"
+    + _AFTER
+    + r"""[A-Za-z0-9_.-]{0,40}["']?(?:\s*[:=]\s*|\s+is\s+)(?:bearer\s+)?["']?([^\s"'<>,;]{6,})""",
     re.I | re.A,
 )
 HINTS = ("pass", "pwd", "secret", "token", "api", "cred", "auth", "bearer", "key", "login", "pin")
@@ -45,12 +61,11 @@ WORDS = (
     "default changeme access server database system oracle example sample demo token key api value none null true false "
     "the and for you not with this that have from"
 ).split()
-RANK = {w: k + 1 for k, w in enumerate(WORDS)}
-LONGEST = max(map(len, WORDS))
 LEET = str.maketrans("@4831!05$7", "aabeiiosst")
 ROWS = ("`1234567890-=", "qwertyuiop[]", "asdfghjkl;'", "zxcvbnm,./", "abcdefghijklmnopqrstuvwxyz")
 DATE = re.compile(r"(?:19|20)\d\d([-/._]?)(?:0[1-9]|1[0-2])\1(?:0[1-9]|[12]\d|3[01])|(?:0[1-9]|[12]\d|3[01])([-/._]?)(?:0[1-9]|1[0-2])\2(?:19|20)\d\d|(?:19|20)\d\d")
 SEGMENT_BITS = 1.0
+LEAST_WORD = 3
 
 
 def _near_keys() -> set[str]:
@@ -76,16 +91,46 @@ def _alphabet_bits(value: str) -> float:
     return math.log2(max(size, 2))
 
 
-def _pieces(value: str):
+@dataclass(frozen=True)
+class Words:
+    """Ranks of dictionary words of ``LEAST_WORD`` letters or more."""
+
+    rank: dict[str, int]
+
+    @cached_property
+    def longest(self) -> int:
+        return max(map(len, self.rank), default=0)
+
+
+def dictionary(vocabulary: list[str] = ()) -> Words:
+    """The fixed words, then the others in the order given; each once."""
+    rank: dict[str, int] = {}
+    for w in [*WORDS, *vocabulary]:
+        if len(w) >= LEAST_WORD:
+            rank.setdefault(w.lower(), len(rank) + 1)
+    return Words(rank)
+
+
+def vocabulary_words(path: str) -> list[str]:
+    """The whole words of Latin letters in a byte-level vocabulary file, by
+    their number; a word is a token that begins with a blank."""
+    with open(path, encoding="utf-8") as f:
+        vocab = json.load(f)["model"]["vocab"]
+    return [t[1:] for t in sorted(vocab, key=vocab.get) if re.fullmatch("\u0120[A-Za-z]+", t)]
+
+
+def _pieces(value: str, words: Words):
     """(start, end, bits) of every word, date, repeat and walk in the value."""
     low = value.lower()
     flat = low.translate(LEET)
+    rank, longest = words.rank, words.longest
     for i in range(len(low)):
-        for j in range(i + 3, min(len(low), i + LONGEST) + 1):
-            rank = RANK.get(flat[i:j])
-            if rank:
-                bits = math.log2(rank + 1) + (low[i:j] != value[i:j]) * 2 + (flat[i:j] != low[i:j]) * 2
-                yield i, j, bits
+        for j in range(i + LEAST_WORD, min(len(low), i + longest) + 1):
+            part = flat[i:j]
+            forwards, backwards = rank.get(part), rank.get(part[::-1])
+            if forwards or backwards:
+                bits = min(math.log2(forwards + 1) if forwards else 99.0, math.log2(backwards + 1) + 1 if backwards else 99.0)
+                yield i, j, bits + (low[i:j] != value[i:j]) * 2 + (part != low[i:j]) * 2
     for m in DATE.finditer(value):
         yield m.start(), m.end(), math.log2(130) if m.end() - m.start() == 4 else math.log2(365 * 130)
     start = 0
@@ -102,10 +147,10 @@ def _pieces(value: str):
             start = i
 
 
-def guess_bits(value: str) -> float:
+def guess_bits(value: str, words: Words | None = None) -> float:
     """Base-2 logarithm of the guesses that the cheapest segmentation needs."""
     ends: dict[int, list[tuple[int, float]]] = {}
-    for i, j, bits in _pieces(value):
+    for i, j, bits in _pieces(value, words or FIXED):
         ends.setdefault(j, []).append((i, bits))
     per_char = _alphabet_bits(value)
     best = [0.0]
@@ -117,7 +162,11 @@ def guess_bits(value: str) -> float:
     return best[-1]
 
 
-def scan(text: str | None) -> list[tuple[int, str, int, float | None]]:
+#: The fixed words alone.
+FIXED = dictionary()
+
+
+def scan(text: str | None, words: Words | None = None) -> list[tuple[int, str, int, float | None]]:
     """(start, kind, end, bits) of every span, by start, then kind as listed."""
     if not text:
         return []
@@ -134,7 +183,7 @@ def scan(text: str | None) -> list[tuple[int, str, int, float | None]]:
         spans += [(m.start(), "access", m.end(), None) for m in ACCESS.finditer(text) if m.end() - m.start() >= ACCESS_LEAST]
     spans += [(m.start(), "hex", m.end(), None) for m in HEX.finditer(text)]
     for a, b in values:
-        bits = guess_bits(text[a:b])
+        bits = guess_bits(text[a:b], words)
         if bits >= STRONG_BITS:
             spans.append((a, "guess", b, bits))
     return sorted(spans, key=lambda s: (s[0], KINDS.index(s[1]), s[2]))
@@ -145,18 +194,21 @@ SPAN = T.StructType(
 )
 
 
-def with_spans(docs: DataFrame, *, text_col: str = "text", name: str = "spans") -> DataFrame:
+def with_spans(docs: DataFrame, *, text_col: str = "text", name: str = "spans", vocabulary: str | None = None) -> DataFrame:
     """``docs`` with an array of (kind, start, end, bits); bits only of kind
-    ``guess``."""
+    ``guess``. ``vocabulary`` is the path of a byte-level vocabulary file, read
+    on the driver and shipped as ranks (about a MB, fixed)."""
+    shipped = docs.sparkSession.sparkContext.broadcast(dictionary(vocabulary_words(vocabulary) if vocabulary else ()))
 
     def factory():
-        return lambda text: ([{"kind": k, "start": a, "end": b, "bits": bits} for a, k, b, bits in scan(text)],)
+        words = shipped.value
+        return lambda text: ([{"kind": k, "start": a, "end": b, "bits": bits} for a, k, b, bits in scan(text, words)],)
 
     return add_columns(docs, [text_col], T.StructType([T.StructField(name, T.ArrayType(SPAN))]), factory)
 
 
-def query(spark: SparkSession, documents: DataFrame) -> DataFrame:
-    rows = with_spans(renamed(documents, doc_id="doc_id", text="text"))
+def query(spark: SparkSession, documents: DataFrame, vocabulary: str | None = None) -> DataFrame:
+    rows = with_spans(renamed(documents, doc_id="doc_id", text="text"), vocabulary=vocabulary)
     base = F.filter("spans", lambda s: s["kind"] != "guess")
 
     def joined(spans):
