@@ -10,9 +10,12 @@ quota from a sequence of epochs, each in a seeded order of its own: whole
 epochs, then documents of the last one until the quota is met, the document
 that reaches it included.
 
-Sums are over all documents. The order inside a leaf is never sorted as a
-whole: documents fall into ``BUCKETS`` slots of the seeded order, slot totals
-say in which slot the quota ends, and only that slot's rows are ordered.
+Sums are over all documents. The order inside a leaf is the MD5 of seed, epoch,
+id and the text's own MD5, and is never sorted as a whole: its first
+digits deal the documents into slots, slot totals say in which slot the quota
+ends, and that slot is dealt again by the next digits until it is small. Only
+then are its rows ordered, by keys without texts, to find the last document
+that is taken; every text is then compared with that key where it lies.
 
 Arithmetic is in whole numbers. Weights are small whole numbers: weights times
 tokens have to fit 63 bits, else Spark raises an overflow.
@@ -21,7 +24,8 @@ Defined results: null language or source is ``unknown``; a document's tokens
 are its words; documents without words come along where the prefix passes
 them; a node of weight 0 gets nothing; shares round down, so up to one token
 per child stays unspent; an empty table gives no rows; rows that repeat an id
-are taken separately.
+are taken separately, and of rows that repeat id and text as many as the quota
+needs, numbered in one task. Texts of any length count whole.
 """
 
 from __future__ import annotations
@@ -33,8 +37,11 @@ from pyspark.sql import functions as F
 
 from shelfloom.llm.common import fenced, materialise
 
-BUCKETS_HEX = 3  # 16**3 slots per leaf
+SLOT_HEX = 2  # a slot is dealt into 16**2
+SLOT_ROWS = 1024  # a slot of so many rows is ordered
+ORDER_HEX = 32
 UNKNOWN = "unknown"
+LEAF = ["_domain", "_lang", "_source"]
 WORD = "[^\\x20\\x09-\\x0D]+"
 
 
@@ -89,7 +96,7 @@ def shared_out(nodes: DataFrame, parent: list[str]) -> DataFrame:
 
 def leaf_quotas(docs: DataFrame, mix: Mix) -> DataFrame:
     """(_domain, _lang, _source, _supply, _quota) of every leaf."""
-    leaves = docs.groupBy("_domain", "_lang", "_source").agg(F.sum("_n").alias("_supply"))
+    leaves = docs.groupBy(*LEAF).agg(F.sum("_n").alias("_supply"))
     leaves = leaves.withColumn("_cap", F.col("_supply") * mix.epochs)
     num, den = mix.share
     # Sums of sums up the tree: a few rows per domain, language and source.
@@ -112,6 +119,7 @@ def prepared(docs: DataFrame, *, id_col: str, text_col: str, lang_col: str, sour
             "_source": F.coalesce(F.col(source_col), F.lit(UNKNOWN)),
             "_n": F.regexp_count(F.coalesce(F.col(text_col), F.lit("")), F.lit(WORD)).cast("long"),
             "_key": F.coalesce(F.col(id_col).cast("string"), F.lit("")),
+            "_tie": F.md5(F.coalesce(F.col(text_col), F.lit(""))),
         }
     ).withColumn("_domain", domain_of(F.col("_source")))
 
@@ -130,42 +138,64 @@ def mixed(
     the same names."""
     mix = mix or Mix()
     rows, names = fenced(docs)
-    columns = [F.col(names[c]).alias(c) for c in docs.columns if c not in ("domain", "epoch", "n_tokens")]
+    columns = [F.col(names[c]).alias(c) for c in docs.columns if c.lower() not in ("domain", "epoch", "n_tokens")]
     rows = prepared(rows, id_col=names[id_col], text_col=names[text_col], lang_col=names[lang_col], source_col=names[source_col])
-    leaf = ["_domain", "_lang", "_source"]
-    slim = materialise(rows.select(*leaf, "_n", "_key"), "mix-tokens")
+    slim = materialise(rows.select(*LEAF, "_n", "_key", "_tie"), "mix-tokens")
     plan = leaf_quotas(slim, mix).filter("_quota > 0 and _supply > 0")
-    plan = plan.selectExpr(*leaf, "_quota div _supply as _whole", "_quota % _supply as _part")
-    plan = materialise(plan, "mix-quotas")
-
-    def slotted(frame: DataFrame) -> DataFrame:
-        order = F.md5(F.concat_ws(":", F.lit(str(mix.seed)), (F.col("_whole") + 1).cast("string"), F.col("_key")))
-        return frame.join(plan, leaf).withColumn("_order", order).withColumn("_slot", F.substring("_order", 1, BUCKETS_HEX))
-
-    slots = slotted(slim).groupBy(*leaf, "_slot", "_part").agg(F.sum("_n").alias("_tokens"))
-    upto = Window.partitionBy(*leaf).orderBy("_slot")  # at most 16**BUCKETS_HEX rows a leaf
-    slots = slots.withColumn("_upto", F.sum("_tokens").over(upto)).withColumn("_before", F.col("_upto") - F.col("_tokens"))
-    # The slot in which a leaf's quota ends: one row a leaf.
-    last = slots.filter("_part > _before").groupBy(*leaf).agg(
-        F.max("_slot").alias("_end"), F.max_by("_before", "_slot").alias("_start")
-    )
-    last = materialise(plan.join(last, leaf, "left"), "mix-ends")
-    order = F.md5(F.concat_ws(":", F.lit(str(mix.seed)), (F.col("_whole") + 1).cast("string"), F.col("_key")))
-    all_rows = rows.join(last, leaf).withColumn("_order", order).withColumn("_slot", F.substring("_order", 1, BUCKETS_HEX))
-    whole = all_rows.filter("_whole > 0").withColumn("epoch", F.explode(F.sequence(F.lit(1), F.col("_whole").cast("int"))))
-    inside = all_rows.filter("_slot < _end").withColumn("epoch", (F.col("_whole") + 1).cast("int"))
-    edge = all_rows.filter("_slot = _end")
-    running = Window.partitionBy(*leaf).orderBy("_order", "_key", "_n", F.coalesce(F.col(names[text_col]), F.lit(""))).rowsBetween(Window.unboundedPreceding, -1)
-    edge = (
-        edge.withColumn("_sofar", F.col("_start") + F.coalesce(F.sum("_n").over(running), F.lit(0)))
-        .filter("_sofar < _part")
-        .drop("_sofar")
-        .withColumn("epoch", (F.col("_whole") + 1).cast("int"))
-    )
-    chosen = whole.unionByName(inside).unionByName(edge)
+    plan = materialise(plan.selectExpr(*LEAF, "_quota div _supply as _whole", "_quota % _supply as _part"), "mix-quotas")
+    order = F.md5(F.concat_ws(":", F.lit(str(mix.seed)), (F.col("_whole") + 1).cast("string"), F.col("_key"), F.col("_tie")))
+    ends = materialise(plan.join(cuts(slim, plan, order), LEAF, "left"), "mix-ends")
+    placed = rows.join(ends, LEAF).withColumn("_order", order)
+    taken = F.col("_order") < F.col("_cut")
+    split = ends.filter("_most < _rows")
+    repeats = not split.isEmpty()  # rows of one id and text, of which some are taken
+    if not repeats:
+        taken = F.col("_order") <= F.col("_cut")
+    times = F.col("_whole").cast("int") + F.coalesce(taken, F.lit(False)).cast("int")
+    chosen = placed.withColumn("_times", times).filter("_times > 0").withColumn("epoch", F.explode(F.sequence(F.lit(1), F.col("_times"))))
+    if repeats:
+        number = F.row_number().over(Window.partitionBy(*LEAF).orderBy("_order"))
+        edge = placed.filter("_order = _cut").withColumn("_number", number).filter("_number <= _most").drop("_number")
+        chosen = chosen.drop("_times").unionByName(edge.withColumn("epoch", (F.col("_whole") + 1).cast("int")))
     return chosen.select(*columns, F.col("_domain").alias("domain"), "epoch", F.col("_n").alias("n_tokens"))
 
 
+def cuts(slim: DataFrame, plan: DataFrame, order: F.Column) -> DataFrame:
+    """(*LEAF, _cut, _rows, _most) of every leaf with a part of an epoch: the
+    order of the last document taken, its rows, and how many of them are taken
+    at most."""
+    inside = slim.join(plan.filter("_part > 0"), LEAF).withColumn("_order", order)
+    ends, digits = None, 0
+    while digits < ORDER_HEX:
+        digits += SLOT_HEX
+        if ends is not None:
+            inside = slim.join(ends, LEAF).withColumn("_order", order).filter(F.col("_order").startswith(F.col("_slot")))
+        else:
+            inside = inside.withColumn("_start", F.lit(0).cast("long"))
+        slots = inside.groupBy(*LEAF, "_whole", "_part", "_start", F.substring("_order", 1, digits).alias("_next")).agg(
+            F.sum("_n").alias("_tokens"), F.when(F.min("_order") < F.max("_order"), F.count(F.lit(1))).otherwise(1).alias("_rows")
+        )
+        # at most 16**SLOT_HEX rows a leaf, whatever its size
+        upto = F.sum("_tokens").over(Window.partitionBy(*LEAF).orderBy("_next"))
+        slots = slots.withColumn("_before", F.col("_start") + upto - F.col("_tokens")).filter("_part > _before")
+        last = F.max(F.struct("_next", "_before", "_rows")).alias("_last")
+        ends = slots.groupBy(*LEAF, "_whole", "_part").agg(last).select(
+            *LEAF, "_whole", "_part", F.col("_last._next").alias("_slot"), F.col("_last._before").alias("_start"), F.col("_last._rows").alias("_rows")
+        )
+        ends = materialise(ends, "mix-slots")
+        largest = ends.agg(F.max("_rows")).first()[0]
+        if largest is None or largest <= SLOT_ROWS:
+            break
+    inside = slim.join(ends, LEAF).withColumn("_order", order).filter(F.col("_order").startswith(F.col("_slot")))
+    # rows of equal order have equal texts, so equal tokens
+    ties = inside.groupBy(*LEAF, "_part", "_start", "_order").agg(F.max("_n").alias("_n"), F.count(F.lit(1)).alias("_rows"))
+    upto = F.sum(F.col("_n") * F.col("_rows")).over(Window.partitionBy(*LEAF).orderBy("_order"))
+    ties = ties.withColumn("_left", F.col("_part") - (F.col("_start") + upto - F.col("_n") * F.col("_rows"))).filter("_left > 0")
+    end = ties.groupBy(*LEAF).agg(F.max(F.struct("_order", "_n", "_rows", "_left")).alias("_e"))
+    most = F.when(F.col("_e._n") == 0, F.col("_e._rows")).otherwise(F.expr("(_e._left + _e._n - 1) div _e._n"))
+    return end.select(*LEAF, F.col("_e._order").alias("_cut"), F.col("_e._rows").alias("_rows"), most.alias("_most"))
+
+
 def query(spark: SparkSession, documents: DataFrame) -> DataFrame:
     rows = mixed(documents.select("doc_id", "text", "lang", "source"))
     return rows.select("doc_id", "domain", "lang", "source", "epoch", "n_tokens")
@@ -193,7 +223,8 @@ def oracle(mix: Mix | None = None) -> str:
     num, den = mix.share
     return f"""
 WITH docs AS (SELECT doc_id, lang, source, coalesce(lang, 'unknown') AS l, coalesce(source, 'unknown') AS s,
-    len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS n FROM documents),
+    len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS n,
+    md5(coalesce(text, '')) AS t FROM documents),
 tree AS (SELECT *, CASE WHEN regexp_extract(s, '([0-9]{{1,9}})$', 1) = '' THEN 'other'
     ELSE 'd' || (CAST(regexp_extract(s, '([0-9]{{1,9}})$', 1) AS INT) % 4) END AS d FROM docs),
 leaves AS (SELECT d, l, s, sum(n) AS supply, sum(n) * {mix.epochs} AS cap FROM tree GROUP BY ALL),
@@ -207,9 +238,9 @@ low AS (SELECT leaves.d, leaves.l, s, s AS node, supply, leaves.cap, 1 AS weight
     FROM leaves JOIN lev2 ON leaves.d = lev2.d AND leaves.l = lev2.l),
 {_level("lev3", "low", "d, l")},
 plan AS (SELECT d, l, s, got // supply AS whole, got % supply AS part FROM lev3 WHERE got > 0 AND supply > 0),
-placed AS (SELECT tree.*, whole, part, md5('{mix.seed}:' || (whole + 1) || ':' || coalesce(CAST(doc_id AS VARCHAR), '')) AS o
+placed AS (SELECT tree.*, whole, part, md5('{mix.seed}:' || (whole + 1) || ':' || coalesce(CAST(doc_id AS VARCHAR), '') || ':' || t) AS o
     FROM tree JOIN plan USING (d, l, s)),
-run AS (SELECT *, coalesce(sum(n) OVER (PARTITION BY d, l, s ORDER BY o, doc_id, n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM placed)
+run AS (SELECT *, coalesce(sum(n) OVER (PARTITION BY d, l, s ORDER BY o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM placed)
 SELECT doc_id, d AS domain, lang, source, CAST(e AS INTEGER) AS epoch, CAST(n AS BIGINT) AS n_tokens
 FROM (SELECT *, unnest(range(1, CAST(whole AS BIGINT) + 1)) AS e FROM placed WHERE whole > 0)
 UNION ALL
