@@ -7,12 +7,15 @@ verified against its SHA-256 over all chunks of the table; where two different
 chunks share a hash, the second and later ones get identifiers of their own. A
 text's recipe is the ordered list of its chunks' identifiers, and equal recipes
 are equal texts. No text is moved: chunks are hashed where they are read, and
-what is shuffled are (hash, digest) pairs and recipes, about 2 % of the text.
+what is shuffled are hashes with the least and greatest digest that go with
+them, and recipes.
 
 Defined results: null counts as the empty text, whose recipe is empty; equal
-texts keep the row with the largest id; rows that repeat that id all stay;
-null ids are kept only where all ids of the text are null; an empty table
-gives no rows.
+texts keep the row with the largest id; a null id is kept only where all ids of
+the text are null; an empty table gives no rows. The query calls every row that
+repeats the kept id and text kept, as it has no other name for one; the stage
+leaves one of them, as of any group, whatever its ids. Texts of any length are
+read whole.
 """
 
 from __future__ import annotations
@@ -20,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfloom.llm.common import fenced, materialise, renamed
+from shelfloom.llm.common import materialise, one_row_each, renamed
 
 MIN_CHUNK, MAX_CHUNK = 512, 4096
 #: A cut after any of these letter pairs and a blank; what is left at the end is the last chunk.
@@ -37,46 +40,50 @@ def chunk_hash(chunk: F.Column) -> F.Column:
 
 
 def chunk_store(rows: DataFrame) -> DataFrame:
-    """(_h, _sha, _rank): the distinct chunks of ``rows`` (_pieces); rank 0 is
-    the chunk that the bare hash names. More than one rank means a collision."""
-    seen = rows.select(F.explode("_pieces").alias("_c")).select("_c._h", "_c._sha").distinct()
-    firsts = seen.groupBy("_h").agg(F.min("_sha").alias("_first"), F.count(F.lit(1)).alias("_n")).filter("_n > 1")
-    return seen.join(firsts, "_h").filter("_sha <> _first").select("_h", "_sha")
+    """(_h, _sha): the chunks of ``rows`` (_pieces) that the bare hash does not
+    name, as another chunk with a lesser digest has it. One shuffle of hashes,
+    combined before it, tells whether there are any."""
+    seen = rows.select(F.explode("_pieces").alias("_c")).select("_c._h", "_c._sha")
+    shared = seen.groupBy("_h").agg(F.min("_sha").alias("_first"), F.max("_sha").alias("_last")).filter("_first <> _last")
+    shared = materialise(shared.select("_h", "_first"), "chunk-collisions")
+    if shared.isEmpty():
+        return shared.select("_h", F.col("_first").alias("_sha"))
+    return seen.join(shared, "_h").filter("_sha <> _first").select("_h", "_sha").distinct()
 
 
 def recipes(docs: DataFrame, *, id_col: str, text_col: str, hasher=chunk_hash, cut: str = CUT) -> DataFrame:
-    """(_id, _sha256, _recipe) of every row: the digest of the whole text and
-    the ordered list of verified identifiers."""
+    """(_id, _digest, _recipe) of every row: the digest of the whole text (32
+    bytes) and the ordered list of verified identifiers."""
     text = F.coalesce(F.col("_text"), F.lit(""))
     rows = renamed(docs, _id=id_col, _text=text_col).select(
         "_id",
-        F.sha2(text, 256).alias("_sha256"),
-        F.transform(chunks(text, cut), lambda c: F.struct(hasher(c).alias("_h"), F.sha2(c, 256).alias("_sha"))).alias("_pieces"),
+        F.unhex(F.sha2(text, 256)).alias("_digest"),
+        F.transform(chunks(text, cut), lambda c: F.struct(hasher(c).alias("_h"), F.unhex(F.sha2(c, 256)).alias("_sha"))).alias("_pieces"),
     )
     rows = materialise(rows, "recipes")
-    odd = materialise(chunk_store(rows), "chunk-collisions")
+    odd = chunk_store(rows)
     plain = F.transform("_pieces", lambda p: p["_h"].cast("string"))
     if odd.isEmpty():
-        return rows.select("_id", "_sha256", plain.alias("_recipe"))
+        return rows.select("_id", "_digest", plain.alias("_recipe"))
     # Collided chunks are named by hash and digest, in the texts that hold them.
-    held = rows.select("_sha256", F.explode("_pieces").alias("_c")).select("_sha256", "_c._h", "_c._sha").distinct()
-    named = held.join(odd, ["_h", "_sha"]).groupBy("_sha256").agg(F.collect_set("_sha").alias("_odd"))
+    held = rows.select("_digest", F.explode("_pieces").alias("_c")).select("_digest", "_c._h", "_c._sha").distinct()
+    named = held.join(odd, ["_h", "_sha"]).groupBy("_digest").agg(F.collect_set("_sha").alias("_odd"))
     exact = F.transform(
         "_pieces",
-        lambda p: F.when(F.array_contains(F.coalesce("_odd", F.array().cast("array<string>")), p["_sha"]), F.concat_ws(":", p["_h"].cast("string"), p["_sha"])).otherwise(p["_h"].cast("string")),
+        lambda p: F.when(F.array_contains(F.coalesce("_odd", F.array().cast("array<binary>")), p["_sha"]), F.concat_ws(":", p["_h"].cast("string"), F.hex(p["_sha"]))).otherwise(p["_h"].cast("string")),
     )
-    return rows.join(named, "_sha256", "left").select("_id", "_sha256", exact.alias("_recipe"))
+    return rows.join(named, "_digest", "left").select("_id", "_digest", exact.alias("_recipe"))
 
 
 def groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", hasher=chunk_hash, cut: str = CUT) -> DataFrame:
-    """(_id, _keep, _size, _sha256) of every row."""
+    """(_id, _keep, _size, _digest) of every row."""
     rows = recipes(docs, id_col=id_col, text_col=text_col, hasher=hasher, cut=cut)
     # The list of identifiers is the key. Equal lists combine before the shuffle;
     # the groups are written, so that the join back may be split where one is hot.
     rows = rows.withColumn("_recipe", F.concat_ws(",", "_recipe"))
     kept = rows.groupBy(F.col("_recipe").alias("_r")).agg(F.max("_id").alias("_keep"), F.count(F.lit(1)).alias("_size"))
     kept = materialise(kept, "recipe-groups")
-    return rows.join(kept, F.col("_recipe") == F.col("_r")).select("_id", "_keep", "_size", "_sha256")
+    return rows.join(kept, F.col("_recipe") == F.col("_r")).select("_id", "_keep", "_size", "_digest")
 
 
 def query(spark: SparkSession, documents: DataFrame) -> DataFrame:
@@ -85,22 +92,15 @@ def query(spark: SparkSession, documents: DataFrame) -> DataFrame:
         F.col("_keep").alias("keep_id"),
         F.col("_size").alias("group_size"),
         F.col("_id").eqNullSafe(F.col("_keep")).alias("kept"),
-        F.col("_sha256").alias("text_sha256"),
+        F.lower(F.hex("_digest")).alias("text_sha256"),
     )
 
 
 def keep_largest(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents that stay, with all their columns: an id leaves if another
-    id keeps its text. Only the ids that leave are joined to the texts."""
+    """One row of each text, that of the largest id, with all its columns."""
     found = groups(docs, id_col=id_col, text_col=text_col)
-    gone = (
-        found.filter("_id is not null").groupBy(F.col("_id").alias("_gone"), "_sha256").agg(F.max(F.col("_id") == F.col("_keep")).alias("_stays"))
-        .filter("not _stays").select("_gone", "_sha256")
-    )
-    rows, names = fenced(docs)
-    digest = F.sha2(F.coalesce(F.col(names[text_col]), F.lit("")), 256)
-    kept = rows.join(gone, (F.col(names[id_col]) == F.col("_gone")) & (digest == F.col("_sha256")), "left_anti")
-    return kept.toDF(*docs.columns)
+    decided = found.select("_id", "_digest", F.col("_id").eqNullSafe(F.col("_keep")).alias("_stays"))
+    return one_row_each(docs, decided, id_col=id_col, text_col=text_col)
 
 
 ORACLE = """
