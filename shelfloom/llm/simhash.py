@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from shelfloom.llm.common import add_columns, fenced, materialise, renamed, ship
+from shelfloom.llm.common import add_columns, materialise, one_row_each, renamed, ship, text_digest
 from shelfloom.operators import graph
 
 SEED = 42
@@ -210,52 +210,57 @@ def _blocks(left: np.ndarray, right: np.ndarray):
         yield left[k : k + step], right
 
 
+def least_row() -> F.Column:
+    """What a group is named and led by: its smallest non-null id, and of the
+    rows with that id the one with the smallest digest."""
+    return F.min(F.struct(F.col("_id").isNull().alias("none"), F.col("_id").alias("id"), F.col("_digest").alias("digest")))
+
+
 def components(marked: DataFrame, radius: int = 3) -> DataFrame:
-    """(fp, component_id) of every fingerprint in ``marked`` (_id, fp)."""
-    smallest = materialise(marked.groupBy("fp").agg(F.min("_id").alias("least_id")), "simhash-distinct")
+    """(fp, least) of every fingerprint in ``marked`` (_id, _digest, fp): the
+    least row of its component."""
+    smallest = materialise(marked.groupBy("fp").agg(least_row().alias("own")), "simhash-distinct")
     return named_components(smallest, links(smallest, radius), "fp")
 
 
 def named_components(smallest: DataFrame, edges: DataFrame, key: str) -> DataFrame:
-    """(key, component_id) of every key in ``smallest`` (key, least_id)."""
+    """(key, least) of every key in ``smallest`` (key, own)."""
     groups = materialise(graph.components(edges, "u", "v"), "simhash-groups")
-    # A group's members are few against the table; its least id is a grouped minimum.
-    member = groups.join(smallest, F.col("node") == F.col(key)).select("node", "component", "least_id")
-    named = member.groupBy("component").agg(F.min("least_id").alias("group_id"))
-    linked = groups.join(named, "component").select("node", "group_id")
-    return smallest.join(linked, F.col(key) == F.col("node"), "left").select(
-        key, F.when(F.col("node").isNotNull(), F.col("group_id")).otherwise(F.col("least_id")).alias("component_id")
-    )
-
-
-def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, radius: int = 3) -> DataFrame:
-    """(_id, fp, component_id) of every row."""
-    rows = renamed(docs, _id=id_col, _text=text_col)
-    marked = materialise(with_fingerprint(rows, text_col="_text", shingle=shingle).select("_id", "fp"), "simhash-rows")
+    # A group's members are few against the table; its least row is a grouped minimum.
+    member = groups.join(smallest, F.col("node") == F.col(key)).select("node", "component", "own")
+    named = member.groupBy("component").agg(F.min("own").alias("group_least"))
+    linked = groups.join(named, "component").select("node", "group_least")
+    return smallest.join(linked, F.col(key) == F.col("node"), "left").select(key, F.coalesce("group_least", "own").alias("least"))
+
+
+def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, radius: int = 3, digest: F.Column | None = None) -> DataFrame:
+    """(_id, _digest, fp, least) of every row; ``digest`` tells rows of one id
+    apart where that matters."""
+    rows = renamed(docs, _id=id_col, _text=text_col).withColumn("_digest", F.lit(None).cast("binary") if digest is None else digest)
+    marked = materialise(with_fingerprint(rows, text_col="_text", shingle=shingle).select("_id", "_digest", "fp"), "simhash-rows")
     # A written table, so that adaptive execution may split a hot fingerprint.
     named = materialise(components(marked, radius).withColumnRenamed("fp", "_fp"), "simhash-components")
-    return marked.join(named, F.col("fp") == F.col("_fp")).select("_id", "fp", "component_id")
+    return marked.join(named, F.col("fp") == F.col("_fp")).select("_id", "_digest", "fp", "least")
 
 
 def query(spark: SparkSession, documents: DataFrame) -> DataFrame:
     found = near_duplicates(documents)
     return found.select(
-        F.col("_id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
+        F.col("_id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("least.id").alias("component_id")
     )
 
 
 def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, radius: int = 3) -> DataFrame:
-    """The documents whose id is the smallest of their group, with all their
-    columns. Rows without id stay, as they have no smallest id to yield to.
-    Only (id, group) pairs are computed; the texts move once, in the join that
-    takes out the other members."""
-    return leaders(docs, near_duplicates(docs, id_col=id_col, text_col=text_col, shingle=shingle, radius=radius), id_col)
-
-
-def leaders(docs: DataFrame, found: DataFrame, id_col: str) -> DataFrame:
-    """The documents that lead their group in ``found`` (_id, component_id)."""
-    # An id leaves if none of its rows leads its group.
-    leaves = found.groupBy("_id").agg(F.max(F.col("component_id") == F.col("_id")).alias("_leads"))
-    gone = leaves.filter("not _leads").select(F.col("_id").alias("_gone"))
-    rows, names = fenced(docs)
-    return rows.join(gone, F.col(names[id_col]) == F.col("_gone"), "left_anti").toDF(*docs.columns)
+    """One row of every group, with all its columns: that of the smallest id,
+    of several texts with this id the one with the smallest digest. Rows
+    without id lead only where no row of the group has one. Ids, digests and
+    groups are computed; the texts move once, in the join that takes out the
+    other rows."""
+    found = near_duplicates(docs, id_col=id_col, text_col=text_col, shingle=shingle, radius=radius, digest=text_digest("_text"))
+    return leaders(docs, found, id_col=id_col, text_col=text_col)
+
+
+def leaders(docs: DataFrame, found: DataFrame, *, id_col: str, text_col: str) -> DataFrame:
+    """The row that leads each group of ``found`` (_id, _digest, least)."""
+    leads = F.col("_id").eqNullSafe(F.col("least.id")) & (F.col("_digest") == F.col("least.digest"))
+    return one_row_each(docs, found.select("_id", "_digest", leads.alias("_stays")), id_col=id_col, text_col=text_col)
