@@ -7,13 +7,14 @@ of (offset, length) per record. Archives that already hold one member per
 record, or mix both forms, pass through the same code.
 
 Archives travel as rows (archive, content): what ``binaryFile`` reads. In
-memory a task holds one archive's compressed bytes and one record.
+memory a task holds one Arrow batch of archives (64 MiB as Spark sets it, or
+one larger archive) and one record.
 
 Defined results: a null payload is an empty one; payloads under
 ``MIN_REVISIT`` bytes are always responses; rows that repeat a page (same id,
 same payload) are all responses if their id is the smallest; a null id never
-is the smallest unless all ids of the payload are null; an empty table gives
-no archive; a truncated archive raises ``ValueError`` with the archive's name.
+is the smallest unless all ids of the payload are null; payloads of any length
+are written and read whole; an empty table gives no archive; a truncated archive raises ``ValueError`` with the archive's name.
 """
 
 from __future__ import annotations
@@ -151,7 +152,9 @@ def with_roles(pages: DataFrame, *, id_col: str, url_col: str, payload_col: str)
         .filter("_n > 1")
         .select("_d", "_first")
     )
-    # Only payloads that occur twice are on the right; a hot one is split by AQE.
+    # Only payloads that occur twice are on the right. The table is written, so that its size is known: where
+    # Spark may broadcast it, no page is shuffled; beyond that, AQE splits a hot payload.
+    shared = materialise(shared, "warc-shared")
     return rows.join(shared, F.col("_digest") == F.col("_d"), "left").drop("_d")
 
 
