@@ -1,5 +1,10 @@
-"""Actions on a decision ledger: plan, move, restore. They run on the driver,
-as tasks may run twice; everything before them is a lazy plan."""
+"""Actions on a decision ledger: plan, move, restore. Moves and copies run on
+the driver, as tasks may run twice; everything before them is a plan.
+
+Defined results: rows that repeat a path are planned as files of their own;
+null names and folders form a group; an empty table plans nothing; a removed
+file that is listed twice is located twice.
+"""
 
 from __future__ import annotations
 
@@ -14,7 +19,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from shelfloom.config import Safety
-from shelfloom.functions.names import strip_collision
+from shelfloom.functions.names import stem, strip_collision, suffix
+from shelfloom.operators.ranking import numbered
+from shelfloom.runtime import materialise, ship
 
 RESERVE = 512 << 20
 SKIPPED = ("dry_run", "skipped_readonly", "skipped_protected", "skipped_error")
@@ -37,14 +44,49 @@ def cleaned_folder(path: str, home: str | None = None) -> str:
     return "/".join(out) or folder.name or "misc"
 
 
-def destinations(losers: DataFrame, bin_root: str, sub: str) -> DataFrame:
-    """``losers`` (path, name, folder) with ``destination``: names that meet in
-    one folder get ``_1``, ``_2`` ... by path."""
-    rank = F.row_number().over(Window.partitionBy("folder", "name").orderBy("path")) - 1
-    renamed = F.when(
-        F.col("_k") > 0, F.regexp_replace("name", r"(?s)^(.+?)(\.[^.]+)?$", F.concat(F.lit("$1_"), F.col("_k").cast("string"), F.lit("$2")))
-    ).otherwise(F.col("name"))
-    return losers.withColumn("_k", rank).withColumn("destination", F.concat_ws("/", F.lit(bin_root), F.lit(sub), "folder", renamed)).drop("_k")
+def destinations(losers: DataFrame, bin_root: str, sub: str, taken: DataFrame | None = None) -> DataFrame:
+    """``losers`` (path, name, folder) with ``destination``. The first file of
+    a name in a folder, by path, keeps it unless it is ``taken`` (folder, name:
+    what lies in the bin). Each other gets the next ``_1``, ``_2`` ... that no
+    file of the folder bears, in the bin or on its way there."""
+    body, ending = stem(F.col("name")), suffix(F.col("name"))
+    there = losers.select("folder", "name").distinct().withColumn("_old", F.lit(0))
+    if taken is not None:
+        there = there.unionByName(taken.select("folder", "name").distinct().withColumn("_old", F.lit(1))).groupBy("folder", "name").agg(F.max("_old").alias("_old"))
+    there = materialise(there, "bin-names")
+    # numbers that files of the folder bear already, by the name they are a number of
+    bare = r"(?s)^(.+)_([1-9][0-9]{0,17})$"
+    used = there.select("folder", F.regexp_extract(body, bare, 1).alias("_stem"), ending.alias("_end"), F.regexp_extract(body, bare, 2).alias("_used")).filter("_used <> ''")
+    used = numbered(used.select("folder", F.concat("_stem", "_end").alias("name"), F.col("_used").cast("long").alias("_used")), ["folder", "name"], ["_used"], "_j")
+    order = numbered(losers, ["folder", "name"], ["path"], "_k")
+    old = there.filter("_old = 1").select(F.col("folder").alias("_f"), F.col("name").alias("_n"))
+    same = F.col("folder").eqNullSafe(F.col("_f")) & F.col("name").eqNullSafe(F.col("_n"))
+    order = order.join(old, same, "left").withColumn("_k", F.when(F.col("_f").isNull(), F.col("_k") - 1).otherwise(F.col("_k"))).drop("_f", "_n")
+    # the k-th free number is k and one more for every used one below it: used j is below if used - j < k
+    marks = used.select("folder", "name", F.expr("2 * (_used - _j) + 1").alias("_at"), F.lit(1).alias("_one"))
+    asks = order.filter("_k > 0").select("folder", "name", F.expr("2 * _k").alias("_at"), F.lit(0).alias("_one"))
+    wanted = asks.select("folder", "name").distinct()
+    both = marks.join(wanted, ["folder", "name"], "left_semi").unionByName(asks)
+    below = F.sum("_one").over(Window.partitionBy("folder", "name").orderBy("_at").rowsBetween(Window.unboundedPreceding, 0))
+    skips = both.withColumn("_skip", below).filter("_one = 0").select(
+        F.col("folder").alias("_f"), F.col("name").alias("_n"), F.expr("_at div 2").alias("_m"), F.col("_skip")
+    )
+    out = order.join(skips, same & (F.col("_k") == F.col("_m")), "left").withColumn("_k", F.col("_k") + F.coalesce("_skip", F.lit(0)))
+    renamed = F.when(F.col("_k") > 0, F.concat(body, F.lit("_"), F.col("_k").cast("string"), ending)).otherwise(F.col("name"))
+    return out.withColumn("destination", F.concat_ws("/", F.lit(bin_root), F.lit(sub), "folder", renamed)).select(*losers.columns, "destination")
+
+
+def session_folders(folders: list[str], existing: set[str]) -> dict[str, str]:
+    """The bin folder that each source folder uses in one run: itself, or where
+    an earlier run has left it, the first free of ``name (2)``, ``name (3)``
+    ..."""
+    out = {}
+    for folder in dict.fromkeys(folders):
+        name, k = folder, 2
+        while name in existing:
+            name, k = f"{folder} ({k})", k + 1
+        out[folder] = name
+    return out
 
 
 def capacity(losers: DataFrame, bin_device: int, free: int) -> DataFrame:
@@ -61,6 +103,19 @@ def access(path: str) -> str:
     return "force_deletable" if os.access(os.path.dirname(path), os.W_OK) else "protected"
 
 
+def with_access(files: DataFrame) -> DataFrame:
+    """``files`` (path, ...) with ``access``, asked by the tasks on storage that
+    they share; ``protected`` where the path is gone."""
+    ship(files.sparkSession)
+
+    def run(frames):
+        for frame in frames:
+            yield frame.assign(access=[access(p) if p is not None and os.path.exists(p) else "protected" for p in frame["path"]])
+
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in files.schema if f.name != "access")
+    return files.drop("access").mapInPandas(run, f"{fields}, access string")
+
+
 def refusal(count: int, safety: Safety, *, large_confirmed: bool = False, confirmed: bool = False) -> str | None:
     """Why an operation on ``count`` files may not start: too_many or
     unconfirmed; None if it may. ``count`` is ``deletable`` of
@@ -125,25 +180,35 @@ def write_ledger(moves: list[Move], path: str) -> str:
 
 
 def located(removed: DataFrame, in_bin: DataFrame) -> DataFrame:
-    """Where each removed file (original, reported, size) now is in the bin
-    (path, name, size): at its reported path, else by reported name, else by
-    its original name; several are told apart by size, then by path.
-    ``status`` is found, missing or ambiguous."""
-    bins = in_bin.select(F.col("path").alias("actual"), F.col("name").alias("_name"), F.col("size").alias("_size"))
+    """``removed`` (original, reported, size) with ``actual``, its place in the
+    bin (path, name, size), and ``status``: at its reported path, else by the
+    reported name, else by the original name, where a name in the bin also
+    counts without its collision number. Several are told apart by size, then
+    the first by path is taken as ``ambiguous``; else found or missing. The bin
+    is counted by name first, so every removed file meets one row a key."""
+    bins = in_bin.select(F.col("path").alias("_path"), F.col("name").alias("_name"), F.col("size").alias("_size"))
     keys = bins.withColumn("_key", F.explode(F.array_distinct(F.array("_name", strip_collision(F.col("_name"))))))
     tail = lambda c: F.substring_index(c, "/", -1)
-    items = removed.withColumn("_id", F.sha2(F.concat_ws("|", "original", "reported"), 256))
-    by_path = items.join(bins, F.col("reported") == F.col("actual")).withColumn("_step", F.lit(1))
-    by_name = items.join(keys.filter("_key = _name"), tail("reported") == F.col("_key")).withColumn("_step", F.lit(2)).drop("_key")
-    by_first = items.join(keys, tail("original") == F.col("_key")).withColumn("_step", F.lit(3)).drop("_key")
-    found = by_path.unionByName(by_name).unionByName(by_first)
-    same = F.coalesce((F.col("size") == F.col("_size")).cast("int"), F.lit(0))
-    w = Window.partitionBy("_id")
-    step = found.withColumn("_best", F.min("_step").over(w)).filter("_step = _best")
-    sized = step.withColumn("_same", same).withColumn("_any", F.max("_same").over(w)).filter("_same = _any")
-    n = sized.withColumn("_n", F.count(F.lit(1)).over(w)).withColumn("_rank", F.row_number().over(w.orderBy("actual"))).filter("_rank = 1")
-    placed = n.select("_id", "actual", F.when(F.col("_n") > 1, "ambiguous").otherwise("found").alias("_status"))
-    return items.join(placed, "_id", "left").withColumn("status", F.coalesce("_status", F.lit("missing"))).drop("_id", "_status")
+    one = materialise(keys.groupBy("_key").agg(F.count(F.lit(1)).alias("_n"), F.min("_path").alias("_first")), "bin-keys")
+    same = materialise(keys.groupBy("_key", "_size").agg(F.count(F.lit(1)).alias("_n"), F.min("_path").alias("_first")), "bin-sizes")
+
+    def met(rows: DataFrame, key: F.Column, tag: str) -> DataFrame:
+        by_name = one.select(F.col("_key").alias(f"_k{tag}"), F.col("_n").alias(f"n{tag}"), F.col("_first").alias(f"f{tag}"))
+        by_size = same.select(F.col("_key").alias(f"_l{tag}"), F.col("_size").alias(f"_s{tag}"), F.col("_n").alias(f"m{tag}"), F.col("_first").alias(f"g{tag}"))
+        rows = rows.join(by_name, key == F.col(f"_k{tag}"), "left")
+        return rows.join(by_size, (key == F.col(f"_l{tag}")) & (F.col("_size_of") == F.col(f"_s{tag}")), "left")
+
+    items = removed.withColumn("_size_of", F.col("size"))
+    items = items.join(bins.select(F.col("_path").alias("_there")).distinct(), F.col("reported") == F.col("_there"), "left")
+    items = met(met(items, tail("reported"), "1"), tail("original"), "2")
+    use = F.when(F.col("n1").isNotNull(), F.struct(F.col("n1").alias("n"), F.col("f1").alias("f"), F.col("m1").alias("m"), F.col("g1").alias("g"))).when(
+        F.col("n2").isNotNull(), F.struct(F.col("n2").alias("n"), F.col("f2").alias("f"), F.col("m2").alias("m"), F.col("g2").alias("g"))
+    )
+    items = items.withColumn("_u", use)
+    actual = F.coalesce("_there", "_u.g", "_u.f")
+    single = F.col("_there").isNotNull() | (F.col("_u.n") == 1) | (F.col("_u.m") == 1)
+    status = F.when(actual.isNull(), "missing").when(F.coalesce(single, F.lit(False)), "found").otherwise("ambiguous")
+    return items.select(*removed.columns, actual.alias("actual"), status.alias("status"))
 
 
 def restore(items: Iterable[tuple[str, str, str]], dry_run: bool = True) -> list[tuple[str, str]]:

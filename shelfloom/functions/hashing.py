@@ -34,7 +34,8 @@ def similarity_pct(distance: Column, bits: int) -> Column:
 
 
 def sign_words(vector: Column, length: int = 64) -> Column:
-    """One 64-bit word: a bit per component, set where it is positive,
-    the first component highest."""
-    bits = F.transform(F.slice(vector, 1, length), lambda v: F.when(v > 0, F.lit("1")).otherwise(F.lit("0")))
-    return F.array(F.conv(F.array_join(bits, ""), 2, -10).cast("long"))
+    """One 64-bit word: a bit per component, set where it is positive, the
+    first component highest. A vector of another length raises an error."""
+    bits = F.transform(vector, lambda v: F.when(v > 0, F.lit("1")).otherwise(F.lit("0")))
+    word = F.array(F.conv(F.array_join(bits, ""), 2, -10).cast("long"))
+    return F.when(vector.isNull() | (F.size(vector) == length), word).otherwise(F.raise_error(F.lit(f"a vector of {length} components was expected")))

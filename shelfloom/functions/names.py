@@ -2,7 +2,9 @@
 
 ``importance`` grades a whole name from 1 to 9, ``provenance`` puts its stem
 into a class from 0 (recovered) to 4 (original), ``video_provenance`` is the
-variant for video names. Nulls give null.
+variant for video names. ``evidence`` adds them to a table step by step, so that
+what they share is made once and the generated code stays small. Nulls give
+null.
 """
 
 from __future__ import annotations
@@ -10,7 +12,7 @@ from __future__ import annotations
 import re
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 RECOVERED, COPY, WEAK, NEUTRAL, ORIGINAL = range(5)
@@ -65,11 +67,16 @@ VIDEO_ORIGINAL_MARKERS = "original orig camera video vid img image dsc dcim phot
 ORIGINAL_MARKERS = [*VIDEO_ORIGINAL_MARKERS, "screenshot", "snapchat", "whatsapp"]
 VIDEO_IMPORTANCE = {4: 9, 3: 5, 2: 3, 1: 2, 0: 1}
 
-NUMBERED = r"\([ \t]*[0-9]+[ \t]*\)"
-NUMBERED_END = r"\([ \t]*[0-9]+[ \t]*\)[ \t]*$"
-YEAR_END = r"\([ \t]*(19|20)[0-9][0-9][ \t]*\)[ \t]*$"
-ARABIC_NUMBERED = "نسخ[هة][ \\t]*[0-9]+"
+# The shapes of copy counters and carved files. Blanks and digits of every script count, as in the
+# rules; the classes are written out because they mean ASCII alone in Java and in SQL.
+BLANK = "[\\s\\p{Z}]*"
+NUMBERED = f"\\({BLANK}\\p{{Nd}}+{BLANK}\\)"
+NUMBERED_END = f"\\({BLANK}\\p{{Nd}}+{BLANK}\\){BLANK}$"
+YEAR_END = f"\\({BLANK}(19|20)\\p{{Nd}}\\p{{Nd}}{BLANK}\\){BLANK}$"
+ARABIC_NUMBERED = f"نسخ[هة]{BLANK}\\p{{Nd}}+"
 CARVED = "^[a-z]+_[0-9]+x[0-9]+x[0-9]+_[0-9]+$"
+DATE_ONLY = r"^[0-9\-_./\s]+$"
+RECOVERY_WORDS = ("recovered", "copy", "duplicate", "backup", "temp", "tmp")
 TOKEN_GAP = "[^0-9a-z؀-ۿ]+"
 BIDI = "[‎‏‪-‮⁦-⁩]"
 
@@ -108,7 +115,10 @@ def _matches(text: Column, words: Column, pattern: str) -> Column:
 
 def importance(name: Column) -> Column:
     text = normalised(name)
-    words = F.split(text, "[^a-z]+")
+    return _importance(name, text, F.split(text, "[^a-z]+"))
+
+
+def _importance(name: Column, text: Column, words: Column) -> Column:
     ranked = sorted(IMPORTANCE, key=len, reverse=True)  # stable: table order among equals
     found = F.coalesce(*[F.when(_matches(text, words, p), F.lit(IMPORTANCE[p])) for p in ranked], F.lit(5))
     base = F.when(F.regexp_replace(text, r"(?s)\.[^.]*$", "").rlike(CARVED), F.lit(5)).otherwise(found)
@@ -118,6 +128,23 @@ def importance(name: Column) -> Column:
     return F.when(name.isNotNull(), F.when(numbered, base).otherwise(base + 1))
 
 
+def evidence(rows: DataFrame, name: str = "name", name_date: Column | None = None) -> DataFrame:
+    """``rows`` with ``importance`` and ``provenance`` of a name column, and
+    with ``video_provenance`` if the name's date is given."""
+    n = F.col(name)
+    rows = rows.withColumns({"_text": normalised(n), "_stem": normalised(stem(n))})
+    rows = rows.withColumns({"_words": F.split("_text", "[^a-z]+"), "_tokens": tokens(F.col("_stem"))})
+    made = {
+        "importance": _importance(n, F.col("_text"), F.col("_words")),
+        "provenance": F.when(n.isNotNull(), _class(F.col("_stem"), ORIGINAL_MARKERS, image=True, words=F.col("_tokens"))),
+    }
+    if name_date is not None:
+        rows = rows.withColumns({"_date": name_date, "_plain": latin_digits(F.lower(stem(n)))})
+        rows = rows.withColumn("_parts", tokens(F.col("_plain")))
+        made["video_provenance"] = _video_class(n, F.col("_plain"), F.col("_parts"), F.col("_date"))
+    return rows.withColumns(made).drop("_text", "_stem", "_words", "_tokens", "_date", "_plain", "_parts")
+
+
 def tokens(stem_text: Column) -> Column:
     return F.split(stem_text, TOKEN_GAP)
 
@@ -128,8 +155,8 @@ def has_marker(words: Column, markers: list[str]) -> Column:
     return F.exists(words, lambda t: t.rlike(pattern))
 
 
-def _class(text: Column, original: list[str], *, image: bool) -> Column:
-    words = tokens(text)
+def _class(text: Column, original: list[str], *, image: bool, words: Column | None = None) -> Column:
+    words = tokens(text) if words is None else words
     lowered = [
         F.when(text.rlike(NUMBERED_END) & ~text.rlike(YEAR_END), F.lit(COPY)),
         F.when(has_marker(words, RECOVERY_MARKERS), F.lit(RECOVERED)),
@@ -152,17 +179,27 @@ def provenance(name: Column) -> Column:
 
 def video_provenance(name: Column, name_date: Column) -> Column:
     """As ``provenance`` without the carved shape, the Arabic counter and three
-    markers; a stem that is nothing but a valid date is an original."""
+    markers; a stem that is nothing but a valid date, of digits and signs that
+    part them, is an original."""
     text = latin_digits(F.lower(stem(name)))
-    cls = _class(text, VIDEO_ORIGINAL_MARKERS, image=False)
-    words = F.filter(tokens(text), lambda t: t != "")
-    dated = name_date.isNotNull() & (F.size(words) > 0) & F.forall(words, lambda t: t.rlike("^[0-9]+$"))
+    return _video_class(name, text, tokens(text), name_date)
+
+
+def _video_class(name: Column, text: Column, words: Column, name_date: Column) -> Column:
+    cls = _class(text, VIDEO_ORIGINAL_MARKERS, image=False, words=words)
+    words = F.filter(words, lambda t: t != "")
+    dated = name_date.isNotNull() & (F.size(words) > 0) & F.forall(words, lambda t: t.rlike("^[0-9]+$")) & text.rlike(DATE_ONLY)
     return F.when(name.isNotNull(), F.when((cls == NEUTRAL) & dated, F.lit(ORIGINAL)).otherwise(cls))
 
 
 def strip_collision(name: Column) -> Column:
-    """``x_3.jpg`` back to ``x.jpg``."""
-    return F.regexp_replace(name, r"(?s)^(.+)_[0-9]+(\.[^.]+)?$", "$1$2")
+    """``x_3.jpg`` back to ``x.jpg``; a name without a dot stays as it is."""
+    return F.regexp_replace(name, r"(?s)^(.+)_\p{Nd}+(\.[^.]*)$", "$1$2")
+
+
+def names_recovery(path: Column) -> Column:
+    """Whether the file name holds one of the words anywhere."""
+    return F.lower(base_name(path)).rlike("|".join(RECOVERY_WORDS))
 
 
 def after_colon(line: Column) -> Column:
@@ -171,6 +208,15 @@ def after_colon(line: Column) -> Column:
     return F.when(text != "", text)
 
 
+def human_size(size: Column) -> Column:
+    """The same steps under short names, with two decimals."""
+    units = ["B", "KB", "MB", "GB", "TB"]
+    out = F.format_string("%.2f TB", size / F.lit(1024.0**4))
+    for k in (3, 2, 1):
+        out = F.when(F.abs(size) < 1024 ** (k + 1), F.format_string(f"%.2f {units[k]}", size / F.lit(1024.0**k))).otherwise(out)
+    return F.when(F.abs(size) < 1024, F.format_string("%d B", size)).otherwise(out)
+
+
 def human_bytes(size: Column) -> Column:
     """Binary units with one decimal."""
     units = ["B", "KiB", "MiB", "GiB", "TiB"]

@@ -5,7 +5,11 @@ neighbourhood (large star), then each node's smaller neighbours likewise (small
 star); the edges end as one star per component, its centre the smallest node.
 Rounds grow with the logarithm of a component's size. A hub's edges meet in a
 grouped minimum, which combines before the shuffle, and in a join that adaptive
-execution splits; nothing is collected.
+execution splits; nothing is collected, and each round's table replaces the one
+before it.
+
+Defined results: edges with a null end, edges of a node to itself and repeated
+edges add nothing; no edges give no rows.
 """
 
 from __future__ import annotations
@@ -13,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shelfloom.runtime import materialise
+from shelfloom.runtime import discard, materialise
 
 
 def _round(edges: DataFrame) -> DataFrame:
@@ -37,6 +41,8 @@ def components(edges: DataFrame, u: str, v: str) -> DataFrame:
         if now == before or now[0] == 0:
             break
         before = now
-        current = materialise(_round(current), "edges")
+        after = materialise(_round(current), "edges")
+        discard(current)
+        current = after
     leaves = current.select(F.col("u").alias("node"), F.col("v").alias("component"))
     return leaves.union(current.select(F.col("v"), F.col("v"))).distinct()

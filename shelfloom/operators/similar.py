@@ -2,8 +2,14 @@
 
 Pairs within ``threshold`` bits agree on at least one of ``threshold + 1``
 bands, so an equi-join on (band, value) finds every pair and the distances
-decide. Files with equal hashes are joined as one representative each and
-attached to it afterwards, so a group of copies makes no quadratic output.
+decide. Where a band would have fewer than ``LEAST_BAND`` bits the tiles of
+``tiles`` are compared instead, with the same result. Files with equal hashes
+are joined as one representative each and attached to it afterwards, so a group
+of copies makes no quadratic output; groups need a forest of links, not pairs.
+
+Defined results: files without one of the hashes asked for are in no pair and
+no group; a distance equal to the threshold matches; a path that comes twice
+counts twice; no hashes give no rows.
 """
 
 from __future__ import annotations
@@ -11,8 +17,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from shelfloom.catalog import HEIF, RAW
 from shelfloom.functions.hashing import hamming, similarity_pct
-from shelfloom.operators import graph
+from shelfloom.functions.images import codecs
+from shelfloom.operators import graph, tiles
+from shelfloom.runtime import materialise
+
+LEAST_BAND = 6
+#: Fixed value: how many names of unreadable files a report lists.
+NAMED = 50
 
 
 def _bands(bits: int, threshold: int) -> list[tuple[int, int]]:
@@ -35,10 +48,13 @@ def representatives(hashes: DataFrame, secondary: bool = True) -> DataFrame:
     return hashes.dropna(subset=keys).groupBy(*keys).agg(F.min("path").alias("rep"))
 
 
-def hamming_pairs(hashes: DataFrame, threshold: int, bits: int = 64, secondary: bool = True) -> DataFrame:
+def hamming_pairs(hashes: DataFrame, threshold: int, bits: int = 64, secondary: bool = True, forest: bool = False) -> DataFrame:
     """(a, b, distance[, distance2]) of representatives, a < b, within the
-    threshold in every hash; a distance equal to it matches."""
+    threshold in every hash; with ``forest`` maybe fewer, which connect the
+    same."""
     reps = representatives(hashes, secondary)
+    if bits // (threshold + 1) < LEAST_BAND:
+        return tiles.near_pairs(materialise(reps, "representatives"), threshold, ["phash", "dhash"] if secondary else ["phash"], forest)
     values = F.array(
         *[F.concat_ws(":", F.lit(k), F.substring(F.col("_bits"), a + 1, n)) for k, (a, n) in enumerate(_bands(bits, threshold))]
     )
@@ -58,12 +74,22 @@ def similar_groups(hashes: DataFrame, threshold: int, bits: int = 64, secondary:
     """(path, component) of every file that is in a group of two or more; the
     component is the group's first path."""
     keys = ["phash", "dhash"] if secondary else ["phash"]
-    found = graph.components(hamming_pairs(hashes, threshold, bits, secondary), "a", "b")
+    found = graph.components(hamming_pairs(hashes, threshold, bits, secondary, forest=True), "a", "b")
     reps = representatives(hashes, secondary)
-    placed = hashes.dropna(subset=keys).join(reps, keys).join(found, F.col("rep") == F.col("node"), "left")
-    placed = placed.select("path", F.coalesce("component", "rep").alias("component"))
-    many = placed.groupBy("component").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1")
-    return placed.join(many, "component", "left_semi").select("path", "component")
+    # by distinct hash: one row for any number of copies
+    copies = hashes.dropna(subset=keys).groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    placed = copies.join(reps, keys).join(found, F.col("rep") == F.col("node"), "left").withColumn("component", F.coalesce("component", "rep"))
+    placed = materialise(placed.select(*keys, "component", "_n"), "placed")
+    many = placed.groupBy("component").agg(F.sum("_n").alias("_all")).filter("_all > 1").select("component")
+    named = materialise(placed.drop("_n").join(many, "component", "left_semi"), "groups")
+    return hashes.select("path", *keys).join(named, keys).select("path", "component")
+
+
+def totals(groups: DataFrame) -> DataFrame:
+    """(similar, groups): how many files go if one of each group stays, and of
+    how many groups."""
+    sizes = groups.groupBy("component").agg(F.count(F.lit(1)).alias("n"))
+    return sizes.agg(F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("similar"), F.count(F.lit(1)).alias("groups"))
 
 
 def similarity_to_first(groups: DataFrame, hashes: DataFrame, bits: int = 64) -> DataFrame:
@@ -81,3 +107,13 @@ def similarity_to_first(groups: DataFrame, hashes: DataFrame, bits: int = 64) ->
 def unhashed(files: DataFrame, hashes: DataFrame) -> DataFrame:
     """Scanned files without a hash."""
     return files.join(hashes.select("path"), "path", "left_anti")
+
+
+def unhashed_report(missing: DataFrame) -> dict:
+    """What to say of ``missing`` (name, ext): how many there are, the first
+    ``NAMED`` names, how many more, and the kinds of decoder that would help."""
+    seen = missing.groupBy("ext").count().collect()  # one row an extension
+    total, found = sum(r["count"] for r in seen), {(r.ext or "").lower() for r in seen}
+    names = [r.name for r in missing.select("name").orderBy("name").limit(NAMED).collect()]
+    hints = [kind for kind, extensions in (("raw", RAW), ("heif", HEIF)) if not codecs()[kind] and found & set(extensions)]
+    return {"total": total, "names": names, "more": max(0, total - NAMED), "decoders": hints}

@@ -1,6 +1,6 @@
 """The driver's tables seen as a file library, in Spark and in DuckDB SQL.
 
-A document is a file whose content is its text; its name takes one of ten
+A document is a file whose content is its text; its name takes one of thirteen
 shapes by its id, so that every naming rule meets rows.
 """
 
@@ -26,8 +26,11 @@ SHAPES = [
     "'old_backup_edited ' || doc_id || '.tmp'",
     f"{_D} || '-' || {_M} || '-' || {_Y} || ' scan - copy.pdf'",
     f"'Screenshot_' || {_YMD} || '-' || {_HMS} || '.png'",
+    "'clip_' || (doc_id % 7) || '.mov'",
+    "'scan_' || (doc_id % 5)",
+    f"CASE WHEN doc_id % 2 = 0 THEN '[' || {_YMD} || '].mp4' ELSE {_YMD} || '.mp4' END",
 ]
-NAME = "CASE doc_id % 10 " + " ".join(f"WHEN {k} THEN {s}" for k, s in enumerate(SHAPES)) + " END"
+NAME = "CASE doc_id % 13 " + " ".join(f"WHEN {k} THEN {s}" for k, s in enumerate(SHAPES)) + " END"
 HOURS = "(doc_id * 37 % 90000)"
 
 
@@ -65,7 +68,7 @@ def hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
     from shelfloom.functions.hashing import sign_words
 
     e = table(spark, sf_dir, "embeddings")
-    v: Column = F.slice(F.transform("embedding", lambda x: x.cast("double")), 1, 64)
+    v: Column = F.transform("embedding", lambda x: x.cast("double"))  # 64 components: sign_words raises on others
     turned = F.concat(F.slice(v, 2, 63), F.slice(v, 1, 1))
     steps = F.zip_with(v, turned, lambda a, b: a - b)
     return e.select(F.format_string("v%06d", "vec_id").alias("path"), sign_words(v).alias("phash"), sign_words(steps).alias("dhash"))

@@ -5,18 +5,21 @@ from __future__ import annotations
 import re
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from shelfloom import flows
 from shelfloom.actions import destinations, located
 from shelfloom.config import DEFAULT_FILTERS, Filters, Priorities, scaled_threshold
 from shelfloom.functions import dates, names
 from shelfloom.functions.hashing import full_hash, hamming, similarity_pct
 from shelfloom.operators import dedup, filters, quality, selection, similar
+from shelfloom.operators.ranking import per_group
 from shelfloom.plans.library import FILES_SQL, HASHES_SQL, files, hashes
 from shelfloom.runtime import table
 
 THRESHOLD = 20
+THRESHOLD_BOTH = 22
 SAMPLE = 64
 SCAN = Filters(max_size_mb=0, excluded_patterns=DEFAULT_FILTERS.excluded_patterns)
 
@@ -24,45 +27,51 @@ SCAN = Filters(max_size_mb=0, excluded_patterns=DEFAULT_FILTERS.excluded_pattern
 def rivals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Groups for the selection queries: files of one language and length
     class, with all evidence."""
-    f = files(spark, sf_dir)
-    name_date = dates.filename_timestamp(F.col("name"))
-    best = dates.best_date(name_date, F.lit(None).cast("timestamp_ntz"), F.col("mtime"))
-    return f.select(
+    return _evidence(files(spark, sf_dir).drop("content", "text")).select(
         F.expr("substring(ext, 2) || '-' || CAST(doc_id % 97 AS STRING)").alias("grp"),
-        "path",
-        "name",
-        "pixels",
-        "size",
-        "mtime",
-        names.importance(F.col("name")).alias("importance"),
-        names.provenance(F.col("name")).alias("provenance"),
-        best["ts"].alias("ts"),
-        best["source"].alias("ts_source"),
-    )
+        "path", "name", "pixels", "size", "mtime", "importance", "provenance", "video_provenance", "name_ts",
+        F.col("best.ts").alias("ts"), F.col("best.source").alias("ts_source"),
+    )
+
+
+def _evidence(rows: DataFrame) -> DataFrame:
+    """What selection asks of a name and a time, step by step."""
+    rows = rows.withColumn("name_ts", dates.filename_timestamp(F.col("name")))
+    rows = names.evidence(rows, "name", F.col("name_ts"))
+    return rows.withColumn("best", dates.best_date(F.col("name_ts"), F.lit(None).cast("timestamp_ntz"), F.col("mtime")))
+
+
+def _content(s, d):
+    return files(s, d).select("path", "ext", "size", "content")
 
 
 def exact_dup_groups(s, d):
-    g = dedup.duplicate_groups(files(s, d).select("path", "ext", "size", "content"))
-    return g.select("ext", "sha256", "n", F.array_join("members", "|").alias("members"))
+    return dedup.duplicate_groups(_content(s, d))
+
+
+def exact_dup_members(s, d):
+    """Which file is in which group: the groups as a table, not as lists."""
+    return dedup.duplicate_rows(_content(s, d)).select("ext", "sha256", "path")
 
 
 def exact_dup_images_style(s, d):
-    g = dedup.duplicate_groups(files(s, d).select("path", "ext", "size", "content"), by_extension=False)
-    return g.select("sha256", "n", F.array_join("members", "|").alias("members"))
+    return dedup.duplicate_groups(_content(s, d), by_extension=False)
+
+
+def exact_dup_images_members(s, d):
+    return dedup.duplicate_rows(_content(s, d), by_extension=False).select("sha256", "path")
 
 
 def exact_dup_totals(s, d):
-    return dedup.totals(dedup.duplicate_groups(files(s, d).select("path", "ext", "size", "content")))
+    return dedup.totals(dedup.duplicate_groups(_content(s, d)))
 
 
 def exact_dup_survivors(s, d):
     f = files(s, d)
     rows = dedup.duplicate_rows(f.select("path", "name", "ext", "size", "mtime", "pixels", "content"))
-    best = dates.best_date(dates.filename_timestamp(F.col("name")), F.lit(None).cast("timestamp_ntz"), F.col("mtime"))
-    rows = rows.select(
-        F.concat_ws("-", "ext", "sha256").alias("grp"), "path", "name", "pixels", "size",
-        names.importance(F.col("name")).alias("importance"), names.provenance(F.col("name")).alias("provenance"),
-        best["ts"].alias("ts"), best["source"].alias("ts_source"),
+    rows = _evidence(rows).select(
+        F.concat_ws("-", "ext", "sha256").alias("grp"), "path", "name", "pixels", "size", "importance", "provenance",
+        F.col("best.ts").alias("ts"), F.col("best.source").alias("ts_source"),
     )
     return selection.ledger(selection.ranked(rows)).select("grp", "path", "tier", F.round("total", 6).alias("total"), "is_kept")
 
@@ -88,15 +97,16 @@ def kept_files(s, d):
     return filters.kept(scanned).select("path", "size")
 
 
+def _named(s, d):
+    return files(s, d).select("path", "name")
+
+
 def name_importance(s, d):
-    return files(s, d).select("path", names.importance(F.col("name")).alias("importance"))
+    return names.evidence(_named(s, d)).select("path", "importance")
 
 
 def name_provenance(s, d):
-    name = F.col("name")
-    return files(s, d).select(
-        "path", names.provenance(name).alias("provenance"), names.video_provenance(name, dates.filename_timestamp(name)).alias("video_provenance")
-    )
+    return names.evidence(_named(s, d), "name", dates.filename_timestamp(F.col("name"))).select("path", "provenance", "video_provenance")
 
 
 def filename_dates(s, d):
@@ -108,6 +118,22 @@ def name_parts(s, d):
     return files(s, d).select("path", names.stem(n).alias("stem"), names.suffix(n).alias("suffix"), names.base_name(F.col("path")).alias("base"), names.strip_collision(n).alias("plain"))
 
 
+def name_marks(s, d):
+    """Recovery words anywhere in the name, and both forms of a size."""
+    size = F.expr("size * size * 7")
+    return files(s, d).select("path", names.names_recovery(F.col("path")).alias("recovery"), names.human_bytes(size).alias("bytes"), names.human_size(size).alias("short"))
+
+
+def file_info(s, d):
+    """Every file with what is known of it; each fourth has no header."""
+    f = files(s, d)
+    media = f.filter("doc_id % 4 <> 0").select(
+        "path", (F.col("pixels") / 1000).cast("int").alias("width"), F.lit(1000).alias("height"), F.lit("PNG").alias("format"), F.lit("RGB").alias("mode"),
+        F.when(F.expr("doc_id % 3 = 0"), F.create_map(F.lit("DateTime"), F.lit("2011:02:03 04:05:06"))).alias("exif"),
+    )
+    info = flows.file_info(f.select("path", "name", "size", "mtime"), media)
+    return info.drop("ts", "provenance")
+
 def best_dates(s, d):
     best = dates.best_date(dates.filename_timestamp(F.col("name")), F.when(F.col("pixels") % 3000 == 0, F.col("mtime")), F.col("mtime"))
     return files(s, d).select("path", F.date_format(best["ts"], "yyyy-MM-dd HH:mm:ss").alias("ts"), best["source"].alias("source"))
@@ -122,22 +148,21 @@ def score_table(s, d):
 
 
 def best_file(s, d):
-    return selection.ranked(rivals(s, d)).filter("rank = 1").select("grp", "path", "tier")
+    return selection.survivors(rivals(s, d)).select("grp", "path", "tier")
 
 
-def _ranked_videos(s, d):
-    name_date = dates.filename_timestamp(F.col("name"))
-    rows = rivals(s, d).withColumn("provenance", names.video_provenance(F.col("name"), name_date))
-    rows = rows.withColumn("ts_source", F.when(name_date.isNotNull(), "filename").otherwise("modified"))
-    return selection.ranked_videos(rows)
+def _videos(s, d):
+    rows = rivals(s, d).withColumn("provenance", F.col("video_provenance"))
+    rows = rows.withColumn("ts_source", F.when(F.col("name_ts").isNotNull(), "filename").otherwise("modified"))
+    return rows
 
 
 def best_video(s, d):
-    return _ranked_videos(s, d).filter("rank = 1").select("grp", "path", "tier")
+    return selection.surviving_videos(_videos(s, d)).select("grp", "path", "tier")
 
 
 def video_reasons(s, d):
-    return selection.video_reasons(_ranked_videos(s, d))
+    return selection.video_reasons(selection.ranked_videos(_videos(s, d)))
 
 
 def selection_reasons(s, d):
@@ -169,8 +194,8 @@ def replay_diff(s, d):
 
 def replay_causes(s, d):
     """A recorded run that kept the first path and knew dates to the day."""
-    rows = rivals(s, d).withColumns({
-        "was_kept": F.col("path") == F.min("path").over(Window.partitionBy("grp")),
+    rows = per_group(rivals(s, d), "grp", F.min("path").alias("_first")).withColumns({
+        "was_kept": F.col("path") == F.col("_first"),
         "old_ts": F.date_trunc("day", "ts").cast("timestamp_ntz"),
         "old_source": F.lit("none"),
     })
@@ -186,13 +211,27 @@ def replay_counts(s, d):
 
 
 def hamming_pairs(s, d):
+    """Pairs by the first hash alone."""
     return similar.hamming_pairs(hashes(s, d), THRESHOLD, secondary=False)
 
 
+def hamming_pairs_both(s, d):
+    """Pairs within the threshold in both hashes, the rule of the similar pass."""
+    return similar.hamming_pairs(hashes(s, d), THRESHOLD_BOTH)
+
+
 def similar_groups(s, d):
     return similar.similar_groups(hashes(s, d), THRESHOLD, secondary=False)
 
 
+def similar_groups_both(s, d):
+    return similar.similar_groups(hashes(s, d), THRESHOLD_BOTH)
+
+
+def similar_totals(s, d):
+    return similar.totals(similar_groups_both(s, d))
+
+
 def similarity_pct_query(s, d):
     h = hashes(s, d)
     return similar.similarity_to_first(similar.similar_groups(h, THRESHOLD, secondary=False), h)
@@ -224,8 +263,14 @@ def small_stats(s, d):
 
 
 def recycle_destinations(s, d):
-    f = files(s, d).select("path", F.expr("substring(path, 6, locate('/', path, 6) - 6)").alias("folder"), F.expr("substring(name, 1, 5) || '.dat'").alias("name"))
-    return destinations(f, "/bin", "duplicates").select("path", "destination")
+    """Short names that meet, some with a number already, and some in the bin
+    from before."""
+    f = files(s, d).select(
+        "doc_id", "path", F.expr("substring(path, 6, locate('/', path, 6) - 6)").alias("folder"),
+        F.expr("substring(name, 1, 3) || CASE WHEN doc_id % 11 = 0 THEN '_' || (1 + doc_id % 4) ELSE '' END || CASE WHEN doc_id % 6 = 0 THEN '' ELSE '.dat' END").alias("name"),
+    )
+    taken = f.filter("doc_id % 19 = 0").select("folder", F.expr("substring(name, 1, 3) || '_' || (doc_id % 5) || '.dat'").alias("name"))
+    return destinations(f.drop("doc_id"), "/bin", "duplicates", taken.unionByName(taken.limit(0))).select("path", "destination")
 
 
 def restore_plan(s, d):
@@ -235,8 +280,10 @@ def restore_plan(s, d):
         F.expr("'/bin/' || name || CASE WHEN doc_id % 3 = 0 THEN '?' ELSE '' END").alias("reported"),
         "size",
     )
-    in_bin = f.filter("doc_id % 5 <> 0").select(F.expr("'/bin/' || CASE WHEN doc_id % 4 = 0 THEN 'x/' ELSE '' END || name").alias("path"), "name", "size")
-    in_bin = in_bin.groupBy("path", "name").agg(F.max("size").alias("size"))
+    in_bin = f.filter("doc_id % 5 <> 0").select(
+        F.expr("'/bin/' || CASE WHEN doc_id % 4 = 0 THEN 'x/' ELSE '' END || (doc_id % 50) || '/' || name").alias("path"), "name", "size"
+    )
+    in_bin = in_bin.groupBy(F.expr("CASE WHEN path LIKE '/bin/1_/%' THEN '/bin/' || name ELSE path END").alias("path"), "name").agg(F.max("size").alias("size"))
     return located(removed, in_bin).select("original", "actual", "status")
 
 
@@ -268,11 +315,11 @@ def content_digests(s, d):
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     out = {f.__name__: f for f in (
-        exact_dup_groups, exact_dup_images_style, exact_dup_totals, exact_dup_survivors, size_candidates, sample_stats,
-        skip_reasons, skip_summary, kept_files, name_importance, name_provenance, filename_dates, name_parts, best_dates,
+        exact_dup_groups, exact_dup_members, exact_dup_images_style, exact_dup_images_members, exact_dup_totals, exact_dup_survivors, size_candidates, sample_stats,
+        skip_reasons, skip_summary, kept_files, name_importance, name_provenance, filename_dates, name_parts, name_marks, file_info, best_dates,
         score_table, best_file, best_video, video_reasons, selection_reasons, reason_details, reason_counts, deletion_reasons, resolution_sacrifice,
         replay_diff, replay_counts, replay_causes, replay_cause_counts,
-        hamming_pairs, similar_groups, hamming_sides, thresholds, small_filter, small_stats, recycle_destinations,
+        hamming_pairs, hamming_pairs_both, similar_groups, similar_groups_both, similar_totals, hamming_sides, thresholds, small_filter, small_stats, recycle_destinations,
         restore_plan, restore_counts, folder_union, unhashed, cross_volume, content_digests,
     )}
     return out | {"similarity_pct": similarity_pct_query}
@@ -318,6 +365,15 @@ def _class_sql(text: str, words: str, original: list[str], image: bool) -> str:
     return f"CASE WHEN {worst} = 3 AND {_marker(words, original)} THEN 4 ELSE {worst} END"
 
 
+def _plain_sql(name: str) -> str:
+    """Without the number behind the last underscore before the last dot."""
+    end = f"string_split({name}, '.')[-1]"
+    stem = f"left({name}, len({name}) - len({end}) - 1)"
+    tail = f"string_split({stem}, '_')[-1]"
+    base = f"left({stem}, len({stem}) - len({tail}) - 1)"
+    return f"CASE WHEN contains({name}, '.') AND contains({stem}, '_') AND {base} <> '' AND regexp_full_match({tail}, '[0-9]+') THEN {base} || '.' || {end} ELSE {name} END"
+
+
 _STEM_SQL = "regexp_replace(name, '^(.+)\\.[^.]+$', '\\1')"
 
 
@@ -327,7 +383,7 @@ a_pro AS (SELECT *, {_norm(_STEM_SQL)} AS t FROM imp),
 b_pro AS (SELECT *, string_split_regex(t, '{names.TOKEN_GAP}') AS w FROM a_pro),
 pro AS (SELECT * EXCLUDE (t, w), {_class_sql("t", "w", names.ORIGINAL_MARKERS, True)} AS provenance,
     {_class_sql("t", "w", names.VIDEO_ORIGINAL_MARKERS, False)} AS video_plain,
-    len(list_filter(w, lambda x: x <> '')) > 0 AND len(list_filter(w, lambda x: x <> '' AND NOT regexp_matches(x, '^[0-9]+$'))) = 0 AS all_digits FROM b_pro)"""
+    len(list_filter(w, lambda x: x <> '')) > 0 AND len(list_filter(w, lambda x: x <> '' AND NOT regexp_matches(x, '^[0-9]+$'))) = 0 AND regexp_full_match(t, '[-0-9_./ ]+') AS all_digits FROM b_pro)"""
 
 
 def _dates_sql() -> str:
@@ -397,7 +453,7 @@ def _scored_sql(priorities: Priorities = Priorities(), name: str = "scored", sou
 
 def oracle_sql() -> dict[str, str]:
     shared = """
-keyed AS (SELECT *, sha256(text) AS sha256 FROM files), dup AS (SELECT ext, sha256, count(*) AS n, string_agg(path, '|' ORDER BY path) AS members
+keyed AS (SELECT *, sha256(text) AS sha256 FROM files), dup AS (SELECT ext, sha256, count(*) AS n, min(path) AS first
     FROM keyed GROUP BY ext, sha256 HAVING count(*) > 1)"""
     pattern = " OR ".join(f"regexp_matches(lower(name), '{p}')" for p in ("\\.tmp$", "\\.temp$", "_backup", "\\.bak$"))
     reason = f"CASE WHEN {pattern} THEN 'excluded_pattern' WHEN size < 1024 THEN 'too_small' END"
@@ -410,6 +466,12 @@ reach AS (SELECT u AS node, u AS seen FROM sym UNION SELECT reach.node, sym.v FR
 comp AS (SELECT node, min(seen) AS component FROM reach GROUP BY node),
 placed AS (SELECT h.path, h.p, coalesce(c.component, r.rep) AS component FROM hashes h JOIN reps r ON h.p = r.p LEFT JOIN comp c ON c.node = r.rep),
 grouped AS (SELECT *, count(*) OVER (PARTITION BY component) AS n FROM placed)"""
+    # the same with the second hash in every step
+    pairs_both = f"""
+reps AS (SELECT p, q, min(path) AS rep FROM hashes GROUP BY p, q),
+pairs AS (SELECT a.rep AS a, b.rep AS b, hamming(a.p, b.p) AS distance, hamming(a.q, b.q) AS distance2
+    FROM reps a JOIN reps b ON a.rep < b.rep AND hamming(a.p, b.p) <= {THRESHOLD_BOTH} AND hamming(a.q, b.q) <= {THRESHOLD_BOTH})"""
+    rec_both = rec.replace(pairs, pairs_both).replace("ON h.p = r.p LEFT", "ON h.p = r.p AND h.q = r.q LEFT")
     rivals_sql, scored = _rivals_sql(), _scored_sql()
     small = "SELECT p_partkey, p_size * 15 AS w, p_partkey % 900 AS h FROM part"
     why = "CASE WHEN w < 300 AND h < 300 THEN 'both' WHEN w < 300 THEN 'width' WHEN h < 300 THEN 'height' END"
@@ -464,10 +526,11 @@ both_runs AS (SELECT s.grp, min(s.path) AS kept_before, max(s.path) FILTER (s.ra
 causes AS (SELECT grp, kept_before, kept_after, CASE WHEN kept_before = kept_after THEN NULL WHEN gate THEN 'name_gate' WHEN dated THEN 'date_restored' ELSE 'rescored' END AS cause FROM both_runs)"""
     restored = FILES_SQL + """,
 items AS (SELECT path AS original, '/bin/' || name || CASE WHEN doc_id % 3 = 0 THEN '?' ELSE '' END AS reported, size FROM files),
-bins AS (SELECT '/bin/' || CASE WHEN doc_id % 4 = 0 THEN 'x/' ELSE '' END || name AS actual, name, max(size) AS bin_size FROM files WHERE doc_id % 5 <> 0 GROUP BY 1, 2),
-keyed AS (SELECT *, name AS k FROM bins UNION SELECT *, regexp_replace(name, '^(.+)_[0-9]+(\\.[^.]+)?$', '\\1\\2') FROM bins),
+raw_bin AS (SELECT '/bin/' || CASE WHEN doc_id % 4 = 0 THEN 'x/' ELSE '' END || (doc_id % 50) || '/' || name AS spot, name, size FROM files WHERE doc_id % 5 <> 0),
+bins AS (SELECT CASE WHEN spot LIKE '/bin/1_/%' THEN '/bin/' || name ELSE spot END AS actual, name, max(size) AS bin_size FROM raw_bin GROUP BY 1, 2),
+keyed AS (SELECT *, name AS k FROM bins UNION SELECT *, """ + _plain_sql("name") + """ FROM bins),
 hits AS (SELECT original, actual, size = bin_size AS same, 1 AS step FROM items JOIN bins ON reported = actual
-    UNION ALL SELECT original, actual, size = bin_size, 2 FROM items JOIN bins ON string_split(reported, '/')[-1] = name
+    UNION ALL SELECT original, actual, size = bin_size, 2 FROM items JOIN keyed ON string_split(reported, '/')[-1] = k
     UNION ALL SELECT original, actual, size = bin_size, 3 FROM items JOIN keyed ON string_split(original, '/')[-1] = k),
 nearest AS (SELECT * FROM hits QUALIFY step = min(step) OVER (PARTITION BY original)),
 sized AS (SELECT * FROM nearest QUALIFY same = max(same) OVER (PARTITION BY original)),
@@ -480,7 +543,9 @@ rivals AS (SELECT ext || '-' || sha256 AS grp, path, name, pixels, size, mtime,
 SELECT grp, path, tier, round(total, 6) AS total, rank = 1 AS is_kept FROM scored"""
     return {
         "exact_dup_groups": FILES_SQL + "," + shared + " SELECT * FROM dup",
-        "exact_dup_images_style": FILES_SQL + " SELECT sha256(text) AS sha256, count(*) AS n, string_agg(path, '|' ORDER BY path) AS members FROM files GROUP BY 1 HAVING count(*) > 1",
+        "exact_dup_members": FILES_SQL + "," + shared + " SELECT ext, sha256, path FROM keyed SEMI JOIN dup USING (ext, sha256)",
+        "exact_dup_images_style": FILES_SQL + " SELECT sha256(text) AS sha256, count(*) AS n, min(path) AS first FROM files GROUP BY 1 HAVING count(*) > 1",
+        "exact_dup_images_members": FILES_SQL + " SELECT sha256(text) AS sha256, path FROM files QUALIFY count(*) OVER (PARTITION BY sha256(text)) > 1",
         "exact_dup_totals": FILES_SQL + "," + shared + " SELECT count(*) AS groups, CAST(coalesce(sum(n), 0) AS BIGINT) AS files, CAST(coalesce(sum(n - 1), 0) AS BIGINT) AS deletable FROM dup",
         "exact_dup_survivors": survivors,
         "size_candidates": FILES_SQL + " SELECT path, ext, size FROM (SELECT *, count(*) OVER (PARTITION BY ext, size) AS n FROM files) WHERE n > 1",
@@ -495,7 +560,17 @@ SELECT (SELECT count(*) FROM files) AS scanned, count(*) AS size_candidates, CAS
         "name_importance": _evidence_sql() + " SELECT path, importance FROM dat",
         "name_provenance": rivals_sql + " SELECT path, provenance, video_provenance FROM rivals",
         "filename_dates": _evidence_sql() + " SELECT path, strftime(name_ts, '%Y-%m-%d %H:%M:%S') AS ts FROM dat",
-        "name_parts": FILES_SQL + f" SELECT path, {_STEM_SQL} AS stem, regexp_extract(name, '^.+(\\.[^.]+)$', 1) AS suffix, name AS base, regexp_replace(name, '^(.+)_[0-9]+(\\.[^.]+)?$', '\\1\\2') AS plain FROM files",
+        "name_parts": FILES_SQL + f" SELECT path, {_STEM_SQL} AS stem, regexp_extract(name, '^.+(\\.[^.]+)$', 1) AS suffix, name AS base, {_plain_sql('name')} AS plain FROM files",
+        "name_marks": FILES_SQL + ", x AS (SELECT *, size * size * 7 AS z FROM files) SELECT path, regexp_matches(lower(name), 'recovered|copy|duplicate|backup|temp|tmp') AS recovery, "
+        + ", ".join("CASE WHEN z < 1024 THEN z || ' B' " + " ".join(f"WHEN {limit} THEN printf('%.{places}f {u}', z / {1024.0 ** k})" for k, (u, limit) in enumerate(zip(units, ("z < 1048576", "z < 1073741824", "z < 1099511627776", "true")), 1)) + f" END AS {name}" for name, places, units in (("bytes", 1, ("KiB", "MiB", "GiB", "TiB")), ("short", 2, ("KB", "MB", "GB", "TB")))) + " FROM x",
+        "file_info": _evidence_sql() + """,
+x AS (SELECT *, doc_id % 4 <> 0 AS pic, CASE WHEN doc_id % 4 <> 0 AND doc_id % 3 = 0 THEN TIMESTAMP '2011-02-03 04:05:06' END AS exif FROM dat),
+y AS (SELECT *, CASE WHEN name_ts IS NOT NULL AND (exif IS NULL OR name_ts <= exif) THEN 'filename' WHEN exif IS NOT NULL THEN 'exif' WHEN NOT pic THEN 'modified' ELSE 'none' END AS src FROM x),
+z AS (SELECT *, CASE src WHEN 'filename' THEN name_ts WHEN 'exif' THEN exif WHEN 'modified' THEN mtime END AS best FROM y)
+SELECT path, name, size AS size_bytes, round_even(size / CAST(1048576 AS DOUBLE), 2) AS size_mb, CASE WHEN pic THEN CAST(pixels / 1000 AS INTEGER) ELSE 0 END AS width, CASE WHEN pic THEN 1000 ELSE 0 END AS height,
+    CASE WHEN pic THEN pixels ELSE 0 END AS resolution, CASE WHEN pic THEN 'PNG' ELSE 'Unknown' END AS format, CASE WHEN pic THEN 'RGB' ELSE 'Unknown' END AS mode,
+    strftime(best, '%Y-%m-%d %H:%M:%S') AS extracted_date, src AS date_source, coalesce(src = 'filename' AND best = date_trunc('day', best), false) AS date_only, importance AS filename_importance,
+    strftime(mtime, '%Y-%m-%d %H:%M:%S') AS modified_time, CASE WHEN pic AND pixels > 0 THEN 'image' ELSE 'file' END AS kind FROM z""",
         "best_dates": _evidence_sql() + """,
 x AS (SELECT *, CASE WHEN pixels % 3000 = 0 THEN mtime END AS exif FROM dat)
 SELECT path, strftime(CASE WHEN name_ts IS NOT NULL AND (exif IS NULL OR name_ts <= exif) THEN name_ts WHEN exif IS NOT NULL THEN exif ELSE mtime END, '%Y-%m-%d %H:%M:%S') AS ts,
@@ -516,6 +591,9 @@ SELECT path, strftime(CASE WHEN name_ts IS NOT NULL AND (exif IS NULL OR name_ts
         "restore_counts": restored + " SELECT status, count(*) AS n FROM restored GROUP BY status",
         "replay_counts": replay + " SELECT changed, count(*) AS n FROM diff GROUP BY changed",
         "hamming_pairs": HASHES_SQL + "," + pairs + " SELECT a, b, CAST(distance AS INTEGER) AS distance FROM pairs",
+        "hamming_pairs_both": HASHES_SQL + "," + pairs_both + " SELECT a, b, CAST(distance AS INTEGER) AS distance, CAST(distance2 AS INTEGER) AS distance2 FROM pairs",
+        "similar_groups_both": rec_both + " SELECT path, component FROM grouped WHERE n > 1",
+        "similar_totals": rec_both + " SELECT CAST(coalesce(sum(m - 1), 0) AS BIGINT) AS similar, count(*) AS groups FROM (SELECT component, count(*) AS m FROM grouped WHERE n > 1 GROUP BY component)",
         "similar_groups": rec + " SELECT path, component FROM grouped WHERE n > 1",
         "similarity_pct": rec + " SELECT g.component AS anchor, g.path AS other, round_even((64 - hamming(g.p, f.p)) / CAST(64 AS DOUBLE) * 100, 1) AS pct FROM grouped g JOIN hashes f ON f.path = g.component WHERE g.n > 1 AND g.path <> g.component",
         "hamming_sides": HASHES_SQL + " SELECT h.path, CAST(hamming(h.p, f.p) AS INTEGER) AS distance, CAST(hamming(h.q, f.q) AS INTEGER) AS distance2, round_even((64 - hamming(h.p, f.p)) / CAST(64 AS DOUBLE) * 100, 1) AS pct FROM hashes h, (SELECT * FROM hashes WHERE path = 'v000000') f",
@@ -523,8 +601,12 @@ SELECT path, strftime(CASE WHEN name_ts IS NOT NULL AND (exif IS NULL OR name_ts
         "small_filter": f"SELECT p_partkey, {why} AS reason FROM ({small}) WHERE w < 300 OR h < 300",
         "small_stats": f"SELECT count(*) AS n, count(*) FILTER (r = 'both') AS n_both, count(*) FILTER (r = 'width') AS n_width, count(*) FILTER (r = 'height') AS n_height, CAST(coalesce(sum(p_partkey), 0) AS BIGINT) AS bytes FROM (SELECT *, {why} AS r FROM ({small})) WHERE r IS NOT NULL",
         "recycle_destinations": FILES_SQL + """,
-f AS (SELECT path, string_split(path, '/')[3] AS folder, substr(name, 1, 5) AS s FROM files), k AS (SELECT *, row_number() OVER (PARTITION BY folder, s ORDER BY path) - 1 AS k FROM f)
-SELECT path, '/bin/duplicates/' || folder || '/' || s || CASE WHEN k > 0 THEN '_' || k ELSE '' END || '.dat' AS destination FROM k""",
+f AS (SELECT doc_id, path, string_split(path, '/')[3] AS folder, substr(name, 1, 3) || CASE WHEN doc_id % 11 = 0 THEN '_' || (1 + doc_id % 4) ELSE '' END AS s, CASE WHEN doc_id % 6 = 0 THEN '' ELSE '.dat' END AS e FROM files),
+old AS (SELECT DISTINCT folder, substr(s || e, 1, 3) || '_' || (doc_id % 5) || '.dat' AS whole FROM f WHERE doc_id % 19 = 0),
+every AS (SELECT folder, list(DISTINCT whole) AS all_names FROM (SELECT folder, s || e AS whole FROM f UNION SELECT folder, whole FROM old) GROUP BY folder),
+k AS (SELECT f.*, all_names, row_number() OVER (PARTITION BY folder, s, e ORDER BY path) - CASE WHEN old.whole IS NULL THEN 1 ELSE 0 END AS k
+    FROM f JOIN every USING (folder) LEFT JOIN old ON old.folder = f.folder AND old.whole = s || e)
+SELECT path, '/bin/duplicates/' || folder || '/' || s || CASE WHEN k > 0 THEN '_' || list_filter(range(1, k + 1 + len(all_names)), lambda n: NOT list_contains(all_names, s || '_' || n || e))[k] ELSE '' END || e AS destination FROM k""",
         "folder_union": FILES_SQL + " SELECT path, size FROM files WHERE ext IN ('.en', '.de', '.fr')",
         "unhashed": FILES_SQL + " SELECT path, size FROM files WHERE size % 7 = 0",
         "cross_volume": FILES_SQL + f" SELECT CAST(coalesce(sum(size) FILTER (doc_id % 3 <> 0), 0) AS BIGINT) AS needed, coalesce(sum(size) FILTER (doc_id % 3 <> 0), 0) = 0 OR coalesce(sum(size) FILTER (doc_id % 3 <> 0), 0) + {512 << 20} <= {1 << 30} AS fits FROM files",

@@ -1,8 +1,11 @@
-"""Sources: a folder walker as a Python data source, content by path, and
+"""Sources: a folder walker in tasks, content and digests by path, and
 adapters from tables.
 
 Spark's own ``binaryFile`` silently leaves out names that start with a dot or
 an underscore, which the filters have to see and count.
+
+Defined results: a missing or unreadable folder has no files; a file that goes
+away or cannot be read has null content and digests; no files give no rows.
 """
 
 from __future__ import annotations
@@ -14,13 +17,11 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 SCHEMA = (
     "path string, name string, ext string, size long, mtime timestamp_ntz, device long, "
     "unreadable boolean, not_regular boolean, hidden boolean, system boolean"
 )
-BIG = 64 << 20
 
 
 def _ext(name: str) -> str:
@@ -38,88 +39,77 @@ def _row(path: str, hidden: bool) -> tuple:
     return path, name, _ext(name), s.st_size, mtime, s.st_dev, False, not regular, hidden, False
 
 
-class _Folder(InputPartition):
-    def __init__(self, folder: str, hidden: bool, deep: bool):
-        self.folder, self.hidden, self.deep = folder, hidden, deep
-
-
-class FileLibrary(DataSource):
-    """``spark.read.format("filelibrary").load(folder)``: one row per entry
-    below the folder that is no plain directory, hidden ones included. Option
-    ``extensions`` (comma-separated) narrows the walk before any ``stat``."""
-
-    @classmethod
-    def name(cls) -> str:
-        return "filelibrary"
-
-    def schema(self) -> str:
-        return SCHEMA
-
-    def reader(self, schema) -> DataSourceReader:
-        wanted = self.options.get("extensions")
-        return _Reader(self.options["path"], set(wanted.split(",")) if wanted is not None else None)
-
-
-class _Reader(DataSourceReader):
-    def __init__(self, root: str, wanted: set[str] | None):
-        self.root, self.wanted = root, wanted
-
-    def partitions(self):
-        """The root's own files, and one partition per folder of the first two
-        levels, so that a large tree is walked by many tasks."""
-        out = [_Folder(self.root, False, False)]
-        level = [(self.root, False)]
-        for depth in range(2):
-            below = []
-            for folder, hidden in level:
-                try:
-                    found = [(e.path, hidden or e.name.startswith(".")) for e in os.scandir(folder) if e.is_dir(follow_symlinks=False)]
-                except OSError:
-                    continue
-                below += found
-                out += [_Folder(p, h, depth == 1) for p, h in found]
-            level = below
-        return out
-
-    def read(self, partition):
-        stack = [(partition.folder, partition.hidden)]
-        while stack:
-            folder, hidden = stack.pop()
-            try:
-                entries = sorted(os.scandir(folder), key=lambda e: e.name)
-            except OSError:
+#: A task of ``files`` hands folders on once it has seen so many entries.
+SHARE = 20_000
+#: Files above this size have no ``content``; ``streamed_hashes`` reads any.
+BIG = 1 << 30
+
+
+def _entries(folder: str, hidden: bool, wanted: set[str] | None):
+    """(row or None, folder or None, hidden) of everything in one folder."""
+    try:
+        entries = sorted(os.scandir(folder), key=lambda e: e.name)
+    except OSError:
+        return
+    for e in entries:
+        inner = hidden or e.name.startswith(".")
+        fits = wanted is None or _ext(e.name) in wanted
+        if e.is_dir(follow_symlinks=False):
+            yield None, e.path, inner
+            # a folder that is named like a file is seen and counted
+            if wanted is None or not fits:
                 continue
-            for e in entries:
-                inner = hidden or e.name.startswith(".")
-                wanted = self.wanted is None or _ext(e.name) in self.wanted
-                if e.is_dir(follow_symlinks=False):
-                    if partition.deep:
-                        stack.append((e.path, inner))
-                    # a folder that is named like a file is seen and counted
-                    if self.wanted is None or not wanted:
-                        continue
-                if wanted:
-                    yield _row(e.path, inner)
+        if fits:
+            yield _row(e.path, inner), None, inner
 
 
 def files(spark: SparkSession, folders: list[str], extensions: list[str] | None = None) -> DataFrame:
     """Files of several folders; a path below two of them comes once. An empty
-    list of extensions wants nothing, a missing folder has nothing."""
-    spark.dataSource.register(FileLibrary)
-    parts = []
-    for folder in folders:
-        reader = spark.read.format("filelibrary")
-        if extensions is not None:
-            reader = reader.option("extensions", ",".join(extensions))
-        parts.append(reader.load(os.path.abspath(folder)))
-    if not parts:
+    list of extensions wants nothing, a missing folder has nothing. Tasks walk
+    the folders; one that has seen ``SHARE`` entries hands its open folders on,
+    to be dealt out again, so neither a wide nor a deep tree is one task's."""
+    import pandas as pd
+
+    from shelfloom.runtime import materialise, ship
+
+    if not folders or extensions == []:
         return spark.createDataFrame([], SCHEMA)
+    ship(spark)
+    wanted = None if extensions is None else set(extensions)
+    fields = [f.split()[0] for f in SCHEMA.split(", ")]
+
+    def walk(frames):
+        for frame in frames:
+            stack = list(zip(frame["folder"], frame["hidden"]))
+            rows, seen = [], 0
+            while stack and seen < SHARE:
+                folder, hidden = stack.pop()
+                for row, below, inner in _entries(folder, hidden, wanted):
+                    seen += 1
+                    if below is not None:
+                        stack.append((below, inner))
+                    else:
+                        rows.append((*row, None, None))
+            rows += [(*[None] * len(fields), folder, bool(hidden)) for folder, hidden in stack]
+            out = pd.DataFrame(rows, columns=[*fields, "_folder", "_hidden"])
+            yield out.astype({"size": "Int64", "device": "Int64", **{c: "boolean" for c in ("unreadable", "not_regular", "hidden", "system", "_hidden")}})
+
+    todo = spark.createDataFrame([(os.path.abspath(f), False) for f in dict.fromkeys(folders)], "folder string, hidden boolean")
+    parts = []
+    while True:
+        dealt = todo.repartition("folder")
+        found = materialise(dealt.mapInPandas(walk, f"{SCHEMA}, _folder string, _hidden boolean"), "walk")
+        parts.append(found.filter("_folder is null").drop("_folder", "_hidden"))
+        todo = found.filter("_folder is not null").select(F.col("_folder").alias("folder"), F.col("_hidden").alias("hidden"))
+        if todo.isEmpty():
+            break
     return reduce(DataFrame.unionByName, parts).dropDuplicates(["path"])
 
 
 def with_content(found: DataFrame) -> DataFrame:
-    """``content`` of every file, read by its path on shared storage; null if
-    it cannot be read. Large files go through ``streamed_hashes`` instead."""
+    """``content`` of every file, read by its path on shared storage, one file
+    at a time; null if it cannot be read or is over ``BIG`` bytes, which a row
+    can hardly hold (``streamed_hashes`` reads those)."""
     from shelfloom.runtime import ship
 
     ship(found.sparkSession)
@@ -138,7 +128,7 @@ def with_content(found: DataFrame) -> DataFrame:
 def _read(path: str) -> bytes | None:
     try:
         with open(path, "rb") as f:
-            return f.read()
+            return f.read() if os.fstat(f.fileno()).st_size <= BIG else None
     except OSError:
         return None
 

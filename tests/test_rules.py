@@ -12,7 +12,7 @@ IMPORTANCE = {
     "photo_holiday.jpg": 8, "WhatsApp_2024.jpg": 7, "DSC_0453.jpg": 9, "original.jpg": 9, "epic_sunset.jpg": 6, "Temple_run.jpg": 6,
     "screenshot.png": 7, "thumbnail_001.jpg": 5, "img_1080x2340x24_020414.jpg": 6, "photo (2024-01-01).jpg": 8, "photo (10).jpg": 3,
     "photo (1).jpg": 3, "copy (1).jpg": 2, "dsc (2).jpg": 2, "recovered_file.jpg": 2, "image - copy.jpg": 3, "photo_copy.jpg": 4,
-    "backup_photo.jpg": 4, "temp.jpg": 4, "dsc (Final).jpg": 9, "photo (2024).jpg": 3, "photo (١٠).jpg": 3,
+    "photo (\u00a03\u2003).jpg": 3, "photo (\u06f3).jpg": 3, "backup_photo.jpg": 4, "temp.jpg": 4, "dsc (Final).jpg": 9, "photo (2024).jpg": 3, "photo (١٠).jpg": 3,
 }
 PROVENANCE = {
     "IMG_20181117_142355.jpg": 4, "photo_20150601.jpg": 4, "Screenshot_20220712.png": 4, "IMG_1234_WA0001.jpg": 4, "20131213_161353.jpg": 3,
@@ -39,8 +39,11 @@ def test_importance(spark):
 def test_provenance(spark):
     assert over_names(spark, PROVENANCE, names.provenance(F.col("name"))) == PROVENANCE
     name = F.col("name")
-    got = over_names(spark, ["20180817.mp4", "img_1x1x24_1.mp4", "clip (2).mp4", "screenshot.mp4", None], names.video_provenance(name, dates.filename_timestamp(name)))
-    assert got == {"20180817.mp4": 4, "img_1x1x24_1.mp4": 4, "clip (2).mp4": 1, "screenshot.mp4": 3, None: None}
+    got = over_names(spark, ["20180817.mp4", "img_1x1x24_1.mp4", "clip (2).mp4", "screenshot.mp4", "[20180817].mp4", "2018-08-17.mp4", None], names.video_provenance(name, dates.filename_timestamp(name)))
+    assert got == {"20180817.mp4": 4, "img_1x1x24_1.mp4": 4, "clip (2).mp4": 1, "screenshot.mp4": 3, "[20180817].mp4": 3, "2018-08-17.mp4": 4, None: None}
+    both = spark.createDataFrame([(n,) for n in [*PROVENANCE, *IMPORTANCE, None]], "name string")
+    for r in names.evidence(both.withColumn("want", names.importance(name)).withColumn("cls", names.provenance(name)), "name", dates.filename_timestamp(name)).collect():
+        assert (r.importance, r.provenance) == (r.want, r.cls)
 
 
 def test_dates(spark):
@@ -50,7 +53,11 @@ def test_dates(spark):
 def test_name_parts(spark):
     values = [".bashrc", "a.tar.gz", "x", "x_3.jpg", "_3.jpg", None]
     assert over_names(spark, values, names.suffix(F.col("name"))) == {".bashrc": "", "a.tar.gz": ".gz", "x": "", "x_3.jpg": ".jpg", "_3.jpg": ".jpg", None: None}
-    assert over_names(spark, values, names.strip_collision(F.col("name")))["x_3.jpg"] == "x.jpg"
+    plain = over_names(spark, [*values, "x_3", "a.b_2", "photo (2)_3.jpg", "x_.jpg", "x_٣.jpg"], names.strip_collision(F.col("name")))
+    assert plain == {".bashrc": ".bashrc", "a.tar.gz": "a.tar.gz", "x": "x", "x_3.jpg": "x.jpg", "_3.jpg": "_3.jpg", None: None, "x_3": "x_3", "a.b_2": "a.b_2", "photo (2)_3.jpg": "photo (2).jpg", "x_.jpg": "x_.jpg", "x_٣.jpg": "x.jpg"}
+    assert over_names(spark, ["/d/My Copy.jpg", "/copy/x.jpg", None], names.names_recovery(F.col("name"))) == {"/d/My Copy.jpg": True, "/copy/x.jpg": False, None: None}
+    df = spark.createDataFrame([(0,), (1023,), (1536,), (5 << 40,)], "n long")
+    assert [r[0] for r in df.select(names.human_size(F.col("n"))).collect()] == ["0 B", "1023 B", "1.50 KB", "5.00 TB"]
     df = spark.createDataFrame([(0,), (1023,), (1536,), (5 << 30,)], "n long")
     assert [r[0] for r in df.select(names.human_bytes(F.col("n"))).collect()] == ["0 B", "1023 B", "1.5 KiB", "5.0 GiB"]
     df = spark.createDataFrame([("Kept: /a:b ",), ("none",), ("x:  ",)], "t string")
@@ -79,6 +86,10 @@ def scores(spark, groups, kind, expr):
 
 def test_ratio_and_filename_scores(spark):
     groups = [[7.76, 7.77], [1.0, 4.0], [0.0, 1.0, 2.0], [None, 3.0], [1.0, 2.0, 4.0]]
+    of = scoring.Aggregates()
+    df = spark.createDataFrame([(g, k, v) for g, vs in enumerate(groups) for k, v in enumerate(vs)], "grp int, k int, v double")
+    joined = {(r.grp, r.k): r.s for r in of.scored(df, {"s": scoring.ratio_scores(F.col("v"), of)}).collect()}
+    assert [[joined[g, k] for k in range(len(vs))] for g, vs in enumerate(groups)] == [[5, 5], [0, 10], [0, 0, 10], [5, 5], [0, 5, 10]]
     assert scores(spark, groups, "v double", scoring.ratio_scores(F.col("v"))) == [[5, 5], [0, 10], [0, 0, 10], [5, 5], [0, 5, 10]]
     assert scores(spark, [[8, 2], [3, 3]], "v int", scoring.filename_scores(F.col("v"))) == [[8.889, 2.222], [5, 5]]
     assert scores(spark, [[10_000, 40_000], [10_000, 15_000], [1, 1 << 40]], "v long", scoring.resolution_boost(F.col("v"))) == [[2, 2], [1, 1], [3, 3]]
@@ -140,3 +151,17 @@ def test_settings_and_catalogue():
     assert catalog.section_of(".mkv") == "video" and catalog.section_of(".weird") == "other"
     cases = {"800x600": (800, 600), "width=5 height=7": (5, 7), "height=7, width=5": (5, 7), "300": (300, 300), "1,2,3": (1, 2), "0x5": None, "": None}
     assert {k: quality.parse_dimensions(k) for k in cases} == cases
+
+
+def test_selection_of_odd_rows(spark):
+    """Null groups and evidence, repeated rows, ties, groups of one, no rows."""
+    ts = None
+    rows = [(None, "n/1", "a", None, None, None, None, ts, None), (None, "n/2", "b", 5, 5, 5, 3, ts, None), ("t", "t/B", "B", 1, 1, 5, 3, ts, "none"), ("t", "t/b", "b", 1, 1, 5, 3, ts, "none"),
+            ("t", "t/b", "b", 1, 1, 5, 3, ts, "none"), ("o", "o/1", "x", 1, 1, 5, 3, ts, "none")]
+    df = spark.createDataFrame(rows, "grp string, path string, name string, pixels long, size long, importance int, provenance int, ts timestamp_ntz, ts_source string").withColumn("mtime", F.col("ts"))
+    got = sorted((r.path, r.rank) for r in selection.ranked(df).collect())
+    assert got == [("n/1", 1), ("n/2", 2), ("o/1", 1), ("t/B", 1), ("t/b", 2), ("t/b", 2)]
+    assert sorted(r.path for r in selection.survivors(df).collect()) == ["n/1", "o/1", "t/B"]
+    assert selection.ranked_videos(df).count() == 6 and selection.explained(selection.ranked(df)).count() == 2
+    assert selection.ranked(df.limit(0)).count() == 0 == selection.explained(selection.ranked(df.limit(0))).count()
+    assert dates.stored_date is not None and [r[0] is None for r in spark.createDataFrame([("2020-01-02 03:04:05 (exif)",), ("Unknown",), (None,)], "t string").select(dates.stored_date(F.col("t"))).collect()] == [False, True, True]
