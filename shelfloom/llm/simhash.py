@@ -5,9 +5,10 @@ the same four bit counts. Two fingerprints within ``radius`` bits have bit
 counts whose differences, added over the quarters, are at most ``radius`` (one
 differing bit changes one quarter's count by one), so tile pairs of cells
 further apart are skipped and none within the radius is lost. Cells are split
-into tiles of about ``TILE`` fingerprints. Each tile gets the tiles of the
-cells near it (65 of them at most per tile of its own cell's size) and is
-compared with numpy exclusive-or and bit counts, block by block.
+into tiles of about ``TILE`` fingerprints. Every pair of tiles that may hold a
+link is a piece of work of its own, whatever cell it comes from: both tiles are
+sent under the pair's key and compared with numpy exclusive-or and bit counts,
+block by block.
 
 Only distinct fingerprints are compared. Each comparison hands on a forest, not
 all pairs of a dense group, and the forests become components in ``graph``.
@@ -126,32 +127,27 @@ def _tiles(fps: DataFrame, sizes: np.ndarray) -> DataFrame:
 
 
 def _sent(tiles: DataFrame, sizes: np.ndarray, radius: int) -> DataFrame:
-    """Each tile under its own key and under the key of every tile that has to
-    be compared with it: those of cells that come before, and in its own cell
-    the tiles before it."""
+    """(u, v, tile, fps): each tile under the key of every pair that it has to
+    be compared in, with the tiles of the cells near its own and with itself."""
     steps = _near(radius)
-    schema = pa.schema([("home", pa.int64()), ("own", pa.bool_()), ("fps", pa.binary())])
+    sides = np.array([SIDE**3, SIDE**2, SIDE, 1])
+    schema = pa.schema([("u", pa.int64()), ("v", pa.int64()), ("tile", pa.int64()), ("fps", pa.binary())])
 
     def run(batches):
         for batch in batches:
             for i in range(batch.num_rows):
                 tile = batch.column(0)[i].as_py()
                 data = batch.column(1)[i].values.to_numpy().tobytes()
-                cell, sub = tile >> 32, tile & 0xFFFFFFFF
-                at = np.array([cell // SIDE**3, cell // SIDE**2 % SIDE, cell // SIDE % SIDE, cell % SIDE])
-                near = at + steps
-                near = near[((near >= 0) & (near < SIDE)).all(axis=1)] @ np.array([SIDE**3, SIDE**2, SIDE, 1])
-                near = near[(near < cell) & (sizes[near] > 0)]
-                homes = [np.array([tile]), np.arange(sub) + (cell << 32)]
-                homes += [(c << 32) + np.arange(sizes[c]) for c in near.tolist()]
-                homes = np.concatenate(homes)
-                for k in range(0, len(homes), 512):
-                    part = homes[k : k + 512]
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(part), pa.array(part == tile), pa.array([data] * len(part), pa.binary())], schema=schema
-                    )
-
-    return tiles.mapInArrow(run, "home long, own boolean, fps binary")
+                cell = tile >> 32
+                near = cell // sides % SIDE + steps
+                near = near[((near >= 0) & (near < SIDE)).all(axis=1)] @ sides
+                others = np.concatenate([(c << 32) + np.arange(sizes[c]) for c in near[sizes[near] > 0].tolist()])
+                for k in range(0, len(others), 512):
+                    part = others[k : k + 512]
+                    columns = [np.minimum(part, tile), np.maximum(part, tile), np.full(len(part), tile)]
+                    yield pa.RecordBatch.from_arrays([*map(pa.array, columns), pa.array([data] * len(part), pa.binary())], schema=schema)
+
+    return tiles.mapInArrow(run, "u long, v long, tile long, fps binary")
 
 
 def links(fps: DataFrame, radius: int = 3, tile: int = TILE) -> DataFrame:
@@ -172,36 +168,28 @@ def links(fps: DataFrame, radius: int = 3, tile: int = TILE) -> DataFrame:
     sizes[sums["cell"].to_numpy(dtype=np.int64)] = -(-sums["n"].to_numpy(dtype=np.int64) // tile)
     shape = pa.schema([("u", pa.int64()), ("v", pa.int64())])
 
-    def compare(batches):
-        home, own, held, size = None, None, [], 0
-
-        def done():
-            nonlocal held, size
-            right, held, size = np.concatenate(held), [], 0
-            for part in _blocks(own, right):
-                u, v = _star(*part, radius)
-                differ = u != v
-                if differ.any():
-                    yield pa.RecordBatch.from_arrays([pa.array(u[differ]), pa.array(v[differ])], schema=shape)
+    def compared(left, right):
+        for part in _blocks(left, right):
+            u, v = _star(*part, radius)
+            differ = u != v
+            if differ.any():
+                yield pa.RecordBatch.from_arrays([pa.array(u[differ]), pa.array(v[differ])], schema=shape)
 
+    def compare(batches):
+        at, held = None, None
         for batch in batches:
             for i in range(batch.num_rows):
-                key = batch.column(0)[i].as_py()
-                f = np.frombuffer(batch.column(2)[i].as_py(), np.int64)
-                if key != home:
-                    if held:
-                        yield from done()
-                    home, own = key, f
-                held.append(f)
-                size += len(f)
-                if size >= 2 * TILE:
-                    yield from done()
-        if held:
-            yield from done()
+                key = batch.column(0)[i].as_py(), batch.column(1)[i].as_py()
+                f = np.frombuffer(batch.column(3)[i].as_py(), np.int64)
+                if key[0] == key[1]:
+                    yield from compared(f, f)
+                elif key == at:
+                    yield from compared(held, f)
+                else:
+                    at, held = key, f
 
     sent = _sent(_tiles(fps, sizes), sizes, radius)
-    dealt = sent.repartition("home").sortWithinPartitions("home", F.desc("own"))
-    return dealt.mapInArrow(compare, "u long, v long").distinct()
+    return sent.repartition("u", "v").sortWithinPartitions("u", "v", "tile").mapInArrow(compare, "u long, v long").distinct()
 
 
 def _blocks(left: np.ndarray, right: np.ndarray):
