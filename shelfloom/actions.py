@@ -171,11 +171,13 @@ def move(plan: Iterable[tuple[str, str]], *, survivors: Mapping[str, str] | None
     return out
 
 
-def write_ledger(moves: list[Move], path: str) -> str:
-    """One JSON line per move, never over an existing file."""
+def write_ledger(moves: list[Move], path: str, *, section: str = "", dry_run: bool = True, bin_path: str = "") -> str:
+    """One JSON line per move with the run it belongs to, never over an
+    existing file: dry run or not, the bin, and how many moves failed."""
     target = free_name(Path(path))
     target.parent.mkdir(parents=True, exist_ok=True)
-    target.write_text("".join(json.dumps(asdict(m)) + "\n" for m in moves))
+    run = {"section": section, "dry_run": dry_run, "bin": bin_path, "failed": sum(m.outcome == "failed" for m in moves)}
+    target.write_text("".join(json.dumps(asdict(m) | run) + "\n" for m in moves))
     return str(target)
 
 

@@ -1,8 +1,14 @@
-"""Scan filters as one ordered first-match column, and their summary."""
+"""Scan filters as one ordered first-match column, and their summary.
+
+Defined results: a test on a null value fails no file; flags that the table
+lacks are not set; rows that repeat a path are judged each; no rows give an
+empty summary.
+"""
 
 from __future__ import annotations
 
 import fnmatch
+import os
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -19,7 +25,8 @@ def skip_reason(columns: list[str], filters: Filters = DEFAULT_FILTERS) -> Colum
     has = lambda c: F.coalesce(F.col(c), F.lit(False)) if c in columns else F.lit(False)
     tests: list[tuple[str, Column]] = [("unreadable", has("unreadable")), ("not_regular", has("not_regular"))]
     own = F.lit(False)
-    for prefix in filters.own_output:
+    # a prefix counts as it is written and as it is resolved; "reports" is not "reports-old"
+    for prefix in dict.fromkeys(p for given in filters.own_output for p in (given, os.path.realpath(given))):
         own = own | F.col("path").startswith(prefix.rstrip("/") + "/")
     tests.append(("own_output", own))
     if not filters.include_hidden:
@@ -65,6 +72,12 @@ def skip_summary(files: DataFrame) -> DataFrame:
     return found.agg(F.count(F.lit(1)).alias("n")).withColumn("liftable", F.col("reason").isin(*LIFTABLE))
 
 
+def in_order(summary: DataFrame) -> list[tuple[str, int]]:
+    """(reason, n) in the order of the tests: at most one row a reason."""
+    found = {r.reason: r.n for r in summary.collect()}
+    return [(reason, found[reason]) for reason in REASONS if reason in found]
+
+
 def advice(summary: list[tuple[str, int]], filters: Filters) -> str:
     """What recovery mode would change: already_on, would_help or would_not_help."""
     if filters.recovery:

@@ -1,4 +1,8 @@
-"""Undersized and corrupt media."""
+"""Undersized and corrupt media.
+
+Defined results: unknown dimensions are not small; rows that repeat a path count
+each; no rows give counts of 0.
+"""
 
 from __future__ import annotations
 
@@ -41,3 +45,8 @@ def parse_dimensions(text: str) -> tuple[int, int] | None:
 
 def corrupt(media: DataFrame) -> DataFrame:
     return media.filter(F.col("verdict") == "corrupt")
+
+
+def examples(rows: DataFrame, n: int = 5) -> list[str]:
+    """The first ``n`` paths, for a message."""
+    return [r.path for r in rows.select("path").orderBy("path").limit(n).collect()]

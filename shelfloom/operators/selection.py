@@ -215,3 +215,9 @@ def replay_causes(rows: DataFrame, priorities: Priorities = Priorities()) -> Dat
     cause = F.when(F.col("_gate"), "name_gate").when(F.col("_date"), "date_restored").otherwise("rescored")
     return both.select("grp", "kept_before", "kept_after", F.when(F.col("kept_before") != F.col("kept_after"), cause).alias("cause"))
 
+
+
+def changed_samples(diff: DataFrame, n: int = 12) -> list[tuple[str, str, str]]:
+    """(grp, kept_before, kept_after) of the first ``n`` changed groups."""
+    rows = diff.filter(F.col("kept_before") != F.col("kept_after")).select("grp", "kept_before", "kept_after")
+    return [tuple(r) for r in rows.orderBy("grp").limit(n).collect()]

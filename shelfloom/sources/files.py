@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 SCHEMA = (
-    "path string, name string, ext string, size long, mtime timestamp_ntz, device long, "
+    "path string, name string, ext string, size long, mtime timestamp_ntz, ctime timestamp_ntz, device long, "
     "unreadable boolean, not_regular boolean, hidden boolean, system boolean"
 )
 
@@ -33,10 +33,10 @@ def _row(path: str, hidden: bool) -> tuple:
     try:
         s = os.stat(path)
     except OSError:
-        return path, name, _ext(name), None, None, None, True, False, hidden, False
-    mtime = datetime.fromtimestamp(s.st_mtime, timezone.utc).replace(tzinfo=None)
+        return path, name, _ext(name), None, None, None, None, True, False, hidden, False
+    mtime, ctime = (datetime.fromtimestamp(t, timezone.utc).replace(tzinfo=None) for t in (s.st_mtime, s.st_ctime))
     regular = stat.S_ISREG(s.st_mode)
-    return path, name, _ext(name), s.st_size, mtime, s.st_dev, False, not regular, hidden, False
+    return path, name, _ext(name), s.st_size, mtime, ctime, s.st_dev, False, not regular, hidden, False
 
 
 #: A task of ``files`` hands folders on once it has seen so many entries.

@@ -6,7 +6,7 @@ number and gives the same result."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -21,10 +21,10 @@ def _table(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 def process(batch: DataFrame, number: int, known_path: str, out_path: str) -> None:
     spark = batch.sparkSession
-    rows = batch.select("path", "ext", full_hash(F.col("content")).alias("sha256"))
+    rows = batch.select("path", "ext", full_hash(F.col("content")).alias("sha256")).dropna(subset=["path", "ext", "sha256"])
     known = _table(spark, known_path, "ext string, sha256 string, first_path string, batch long").filter(F.col("batch") != number)
-    first = F.first("path").over(Window.partitionBy("ext", "sha256").orderBy("path"))
-    joined = rows.withColumn("_own", first).join(known.select("ext", "sha256", "first_path"), ["ext", "sha256"], "left")
+    own = rows.groupBy("ext", "sha256").agg(F.min("path").alias("_own"))
+    joined = rows.join(own, ["ext", "sha256"]).join(known.select("ext", "sha256", "first_path"), ["ext", "sha256"], "left")
     marked = joined.select("path", "ext", "sha256", F.coalesce("first_path", "_own").alias("first_path")).persist()
     try:
         new = marked.filter("path = first_path").select("ext", "sha256", "first_path").distinct()

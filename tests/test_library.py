@@ -3,6 +3,8 @@
 import datetime
 import os
 import struct
+import subprocess
+import sys
 import zlib
 
 import duckdb
@@ -11,11 +13,11 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
-from shelfloom import actions, flows, report
+from shelfloom import actions, flows, report, runtime
 from shelfloom.config import RECOVERY_FILTERS, Filters, Priorities, Safety, load, load_safety
 from shelfloom.functions import images
 from shelfloom.functions import jpeg as jpegs
-from shelfloom.operators import dedup, filters, graph, ranking, selection, similar, tiles
+from shelfloom.operators import dedup, filters, graph, quality, ranking, selection, similar, tiles
 from shelfloom.sources import files as source
 from shelfloom.streaming import incremental
 
@@ -597,6 +599,39 @@ def test_stream(spark, tmp_path):
     assert spark.read.parquet(known).count() == 2
 
 
+def test_ledger_and_samples(spark, tmp_path):
+    moves = [actions.Move("/a", "/b/a", "moved"), actions.Move("/c", None, "failed")]
+    paths = [actions.write_ledger(moves, str(tmp_path / "ledger.json"), section="video", dry_run=False, bin_path="/b") for _ in range(2)]
+    rows = spark.read.json(paths[0]).collect()
+    assert paths[0] != paths[1] and {(r.original, r.outcome, r.failed, r.bin, r.section) for r in rows} == {("/a", "moved", 1, "/b", "video"), ("/c", "failed", 1, "/b", "video")}
+    diff = spark.createDataFrame([(f"g{k:02d}", "a", "a" if k % 2 else "b") for k in range(40)], "grp string, kept_before string, kept_after string")
+    assert [g for g, _, _ in selection.changed_samples(diff)] == [f"g{k:02d}" for k in range(0, 24, 2)]
+    assert quality.examples(spark.createDataFrame([(f"p{k}",) for k in range(9)], "path string")) == [f"p{k}" for k in range(5)]
+    files = spark.createDataFrame([("/x/r/a", "a", 5000), ("/x/r-old/a", "a", 1), (None, None, None)], "path string, name string, size long")
+    skips = filters.scanned(files, filters=Filters(own_output=("/x/r/",)))
+    assert filters.in_order(filters.skip_summary(skips)) == [("own_output", 1), ("too_small", 1)]
+
+
+def test_entry_without_the_optional_part():
+    """What the optional part needs may be missing; the rest has to work."""
+    code = "import sys; sys.modules['public_tokenizers'] = None; import __spark_entry__ as e; q = e.queries(); assert 'best_file' in q and not any(n.startswith('op') or n == 'pipeline' for n in q), q; assert set(e.oracle_sql()) == set(q)"
+    top = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    assert subprocess.run([sys.executable, "-c", code], cwd=top, timeout=120).returncode == 0
+
+
+def test_no_local_folder_on_a_cluster():
+    class Context:
+        master = "spark://host:7077"
+        getCheckpointDir = staticmethod(lambda: None)
+
+    class Session:
+        sparkContext = Context
+        conf = type("Conf", (), {"get": staticmethod(lambda key, default: default)})
+
+    with pytest.raises(ValueError):
+        runtime.shared_dir(Session)
+
+
 def _cell(v):
     if v is None or v != v:
         return None
