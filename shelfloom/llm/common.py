@@ -109,8 +109,9 @@ def one_row_each(docs: DataFrame, decided: DataFrame, *, id_col: str, text_col:
     of one that stays, one stays. Only ids and digests of rows that go, or that
     repeat, meet the texts in a join; null ids are ids like any other here."""
     marks = decided.groupBy("_id", "_digest").agg(F.max("_stays").alias("_stays"), F.count(F.lit(1)).alias("_rows"))
-    # written, so that the joins may be split where one mark is hot
-    marks = materialise(marks.filter("not _stays or _rows > 1"), "marks")
+    # written, so that the joins may be split where one mark is hot; merged at every size, so that a plan that
+    # broadcasts the marks of a small table is not another one for a large table
+    marks = materialise(marks.filter("not _stays or _rows > 1"), "marks").hint("merge")
     rows, names = fenced(docs)
     keyed = rows.withColumn("_digest", text_digest(names[text_col]))
 
