@@ -155,7 +155,7 @@ def train(
     languages = sorted({r._lang for r in rows})
     if len(languages) < 2:
         return Model(languages)
-    vectors = [(np.frombuffer(r._i, "<i4").astype(np.int64), np.frombuffer(r._n, "<f4").astype(float)) for r in rows]
+    vectors = [(np.frombuffer(r._i, "<i4"), np.frombuffer(r._n, "<f4")) for r in rows]
     seen, of = document_frequencies(known)
     idf = np.log((1 + of) / (1 + seen)) + 1.0
     place = {x: k for k, x in enumerate(languages)}
