@@ -395,15 +395,19 @@ def brute_near(rows):
     return set(group)
 
 
-def test_near_stage_finds_every_similar_pair(spark):
+@pytest.mark.parametrize("part", [3, 512])
+def test_near_stage_finds_every_similar_pair(spark, monkeypatch, part):
     import corpus_pipeline as P
+    from shelfloom.llm import shingles
+
+    monkeypatch.setattr(shingles, "PART", part)
 
     rng = random.Random(4)
     word = lambda: "".join(rng.choice("abcdefghij") for _ in range(rng.randint(3, 8)))
     texts = []
     for _ in range(40):
         base = [word() for _ in range(rng.choice([3, 30, 90, 250]))]
-        for _ in range(rng.randint(1, 5)):
+        for _ in range(rng.choice([1, 2, 3, 5, 12])):
             made = list(base)
             for _ in range(rng.randint(0, 1 + len(base) // 40)):
                 made[rng.randrange(len(made))] = word()
