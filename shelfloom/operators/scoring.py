@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from shelfloom.config import CRITERIA, Priorities
 from shelfloom.functions.dates import is_day_level
 from shelfloom.operators.ranking import per_group
+from shelfloom.runtime import materialise
 
 # Fixed values of the scoring rules.
 GATE_RATIO = 1.05
@@ -49,6 +50,8 @@ class Aggregates:
         return F.col(name)
 
     def scored(self, rows: DataFrame, scores: dict[str, Column]) -> DataFrame:
+        # read twice, for the groups and for the scores, and what a name tells is dear: so it is written once
+        rows = materialise(rows, "evidence")
         return per_group(rows, "grp", *self.asked).withColumns(scores).drop(*[f"_a{k}" for k in range(len(self.asked))])
 
 
