@@ -149,7 +149,8 @@ def train(
     few = few.groupBy("_lang", "_h").agg(F.min("_text").alias("_text"))
     first = F.row_number().over(Window.partitionBy("_lang").orderBy("_h", "_text"))
     few = few.withColumn("_k", first).filter(F.col("_k") <= per_language)
-    made = add_columns(few.select("_lang", "_h", "_text"), ["_text"], out, factory)
+    few = few.select("_lang", "_h", "_text").repartition(few.sparkSession.sparkContext.defaultParallelism)  # a language is one partition by now
+    made = add_columns(few, ["_text"], out, factory)
     rows = made.select("_h", "_lang", "_i", "_n").collect()
     rows = sorted((r for r in rows if len(r._i)), key=lambda r: (r._h, r._lang, r._i))
     languages = sorted({r._lang for r in rows})

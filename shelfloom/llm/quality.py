@@ -161,6 +161,7 @@ def train(
     joined = texts.join(F.broadcast(sample), F.col("_doc") == F.col("_id"))
     # An id may have any number of rows, so the rows are capped as well.
     joined = capped(joined, "_label", ["_h", "_id", "_text"], sizes, per_class)
+    joined = joined.repartition(joined.sparkSession.sparkContext.defaultParallelism)  # a class is one partition by now
     out = T.StructType([T.StructField("_i", T.BinaryType()), T.StructField("_v", T.BinaryType())])
 
     def factory():
