@@ -15,6 +15,7 @@ HASH_SIDE = {"normal": 8, "medium": 10, "advanced": 12, "ultra": 16}
 class Filters:
     """Scan filters; 0 turns a size limit off."""
 
+    # Limits and patterns that apply where nothing is set.
     min_size_bytes: int = 1024
     max_size_mb: int = 500
     include_hidden: bool = False
@@ -37,6 +38,7 @@ LIFTABLE = ("too_large", "excluded_pattern", "hidden")
 class Priorities:
     """``order`` ranks the criteria (1 is first), ``enabled`` drops one."""
 
+    # Rank of each criterion, and the gap that lets a date decide.
     order: tuple[int, int, int, int] = (2, 3, 1, 4)
     enabled: dict[str, bool] = field(default_factory=lambda: dict.fromkeys(CRITERIA, True))
     oldest: bool = True
@@ -69,6 +71,9 @@ def scaled_threshold(base: int, side: int) -> int:
     return base if side == 8 else max(1, round(base * side * side / 64))
 
 
+# The names under which a settings file holds what follows.
+
+
 def _number(value: Any, default: float) -> float:
     return value if isinstance(value, (int, float)) and not isinstance(value, bool) else default
 
