@@ -8,7 +8,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from shelfloom.llm import bpe, decontam, exact_dedup, html_extract, langid, mixing, quality, secrets, simhash, warc
+from shelfloom.llm import bpe, decontam, exact_dedup, html_extract, langid, mixing, phrases, quality, secrets, simhash, warc
 from shelfloom.llm.common import table
 
 
@@ -30,6 +30,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_token_counts": lambda s, d: bpe.query(s, table(s, d, "documents"), public_tokenizers.path("byte_bpe_50k.json")),
         "op9_exact_dedup": lambda s, d: exact_dedup.query(s, table(s, d, "documents")),
         "op10_secret_scan": lambda s, d: secrets.query(s, table(s, d, "documents"), public_tokenizers.path("byte_bpe_50k.json")),
+        "op11_phrase_collocations": lambda s, d: phrases.query(s, table(s, d, "documents")),
         "pipeline": pipeline,
     }
 
@@ -50,4 +51,5 @@ def oracle_sql() -> dict[str, str]:
         "op1_warc_normalise": WARC_SQL,
         "op6_mixture_budget": mixing.oracle(),
         "op9_exact_dedup": exact_dedup.ORACLE,
+        "op11_phrase_collocations": phrases.ORACLE,
     }
