@@ -8,7 +8,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from shelfloom.llm import bpe, decontam, exact_dedup, html_extract, langid, mixing, phrases, quality, secrets, simhash, warc
+from shelfloom.llm import bpe, bytepair, decontam, exact_dedup, html_extract, langid, manifest, mixing, phrases, quality, secrets, simhash, warc
 from shelfloom.llm.common import table
 
 
@@ -31,6 +31,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_exact_dedup": lambda s, d: exact_dedup.query(s, table(s, d, "documents")),
         "op10_secret_scan": lambda s, d: secrets.query(s, table(s, d, "documents"), public_tokenizers.path("byte_bpe_50k.json")),
         "op11_phrase_collocations": lambda s, d: phrases.query(s, table(s, d, "documents")),
+        "op12_merkle_manifest": lambda s, d: manifest.query(s, table(s, d, "documents")),
+        "op13_byte_bpe": lambda s, d: bytepair.query(s, table(s, d, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN),
         "pipeline": pipeline,
     }
 
@@ -52,4 +54,5 @@ def oracle_sql() -> dict[str, str]:
         "op6_mixture_budget": mixing.oracle(),
         "op9_exact_dedup": exact_dedup.ORACLE,
         "op11_phrase_collocations": phrases.ORACLE,
+        "op12_merkle_manifest": manifest.ORACLE,
     }
