@@ -13,9 +13,10 @@ longer phrases only where their pairs are frequent; no other pivot sees them.
 The order comes from a table of ``SLOTS`` counters (16 MB whatever the corpus),
 in which frequent words that share a slot are added up. Any order of words
 gives right counts, as it only says where a phrase is counted; words in an empty
-slot are too rare for any phrase. Fragments of a pivot with more than ``SPLIT``
-occurrences are split among several parts by their words, and the parts' counts
-are added up afterwards, so no word is one task's work.
+slot are too rare for any phrase. A pivot with more than ``SPLIT`` occurrences has
+several parts: its fragments are taken apart into phrases where they are cut, which
+are added up there, and each phrase goes whole to the part that its own words name,
+so neither a word nor a pair of words is one task's work.
 
 Defined results: null and empty texts have no words, a null language is
 ``und``; repeated rows count as often as they are there; extra columns are
@@ -42,9 +43,9 @@ CHUNK = 1 << 20
 SLOT_BITS = 22
 SLOTS = 1 << SLOT_BITS
 #: Occurrences of a pivot that one part takes.
-SPLIT = 20_000
+SPLIT = 200_000
 #: Rows that a task adds up before it hands them on.
-HELD = 1_000_000
+HELD = 400_000
 #: Words of more bytes are hashed one by one.
 LONG_WORD = 256
 
@@ -243,7 +244,7 @@ def order_table(words: DataFrame, min_count: int) -> np.ndarray:
     return out
 
 
-def _cut(w: _Words, order: np.ndarray, reach: int) -> tuple[list[np.ndarray], np.ndarray]:
+def _cut(w: _Words, order: np.ndarray, reach: int, split: int) -> tuple[list[np.ndarray], np.ndarray]:
     """([pivot, part, left 1, ..., right 1, ...], weights): the different fragments of a stretch, 0 where a
     place is empty. The pivot is the first of its word in the fragment."""
     kept = np.flatnonzero(order[w.hashes >> np.uint64(64 - SLOT_BITS)])
@@ -269,13 +270,20 @@ def _cut(w: _Words, order: np.ndarray, reach: int) -> tuple[list[np.ndarray], np
             else:
                 open_[:] = False
             sides.append(column)
-    some = np.flatnonzero((sides[0] != 0) | (sides[reach] != 0))
-    columns = [c[some] for c in sides]
-    pivot, parts = h[some], (count[some] // SPLIT).astype(np.uint64) + np.uint64(1)
-    part = _mix(reduce(lambda a, c: _mix(a) ^ c, columns)) % parts
-    # the parts of a split pivot begin at 1
-    part = np.where(parts > 1, part + np.uint64(1), np.uint64(0))
-    columns, weights, _ = _summed([pivot, part, *columns], np.ones(len(some), np.int64))
+    parts = (count // split).astype(np.uint64) + np.uint64(1)
+    some = np.flatnonzero(((sides[0] != 0) | (sides[reach] != 0)) & (parts == 1))
+    made = [[h[some], np.zeros(len(some), np.uint64), *(c[some] for c in sides)]]
+    for size in range(2, reach + 2):
+        for a in range(size):
+            b = size - 1 - a
+            whole = (parts > 1) & ((sides[a - 1] != 0) if a else True) & ((sides[reach + b - 1] != 0) if b else True)
+            at = np.flatnonzero(whole)
+            # the phrase alone, under a part of its pivot that it names itself
+            columns = [c[at] if k < a or reach <= k < reach + b else np.zeros(len(at), np.uint64) for k, c in enumerate(sides)]
+            part = _mix(reduce(lambda x, c: _mix(x) ^ c, columns)) % parts[at] + np.uint64(1)
+            made.append([h[at], part, *columns])
+    columns = [np.concatenate(c) for c in zip(*made, strict=True)]
+    columns, weights, _ = _summed(columns, np.ones(len(columns[0]), np.int64))
     return columns, weights
 
 
@@ -283,7 +291,7 @@ def _names(reach: int) -> list[str]:
     return ["pivot", "part", *(f"l{d}" for d in range(1, reach + 1)), *(f"r{d}" for d in range(1, reach + 1)), "n"]
 
 
-def fragments(docs: DataFrame, order, seed: int, max_words: int, *, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+def fragments(docs: DataFrame, order, seed: int, max_words: int, *, text_col: str = "text", lang_col: str = "lang", split: int = SPLIT) -> DataFrame:
     """The fragments of all texts, each with the number of times that a task met it. ``order`` is a broadcast of ``order_table``."""
     reach = max_words - 1
     names = _names(reach)
@@ -304,7 +312,7 @@ def fragments(docs: DataFrame, order, seed: int, max_words: int, *, text_col: st
         for batch in batches:
             _, salts = _salts(batch.column(1), seed)
             for w in _words(batch.column(0), salts):
-                columns, weights = _cut(w, order.value, reach)
+                columns, weights = _cut(w, order.value, reach, split)
                 if len(weights):
                     held.append((columns, weights))
                     rows += len(weights)
@@ -319,11 +327,11 @@ def fragments(docs: DataFrame, order, seed: int, max_words: int, *, text_col: st
 
 
 def _mined(columns: list[np.ndarray], weights: np.ndarray, reach: int, min_count: int) -> Iterator[tuple[list[np.ndarray], np.ndarray]]:
-    """(the words of a phrase, counts): every phrase of two words and more that holds the pivots of the given
-    fragments, which have all of their pivots' parts. A phrase of an unsplit pivot is there if it has ``min_count``."""
-    pivot, part = columns[0], columns[1]
+    """(the words of a phrase, counts): every phrase of two words and more with ``min_count`` occurrences in the given
+    fragments, which are all of their (pivot, part)."""
+    pivot, split = columns[0], columns[1] != 0
     left, right = columns[2 : 2 + reach], columns[2 + reach :]
-    least = np.where(part == 0, min_count, 1)
+    words = sum((c != 0).astype(np.int64) for c in left + right) + 1
     # frequent[a, b]: rows whose phrase from a words before the pivot to b words after it is frequent
     frequent = {(0, 0): np.ones(len(weights), bool)}
     for size in range(2, reach + 2):
@@ -334,14 +342,15 @@ def _mined(columns: list[np.ndarray], weights: np.ndarray, reach: int, min_count
                 mask = mask & frequent[a - 1, b]
             if b:
                 mask = mask & frequent[a, b - 1]
-            at = np.flatnonzero(mask)
-            words = [*(left[d][at] for d in reversed(range(a))), pivot[at], *(right[d][at] for d in range(b))]
-            phrases, counts, number = _summed([*words, part[at]], weights[at])
-            enough = counts >= np.where(phrases[-1] == 0, min_count, 1)
-            flags = np.zeros(len(weights), bool)
+            # a row of a split pivot stands for all of its words and nothing less
+            at = np.flatnonzero(mask & (~split | (words == size)))
+            found = [*(left[d][at] for d in reversed(range(a))), pivot[at], *(right[d][at] for d in range(b))]
+            phrases, counts, number = _summed(found, weights[at])
+            enough = counts >= min_count
+            flags = split.copy()
             flags[at] = enough[number] if len(at) else False
-            frequent[a, b] = flags
-            yield [c[enough] for c in phrases[:-1]], counts[enough]
+            frequent[a, b] = flags | split
+            yield [c[enough] for c in phrases], counts[enough]
 
 
 def mine(parts: DataFrame, max_words: int, min_count: int) -> DataFrame:
@@ -366,7 +375,7 @@ def mine(parts: DataFrame, max_words: int, min_count: int) -> DataFrame:
         for batch in batches:
             held.append([c.to_numpy(zero_copy_only=False).view(np.uint64) for c in batch.columns])
             rows += batch.num_rows
-            if rows >= HELD // 4:
+            if rows >= HELD // 2:
                 columns, weights = joined()
                 # all but the last (pivot, part), which may go on
                 new = np.flatnonzero((columns[0][1:] != columns[0][:-1]) | (columns[1][1:] != columns[1][:-1]))
@@ -380,12 +389,10 @@ def mine(parts: DataFrame, max_words: int, min_count: int) -> DataFrame:
             yield from emit(*joined())
 
     dealt = parts.repartition("pivot", "part").sortWithinPartitions("pivot", "part")
-    found = dealt.mapInArrow(local, "gram array<long>, n long")
-    # the parts of split pivots come together here
-    return found.groupBy("gram").agg(F.sum("n").alias("n")).filter(F.col("n") >= min_count)
+    return dealt.mapInArrow(local, "gram array<long>, n long")
 
 
-def phrases(docs: DataFrame, *, max_words: int = 3, min_count: int = 10, inside_percent: int = 50, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+def phrases(docs: DataFrame, *, max_words: int = 3, min_count: int = 10, inside_percent: int = 50, text_col: str = "text", lang_col: str = "lang", split: int = SPLIT) -> DataFrame:
     """(lang, phrase, words, a, l, r, n, score, dropped): every candidate phrase, with its lowest-scoring cut and whether
     a longer candidate stands for it."""
     if max_words < 2:
@@ -393,7 +400,7 @@ def phrases(docs: DataFrame, *, max_words: int = 3, min_count: int = 10, inside_
     spark = docs.sparkSession
     words, seed = vocabulary(docs, text_col=text_col, lang_col=lang_col)
     order = spark.sparkContext.broadcast(order_table(words, min_count))
-    grams = materialise(mine(fragments(docs, order, seed, max_words, text_col=text_col, lang_col=lang_col), max_words, min_count), "phrase-grams")
+    grams = materialise(mine(fragments(docs, order, seed, max_words, text_col=text_col, lang_col=lang_col, split=split), max_words, min_count), "phrase-grams")
     order.unpersist()
 
     often = words.filter(F.col("n") >= min_count)
@@ -425,8 +432,14 @@ def phrases(docs: DataFrame, *, max_words: int = 3, min_count: int = 10, inside_
 
 
 def query(spark: SparkSession, documents: DataFrame, top: int = 2000) -> DataFrame:
-    """Each language's first ``top`` phrases. Every task keeps that many of each language before anything is shuffled."""
-    found = phrases(documents).filter("not dropped")
+    """Each language's first ``top`` phrases. Only rows whose score may be among them are ordered."""
+    found = materialise(phrases(documents).filter("not dropped").drop("dropped", "words"), "phrase-scores")
+    # a score is 1,000,000 at most: of the thousands that scores begin with, the last that the first rows reach into
+    step = F.floor(F.col("score") / 1000).alias("step")
+    above = F.sum("rows").over(Window.partitionBy("lang").orderBy(F.desc("step")).rowsBetween(Window.unboundedPreceding, -1))
+    steps = found.groupBy("lang", step).agg(F.count(F.lit(1)).alias("rows")).withColumn("above", F.coalesce(above, F.lit(0)))
+    least = steps.filter(F.col("above") < top).groupBy("lang").agg(F.min("step").alias("least"))
+    found = found.join(least, "lang").filter(step >= F.col("least"))
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), F.asc("phrase")))
     ranked = found.withColumn("rank", rank).filter(F.col("rank") <= top)
     return ranked.select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", "n", "score")
