@@ -434,12 +434,15 @@ def phrases(docs: DataFrame, *, max_words: int = 3, min_count: int = 10, inside_
 def query(spark: SparkSession, documents: DataFrame, top: int = 2000) -> DataFrame:
     """Each language's first ``top`` phrases. Only rows whose score may be among them are ordered."""
     found = materialise(phrases(documents).filter("not dropped").drop("dropped", "words"), "phrase-scores")
-    # a score is 1,000,000 at most: of the thousands that scores begin with, the last that the first rows reach into
-    step = F.floor(F.col("score") / 1000).alias("step")
-    above = F.sum("rows").over(Window.partitionBy("lang").orderBy(F.desc("step")).rowsBetween(Window.unboundedPreceding, -1))
-    steps = found.groupBy("lang", step).agg(F.count(F.lit(1)).alias("rows")).withColumn("above", F.coalesce(above, F.lit(0)))
-    least = steps.filter(F.col("above") < top).groupBy("lang").agg(F.min("step").alias("least"))
-    found = found.join(least, "lang").filter(step >= F.col("least"))
+    # a score is 1,000,000 at most: of its thousands, and then of its last digits, the least that the first rows reach
+    # into; no task orders more than a thousand rows for it
+    above = lambda by: F.coalesce(F.sum("rows").over(Window.partitionBy("lang").orderBy(F.desc(by)).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    scores = materialise(found.groupBy("lang", "score").agg(F.count(F.lit(1)).alias("rows")).withColumn("step", F.floor(F.col("score") / 1000)), "phrase-steps")
+    steps = scores.groupBy("lang", "step").agg(F.sum("rows").alias("rows")).withColumn("before", above("step"))
+    last = steps.filter(F.col("before") < top).groupBy("lang").agg(F.min_by(F.struct("step", "before"), "step").alias("last"))
+    fine = scores.join(last, "lang").filter("step = last.step").withColumn("before", F.col("last.before") + above("score"))
+    least = fine.filter(F.col("before") < top).groupBy("lang").agg(F.min("score").alias("least"))
+    found = found.join(least, "lang").filter("score >= least")
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), F.asc("phrase")))
     ranked = found.withColumn("rank", rank).filter(F.col("rank") <= top)
     return ranked.select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", "n", "score")
