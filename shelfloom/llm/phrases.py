@@ -46,6 +46,8 @@ SLOTS = 1 << SLOT_BITS
 SPLIT = 200_000
 #: Rows that a task adds up before it hands them on.
 HELD = 400_000
+#: Parts of a language where its rows meet what is known of it.
+PARTS = 64
 #: Words of more bytes are hashed one by one.
 LONG_WORD = 256
 
@@ -392,6 +394,13 @@ def mine(parts: DataFrame, max_words: int, min_count: int) -> DataFrame:
     return dealt.mapInArrow(local, "gram array<long>, n long")
 
 
+def _with_lang(rows: DataFrame, langs: DataFrame, by: str) -> DataFrame:
+    """``rows`` with what ``langs`` has of their language, one row each. The rows of a language are dealt by ``by`` as well, so
+    that no task gets all of them."""
+    parts = langs.withColumn("_part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(PARTS - 1).cast("long"))))
+    return rows.withColumn("_part", F.pmod(F.xxhash64(by), F.lit(PARTS).cast("long"))).join(parts, ["lang", "_part"]).drop("_part")
+
+
 def phrases(docs: DataFrame, *, max_words: int = 3, min_count: int = 10, inside_percent: int = 50, text_col: str = "text", lang_col: str = "lang", split: int = SPLIT) -> DataFrame:
     """(lang, phrase, words, a, l, r, n, score, dropped): every candidate phrase, with its lowest-scoring cut and whether
     a longer candidate stands for it."""
@@ -424,7 +433,7 @@ def phrases(docs: DataFrame, *, max_words: int = 3, min_count: int = 10, inside_
     spelt = best.select("gram", F.posexplode("gram").alias("at", "h")).join(often.select("h", "lang", "word"), "h")
     spelt = spelt.groupBy("gram").agg(F.first("lang").alias("lang"), F.sort_array(F.collect_list(F.struct("at", "word"))).alias("spelt"))
     totals = words.groupBy("lang").agg(F.sum("n").alias("total"))
-    out = best.join(spelt, "gram").join(totals, "lang")
+    out = _with_lang(best.join(spelt, "gram"), totals, "gram")
     return out.select(
         "lang", F.array_join(F.col("spelt.word"), " ").alias("phrase"), size.alias("words"), "a", F.col("cut.l").alias("l"), F.col("cut.r").alias("r"),
         F.col("total").alias("n"), F.col("cut.score").alias("score"), dropped.alias("dropped"),
@@ -440,9 +449,9 @@ def query(spark: SparkSession, documents: DataFrame, top: int = 2000) -> DataFra
     scores = materialise(found.groupBy("lang", "score").agg(F.count(F.lit(1)).alias("rows")).withColumn("step", F.floor(F.col("score") / 1000)), "phrase-steps")
     steps = scores.groupBy("lang", "step").agg(F.sum("rows").alias("rows")).withColumn("before", above("step"))
     last = steps.filter(F.col("before") < top).groupBy("lang").agg(F.min_by(F.struct("step", "before"), "step").alias("last"))
-    fine = scores.join(last, "lang").filter("step = last.step").withColumn("before", F.col("last.before") + above("score"))
+    fine = _with_lang(scores, last, "score").filter("step = last.step").withColumn("before", F.col("last.before") + above("score"))
     least = fine.filter(F.col("before") < top).groupBy("lang").agg(F.min("score").alias("least"))
-    found = found.join(least, "lang").filter("score >= least")
+    found = _with_lang(found, least, "phrase").filter("score >= least")
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), F.asc("phrase")))
     ranked = found.withColumn("rank", rank).filter(F.col("rank") <= top)
     return ranked.select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", "n", "score")
