@@ -15,12 +15,12 @@ from collections.abc import Iterable, Mapping
 from dataclasses import asdict, dataclass
 from pathlib import Path
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shelfloom.config import Safety
 from shelfloom.functions.names import stem, strip_collision, suffix
-from shelfloom.operators.ranking import numbered
+from shelfloom.operators.ranking import numbered, running
 from shelfloom.runtime import materialise, ship
 
 RESERVE = 512 << 20
@@ -49,31 +49,31 @@ def destinations(losers: DataFrame, bin_root: str, sub: str, taken: DataFrame |
     a name in a folder, by path, keeps it unless it is ``taken`` (folder, name:
     what lies in the bin). Each other gets the next ``_1``, ``_2`` ... that no
     file of the folder bears, in the bin or on its way there."""
-    body, ending = stem(F.col("name")), suffix(F.col("name"))
-    there = losers.select("folder", "name").distinct().withColumn("_old", F.lit(0))
-    if taken is not None:
-        there = there.unionByName(taken.select("folder", "name").distinct().withColumn("_old", F.lit(1))).groupBy("folder", "name").agg(F.max("_old").alias("_old"))
-    there = materialise(there, "bin-names")
+    keys = ["folder", "name"]
+    names = losers.select(*[F.col(c).alias(f"_l{k}") for k, c in enumerate(losers.columns)], "folder", "name", F.col("path").alias("_path"), F.lit(1).alias("_own"))
+    nothing = [F.lit(None).cast(f.dataType).alias(f"_l{k}") for k, f in enumerate(losers.schema.fields)]
+    old = None if taken is None else materialise(taken.select(*keys).distinct(), "bin-names")
+    rows = names
+    if old is not None:  # what lies in the bin comes first of its name
+        rows = names.unionByName(old.select(*nothing, *keys, F.lit(None).cast("string").alias("_path"), F.lit(0).alias("_own")))
+    order = numbered(rows, keys, ["_own", "_path"], "_k").filter("_own = 1").withColumn("_k", F.col("_k") - 1)
     # numbers that files of the folder bear already, by the name they are a number of
+    body, ending = stem(F.col("name")), suffix(F.col("name"))
     bare = r"(?s)^(.+)_([1-9][0-9]{0,17})$"
+    there = names.select(*keys) if old is None else names.select(*keys).unionByName(old)
     used = there.select("folder", F.regexp_extract(body, bare, 1).alias("_stem"), ending.alias("_end"), F.regexp_extract(body, bare, 2).alias("_used")).filter("_used <> ''")
-    used = numbered(used.select("folder", F.concat("_stem", "_end").alias("name"), F.col("_used").cast("long").alias("_used")), ["folder", "name"], ["_used"], "_j")
-    order = numbered(losers, ["folder", "name"], ["path"], "_k")
-    old = there.filter("_old = 1").select(F.col("folder").alias("_f"), F.col("name").alias("_n"))
-    same = F.col("folder").eqNullSafe(F.col("_f")) & F.col("name").eqNullSafe(F.col("_n"))
-    order = order.join(old, same, "left").withColumn("_k", F.when(F.col("_f").isNull(), F.col("_k") - 1).otherwise(F.col("_k"))).drop("_f", "_n")
+    used = used.select("folder", F.concat("_stem", "_end").alias("name"), F.col("_used").cast("long").alias("_used")).distinct()
+    used = numbered(used, keys, ["_used"], "_j")
     # the k-th free number is k and one more for every used one below it: used j is below if used - j < k
-    marks = used.select("folder", "name", F.expr("2 * (_used - _j) + 1").alias("_at"), F.lit(1).alias("_one"))
-    asks = order.filter("_k > 0").select("folder", "name", F.expr("2 * _k").alias("_at"), F.lit(0).alias("_one"))
-    wanted = asks.select("folder", "name").distinct()
-    both = marks.join(wanted, ["folder", "name"], "left_semi").unionByName(asks)
-    below = F.sum("_one").over(Window.partitionBy("folder", "name").orderBy("_at").rowsBetween(Window.unboundedPreceding, 0))
-    skips = both.withColumn("_skip", below).filter("_one = 0").select(
-        F.col("folder").alias("_f"), F.col("name").alias("_n"), F.expr("_at div 2").alias("_m"), F.col("_skip")
-    )
-    out = order.join(skips, same & (F.col("_k") == F.col("_m")), "left").withColumn("_k", F.col("_k") + F.coalesce("_skip", F.lit(0)))
+    columns = [f"_l{k}" for k in range(len(losers.columns))]
+    marks = used.select(*nothing, *keys, F.expr("2 * (_used - _j) + 1").alias("_at"), F.lit(1).cast("long").alias("_one"), F.lit(None).cast("long").alias("_k"))
+    asks = order.filter("_k > 0").select(*columns, *keys, F.expr("2 * _k").alias("_at"), F.lit(0).cast("long").alias("_one"), "_k")
+    placed = running(marks.unionByName(asks), keys, ["_at"], "_one", "_skip").filter("_k is not null")
+    numbers = placed.select(*columns, *keys, (F.col("_k") + F.col("_skip")).alias("_k"))
+    out = numbers.unionByName(order.filter("_k = 0").select(*columns, *keys, "_k"))
     renamed = F.when(F.col("_k") > 0, F.concat(body, F.lit("_"), F.col("_k").cast("string"), ending)).otherwise(F.col("name"))
-    return out.withColumn("destination", F.concat_ws("/", F.lit(bin_root), F.lit(sub), "folder", renamed)).select(*losers.columns, "destination")
+    place = F.concat_ws("/", F.lit(bin_root), F.lit(sub), "folder", renamed)
+    return out.select(*[F.col(f"_l{k}").alias(c) for k, c in enumerate(losers.columns)], place.alias("destination"))
 
 
 def session_folders(folders: list[str], existing: set[str]) -> dict[str, str]:
@@ -187,12 +187,31 @@ def located(removed: DataFrame, in_bin: DataFrame) -> DataFrame:
     reported name, else by the original name, where a name in the bin also
     counts without its collision number. Several are told apart by size, then
     the first by path is taken as ``ambiguous``; else found or missing. The bin
-    is counted by name first, so every removed file meets one row a key."""
-    bins = in_bin.select(F.col("path").alias("_path"), F.col("name").alias("_name"), F.col("size").alias("_size"))
-    keys = bins.withColumn("_key", F.explode(F.array_distinct(F.array("_name", strip_collision(F.col("_name"))))))
+    is counted by name first, so every removed file meets one row a key.
+    ``bin_index`` does the same on an index that is kept."""
+    keys = bin_keys(in_bin.select("path", "name", "size"))
+    one = materialise(_by_key(keys), "bin-keys")
+    same = materialise(_by_size(keys), "bin-sizes")
+    return _located(removed, one, same, in_bin.select(F.col("path").alias("_there")).distinct(), [F.col("reported") == F.col("_there")])
+
+
+def bin_keys(in_bin: DataFrame) -> DataFrame:
+    """(_key, _path, _name, _size, ...): every file of the bin (path, name, size, ...) under its name and under that without its
+    collision number."""
+    kept = in_bin.withColumnsRenamed({c: f"_{c}" for c in in_bin.columns})
+    return kept.withColumn("_key", F.explode(F.array_distinct(F.array("_name", strip_collision(F.col("_name"))))))
+
+
+def _by_key(keys: DataFrame) -> DataFrame:
+    return keys.groupBy("_key").agg(F.count(F.lit(1)).alias("_n"), F.min("_path").alias("_first"))
+
+
+def _by_size(keys: DataFrame) -> DataFrame:
+    return keys.groupBy("_key", "_size").agg(F.count(F.lit(1)).alias("_n"), F.min("_path").alias("_first"))
+
+
+def _located(removed: DataFrame, one: DataFrame, same: DataFrame, there: DataFrame, at: list[F.Column]) -> DataFrame:
     tail = lambda c: F.substring_index(c, "/", -1)
-    one = materialise(keys.groupBy("_key").agg(F.count(F.lit(1)).alias("_n"), F.min("_path").alias("_first")), "bin-keys")
-    same = materialise(keys.groupBy("_key", "_size").agg(F.count(F.lit(1)).alias("_n"), F.min("_path").alias("_first")), "bin-sizes")
 
     def met(rows: DataFrame, key: F.Column, tag: str) -> DataFrame:
         by_name = one.select(F.col("_key").alias(f"_k{tag}"), F.col("_n").alias(f"n{tag}"), F.col("_first").alias(f"f{tag}"))
@@ -201,7 +220,7 @@ def located(removed: DataFrame, in_bin: DataFrame) -> DataFrame:
         return rows.join(by_size, (key == F.col(f"_l{tag}")) & (F.col("_size_of") == F.col(f"_s{tag}")), "left")
 
     items = removed.withColumn("_size_of", F.col("size"))
-    items = items.join(bins.select(F.col("_path").alias("_there")).distinct(), F.col("reported") == F.col("_there"), "left")
+    items = items.join(there, at, "left")
     items = met(met(items, tail("reported"), "1"), tail("original"), "2")
     use = F.when(F.col("n1").isNotNull(), F.struct(F.col("n1").alias("n"), F.col("f1").alias("f"), F.col("m1").alias("m"), F.col("g1").alias("g"))).when(
         F.col("n2").isNotNull(), F.struct(F.col("n2").alias("n"), F.col("f2").alias("f"), F.col("m2").alias("m"), F.col("g2").alias("g"))

@@ -10,11 +10,12 @@ null.
 from __future__ import annotations
 
 import re
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from shelfloom.functions import matching
+
 RECOVERED, COPY, WEAK, NEUTRAL, ORIGINAL = range(5)
 
 # Weights of name patterns. Patterns of Latin letters match whole
@@ -77,7 +78,8 @@ ARABIC_NUMBERED = f"نسخ[هة]{BLANK}\\p{{Nd}}+"
 CARVED = "^[a-z]+_[0-9]+x[0-9]+x[0-9]+_[0-9]+$"
 DATE_ONLY = r"^[0-9\-_./\s]+$"
 RECOVERY_WORDS = ("recovered", "copy", "duplicate", "backup", "temp", "tmp")
-TOKEN_GAP = "[^0-9a-z؀-ۿ]+"
+TOKEN = "0-9a-z؀-ۿ"
+TOKEN_GAP = f"[^{TOKEN}]+"
 BIDI = "[‎‏‪-‮⁦-⁩]"
 
 
@@ -107,24 +109,28 @@ def normalised(text: Column) -> Column:
     return strip_bidi(latin_digits(F.lower(text)))
 
 
-def _matches(text: Column, words: Column, pattern: str) -> Column:
-    if re.fullmatch("[a-z]+", pattern):
-        return F.array_contains(words, pattern)
-    return text.contains(pattern)
+#: Patterns in the order in which one decides, by their place in it: the longest first, in the order of the table among equals.
+RANKED = {p: k for k, p in enumerate(sorted(IMPORTANCE, key=len, reverse=True))}
+LATIN = [p for p in dict.fromkeys([*IMPORTANCE, *COPY_WORDS]) if re.fullmatch("[a-z]+", p)]
+OTHERS = [p for p in dict.fromkeys([*IMPORTANCE, *COPY_WORDS]) if p not in LATIN]
 
 
 def importance(name: Column) -> Column:
     text = normalised(name)
-    return _importance(name, text, F.split(text, "[^a-z]+"))
+    return _importance(name, text, _found(text))
+
+
+def _found(text: Column) -> Column:
+    """All patterns of importance in a name: words of Latin letters that stand alone, and others anywhere."""
+    return F.concat(matching.whole_words(text, LATIN, "a-z"), matching.anywhere(text, OTHERS))
 
 
-def _importance(name: Column, text: Column, words: Column) -> Column:
-    ranked = sorted(IMPORTANCE, key=len, reverse=True)  # stable: table order among equals
-    found = F.coalesce(*[F.when(_matches(text, words, p), F.lit(IMPORTANCE[p])) for p in ranked], F.lit(5))
-    base = F.when(F.regexp_replace(text, r"(?s)\.[^.]*$", "").rlike(CARVED), F.lit(5)).otherwise(found)
+def _importance(name: Column, text: Column, found: Column) -> Column:
+    weights = F.array(*[F.lit(IMPORTANCE[p]) for p in RANKED])
+    known = F.coalesce(F.try_element_at(weights, matching.least(found, RANKED) + 1), F.lit(5))
+    base = F.when(F.regexp_replace(text, r"(?s)\.[^.]*$", "").rlike(CARVED), F.lit(5)).otherwise(known)
     numbered = text.rlike(NUMBERED) | text.rlike(ARABIC_NUMBERED)
-    copied = reduce(lambda a, b: a | b, [_matches(text, words, p) for p in COPY_WORDS], numbered)
-    base = F.when(copied, F.least(base, F.lit(3))).otherwise(base)
+    base = F.when(numbered | matching.any_of(found, COPY_WORDS), F.least(base, F.lit(3))).otherwise(base)
     return F.when(name.isNotNull(), F.when(numbered, base).otherwise(base + 1))
 
 
@@ -133,14 +139,14 @@ def evidence(rows: DataFrame, name: str = "name", name_date: Column | None = Non
     with ``video_provenance`` if the name's date is given."""
     n = F.col(name)
     rows = rows.withColumns({"_text": normalised(n), "_stem": normalised(stem(n))})
-    rows = rows.withColumns({"_words": F.split("_text", "[^a-z]+"), "_tokens": tokens(F.col("_stem"))})
+    rows = rows.withColumns({"_words": _found(F.col("_text")), "_tokens": _markers(F.col("_stem"), ORIGINAL_MARKERS)})
     made = {
         "importance": _importance(n, F.col("_text"), F.col("_words")),
-        "provenance": F.when(n.isNotNull(), _class(F.col("_stem"), ORIGINAL_MARKERS, image=True, words=F.col("_tokens"))),
+        "provenance": F.when(n.isNotNull(), _class(F.col("_stem"), ORIGINAL_MARKERS, image=True, found=F.col("_tokens"))),
     }
     if name_date is not None:
         rows = rows.withColumns({"_date": name_date, "_plain": latin_digits(F.lower(stem(n)))})
-        rows = rows.withColumn("_parts", tokens(F.col("_plain")))
+        rows = rows.withColumn("_parts", _markers(F.col("_plain"), VIDEO_ORIGINAL_MARKERS))
         made["video_provenance"] = _video_class(n, F.col("_plain"), F.col("_parts"), F.col("_date"))
     return rows.withColumns(made).drop("_text", "_stem", "_words", "_tokens", "_date", "_plain", "_parts")
 
@@ -149,19 +155,18 @@ def tokens(stem_text: Column) -> Column:
     return F.split(stem_text, TOKEN_GAP)
 
 
-def has_marker(words: Column, markers: list[str]) -> Column:
-    """A word is a marker, or a marker with digits behind it."""
-    pattern = "^(" + "|".join(map(re.escape, markers)) + ")[0-9]*$"
-    return F.exists(words, lambda t: t.rlike(pattern))
+def _markers(stem_text: Column, original: list[str]) -> Column:
+    """All markers among the words of a stem, with digits behind them or without."""
+    return matching.marked_words(stem_text, [*RECOVERY_MARKERS, *COPY_MARKERS, *WEAK_MARKERS, *original], TOKEN)
 
 
-def _class(text: Column, original: list[str], *, image: bool, words: Column | None = None) -> Column:
-    words = tokens(text) if words is None else words
+def _class(text: Column, original: list[str], *, image: bool, found: Column | None = None) -> Column:
+    found = _markers(text, original) if found is None else found
     lowered = [
         F.when(text.rlike(NUMBERED_END) & ~text.rlike(YEAR_END), F.lit(COPY)),
-        F.when(has_marker(words, RECOVERY_MARKERS), F.lit(RECOVERED)),
-        F.when(has_marker(words, COPY_MARKERS), F.lit(COPY)),
-        F.when(has_marker(words, WEAK_MARKERS), F.lit(WEAK)),
+        F.when(matching.any_of(found, RECOVERY_MARKERS), F.lit(RECOVERED)),
+        F.when(matching.any_of(found, COPY_MARKERS), F.lit(COPY)),
+        F.when(matching.any_of(found, WEAK_MARKERS), F.lit(WEAK)),
     ]
     if image:
         lowered += [
@@ -169,7 +174,7 @@ def _class(text: Column, original: list[str], *, image: bool, words: Column | No
             F.when(text.rlike(CARVED), F.lit(RECOVERED)),
         ]
     worst = F.least(F.lit(NEUTRAL), *lowered)  # least skips nulls
-    lifted = has_marker(words, original)
+    lifted = matching.any_of(found, original)
     return F.when((worst == NEUTRAL) & lifted, F.lit(ORIGINAL)).otherwise(worst)
 
 
@@ -182,13 +187,13 @@ def video_provenance(name: Column, name_date: Column) -> Column:
     markers; a stem that is nothing but a valid date, of digits and signs that
     part them, is an original."""
     text = latin_digits(F.lower(stem(name)))
-    return _video_class(name, text, tokens(text), name_date)
+    return _video_class(name, text, _markers(text, VIDEO_ORIGINAL_MARKERS), name_date)
 
 
-def _video_class(name: Column, text: Column, words: Column, name_date: Column) -> Column:
-    cls = _class(text, VIDEO_ORIGINAL_MARKERS, image=False, words=words)
-    words = F.filter(words, lambda t: t != "")
-    dated = name_date.isNotNull() & (F.size(words) > 0) & F.forall(words, lambda t: t.rlike("^[0-9]+$")) & text.rlike(DATE_ONLY)
+def _video_class(name: Column, text: Column, found: Column, name_date: Column) -> Column:
+    cls = _class(text, VIDEO_ORIGINAL_MARKERS, image=False, found=found)
+    # digits and the signs that part them, and at least one digit
+    dated = name_date.isNotNull() & text.rlike(DATE_ONLY) & text.rlike("[0-9]")
     return F.when(name.isNotNull(), F.when((cls == NEUTRAL) & dated, F.lit(ORIGINAL)).otherwise(cls))
 
 

@@ -10,7 +10,7 @@ from __future__ import annotations
 import fnmatch
 import os
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from shelfloom.config import DEFAULT_FILTERS, LIFTABLE, Filters
@@ -34,10 +34,8 @@ def skip_reason(columns: list[str], filters: Filters = DEFAULT_FILTERS) -> Colum
     if not filters.include_system:
         tests.append(("system", has("system")))
     if filters.excluded_patterns:
-        match = F.lit(False)
-        for p in filters.excluded_patterns:
-            match = match | F.lower("name").rlike(_regex(p))
-        tests.append(("excluded_pattern", match))
+        # one expression, whatever the number of patterns
+        tests.append(("excluded_pattern", F.lower("name").rlike("|".join(f"(?:{_regex(p)})" for p in filters.excluded_patterns))))
     if filters.min_size_bytes > 0:
         tests.append(("too_small", F.col("size") < filters.min_size_bytes))
     if filters.max_size_mb > 0:
@@ -72,6 +70,21 @@ def skip_summary(files: DataFrame) -> DataFrame:
     return found.agg(F.count(F.lit(1)).alias("n")).withColumn("liftable", F.col("reason").isin(*LIFTABLE))
 
 
+def counted(files: DataFrame, name: str | None = None) -> tuple[DataFrame, Observation]:
+    """``files`` (with ``skip_reason``) and an observation that comes with
+    whatever is run on them: how many rows passed and how many each test skipped,
+    without another scan."""
+    seen = Observation(name) if name else Observation()
+    counts = [F.count(F.when(F.col("skip_reason") == r, F.lit(1))).alias(r) for r in REASONS]
+    return files.observe(seen, F.count(F.lit(1)).alias("scanned"), *counts), seen
+
+
+def observed_summary(spark: SparkSession, seen: Observation) -> DataFrame:
+    """What ``skip_summary`` gives, from an observation whose scan has run."""
+    found = [(r, seen.get[r], r in LIFTABLE) for r in REASONS if seen.get.get(r)]
+    return spark.createDataFrame(found, "reason string, n long, liftable boolean")
+
+
 def in_order(summary: DataFrame) -> list[tuple[str, int]]:
     """(reason, n) in the order of the tests: at most one row a reason."""
     found = {r.reason: r.n for r in summary.collect()}

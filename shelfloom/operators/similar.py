@@ -1,11 +1,10 @@
 """Near-duplicate images: Hamming threshold join and its closure.
 
-Pairs within ``threshold`` bits agree on at least one of ``threshold + 1``
-bands, so an equi-join on (band, value) finds every pair and the distances
-decide. Where a band would have fewer than ``LEAST_BAND`` bits the tiles of
-``tiles`` are compared instead, with the same result. Files with equal hashes
-are joined as one representative each and attached to it afterwards, so a group
-of copies makes no quadratic output; groups need a forest of links, not pairs.
+Pairs within the threshold are found by probing bands (``probing``), or where
+that would take longer by comparing everything (``tiles``), with the same
+result. Files with equal hashes are compared as one representative each and
+attached to it afterwards, so a group of copies makes no quadratic output;
+groups need a forest of links, not pairs.
 
 Defined results: files without one of the hashes asked for are in no pair and
 no group; a distance equal to the threshold matches; a path that comes twice
@@ -20,21 +19,13 @@ from pyspark.sql import functions as F
 from shelfloom.catalog import HEIF, RAW
 from shelfloom.functions.hashing import hamming, similarity_pct
 from shelfloom.functions.images import codecs
-from shelfloom.operators import graph, tiles
+from shelfloom.operators import graph, probing, tiles
 from shelfloom.runtime import materialise
 
-LEAST_BAND = 6
 #: Fixed value: how many names of unreadable files a report lists.
 NAMED = 50
 
 
-def _bands(bits: int, threshold: int) -> list[tuple[int, int]]:
-    """(start, length) of ``threshold + 1`` bands over the bits."""
-    n = min(threshold + 1, bits)
-    edges = [round(k * bits / n) for k in range(n + 1)]
-    return [(a, b - a) for a, b in zip(edges, edges[1:], strict=False)]
-
-
 def _bit_text(words: str, bits: int) -> F.Column:
     """The hash as text of 0 and 1, 64 digits a word."""
     per = min(64, bits)
@@ -52,22 +43,12 @@ def hamming_pairs(hashes: DataFrame, threshold: int, bits: int = 64, secondary:
     """(a, b, distance[, distance2]) of representatives, a < b, within the
     threshold in every hash; with ``forest`` maybe fewer, which connect the
     same."""
-    reps = representatives(hashes, secondary)
-    if bits // (threshold + 1) < LEAST_BAND:
-        return tiles.near_pairs(materialise(reps, "representatives"), threshold, ["phash", "dhash"] if secondary else ["phash"], forest)
-    values = F.array(
-        *[F.concat_ws(":", F.lit(k), F.substring(F.col("_bits"), a + 1, n)) for k, (a, n) in enumerate(_bands(bits, threshold))]
-    )
-    keyed = reps.withColumn("_bits", _bit_text("phash", bits)).withColumn("_band", F.explode(values)).drop("_bits")
-    right = keyed.select(*[F.col(c).alias(f"r_{c}") for c in keyed.columns])
-    close = hamming(F.col("phash"), F.col("r_phash"))
-    pairs = keyed.join(right, (F.col("_band") == F.col("r__band")) & (F.col("rep") < F.col("r_rep")) & (close <= threshold))
-    columns = [F.col("rep").alias("a"), F.col("r_rep").alias("b"), close.alias("distance")]
-    if secondary:
-        second = hamming(F.col("dhash"), F.col("r_dhash"))
-        pairs = pairs.filter(second <= threshold)
-        columns.append(second.alias("distance2"))
-    return pairs.select(*columns).distinct()
+    keys = ["phash", "dhash"] if secondary else ["phash"]
+    reps = materialise(representatives(hashes, secondary), "representatives")
+    bands = probing.plan(reps.count(), bits, threshold)
+    if bands is None:
+        return tiles.near_pairs(reps, threshold, keys, forest)
+    return probing.near_pairs(reps, _bit_text("phash", bits), threshold, keys, bands, forest)
 
 
 def similar_groups(hashes: DataFrame, threshold: int, bits: int = 64, secondary: bool = True) -> DataFrame:

@@ -30,7 +30,7 @@ def _words(column, width: int) -> np.ndarray:
     return np.array(column, np.int64).reshape(-1, width).view(np.uint64)
 
 
-def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     out = np.zeros((len(a), len(b)), np.int32)
     for w in range(a.shape[1]):
         out += np.bitwise_count(a[:, None, w] ^ b[None, :, w])
@@ -96,7 +96,7 @@ def near_pairs(reps: DataFrame, threshold: int, hashes: list[str], forest: bool
         (names, left), (others, right) = one, two
         step = max(1, CELLS // max(1, len(others)))
         for k in range(0, len(names), step):
-            apart = [_distances(a[k : k + step], b) for a, b in zip(left, right, strict=True)]
+            apart = [distances(a[k : k + step], b) for a, b in zip(left, right, strict=True)]
             near = np.logical_and.reduce([d <= threshold for d in apart])
             if one is two:
                 near &= names[k : k + step, None] < others[None, :]

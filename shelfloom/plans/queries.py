@@ -15,6 +15,7 @@ from shelfloom.functions import dates, names
 from shelfloom.functions.hashing import full_hash, hamming, similarity_pct
 from shelfloom.operators import dedup, filters, quality, selection, similar
 from shelfloom.operators.ranking import per_group
+from shelfloom.plans import storage
 from shelfloom.plans.library import FILES_SQL, HASHES_SQL, files, hashes
 from shelfloom.runtime import table
 
@@ -273,7 +274,8 @@ def recycle_destinations(s, d):
     return destinations(f.drop("doc_id"), "/bin", "duplicates", taken.unionByName(taken.limit(0))).select("path", "destination")
 
 
-def restore_plan(s, d):
+def removed_and_bin(s, d):
+    """What a run has removed, and what lies in the bin by now."""
     f = files(s, d).select("doc_id", "path", "name", "size")
     removed = f.select(
         F.col("path").alias("original"),
@@ -284,7 +286,11 @@ def restore_plan(s, d):
         F.expr("'/bin/' || CASE WHEN doc_id % 4 = 0 THEN 'x/' ELSE '' END || (doc_id % 50) || '/' || name").alias("path"), "name", "size"
     )
     in_bin = in_bin.groupBy(F.expr("CASE WHEN path LIKE '/bin/1_/%' THEN '/bin/' || name ELSE path END").alias("path"), "name").agg(F.max("size").alias("size"))
-    return located(removed, in_bin).select("original", "actual", "status")
+    return removed, in_bin
+
+
+def restore_plan(s, d):
+    return located(*removed_and_bin(s, d)).select("original", "actual", "status")
 
 
 def restore_counts(s, d):
@@ -322,7 +328,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         hamming_pairs, hamming_pairs_both, similar_groups, similar_groups_both, similar_totals, hamming_sides, thresholds, small_filter, small_stats, recycle_destinations,
         restore_plan, restore_counts, folder_union, unhashed, cross_volume, content_digests,
     )}
-    return out | {"similarity_pct": similarity_pct_query}
+    return out | {"similarity_pct": similarity_pct_query} | storage.queries()
 
 
 # ---------------------------------------------------------------------------
@@ -588,6 +594,7 @@ SELECT path, strftime(CASE WHEN name_ts IS NOT NULL AND (exif IS NULL OR name_ts
         "replay_causes": causes + " SELECT * FROM causes",
         "replay_cause_counts": causes + " SELECT cause, count(*) AS n FROM causes GROUP BY cause",
         "restore_plan": restored + " SELECT * FROM restored",
+        "restore_indexed": restored + " SELECT * FROM restored",
         "restore_counts": restored + " SELECT status, count(*) AS n FROM restored GROUP BY status",
         "replay_counts": replay + " SELECT changed, count(*) AS n FROM diff GROUP BY changed",
         "hamming_pairs": HASHES_SQL + "," + pairs + " SELECT a, b, CAST(distance AS INTEGER) AS distance FROM pairs",
@@ -611,4 +618,4 @@ SELECT path, '/bin/duplicates/' || folder || '/' || s || CASE WHEN k > 0 THEN '_
         "unhashed": FILES_SQL + " SELECT path, size FROM files WHERE size % 7 = 0",
         "cross_volume": FILES_SQL + f" SELECT CAST(coalesce(sum(size) FILTER (doc_id % 3 <> 0), 0) AS BIGINT) AS needed, coalesce(sum(size) FILTER (doc_id % 3 <> 0), 0) = 0 OR coalesce(sum(size) FILTER (doc_id % 3 <> 0), 0) + {512 << 20} <= {1 << 30} AS fits FROM files",
         "content_digests": FILES_SQL + " SELECT path, sha256(text) AS sha256 FROM files",
-    }
+    } | storage.oracle_sql()
