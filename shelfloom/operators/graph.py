@@ -26,15 +26,18 @@ HUB = 10_000
 HUBS = 10_000
 
 
-def _met(edges: DataFrame, least: DataFrame, limit: int) -> DataFrame:
-    """``edges`` (u, v) with ``m`` of ``least`` (u, m, n), whose ``n`` counts the edges of u."""
+def _met(edges: DataFrame, least: DataFrame, limit: int | None) -> DataFrame:
+    """``edges`` (u, v) with ``m`` of ``least`` (u, m, n), whose ``n`` counts the edges of u; there are no hubs without a
+    limit."""
+    if limit is None:
+        return edges.join(least.select("u", "m"), "u")
     hubs = F.broadcast(least.filter(F.col("n") > limit).select(F.col("u").alias("hub"), F.col("m").alias("hub_m")))
     marked = edges.join(hubs, F.col("u") == F.col("hub"), "left")
     rest = marked.filter("hub is null").select("u", "v").join(least.filter(F.col("n") <= limit).select("u", "m"), "u")
     return rest.select("u", "v", "m").union(marked.filter("hub is not null").select("u", "v", F.col("hub_m").alias("m")))
 
 
-def _round(edges: DataFrame, limit: int) -> DataFrame:
+def _round(edges: DataFrame, limit: int | None) -> DataFrame:
     both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     least = both.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n"))
     least = least.select("u", F.least("u", "m").alias("m"), "n")  # its shuffle is made once for hubs and others
@@ -56,7 +59,8 @@ def components(edges: DataFrame, u: str, v: str) -> DataFrame:
         if now == before or now[0] == 0:
             break
         before = now
-        after = materialise(_round(current, max(HUB, 2 * now[0] // HUBS)), "edges")
+        # no node has more edges than there are
+        after = materialise(_round(current, max(HUB, 2 * now[0] // HUBS) if now[0] > HUB else None), "edges")
         discard(current)
         current = after
     leaves = current.select(F.col("u").alias("node"), F.col("v").alias("component"))
