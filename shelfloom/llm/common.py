@@ -103,25 +103,63 @@ def text_digest(column: str) -> F.Column:
     return F.unhex(F.sha2(F.coalesce(F.col(column), F.lit("")), 256))
 
 
+#: Bits of a map of keys: 4 MiB, whatever the number of keys.
+MAP_BITS = 1 << 25
+
+
+def key_maps(*keys: DataFrame) -> DataFrame:
+    """(_piece, _map0, _map1, ...): of each table of 64-bit hashes (_hash) the bits of ``MAP_BITS`` that they set, in pieces of
+    4 KiB. Small enough to send to every task, whatever the tables: ``MAP_BITS / 8`` bytes each."""
+    out = None
+    for k, rows in enumerate(keys):
+        at = F.pmod("_hash", F.lit(MAP_BITS)) + 1
+        pieces = rows.select(at.alias("_at")).groupBy(F.bitmap_bucket_number("_at").alias("_piece"))
+        made = pieces.agg(F.bitmap_construct_agg(F.bitmap_bit_position("_at")).alias(f"_map{k}"))
+        out = made if out is None else out.join(made, "_piece", "full")
+    return materialise(out, "key-maps")
+
+
+def looked_up(rows: DataFrame, maps: DataFrame, hashes: dict[str, tuple[F.Column, int]]) -> DataFrame:
+    """``rows`` with a boolean for each name of ``hashes``: whether map number ``n`` has the bit of that hash, which is so for
+    every key that is in it and for few others. The rows stay where they are."""
+    for name, (value, n) in hashes.items():
+        piece, byte = F.col(f"_piece_{name}"), F.col(f"_byte_{name}")
+        side = F.broadcast(maps.select(F.col("_piece").alias(f"_piece_{name}"), F.col(f"_map{n}").alias(f"_byte_{name}")))
+        at = F.pmod(value, F.lit(MAP_BITS)) + 1
+        place = F.bitmap_bit_position(at)
+        met = rows.join(side, F.bitmap_bucket_number(at) == piece, "left")
+        bits = F.conv(F.hex(F.substring(byte, (place / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+        bit = bits.bitwiseAND(F.element_at(F.array(*[F.lit(1 << b) for b in range(8)]), (place % 8).cast("int") + 1)) != 0
+        rows = met.select(*rows.columns, F.coalesce(bit, F.lit(False)).alias(name))
+    return rows
+
+
 def one_row_each(docs: DataFrame, decided: DataFrame, *, id_col: str, text_col: str) -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns. ``decided`` has
     (_id, _digest, _stays) of every row. Of rows that repeat both id and text
-    of one that stays, one stays. Only ids and digests of rows that go, or that
-    repeat, meet the texts in a join; null ids are ids like any other here."""
-    marks = decided.groupBy("_id", "_digest").agg(F.max("_stays").alias("_stays"), F.count(F.lit(1)).alias("_rows"))
-    # written, so that the joins may be split where one mark is hot; merged at every size, so that a plan that
-    # broadcasts the marks of a small table is not another one for a large table
-    marks = materialise(marks.filter("not _stays or _rows > 1"), "marks").hint("merge")
-    rows, names = fenced(docs)
-    keyed = rows.withColumn("_digest", text_digest(names[text_col]))
+    of one that stays, one stays; null ids are ids like any other here.
 
-    def same(side: DataFrame):
-        return F.col(names[id_col]).eqNullSafe(F.col("_id")) & (keyed["_digest"] == side["_digest"])
+    Texts stay where they are read. Which rows go is told by a map of the keys
+    that go, and which of those it takes for such by mistake by a second map, made
+    from the keys of all rows, so that only rows that both maps know, and those
+    that repeat, meet the keys themselves in a join."""
+    hashed = F.xxhash64("_id", "_digest").alias("_hash")
+    marks = decided.groupBy("_id", "_digest").agg(F.max("_stays").alias("_stays"), F.count(F.lit(1)).alias("_rows"))
+    marks = materialise(marks.withColumn("_hash", hashed), "marks")
+    go, again = marks.filter("not _stays"), marks.filter("_stays and _rows > 1")
+    first = key_maps(go.select("_hash"))
+    taken = looked_up(marks.filter("_stays"), first, {"_hit": (F.col("_hash"), 0)}).filter("_hit").select("_hash")
+    second = key_maps(taken.union(again.select("_hash")))
 
-    kept = keyed.join(marks, same(marks), "left_anti")
-    again = marks.filter("_stays")
+    rows, names = fenced(docs)
+    key = rows.withColumn("_digest", text_digest(names[text_col])).withColumn("_key", F.xxhash64(names[id_col], "_digest"))
+    told = looked_up(looked_up(key, first, {"_going": (F.col("_key"), 0)}), second, {"_unsure": (F.col("_key"), 0)})
+    out = told.filter("not _unsure and not _going").select(*names.values())
+    exact = marks.filter("not _stays or _rows > 1").select(F.col("_id").alias("_mid"), F.col("_digest").alias("_md"), "_stays")
+    # merged at every size, so that the plan of a small table is that of a large one
+    met = told.filter("_unsure").join(exact.hint("merge"), F.col(names[id_col]).eqNullSafe(F.col("_mid")) & (F.col("_digest") == F.col("_md")), "left")
+    out = out.union(met.filter("_stays is null").select(*names.values()))
     if not again.isEmpty():
         # equal rows become one inside every task before they are shuffled
-        repeated = keyed.join(again, same(again), "left_semi")
-        kept = kept.unionByName(repeated.dropDuplicates([names[id_col], "_digest"]))
-    return kept.select(*names.values()).toDF(*docs.columns)
+        out = out.union(met.filter("_stays").dropDuplicates([names[id_col], "_digest"]).select(*names.values()))
+    return out.toDF(*docs.columns)

@@ -46,6 +46,10 @@ EDITS = 0.05
 BAND = 16
 BLOCK_CHARS = 1 << 22
 PIECE = 1 << 18
+#: Places of items that the hits of a piece make, about as many as are held at a time; pieces with more are halved down
+#: to ``LEAST_PIECE`` characters.
+HELD = 1 << 20
+LEAST_PIECE = 1 << 10
 #: Where a passage may start; scripts without blanks get starts within their long runs.
 _START = re.compile(r"\S{1,16}")
 _GAP = re.compile(r"[\W_]+")
@@ -120,10 +124,15 @@ class Index:
             found = sorted({text[a:b]: (a, b) for a, b in reversed(spans(text)) if b - a >= Q}.values())
             if not found:
                 continue
-            h = qgrams(_codes(text))
-            hashes.append(h)
-            owner.append(np.full(len(h), len(self.ids), np.int32))
-            at.append(np.arange(len(h), dtype=np.int32))
+            # only the q-grams that lie in a window, of which an item that repeats itself has few
+            step = np.zeros(len(text) + 2, np.int64)
+            for a, b in found:
+                step[a] += 1
+                step[b - Q + 1] -= 1
+            inside = np.flatnonzero(np.cumsum(step) > 0)
+            hashes.append(qgrams(_codes(text))[inside])
+            owner.append(np.full(len(inside), len(self.ids), np.int32))
+            at.append(inside.astype(np.int32))
             self.ids.append(item)
             self.text.append(text)
             w = np.array(found, np.int64)
@@ -142,29 +151,41 @@ class Index:
         self.most = np.array([e.max() for e in self.edits], np.int64)
         self.least = np.array([n.min() for n in self.need], np.int64)
 
-    def bands(self, text: str) -> list[tuple[int, int, int]]:
-        """(item number, window, band) that share enough q-grams with a plain
-        text."""
+    def hits(self, text: str) -> tuple[np.ndarray, np.ndarray]:
+        """(places of the text, q-grams of the index) that are the same."""
+        none = np.empty(0, np.int64), np.empty(0, np.int64)
         h = qgrams(_codes(text))
-        i = np.flatnonzero(self.seen[(h >> np.uint64(44)).astype(np.int64)]) if len(self.hash) else np.empty(0, int)
+        i = np.flatnonzero(self.seen[(h >> np.uint64(44)).astype(np.int64)]) if len(self.hash) else none[0]
         if not len(i):
-            return []
+            return none
         k = np.searchsorted(self.hash, h[i])
         k[k == len(self.hash)] = 0
         hit = self.hash[k] == h[i]
-        i, k = i[hit], k[hit]
-        if not len(i):
-            return []
+        return i[hit], k[hit]
+
+    def bands(self, i: np.ndarray, k: np.ndarray, open_: np.ndarray) -> list[tuple[int, int, int]]:
+        """(item number, window, band) of the open items that share enough
+        q-grams with a text, given its ``hits``."""
         many = self.many[k]
-        entry = np.repeat(self.first[k] - np.concatenate([[0], np.cumsum(many)[:-1]]), many) + np.arange(many.sum())
-        owner, at = self.owner[entry].astype(np.int64), self.at[entry].astype(np.int64)
-        diagonal = np.repeat(i, many) - at
-        band = diagonal // BAND
-        # bands overlap: the first diagonals of one also belong to the one before
-        shared = diagonal - band * BAND < self.most[owner]
-        owner, at, band = (np.concatenate([x, x[shared] - d]) for x, d in ((owner, 0), (at, 0), (band, 1)))
+        upto = np.cumsum(many)
+        held: list[np.ndarray] = []
+        a = 0
+        while a < len(i):  # so many hits at a time as make HELD places of items
+            b = max(a + 1, int(np.searchsorted(upto, (upto[a - 1] if a else 0) + HELD, "right")))
+            held.append(self._places(i[a:b], k[a:b], open_))
+            if len(held) > 1:  # the places of a band count once, however often the text repeats them
+                held = [np.unique(np.concatenate(held, axis=1), axis=1)] if sum(x.shape[1] for x in held) > HELD else held
+            a = b
+        if not held:
+            return []
+        owner, band, at = np.concatenate(held, axis=1)
         order = np.lexsort((at, band, owner))
-        owner, at, band = owner[order], at[order], band[order]
+        owner, band, at = owner[order], band[order], at[order]
+        same = (owner[1:] == owner[:-1]) & (band[1:] == band[:-1])
+        fresh = np.concatenate([[True], ~(same & (at[1:] == at[:-1]))])[: len(owner)]
+        owner, band, at = owner[fresh], band[fresh], at[fresh]
+        if not len(owner):
+            return []
         edge = np.flatnonzero((owner[1:] != owner[:-1]) | (band[1:] != band[:-1])) + 1
         start, stop = np.concatenate([[0], edge]), np.concatenate([edge, [len(owner)]])
         enough = stop - start >= self.least[owner[start]]
@@ -172,20 +193,44 @@ class Index:
         for a, b in zip(start[enough].tolist(), stop[enough].tolist()):
             k = int(owner[a])
             w = self.windows[k]
-            # hits of the band that begin inside each window
+            # places of the band that lie in each window
             n = np.searchsorted(at[a:b], w[:, 1] - Q, "right") - np.searchsorted(at[a:b], w[:, 0])
             out += [(k, x, int(band[a])) for x in np.flatnonzero(n >= self.need[k]).tolist()]
         return out
 
-    def found(self, text: str | None) -> dict[int | None, int]:
+    def _places(self, i: np.ndarray, k: np.ndarray, open_: np.ndarray) -> np.ndarray:
+        """[owner, band, place in the item] of some hits, in rows of 32-bit numbers."""
+        many = self.many[k]
+        entry = np.repeat(self.first[k] - np.concatenate([[0], np.cumsum(many)[:-1]]), many) + np.arange(many.sum())
+        place = np.repeat(i, many)
+        owner = self.owner[entry]
+        wanted = open_[owner]
+        owner, at = owner[wanted], self.at[entry[wanted]]
+        diagonal = (place[wanted] - at).astype(np.int32)
+        band = diagonal // BAND
+        # bands overlap: the first diagonals of one also belong to the one before
+        shared = diagonal - band * BAND < self.most[owner]
+        return np.stack([np.concatenate([x, x[shared] - d]).astype(np.int32) for x, d in ((owner, 0), (band, 1), (at, 0))])
+
+    def found(self, text: str | None) -> dict:
         """item id -> number of its windows that the whole text holds."""
-        out: dict[int | None, int] = {}
+        out: dict = {}
         whole = plain(text) if text else ""
+        left = [len(w) for w in self.windows]
+        open_ = np.ones(len(left), bool)
         held: set[tuple[int, int]] = set()
         # pieces overlap by more than a window with its edits; one found in both counts once
-        for s in range(0, len(whole), PIECE):
-            part = whole[s : s + PIECE + WINDOW + 4 * BAND]
-            for k, w, band in self.bands(part):
+        todo = [(s, min(len(whole), s + PIECE)) for s in range(0, len(whole), PIECE)][::-1]
+        while todo and open_.any():
+            s, e = todo.pop()
+            part = whole[s : e + WINDOW + 4 * BAND]
+            i, k = self.hits(part)
+            if int(self.many[k].sum()) > HELD and e - s > LEAST_PIECE:
+                # much that repeats: what its beginning holds need not be looked for in the rest
+                middle = s + LEAST_PIECE if (e - s) <= 4 * LEAST_PIECE else s + (e - s) // 4
+                todo += [(middle, e), (s, middle)]
+                continue
+            for k, w, band in self.bands(i, k, open_):
                 if (k, w) in held:
                     continue
                 a, b = self.windows[k][w].tolist()
@@ -194,6 +239,8 @@ class Index:
                 if aligned(self.text[k][a:b], part, band * BAND + a, BAND + edits, edits):
                     held.add((k, w))
                     out[self.ids[k]] = out.get(self.ids[k], 0) + 1
+                    left[k] -= 1
+                    open_[k] = left[k] > 0
         return out
 
 
@@ -239,10 +286,11 @@ def blocks(benchmark: DataFrame, *, id_col: str, text_col: str, size: int = BLOC
         yield held
 
 
-KIND = T.ArrayType(T.StructType([T.StructField("item_id", T.LongType()), T.StructField("n_windows", T.LongType())]))
+def _kind(id_type: T.DataType) -> T.ArrayType:
+    return T.ArrayType(T.StructType([T.StructField("item_id", id_type), T.StructField("n_windows", T.LongType())]))
 
 
-def _pass(rows: DataFrame, text_col: str, items: list, name: str):
+def _pass(rows: DataFrame, text_col: str, items: list, name: str, id_type: T.DataType):
     """``rows`` with the marks of one block of items, and what to free once
     they are written."""
     shipped = rows.sparkSession.sparkContext.broadcast(Index(items))  # of at most BLOCK_CHARS characters
@@ -252,19 +300,19 @@ def _pass(rows: DataFrame, text_col: str, items: list, name: str):
 
         def one(text):
             found = index.found(text)
-            order = sorted(found, key=lambda i: (i is None, i or 0))
+            order = sorted(found, key=lambda i: (i is None, 0 if i is None else i))
             return ([{"item_id": i, "n_windows": found[i]} for i in order],)
 
         return one
 
-    return add_columns(rows, [text_col], T.StructType([T.StructField(name, KIND)]), factory), shipped
+    return add_columns(rows, [text_col], T.StructType([T.StructField(name, _kind(id_type))]), factory), shipped
 
 
 def _digest(column) -> F.Column:
     return F.unhex(F.sha2(F.coalesce(column, F.lit("")), 256))
 
 
-def marks(rows: DataFrame, text_col: str, found) -> DataFrame:
+def marks(rows: DataFrame, text_col: str, found, id_type: T.DataType) -> DataFrame:
     """(_digest, _item, _n) of the texts that hold an item, over several blocks
     of items: one pass over the texts a block, its result written and its index
     freed before the next, so that memory and Python stages stay those of one
@@ -272,7 +320,7 @@ def marks(rows: DataFrame, text_col: str, found) -> DataFrame:
     out = None
     texts = rows.select(F.col(text_col).alias("_text"))
     for items in found:
-        marked, shipped = _pass(texts, "_text", items, "_m")
+        marked, shipped = _pass(texts, "_text", items, "_m", id_type)
         hits = marked.filter(F.size("_m") > 0).select(_digest(F.col("_text")).alias("_digest"), F.explode("_m").alias("_i"))
         hits = materialise(hits.select("_digest", "_i.item_id", "_i.n_windows").distinct(), "decontam-marks")
         shipped.destroy()
@@ -296,13 +344,14 @@ def marked(
     text = names[text_col]
     found = blocks(benchmark, id_col=item_col, text_col=item_text_col)
     first = list(itertools.islice(found, 2))
+    id_type = renamed(benchmark, _id=item_col).schema["_id"].dataType
     if len(first) < 2:
-        out, _ = _pass(rows, text, first[0] if first else [], "_found")
+        out, _ = _pass(rows, text, first[0] if first else [], "_found", id_type)
     else:
-        hits = marks(rows, text, itertools.chain(first, found)).groupBy("_digest").agg(
+        hits = marks(rows, text, itertools.chain(first, found), id_type).groupBy("_digest").agg(
             F.sort_array(F.collect_list(F.struct(F.col("_item").isNull().alias("last"), F.col("_item").alias("item_id"), F.col("_n").alias("n_windows")))).alias("_all")
         )
-        plain_marks = F.transform(F.coalesce(F.col("_all"), F.array().cast("array<struct<last:boolean,item_id:bigint,n_windows:bigint>>")), lambda m: F.struct(m["item_id"].alias("item_id"), m["n_windows"].alias("n_windows")))
+        plain_marks = F.transform(F.coalesce(F.col("_all"), F.array().cast(f"array<struct<last:boolean,item_id:{id_type.simpleString()},n_windows:bigint>>")), lambda m: F.struct(m["item_id"].alias("item_id"), m["n_windows"].alias("n_windows")))
         out = rows.withColumn("_key", _digest(F.col(text))).join(hits, F.col("_key") == F.col("_digest"), "left").withColumn("_found", plain_marks)
     return out.select(*[F.col(names[c]).alias(c) for c in docs.columns if c.lower() != name.lower()], F.col("_found").alias(name))
 
