@@ -144,7 +144,7 @@ class Codec:
             return [n]
         size = len(letters)
         longest = [-1] * size
-        for end, (length, n) in self.automaton.iter(letters):
+        for end, (length, n) in self.automaton.iter(letters) if self.reached else ():
             longest[end - length + 1] = n  # later ends are longer
         lengths, beside, prefix = self.token, self.beside, self.prefix
         out, ends = [], [0]

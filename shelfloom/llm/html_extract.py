@@ -12,11 +12,17 @@ multiplication; a path has the best score of its blocks, damped by its links
 again. Paths that reach ``LEAST`` of the mean score (by text length) are
 content, and every block on them is in the result.
 
-Lists of names play two parts only. Scripts, styles, forms and the like are no
-text. Containers that say by tag, class, id or role that they are a menu, a
-notice or reader comments are left out before the ratios are made, since a
-well-written comment has the ratios of an article. A container that holds an
-``article`` or ``main`` is not judged by its class or id.
+Names play three small parts. Scripts, styles, form controls and the like are no
+text. Containers that say by class or id that they hold reader comments are left
+out before the ratios are made, since a well-written comment has the ratios of
+an article, and so are forms, unless a form holds an ``article`` or ``main`` or
+most of the page. What stands around a text by its own account has the scores of
+its paths damped by ``DAMPED``: elements that HTML has for it (``nav``, ``aside``,
+``footer``, a header outside the article) and containers with such a class or id,
+unless they hold an ``article`` or ``main``. The threshold decides on them as on all
+others, so a page that is all in a container with such a class is read like any
+other, and menus without a name go by their ratios. Where no path has a ratio at all, as
+all text is links, the blocks inside an ``article`` or ``main`` are the text.
 
 Defined results: null, empty and markup-only pages give the empty text; markup
 that is cut off ends with the page; unclosed elements end with their parent;
@@ -52,18 +58,20 @@ INLINE = frozenset(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small "
     "span strike strong sub sup time tt u var wbr br".split()
 )
-BOILER_TAGS = frozenset(
-    "nav header footer aside form button select menu dialog svg math object canvas audio video "
-    "script style textarea title noscript template iframe head".split()
+NO_TEXT = frozenset(
+    "button select menu dialog svg math object canvas audio video script style textarea title noscript template iframe head".split()
 )
-BOILER_WORDS = frozenset(
-    "ad ads advert advertisement adverts advertising banner breadcrumb breadcrumbs comment comments commentlist consent "
-    "cookie cookies copyright disqus footer form header login masthead menu nav navbar navigation newsletter notice "
-    "notices pagination popup promo promoted promotion recommended related respond share sharing sidebar signup "
-    "social sponsor sponsored subscribe toolbar widget".split()
+AROUND = frozenset("nav header footer aside".split())
+COMMENTS = frozenset("comment comments commentlist disqus respond".split())
+AROUND_WORDS = frozenset(
+    "ad ads advert advertisement adverts advertising banner breadcrumb breadcrumbs consent cookie cookies copyright footer form header login masthead menu "
+    "nav navbar navigation newsletter notice notices pagination popup promo promoted promotion recommended related share sharing sidebar signup social "
+    "sponsor sponsored subscribe toolbar widget".split()
 )
-BOILER_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert form menu menubar".split())
-#: Words that turn the next one round: ``has-sidebar`` is a page beside a sidebar.
+#: What holds other blocks; a paragraph, a heading or a cell is not judged by its class.
+CONTAINERS = frozenset("div section aside ul ol dl table fieldset figure details center header footer nav".split())
+ROLES = {"navigation": "around", "banner": "around", "contentinfo": "around", "complementary": "around", "search": "form", "dialog": "out", "alert": "out", "form": "form", "menu": "around", "menubar": "around"}
+#: Words that turn the next one round: ``no-comments`` is an article without any.
 TURNS = frozenset("has with no without".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: What an opening tag closes first, up to its container.
@@ -72,6 +80,8 @@ HOLDS = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table",
 
 #: A path is content from this share of the page's mean score on.
 LEAST = 0.1
+#: What is left of the score of a path around the text.
+DAMPED = 0.01
 #: Gaussian weights of the neighbours on either side.
 KERNEL = tuple((k, math.exp(-k * k / 2.0)) for k in (-2, -1, 1, 2))
 #: Least affinity of blocks that are children of one element.
@@ -81,56 +91,73 @@ SIBLINGS = 0.5
 class Element:
     """An open element. ``owner``: what its text counts for, the nearest block
     above, or itself if it alone is flagged. ``path`` numbers the steps of
-    the open tags, ``depth`` counts the blocks below the body."""
+    the open tags, ``depth`` counts the blocks below the body, ``form`` is the form
+    that it is in."""
 
-    __slots__ = ("article", "depth", "flag", "link", "name", "out", "owner", "parent", "path")
+    __slots__ = ("article", "beside", "depth", "flag", "form", "link", "name", "out", "owner", "parent", "path", "tagged")
 
     def __init__(self, name: str, parent: Element | None, flag: str, path: int):
         self.name, self.parent, self.flag, self.path = name, parent, flag, path
         above = parent is not None
         self.link = name == "a" or (above and parent.link)
         self.article = name in ("article", "main") or (above and parent.article)
+        self.form = self if flag == "form" else (parent.form if above else None)
         inline = name in INLINE
         self.depth = parent.depth + (not inline and name != "body") if above else 0
         self.owner = parent.owner if above and inline and not flag else self
-        self.out = None
+        self.out = self.beside = self.tagged = None
 
-    def boiler(self) -> bool:
-        """Whether this element or one above it is flagged."""
+    def _above(self, kept: str, flags: tuple[str, ...]) -> bool:
+        """Whether this element or one above it has one of the flags; every element on the way remembers it as ``kept``."""
         chain, e = [], self
-        while e is not None and e.out is None:
+        while e is not None and getattr(e, kept) is None:
             chain.append(e)
             e = e.parent
-        found = e is not None and e.out
+        found = e is not None and getattr(e, kept)
         for e in reversed(chain):
-            found = e.out = found or bool(e.flag)
+            found = found or e.flag in flags
+            setattr(e, kept, found)
         return found
 
+    def around(self) -> int:
+        """Whether it stands around the text: 2 by an element's tag or role, 1 by a word, 0 not."""
+        return 2 if self._above("tagged", ("around",)) else int(self._above("beside", ("word",)))
+
+    def boiler(self) -> bool:
+        """Whether it is no text."""
+        return self._above("out", ("out", "form", "comments"))
+
 
 def _judged(name: str, attrs: str, article: bool) -> tuple[str, str]:
-    """What makes an element boilerplate: its ``tag`` (or role), a ``word`` of
-    its class or id, or nothing; and its step of the path: name and class,
-    numbers left out."""
+    """What an element is besides text: ``out``, a ``form``, ``comments``, ``around`` the text by its tag or a ``word``, or
+    nothing; and its step of the path: name and class, numbers left out."""
     label = name
-    if name in BOILER_TAGS:
-        # an article's own header holds its title
-        return "" if name == "header" and article else "tag", label
-    if name in ("html", "body", "article", "main") or not attrs.strip():
-        return "", label
+    if name in NO_TEXT:
+        return "out", label
     flag = ""
+    if name == "form":
+        flag = "form"
+    elif name in AROUND and not (name == "header" and article):  # an article's own header holds its title
+        flag = "around"
+    if name in ("html", "body", "article", "main") or not attrs.strip():
+        return flag, label
     for m in _ATTR.finditer(attrs):
         key = m[1].lower()
         value = html.unescape(m[2] or m[3] or m[4] or "").lower()
         if key == "class" and name not in INLINE:
             label = f"{name}.{_NUMBER.sub('', value)}"
-        if key in ("class", "id"):
+        if key in ("class", "id") and name not in INLINE:
             for group in value.split():
-                words = _WORDS.findall(group)
-                for k, w in enumerate(words):
-                    if w in BOILER_WORDS and not (k and words[k - 1] in TURNS) and not (w == "header" and article):
-                        flag = flag or "word"
-        if key == "role" and value.strip() in BOILER_ROLES or key == "hidden" or key == "aria-hidden" and value == "true":
-            flag = "tag"
+                found = _WORDS.findall(group)
+                words = {w for k, w in enumerate(found) if not (k and found[k - 1] in TURNS)} if name in CONTAINERS else set()
+                if words & COMMENTS:
+                    flag = "comments"
+                elif words & AROUND_WORDS - ({"header"} if article else set()):
+                    flag = flag or "word"
+        if key == "role":
+            flag = ROLES.get(value.strip(), flag)
+        if key == "hidden" or key == "aria-hidden" and value == "true":
+            flag = "out"
     return flag, label
 
 
@@ -195,7 +222,7 @@ def _nodes(page: str) -> list[tuple[Element, int, str, bool]]:
                     break
                 if stack[k].name not in INLINE:
                     break
-        if name in CLOSES:
+        if name in CLOSES and any(opened.get(x) for x in CLOSES[name]):
             for k in range(len(stack) - 1, 0, -1):
                 if stack[k].name in HOLDS[name]:
                     break
@@ -211,7 +238,7 @@ def _nodes(page: str) -> list[tuple[Element, int, str, bool]]:
         opened[name] = opened.get(name, 0) + 1
         if name in ("article", "main"):
             while top is not None:
-                top.flag = "" if top.flag == "word" else top.flag
+                top.flag = "" if top.flag in ("form", "comments", "word") else top.flag
                 top = top.parent
         if name in RAW:
             raw = name
@@ -243,9 +270,10 @@ def affinity(a: Element, b: Element) -> float:
 class Block:
     """The text of one block that is no boilerplate."""
 
-    __slots__ = ("linked", "owner", "parts", "signs", "size")
+    __slots__ = ("around", "linked", "owner", "parts", "signs", "size")
 
-    def __init__(self, owner: Element):
+    def __init__(self, owner: Element, around: int):
+        self.around = around
         self.owner, self.parts, self.size, self.linked, self.signs = owner, [], 0, 0, 0
 
     def add(self, text: str, link: bool) -> None:
@@ -256,15 +284,33 @@ class Block:
             self.signs += len(_PUNCT.findall(text))
 
 
+def _lift(nodes: list[tuple[Element, int, str, bool]]) -> None:
+    """A form that holds more than half of the page's plain text is the page."""
+    forms: dict[int, tuple[Element, int]] = {}
+    total = 0
+    for owner, _, text, link in nodes:
+        size = 0 if link or text.isspace() else len(text)
+        total += size
+        form = owner.form
+        while form is not None:
+            forms[id(form)] = form, forms.get(id(form), (form, 0))[1] + size
+            form = form.parent.form if form.parent is not None else None
+    for form, size in forms.values():
+        if 2 * size > total:
+            form.flag = ""
+
+
 def blocks_of(page: str) -> list[Block]:
     """Blocks with text, in page order."""
     out: list[Block] = []
     last = None
-    for owner, number, text, link in _nodes(page):
+    nodes = _nodes(page)
+    _lift(nodes)
+    for owner, number, text, link in nodes:
         if owner.boiler():
             continue
         if number != last:
-            out.append(Block(owner))
+            out.append(Block(owner, owner.around()))
             last = number
         out[-1].add(text, link)
     return [b for b in out if b.size]
@@ -305,9 +351,14 @@ def path_scores(blocks: list[Block]) -> tuple[dict[int, float], float]:
     score = dict.fromkeys(length, 0.0)
     for b, t, s in zip(blocks, by_text, by_sign, strict=True):
         p = b.owner.path
-        score[p] = max(score[p], t * (1.0 + s) * plain[p])
-    mean = sum(score[p] * length[p] for p in score) / max(1, sum(length.values()))
-    return score, LEAST * mean
+        score[p] = max(score[p], t * (1.0 + s) * plain[p] * (DAMPED if b.around else 1.0))
+    # the mean of what does not stand around the text; if that has no score, of what does so by a word alone
+    inner: set[int] = set()
+    for level in (0, 1):
+        inner = inner or {b.owner.path for b in blocks if b.around == level and score[b.owner.path]}
+    if not inner:
+        return score, math.inf
+    return score, LEAST * sum(score[p] * length[p] for p in inner) / sum(length[p] for p in inner)
 
 
 def extract(page: str | None) -> str:
@@ -316,6 +367,8 @@ def extract(page: str | None) -> str:
     if not blocks:
         return ""
     score, limit = path_scores(blocks)
+    if not any(score.values()):
+        blocks, score, limit = [b for b in blocks if b.owner.article], dict.fromkeys(score, 1.0), 0.0
     lines = (_SPACE.sub(" ", "".join(b.parts)).strip() for b in blocks if score[b.owner.path] >= limit and score[b.owner.path] > 0)
     return "\n".join(x for x in lines if x)
 

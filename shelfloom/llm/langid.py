@@ -34,7 +34,6 @@ DIM = 1 << 16
 TRAIN_PER_LANGUAGE = 600
 EPOCHS = 3
 BLOCK = 1 << 16
-_LETTER = re.compile(r"[^\W\d_]")
 _OTHER = re.compile(r"[\W\d_]+")
 _P = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
 _SHIFT = np.uint64(64 - 16)
@@ -63,7 +62,7 @@ def counts(text: str) -> tuple[np.ndarray, np.ndarray]:
 
 
 def sparse_counts(text: str | None) -> tuple[np.ndarray, np.ndarray]:
-    if not text or not _LETTER.search(text):
+    if not text or not any(map(str.isalpha, text)):
         return np.empty(0, np.int64), np.empty(0)
     i, n = counts(text)
     return i, n.astype(float)

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from shelfloom.llm.common import materialise, renamed
+from shelfloom.llm.common import materialise, renamed, ship
 from shelfloom.operators.ranking import numbered
 
 #: Bits of a digit of the ids.
@@ -112,17 +112,17 @@ def _digest(texts: list[str]) -> str:
     return hashlib.sha256("".join(texts).encode()).hexdigest()
 
 
-def _shape(fanout: int) -> tuple[int, int]:
+def _shape(fanout: int, chunk: int) -> tuple[int, int]:
     """(levels, leaves) that a task reduces at once."""
     levels = 1
-    while fanout ** (levels + 1) <= CHUNK:
+    while fanout ** (levels + 1) <= chunk:
         levels += 1
     return levels, fanout**levels
 
 
-def _depth(total: int, fanout: int) -> int:
+def _depth(total: int, fanout: int, chunk: int) -> int:
     """The levels of a chunk, in a stage with ``total`` nodes in the group."""
-    levels, span = _shape(fanout)
+    levels, span = _shape(fanout, chunk)
     if total > span:
         return levels
     out, reach = 0, 1
@@ -160,18 +160,19 @@ class Trie:
     """The tries of all groups of ``nodes`` (_g, _rank, _h and more columns):
     ``stages`` has the chunks of every stage, ``tops`` (_g, _h) what remains."""
 
-    def __init__(self, nodes: DataFrame, fanout: int):
+    def __init__(self, nodes: DataFrame, fanout: int, chunk: int = CHUNK):
         if fanout < 2:
             raise ValueError("a node has two children or more")
-        self.fanout, self.stages = fanout, []
-        _, span = _shape(fanout)
+        ship(nodes.sparkSession)
+        self.fanout, self.chunk, self.stages = fanout, chunk, []
+        _, span = _shape(fanout, chunk)
 
         def reduced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 made = []
-                for g, chunk, total, found in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                    top = _levels([x["_h"].hex() for x in found], _depth(total, fanout), fanout)[-1]
-                    made.append((g, chunk, -(-total // span), bytes.fromhex(top[0])))
+                for g, number, total, found in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                    top = _levels([x["_h"].hex() for x in found], _depth(total, fanout, chunk), fanout)[-1]
+                    made.append((g, number, -(-total // span), bytes.fromhex(top[0])))
                 columns = list(zip(*made, strict=True)) or [[]] * 4
                 kinds = (pa.string(), pa.int64(), pa.int64(), pa.binary())
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["_g", "_rank", "_total", "_h"])
@@ -180,8 +181,8 @@ class Trie:
         nodes = nodes.join(totals, F.col("_g") == F.col("_t")).drop("_t")
         while True:
             more = [c for c in nodes.columns if c not in ("_g", "_rank", "_total", "_h")]
-            chunk = F.floor(F.col("_rank") / span) if span & (span - 1) else F.shiftright("_rank", span.bit_length() - 1)
-            chunks = nodes.groupBy("_g", chunk.cast("long").alias("_chunk"), "_total")
+            number = F.floor(F.col("_rank") / span) if span & (span - 1) else F.shiftright("_rank", span.bit_length() - 1)
+            chunks = nodes.groupBy("_g", number.cast("long").alias("_chunk"), "_total")
             # no more than the chunk's leaves come together
             chunks = chunks.agg(F.sort_array(F.collect_list(F.struct("_rank", "_h", *more))).alias("_nodes"))
             self.stages.append(materialise(chunks, "manifest-chunks"))
@@ -194,7 +195,7 @@ class Trie:
     def paths(self, above: DataFrame, stage: int = 0) -> DataFrame:
         """(_g, _rank, path) of the nodes of ``stage``; ``above`` has those of the groups' tops."""
         for chunks in reversed(self.stages[stage:]):
-            above = self._down(chunks, above, self._paths_of(self.fanout), f"_g string, _rank long, {_PATH}")
+            above = self._down(chunks, above, self._paths_of(self.fanout, self.chunk), f"_g string, _rank long, {_PATH}")
         return above
 
     @staticmethod
@@ -204,12 +205,12 @@ class Trie:
         return met.select("_g", "_total", "_nodes", "_lefts", "_rights", "_subroot", "_root").mapInArrow(step, schema)
 
     @staticmethod
-    def _paths_of(fanout: int):
+    def _paths_of(fanout: int, chunk: int):
         def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 made = []
                 for g, total, found, lefts, rights, subroot, root in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                    levels = _levels([x["_h"].hex() for x in found], _depth(total, fanout), fanout)
+                    levels = _levels([x["_h"].hex() for x in found], _depth(total, fanout, chunk), fanout)
                     for k, node in enumerate(found):
                         a, b = _siblings(levels, k, fanout)
                         made.append((g, node["_rank"], a + lefts, b + rights, subroot, root))
@@ -223,13 +224,13 @@ class Trie:
     def proofs(self, above: DataFrame) -> DataFrame:
         """Of every leaf: (_g, _rank, _id, _leaf, _subroot, _root, _proof, _folded). ``_folded`` comes from the leaf's
         ``_claim``, or the leaf itself where that is null, and the original siblings."""
-        fanout = self.fanout
+        fanout, chunk = self.fanout, self.chunk
 
         def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 made = []
                 for g, total, found, lefts, rights, subroot, root in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                    levels = _levels([x["_h"].hex() for x in found], _depth(total, fanout), fanout)
+                    levels = _levels([x["_h"].hex() for x in found], _depth(total, fanout, chunk), fanout)
                     for k, node in enumerate(found):
                         a, b = _siblings(levels, k, fanout)
                         a, b = a + lefts, b + rights
@@ -245,13 +246,13 @@ class Trie:
         return self._down(self.stages[0], self.paths(above, 1), step, schema)
 
 
-def manifest(leaves: DataFrame, fanout: int = 2) -> tuple[Trie, DataFrame]:
+def manifest(leaves: DataFrame, fanout: int = 2, chunk: int = CHUNK) -> tuple[Trie, DataFrame]:
     """The groups' tries of ``leaves`` (_g, _id, _leaf, _claim; _g not null) and (_g, _rank, path) of their subroots, with
     subroot and root."""
-    trie = Trie(ranked(leaves).withColumnRenamed("_leaf", "_h"), fanout)
+    trie = Trie(ranked(leaves).withColumnRenamed("_leaf", "_h"), fanout, chunk)
     tops = numbered(trie.tops, [], ["_g"], "_rank").select(F.lit("").alias("_g"), (F.col("_rank") - 1).cast("long").alias("_rank"), "_h", F.col("_g").alias("_of"))
     tops = materialise(tops, "manifest-tops")
-    forest = Trie(tops, fanout)
+    forest = Trie(tops, fanout, chunk)
     root = forest.tops.select(
         F.lit("").alias("_g"), F.lit(0).cast("long").alias("_rank"), F.array().cast("array<string>").alias("_lefts"), F.array().cast("array<string>").alias("_rights"),
         F.lit("").alias("_subroot"), F.lower(F.hex("_h")).alias("_root"),
@@ -263,7 +264,7 @@ def manifest(leaves: DataFrame, fanout: int = 2) -> tuple[Trie, DataFrame]:
     return trie, materialise(above, "manifest-roots")
 
 
-def query(spark: SparkSession, documents: DataFrame) -> DataFrame:
+def query(spark: SparkSession, documents: DataFrame, chunk: int = CHUNK) -> DataFrame:
     rows = renamed(documents, doc_id="doc_id", source="source", lang="lang", n_chars="n_chars", text="text")
     columns = [F.col(c) for c in ("doc_id", "source", "lang", "n_chars", "text")]
     more = (F.col("n_chars").cast("decimal(20,0)") + 1).cast("decimal(20,0)")
@@ -275,7 +276,7 @@ def query(spark: SparkSession, documents: DataFrame) -> DataFrame:
         leaf(*columns).alias("_leaf"),
         F.when(tampered, leaf(*columns[:3], more, columns[4])).alias("_claim"),
     )
-    trie, above = manifest(materialise(leaves, "manifest-leaves"))
+    trie, above = manifest(materialise(leaves, "manifest-leaves"), chunk=chunk)
     return trie.proofs(above).select(
         F.col("_id").alias("doc_id"),
         F.col("_leaf").alias("leaf"),

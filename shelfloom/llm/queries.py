@@ -29,7 +29,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op7_benchmark_decontamination": lambda s, d: decontam.query(s, table(s, d, "documents"), table(s, d, "benchmark")),
         "op8_token_counts": lambda s, d: bpe.query(s, table(s, d, "documents"), public_tokenizers.path("byte_bpe_50k.json")),
         "op9_exact_dedup": lambda s, d: exact_dedup.query(s, table(s, d, "documents")),
-        "op10_secret_scan": lambda s, d: secrets.query(s, table(s, d, "documents"), public_tokenizers.path("byte_bpe_50k.json")),
+        "op10_secret_scan": lambda s, d: secrets.query(s, table(s, d, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken")),
         "op11_phrase_collocations": lambda s, d: phrases.query(s, table(s, d, "documents")),
         "op12_merkle_manifest": lambda s, d: manifest.query(s, table(s, d, "documents")),
         "op13_byte_bpe": lambda s, d: bytepair.query(s, table(s, d, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN),

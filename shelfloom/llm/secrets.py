@@ -7,10 +7,15 @@ keyboard walks and brute-force spans: a dynamic program over its characters, in
 bits. A value whose cost reaches ``STRONG_BITS`` is a span of kind ``guess``;
 spans of the base patterns stay whatever their cost.
 
-The dictionary is what people put into passwords, then the words of a public
-tokenizer's vocabulary in its own order, which is about that of their frequency
+The dictionary is what people put into passwords, then the words of public
+tokenizers' vocabularies in their own order, which is about that of their frequency
 in public text: so prose behind a context word costs little and is no secret. A
-caller may give another vocabulary file, or none.
+caller may give other vocabulary files, or none. A run of letters that is no word of
+the dictionary but spelt like them (by its triples of letters) costs no more than a
+guess among all compounds and inflected forms of a language, ``COMPOUND_BITS``. In
+addresses, paths, calls and names made of words, each part is judged by itself, as
+what joins them is no secret: such a value costs what its dearest part costs, and
+which of them it is.
 
 Defined results: null and empty texts have no spans; offsets count code
 points, ends exclusive; equal spans of several contexts are one; texts and
@@ -20,11 +25,15 @@ table gives no rows.
 
 from __future__ import annotations
 
+import base64
 import json
 import math
 import re
+from collections import Counter
+from collections.abc import Sequence
 from dataclasses import dataclass
 from functools import cached_property
+from itertools import zip_longest
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -65,6 +74,13 @@ LEET = str.maketrans("@4831!05$7", "aabeiiosst")
 ROWS = ("`1234567890-=", "qwertyuiop[]", "asdfghjkl;'", "zxcvbnm,./", "abcdefghijklmnopqrstuvwxyz")
 DATE = re.compile(r"(?:19|20)\d\d([-/._]?)(?:0[1-9]|1[0-2])\1(?:0[1-9]|[12]\d|3[01])|(?:0[1-9]|[12]\d|3[01])([-/._]?)(?:0[1-9]|1[0-2])\2(?:19|20)\d\d|(?:19|20)\d\d")
 SEGMENT_BITS = 1.0
+COMPOUND_BITS = 30.0
+#: Bits a letter, under the dictionary's triples of letters, up to which a run of letters is spelt like a word.
+SPELT_BITS, SPELT_LEAST = 5.0, 6
+LETTERS = re.compile(r"[^\W\d_]+")
+#: Addresses of pages and people, paths, calls and references to variables.
+SHAPE = re.compile(r"[A-Za-z][A-Za-z0-9+]*://\S+|[\w.+-]+@[\w-]+(?:\.[\w-]+)+|(?:~|\.{1,2}|[A-Za-z]:)?(?:[/\\][\w .@-]+)+[/\\]?|[A-Za-z_][\w.]*\([^()]*\)|[$%]\{?[\w.]+[}%]?")
+_PART = re.compile(r"[A-Z]?[a-z\u00df-\u024f]+|[A-Z]+(?![a-z])|[^\W\d_]+|[^\s/\\:@?&=#.()\[\]{}$%~,;_-]+")
 LEAST_WORD = 3
 
 
@@ -101,6 +117,24 @@ class Words:
     def longest(self) -> int:
         return max(map(len, self.rank), default=0)
 
+    @cached_property
+    def _triples(self) -> tuple[Counter, Counter]:
+        triples, pairs = Counter(), Counter()
+        for w in self.rank:
+            w = f" {w} "
+            triples.update(zip(w, w[1:], w[2:]))
+            pairs.update(zip(w[:-2], w[1:]))
+        return triples, pairs
+
+    def spelt(self, run: str) -> bool:
+        """Whether a run of letters is spelt like the words."""
+        if len(run) < SPELT_LEAST or run[1:] != run[1:].lower() and run != run.upper():
+            return False
+        triples, pairs = self._triples
+        w = f" {run.lower()} "
+        bits = sum(-math.log2((triples[a, b, c] + 0.1) / (pairs[a, b] + 3.0)) for a, b, c in zip(w, w[1:], w[2:]))
+        return bits <= SPELT_BITS * len(run)
+
 
 def dictionary(vocabulary: list[str] = ()) -> Words:
     """The fixed words, then the others in the order given; each once."""
@@ -112,8 +146,14 @@ def dictionary(vocabulary: list[str] = ()) -> Words:
 
 
 def vocabulary_words(path: str) -> list[str]:
-    """The whole words of Latin letters in a byte-level vocabulary file, by
-    their number; a word is a token that begins with a blank."""
+    """The whole words of letters in a byte-level vocabulary file, by their
+    number; a word is a token that begins with a blank. A ``.tiktoken`` file holds
+    bytes, any other those of Latin letters alone."""
+    if path.endswith(".tiktoken"):
+        with open(path, "rb") as f:
+            ranked = sorted((int(rank), base64.b64decode(token)) for token, rank in map(bytes.split, f))
+        found = (t.decode("utf-8", "replace") for _, t in ranked)
+        return [t[1:] for t in found if t[:1] == " " and LETTERS.fullmatch(t, 1)]
     with open(path, encoding="utf-8") as f:
         vocab = json.load(f)["model"]["vocab"]
     return [t[1:] for t in sorted(vocab, key=vocab.get) if re.fullmatch("\u0120[A-Za-z]+", t)]
@@ -131,6 +171,9 @@ def _pieces(value: str, words: Words):
             if forwards or backwards:
                 bits = min(math.log2(forwards + 1) if forwards else 99.0, math.log2(backwards + 1) + 1 if backwards else 99.0)
                 yield i, j, bits + (low[i:j] != value[i:j]) * 2 + (part != low[i:j]) * 2
+    for m in LETTERS.finditer(value):
+        if words.spelt(m[0]):
+            yield m.start(), m.end(), COMPOUND_BITS
     for m in DATE.finditer(value):
         yield m.start(), m.end(), math.log2(130) if m.end() - m.start() == 4 else math.log2(365 * 130)
     start = 0
@@ -162,6 +205,16 @@ def guess_bits(value: str, words: Words | None = None) -> float:
     return best[-1]
 
 
+def value_bits(value: str, words: Words) -> float:
+    """``guess_bits`` of a value, or of the dearest part of one that is an address, a path, a call or a name made of words."""
+    value = value.rstrip(".!?)") if not value.endswith("()") else value
+    parts = _PART.findall(value)
+    named = len(parts) > 1 and all(p.lower() in words.rank or words.spelt(p) for p in parts)
+    if not parts or not (named or SHAPE.fullmatch(value)):
+        return guess_bits(value, words)
+    return max(guess_bits(p, words) for p in parts) + math.log2(len(parts))
+
+
 #: The fixed words alone.
 FIXED = dictionary()
 
@@ -183,7 +236,7 @@ def scan(text: str | None, words: Words | None = None) -> list[tuple[int, str, i
         spans += [(m.start(), "access", m.end(), None) for m in ACCESS.finditer(text) if m.end() - m.start() >= ACCESS_LEAST]
     spans += [(m.start(), "hex", m.end(), None) for m in HEX.finditer(text)]
     for a, b in values:
-        bits = guess_bits(text[a:b], words)
+        bits = value_bits(text[a:b], words or FIXED)
         if bits >= STRONG_BITS:
             spans.append((a, "guess", b, bits))
     return sorted(spans, key=lambda s: (s[0], KINDS.index(s[1]), s[2]))
@@ -194,11 +247,17 @@ SPAN = T.StructType(
 )
 
 
-def with_spans(docs: DataFrame, *, text_col: str = "text", name: str = "spans", vocabulary: str | None = None) -> DataFrame:
+def interleaved(lists: Sequence[list[str]]) -> list[str]:
+    """The words of several lists by their place in them."""
+    return [w for row in zip_longest(*lists) for w in row if w is not None]
+
+
+def with_spans(docs: DataFrame, *, text_col: str = "text", name: str = "spans", vocabularies: Sequence[str] = ()) -> DataFrame:
     """``docs`` with an array of (kind, start, end, bits); bits only of kind
-    ``guess``. ``vocabulary`` is the path of a byte-level vocabulary file, read
-    on the driver and shipped as ranks (about a MB, fixed)."""
-    shipped = docs.sparkSession.sparkContext.broadcast(dictionary(vocabulary_words(vocabulary) if vocabulary else ()))
+    ``guess``. ``vocabularies`` are the paths of byte-level vocabulary files,
+    read on the driver and shipped as ranks (some MB, fixed)."""
+    words = interleaved([vocabulary_words(path) for path in vocabularies])
+    shipped = docs.sparkSession.sparkContext.broadcast(dictionary(words))
 
     def factory():
         words = shipped.value
@@ -207,8 +266,8 @@ def with_spans(docs: DataFrame, *, text_col: str = "text", name: str = "spans",
     return add_columns(docs, [text_col], T.StructType([T.StructField(name, T.ArrayType(SPAN))]), factory)
 
 
-def query(spark: SparkSession, documents: DataFrame, vocabulary: str | None = None) -> DataFrame:
-    rows = with_spans(renamed(documents, doc_id="doc_id", text="text"), vocabulary=vocabulary)
+def query(spark: SparkSession, documents: DataFrame, *vocabularies: str) -> DataFrame:
+    rows = with_spans(renamed(documents, doc_id="doc_id", text="text"), vocabularies=vocabularies)
     base = F.filter("spans", lambda s: s["kind"] != "guess")
 
     def joined(spans):

@@ -31,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfloom.llm.common import materialise, renamed, ship
+from shelfloom.llm.common import key_maps, looked_up, materialise, renamed, ship
 
 MIN_REVISIT = 100
 ARCHIVE_BYTES = 8 << 20
@@ -136,7 +136,8 @@ def read_at(path: str | Path, offset: int, length: int) -> tuple[dict[str, str],
 
 def with_roles(pages: DataFrame, *, id_col: str, url_col: str, payload_col: str) -> DataFrame:
     """(_id, _url, _html, _digest, _bytes, _first): the payload's digest, size
-    and, where other pages share it, the smallest page id."""
+    and, where other pages share it, the smallest page id. A page that only
+    revisits another has no ``_html``, as no record will hold it."""
     html = F.coalesce(F.col("_html"), F.lit(""))
     rows = renamed(pages, _id=id_col, _url=url_col, _html=payload_col).select(
         "_id",
@@ -152,10 +153,23 @@ def with_roles(pages: DataFrame, *, id_col: str, url_col: str, payload_col: str)
         .filter("_n > 1")
         .select("_d", "_first")
     )
-    # Only payloads that occur twice are on the right. The table is written, so that its size is known: where
-    # Spark may broadcast it, no page is shuffled; beyond that, AQE splits a hot payload.
     shared = materialise(shared, "warc-shared")
-    return rows.join(shared, F.col("_digest") == F.col("_d"), "left").drop("_d")
+    # Pages stay where they are read. A map of the shared digests tells which pages may share theirs, and a map of the first
+    # pages which of those may be first; only the others' ids and digests, and the first pages, meet the table.
+    digest, page = F.xxhash64("_digest"), F.xxhash64("_digest", "_id")
+    maps = key_maps(shared.select(F.xxhash64("_d").alias("_hash")), shared.select(F.xxhash64("_d", "_first").alias("_hash")))
+    told = looked_up(rows, maps, {"_shares": (digest, 0), "_leads": (page, 1)})
+    alone = told.filter("not _shares").select(*rows.columns, F.lit(None).cast(shared.schema["_first"].dataType).alias("_first"))
+    some = told.filter("_shares").withColumn("_html", F.when(F.col("_leads"), F.col("_html")))
+    met = some.join(shared, F.col("_digest") == F.col("_d"), "left")
+    # the map is wrong of a few pages that share nothing: these have lost their payload and are taken as they were
+    known = met.filter("_first is not null or _leads").select(*rows.columns, "_first")
+    wrong = met.filter("_first is null and not _leads").select("_id", "_digest")
+    wrong = materialise(wrong.distinct(), "warc-wrong")
+    if wrong.isEmpty():
+        return alone.union(known)
+    back = rows.join(wrong.hint("merge"), rows["_id"].eqNullSafe(wrong["_id"]) & (rows["_digest"] == wrong["_digest"]), "left_semi")
+    return alone.union(known).union(back.select(*rows.columns, F.lit(None).cast(shared.schema["_first"].dataType).alias("_first")))
 
 
 def write_archives(
@@ -188,7 +202,7 @@ def write_archives(
         for batch in batches:
             for i in range(batch.num_rows):
                 row = {n: c[i].as_py() for n, c in zip(batch.schema.names, batch.columns, strict=True)}
-                payload = row["_html"].encode("utf-8", "surrogatepass")
+                payload = (row["_html"] or "").encode("utf-8", "surrogatepass")
                 revisit = row["_first"] is not None and row["_first"] != row["_id"]
                 headers = {
                     "WARC-Type": "revisit" if revisit else "response",
