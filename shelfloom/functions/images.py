@@ -17,6 +17,7 @@ import zlib
 
 import numpy as np
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from shelfloom.catalog import HEIF, RAW
@@ -478,24 +479,31 @@ MEDIA = T.StructType(
 
 
 def media(files: DataFrame, side: int = 8) -> DataFrame:
-    """(path, *MEDIA) of every row of ``files`` (path, ext, content). Hashes
-    are null where the pixels cannot be decoded here; ``side`` is that of the
-    scan mode (``config.HASH_SIDE``)."""
+    """(path, *MEDIA) of every row of ``files`` (path, ext, content[, size]).
+    Hashes are null where the pixels cannot be decoded here; ``side`` is that of
+    the scan mode (``config.HASH_SIDE``). A file whose ``size`` is more than a row
+    holds has its header read by its path, and is ``unsupported`` whatever that
+    says: it was not read, so nothing is known against it."""
     import pandas as pd
 
+    from shelfloom.sources.files import BIG, head
+
     ship(files.sparkSession)
     names = ["path", *MEDIA.fieldNames()]
 
     def run(frames):
         for frame in frames:
             rows = []
-            for path, ext, data in frame.itertuples(index=False):
+            for path, ext, data, size in frame.itertuples(index=False):
+                big = data is None and size == size and size is not None and size > BIG
+                data = head(path) if big else data
                 found = header(data) if data else None
-                state, pixels = judged(data, (ext or "").lower())
+                state, pixels = ("unsupported", None) if big else judged(data, (ext or "").lower())
                 w, h, fmt, mode = found or (None, None, None, None)
                 two = (phash(pixels, side), dhash(pixels, side)) if pixels is not None else (None, None)
                 rows.append((path, w, h, fmt, mode, exif_tags(data) if data else {}, state, *two))
             yield pd.DataFrame(rows, columns=names).astype({"width": "Int32", "height": "Int32"})
 
     schema = T.StructType([T.StructField("path", T.StringType()), *MEDIA.fields])
-    return files.select("path", "ext", "content").mapInPandas(run, schema)
+    size = F.col("size") if "size" in files.columns else F.lit(None)
+    return files.select("path", "ext", "content", size.cast("long").alias("size")).mapInPandas(run, schema)

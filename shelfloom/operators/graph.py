@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from shelfloom.runtime import discard, materialise
 
 
-HUB = 10_000
+HUB = 256
 HUBS = 10_000
 
 

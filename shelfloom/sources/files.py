@@ -171,6 +171,15 @@ def _read(path: str) -> bytes | None:
         return None
 
 
+def head(path: str, size: int = 1 << 20) -> bytes | None:
+    """The first bytes of a file, null if it cannot be read."""
+    try:
+        with open(path, "rb") as f:
+            return f.read(size)
+    except OSError:
+        return None
+
+
 def streamed_hashes(found: DataFrame, sample: int | None = None, block: int = 1 << 20) -> DataFrame:
     """(path, sha256) read block by block, for files of any size; with
     ``sample`` the digest of size, head and tail, whose ranges alone are read.

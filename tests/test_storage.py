@@ -406,3 +406,24 @@ def test_bin_index_is_read_where_it_lies(spark, tmp_path):
     assert index.keys().select("_size").distinct().collect()[0][0] == 4
     with pytest.raises(ValueError):
         bin_index.BinIndex(spark, "x", "bad name")
+
+
+# --- pictures that are too large for a row -------------------------------------------------------
+
+
+def test_a_large_picture_is_not_corrupt(spark, tmp_path):
+    import struct
+
+    from shelfloom.functions import images
+
+    bmp = b"BM" + struct.pack("<IHHI", 54 + 12 * 3, 0, 0, 54) + struct.pack("<IiiHHIIiiII", 40, 2, 2, 1, 24, 0, 16, 0, 0, 0, 0) + bytes(range(64))
+    (tmp_path / "small.bmp").write_bytes(bmp)
+    for name, data in (("large.bmp", bmp), ("noise.bmp", b"noise" * 30)):
+        with open(tmp_path / name, "wb") as f:
+            f.write(data)
+            if name == "large.bmp":
+                f.truncate(files.BIG + 1)  # a sparse file
+    found = files.files(spark, [str(tmp_path)], [".bmp"])
+    media = images.media(files.with_content(found))
+    got = {os.path.basename(r.path): (r.verdict, r.width) for r in media.collect()}
+    assert got == {"small.bmp": ("ok", 2), "large.bmp": ("unsupported", 2), "noise.bmp": ("corrupt", None)}
