@@ -25,7 +25,7 @@ are its words; documents without words come along where the prefix passes
 them; a node of weight 0 gets nothing; shares round down, so up to one token
 per child stays unspent; an empty table gives no rows; rows that repeat an id
 are taken separately, and of rows that repeat id and text as many as the quota
-needs, numbered in one task. Texts of any length count whole.
+needs, each task that reads some its share. Texts of any length count whole.
 """
 
 from __future__ import annotations
@@ -154,12 +154,28 @@ def mixed(
     times = F.col("_whole").cast("int") + F.coalesce(taken, F.lit(False)).cast("int")
     chosen = placed.withColumn("_times", times).filter("_times > 0").withColumn("epoch", F.explode(F.sequence(F.lit(1), F.col("_times"))))
     if repeats:
-        number = F.row_number().over(Window.partitionBy(*LEAF).orderBy("_order"))
-        edge = placed.filter("_order = _cut").withColumn("_number", number).filter("_number <= _most").drop("_number")
+        edge = _some_of(placed.filter("_order = _cut"))
         chosen = chosen.drop("_times").unionByName(edge.withColumn("epoch", (F.col("_whole") + 1).cast("int")))
     return chosen.select(*columns, F.col("_domain").alias("domain"), "epoch", F.col("_n").alias("n_tokens"))
 
 
+def _some_of(rows: DataFrame) -> DataFrame:
+    """``_most`` of the rows of each leaf, all of which have one id and text. The tasks that read them take their share:
+    as many as are left by those before them, so no task gets a leaf's rows together."""
+    rows = materialise(rows.withColumn("_task", F.spark_partition_id()), "mix-edge")
+    counts = rows.groupBy(*LEAF, "_task", "_most").agg(F.count(F.lit(1)).alias("_here"))
+    # one row a leaf and task
+    before = F.sum("_here").over(Window.partitionBy(*LEAF).orderBy("_task")) - F.col("_here")
+    shares = counts.select(*[F.col(c).alias(f"{c}_of") for c in LEAF], F.col("_task").alias("_task_of"), (F.col("_most") - before).alias("_share"))
+    shares = materialise(shares.filter("_share > 0"), "mix-shares")
+    same = F.col("_task") == F.col("_task_of")
+    for c in LEAF:
+        same = same & (F.col(c) == F.col(f"{c}_of"))
+    number = F.row_number().over(Window.partitionBy(*LEAF, "_task").orderBy("_order"))
+    out = rows.join(shares, same).withColumn("_number", number).filter("_number <= _share")
+    return out.drop("_number", "_share", "_task", "_task_of", *[f"{c}_of" for c in LEAF])
+
+
 def cuts(slim: DataFrame, plan: DataFrame, order: F.Column) -> DataFrame:
     """(*LEAF, _cut, _rows, _most) of every leaf with a part of an epoch: the
     order of the last document taken, its rows, and how many of them are taken
