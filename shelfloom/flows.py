@@ -10,6 +10,8 @@ without files gives an empty ledger.
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,15 +21,27 @@ from shelfloom.functions import dates, images, names
 from shelfloom.operators import dedup, filters, selection, similar
 from shelfloom.runtime import materialise
 from shelfloom.sources import files as source
+from shelfloom.sources import library
+from shelfloom.sources.balance import balanced
 
 
 def kept_files(spark: SparkSession, folders: list[str], extensions: list[str], scan: Filters = DEFAULT_FILTERS) -> DataFrame:
-    return filters.kept(filters.scanned(source.files(spark, folders, extensions), extensions, scan))
+    """The files of several folders that pass the filters. Folders that lie in each other are walked as one; others by the
+    library source, which asks no file of another extension for its size."""
+    roots = list(dict.fromkeys(os.path.abspath(f) for f in folders))
+    nested = any(a != b and a.startswith(b.rstrip("/") + "/") for a in roots for b in roots)
+    if nested or not roots or not extensions:
+        found = source.files(spark, folders, extensions)
+    else:
+        found = library.read(spark, roots, numPartitions=str(4 * spark.sparkContext.defaultParallelism)).filter(F.col("ext").isin(list(extensions)))
+    return filters.kept(filters.scanned(found, extensions, scan))
 
 
-def media_of(found: DataFrame, side: int = 8) -> DataFrame:
-    """Header, tags, verdict and hashes of every file, by its path."""
-    return materialise(images.media(source.with_content(found), side), "media")
+def media_of(found: DataFrame, side: int = 8, pixels: bool = True) -> DataFrame:
+    """Header, tags and, with ``pixels``, verdict and hashes of every file, by its path. The files are read in partitions of
+    about equal bytes."""
+    dealt = balanced(found, F.col("size"), "path")
+    return materialise(images.media(source.with_content(dealt), side, pixels), "media")
 
 
 def file_info(files: DataFrame, media: DataFrame, *, oldest: bool = True, use_mtime: bool = False) -> DataFrame:
@@ -119,7 +133,7 @@ def exact_ledger(spark: SparkSession, folders: list[str], section: str, *, exten
         )
         return selection.ledger(selection.ranked_videos(videos))
     pictures = rows.filter(F.col("ext").isin(list(catalog.IMAGE)))
-    info = file_info(rows, media_of(pictures), oldest=priorities.oldest, use_mtime=section != "images")
+    info = file_info(rows, media_of(pictures, pixels=False), oldest=priorities.oldest, use_mtime=section != "images")
     return selection.ledger(selection.ranked(rivals(rows, info, "component"), priorities))
 
 

@@ -39,3 +39,10 @@ def sign_words(vector: Column, length: int = 64) -> Column:
     bits = F.transform(vector, lambda v: F.when(v > 0, F.lit("1")).otherwise(F.lit("0")))
     word = F.array(F.conv(F.array_join(bits, ""), 2, -10).cast("long"))
     return F.when(vector.isNull() | (F.size(vector) == length), word).otherwise(F.raise_error(F.lit(f"a vector of {length} components was expected")))
+
+
+def threshold_of(base: Column, side: Column) -> Column:
+    """``config.scaled_threshold`` of columns: in proportion to 64 bits, half to even; a base of 0 is 5."""
+    known = F.greatest(F.lit(1), F.when(F.coalesce(base, F.lit(0)) == 0, F.lit(5)).otherwise(base))
+    scaled = F.greatest(F.lit(1), F.bround(known * side * side / F.lit(64.0), 0).cast("int"))
+    return F.when(side == 8, known).otherwise(scaled).cast("int")

@@ -478,12 +478,13 @@ MEDIA = T.StructType(
 )
 
 
-def media(files: DataFrame, side: int = 8) -> DataFrame:
+def media(files: DataFrame, side: int = 8, pixels: bool = True) -> DataFrame:
     """(path, *MEDIA) of every row of ``files`` (path, ext, content[, size]).
     Hashes are null where the pixels cannot be decoded here; ``side`` is that of
     the scan mode (``config.HASH_SIDE``). A file whose ``size`` is more than a row
     holds has its header read by its path, and is ``unsupported`` whatever that
-    says: it was not read, so nothing is known against it."""
+    says: it was not read, so nothing is known against it. Without ``pixels`` only
+    headers and tags are read, and verdict and hashes are null."""
     import pandas as pd
 
     from shelfloom.sources.files import BIG, head
@@ -498,9 +499,9 @@ def media(files: DataFrame, side: int = 8) -> DataFrame:
                 big = data is None and size == size and size is not None and size > BIG
                 data = head(path) if big else data
                 found = header(data) if data else None
-                state, pixels = ("unsupported", None) if big else judged(data, (ext or "").lower())
+                state, luma_ = (None, None) if not pixels else ("unsupported", None) if big else judged(data, (ext or "").lower())
                 w, h, fmt, mode = found or (None, None, None, None)
-                two = (phash(pixels, side), dhash(pixels, side)) if pixels is not None else (None, None)
+                two = (phash(luma_, side), dhash(luma_, side)) if luma_ is not None else (None, None)
                 rows.append((path, w, h, fmt, mode, exif_tags(data) if data else {}, state, *two))
             yield pd.DataFrame(rows, columns=names).astype({"width": "Int32", "height": "Int32"})
 

@@ -80,10 +80,11 @@ def running(rows: DataFrame, keys: list[str], order: list[str], value: str | Non
     by = [inner[c] for c in [*keys, *order]]
     dealt = renamed.repartitionByRange(*by).sortWithinPartitions(*by) if by else renamed.coalesce(1)
     out = materialise(dealt.mapInArrow(added, schema), "running")
-    before = F.lit(0).cast("long")
-    for r, base in _bases(out):
-        before = F.when((F.col("_range") == r) & F.col("_first"), F.lit(base)).otherwise(before)
-    found = out.filter("_mark is null").withColumn("_sum", F.col("_sum") + before)
+    found = out.filter("_mark is null")
+    bases = _bases(out)
+    if bases:  # one row a range at most
+        bases = F.broadcast(rows.sparkSession.createDataFrame(bases, "_at long, _base long"))
+        found = found.join(bases, (F.col("_range") == F.col("_at")) & F.col("_first"), "left").withColumn("_sum", F.col("_sum") + F.coalesce("_base", F.lit(0)))
     return found.select(*[F.col(b).alias(a) for a, b in inner.items() if a != name], F.col("_sum").alias(name))
 
 

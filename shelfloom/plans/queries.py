@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from shelfloom import flows
 from shelfloom.actions import destinations, located
-from shelfloom.config import DEFAULT_FILTERS, Filters, Priorities, scaled_threshold
+from shelfloom.config import DEFAULT_FILTERS, Filters, Priorities
 from shelfloom.functions import dates, names
 from shelfloom.functions.hashing import full_hash, hamming, similarity_pct
 from shelfloom.operators import dedup, filters, quality, selection, similar
@@ -248,11 +248,6 @@ def hamming_sides(s, d):
     return both.select("path", p.alias("distance"), hamming(F.col("dhash"), F.col("d0")).alias("distance2"), similarity_pct(p, 64).alias("pct"))
 
 
-def thresholds(s, d):
-    rows = [(base, side, scaled_threshold(base, side)) for base in range(1, 11) for side in (8, 10, 12, 16)]
-    return s.createDataFrame(rows, "base int, side int, threshold int")
-
-
 def small_filter(s, d):
     p = table(s, d, "part").select("p_partkey", (F.col("p_size") * 15).alias("width"), (F.col("p_partkey") % 900).cast("int").alias("height"))
     return quality.small_files(p).select("p_partkey", "reason")
@@ -325,7 +320,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         skip_reasons, skip_summary, kept_files, name_importance, name_provenance, filename_dates, name_parts, name_marks, file_info, best_dates,
         score_table, best_file, best_video, video_reasons, selection_reasons, reason_details, reason_counts, deletion_reasons, resolution_sacrifice,
         replay_diff, replay_counts, replay_causes, replay_cause_counts,
-        hamming_pairs, hamming_pairs_both, similar_groups, similar_groups_both, similar_totals, hamming_sides, thresholds, small_filter, small_stats, recycle_destinations,
+        hamming_pairs, hamming_pairs_both, similar_groups, similar_groups_both, similar_totals, hamming_sides, small_filter, small_stats, recycle_destinations,
         restore_plan, restore_counts, folder_union, unhashed, cross_volume, content_digests,
     )}
     return out | {"similarity_pct": similarity_pct_query} | storage.queries()
@@ -604,7 +599,6 @@ SELECT path, strftime(CASE WHEN name_ts IS NOT NULL AND (exif IS NULL OR name_ts
         "similar_groups": rec + " SELECT path, component FROM grouped WHERE n > 1",
         "similarity_pct": rec + " SELECT g.component AS anchor, g.path AS other, round_even((64 - hamming(g.p, f.p)) / CAST(64 AS DOUBLE) * 100, 1) AS pct FROM grouped g JOIN hashes f ON f.path = g.component WHERE g.n > 1 AND g.path <> g.component",
         "hamming_sides": HASHES_SQL + " SELECT h.path, CAST(hamming(h.p, f.p) AS INTEGER) AS distance, CAST(hamming(h.q, f.q) AS INTEGER) AS distance2, round_even((64 - hamming(h.p, f.p)) / CAST(64 AS DOUBLE) * 100, 1) AS pct FROM hashes h, (SELECT * FROM hashes WHERE path = 'v000000') f",
-        "thresholds": "SELECT CAST(b AS INTEGER) AS base, CAST(s AS INTEGER) AS side, CASE WHEN s = 8 THEN CAST(b AS INTEGER) ELSE CAST(greatest(1, round_even(b * s * s / 64.0, 0)) AS INTEGER) END AS threshold FROM range(1, 11) t(b), (VALUES (8), (10), (12), (16)) v(s)",
         "small_filter": f"SELECT p_partkey, {why} AS reason FROM ({small}) WHERE w < 300 OR h < 300",
         "small_stats": f"SELECT count(*) AS n, count(*) FILTER (r = 'both') AS n_both, count(*) FILTER (r = 'width') AS n_width, count(*) FILTER (r = 'height') AS n_height, CAST(coalesce(sum(p_partkey), 0) AS BIGINT) AS bytes FROM (SELECT *, {why} AS r FROM ({small})) WHERE r IS NOT NULL",
         "recycle_destinations": FILES_SQL + """,

@@ -12,9 +12,10 @@ from datetime import datetime
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfloom import journal, ledger
+from shelfloom import journal, ledger, report
 from shelfloom.bin_index import BinIndex
 from shelfloom.config import Filters
+from shelfloom.functions.hashing import threshold_of
 from shelfloom.operators import filters
 from shelfloom.plans.library import FILES_SQL, files, names
 from shelfloom.runtime import shared_dir, ship, table
@@ -150,11 +151,63 @@ def restore_indexed(s, d):
     return index.located(removed).select("original", "actual", "status")
 
 
+#: Groups of four documents by number; the first stays, and what the report says of each file is made from its columns.
+_LEDGER = {
+    "grp": "lpad(CAST(doc_id DIV 4 AS STRING), 8, '0')",
+    "is_kept": "doc_id % 4 = 0",
+    "reason": "CASE doc_id % 3 WHEN 0 THEN 'criterion_decided' WHEN 1 THEN 'tie' ELSE 'lower_size' END",
+    "criterion": "CASE WHEN doc_id % 2 = 0 THEN 'date' ELSE 'size' END",
+    "moved": "CASE WHEN doc_id % 4 > 0 AND doc_id % 5 > 0 THEN '/bin/' || CAST(doc_id AS STRING) || '/' || name END",
+    "percent": "CASE WHEN doc_id % 4 > 1 THEN '9' || CAST(doc_id % 4 AS STRING) || '.5' END",
+    "width": "CASE WHEN doc_id % 6 > 0 THEN n_chars END",
+    "height": "CAST(1000 AS INT)",
+    "size_mb": "CAST(doc_id % 50 AS STRING) || '.25'",
+    "extracted_date": "CASE WHEN doc_id % 3 = 0 THEN '2020-01-02 03:04:05' END",
+    "date_source": "CASE WHEN doc_id % 3 = 0 THEN 'filename' END",
+    "date_only": "doc_id % 9 = 0",
+    "filename_importance": "CAST(doc_id % 9 + 1 AS INT)",
+    "modified_time": "'2021-05-06 07:08:09'",
+}
+
+
+def _reports(s, d) -> list[str]:
+    """Reports that tasks have rendered and written, of a few hundred groups each."""
+    docs = names(table(s, d, "documents"))
+    rows = docs.select(F.expr("'/lib/' || source || '/' || CAST(doc_id AS STRING) || '/' || name").alias("path"), *[F.expr(x).alias(c) for c, x in _LEDGER.items()])
+    lines = report.rendered(rows, "similar")
+    lines = lines.withColumn("report", F.floor((F.col("at._number") - 1) / 200))
+    folder = _folder(s, "reports")
+    done = report.write_rendered(lines, "similar", folder, "similar_images_deletion", dry_run=False, bin_path="/bin")
+    return [folder] if not done.isEmpty() else []
+
+
+def report_items(s, d):
+    """What reports say was moved, read back from their lines."""
+    return report.parse(s, _reports(s, d)).select("original", "reported")
+
+
+def report_groups(s, d):
+    """The groups of reports, read back from their lines."""
+    return report.parse_groups(s, _reports(s, d)).drop("report", "grp")
+
+
+def thresholds(s, d):
+    """The Hamming threshold of a base and a hash side, for every part."""
+    p = table(s, d, "part").select("p_partkey", F.expr("CAST(p_size % 10 AS INT)").alias("base"), F.element_at(F.array(*map(F.lit, (8, 10, 12, 16))), (F.col("p_partkey") % 4 + 1).cast("int")).alias("side"))
+    return p.withColumn("threshold", threshold_of(F.col("base"), F.col("side")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (scan_library, skips_observed, file_digests, journalled_moves, run_history, undo_history, restore_indexed)}
+    return {f.__name__: f for f in (scan_library, skips_observed, file_digests, journalled_moves, run_history, undo_history, restore_indexed, report_items, report_groups, thresholds)}
 
 
 _LIB = FILES_SQL.rstrip()
+_TOLD = (
+    _LIB
+    + ", led AS (SELECT f.path, f.name, f.doc_id, "
+    + ", ".join(f"{x.replace('AS STRING', 'AS VARCHAR').replace(' DIV ', ' // ')} AS {c}" for c, x in _LEDGER.items())
+    + " FROM (SELECT f.*, d.n_chars FROM files f JOIN documents d USING (doc_id)) f)"
+)
 _SEEN = (
     _LIB
     + f"""
@@ -192,5 +245,15 @@ def oracle_sql() -> dict[str, str]:
             CASE WHEN doc_id % 3 = 2 THEN 'dry_run' WHEN doc_id % 7 = 0 THEN 'failed' WHEN doc_id % 11 = 0 THEN 'skipped' ELSE 'moved' END AS outcome FROM files)
         SELECT section, run, 'duplicates' AS operation, dry_run, count(*) AS files, count(*) FILTER (outcome = 'moved') AS moved, count(*) FILTER (outcome = 'failed') AS failed,
           count(*) FILTER (outcome = 'skipped') AS skipped, CAST(coalesce(sum(size) FILTER (outcome = 'moved'), 0) AS BIGINT) AS moved_bytes FROM r GROUP BY ALL""",
+        "report_items": _TOLD + " SELECT path AS original, moved AS reported FROM led WHERE moved IS NOT NULL",
+        "report_groups": _TOLD
+        + """, chosen AS (SELECT grp, CASE reason WHEN 'criterion_decided' THEN 'Decided by ' || criterion WHEN 'tie' THEN 'All criteria about equal; the first by name stays'
+            ELSE 'Less size' END AS reason FROM led WHERE is_kept)
+        SELECT l.is_kept, c.reason, l.path, l.name, l.extracted_date || CASE WHEN l.date_only THEN ' (day only)' ELSE '' END AS extracted_date, l.date_source, l.filename_importance,
+          CAST(CASE WHEN l.width > 0 THEN l.width END AS BIGINT) AS width, CAST(CASE WHEN l.width > 0 THEN l.height END AS BIGINT) AS height, CAST(l.size_mb AS DOUBLE) AS size_mb, l.modified_time
+        FROM led l LEFT JOIN chosen c USING (grp)""",
+        "thresholds": """SELECT p_partkey, base, side, CAST(CASE WHEN side = 8 THEN greatest(1, b) ELSE greatest(1, round_even(b * side * side / 64.0, 0)) END AS INTEGER) AS threshold FROM (
+          SELECT *, CASE WHEN base = 0 THEN 5 ELSE base END AS b FROM (
+            SELECT p_partkey, CAST(p_size % 10 AS INTEGER) AS base, CAST(CASE p_partkey % 4 WHEN 0 THEN 8 WHEN 1 THEN 10 WHEN 2 THEN 12 ELSE 16 END AS INTEGER) AS side FROM part))""",
         "undo_history": _LIB + "SELECT path AS original, '/bin/' || doc_id AS reported, size, 'r1' AS run FROM files WHERE doc_id % 3 = 0 AND doc_id % 7 <> 0 AND doc_id % 11 <> 0",
     }

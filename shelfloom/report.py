@@ -18,6 +18,8 @@ from shelfloom.actions import Move, free_name
 from shelfloom.catalog import REPORTS
 from shelfloom.functions.dates import stored_date
 from shelfloom.functions.names import after_colon, provenance
+from shelfloom.operators.ranking import numbered
+from shelfloom.runtime import materialise, ship
 
 # The signs and labels of report lines, by which reports are read back.
 GROUP, KEPT, GONE, REASON = "\U0001f9e9 Group #{}", "\U0001f7e2 Kept {}:", "\u274c Deleted {}:", "\U0001f4cc {}: {}"
@@ -62,6 +64,83 @@ def file_lines(path: str, info: Mapping | None, moved: str | None) -> list[str]:
     return [f"  {line}" for line in out]
 
 
+#: Groups in one report that tasks write.
+GROUPS = 10_000
+
+
+def rendered(ledger: DataFrame, kind: str) -> DataFrame:
+    """(report, grp, at, line): the lines of duplicate and similar reports, ``GROUPS`` groups a report. ``ledger`` has a row a
+    file: grp, path, is_kept, reason, criterion, and may have moved, percent and the columns of ``flows.file_info``. Groups are in
+    the order of their names, the kept file first, the others by path; rows without a group are in no report."""
+    one, many = TITLES[kind][1:]
+    has = lambda c: F.col(c) if c in ledger.columns else F.lit(None).cast("string")
+    rows = ledger.filter("grp is not null")
+    order = numbered(rows.select("grp").distinct(), [], ["grp"], "_number").withColumnRenamed("grp", "_grp")
+    gone = rows.filter("not is_kept").groupBy("grp").agg(F.min("path").alias("_first")).withColumnRenamed("grp", "_lost")
+    rows = rows.join(materialise(order, "report-groups"), F.col("grp") == F.col("_grp")).join(materialise(gone, "report-losers"), F.col("grp") == F.col("_lost"), "left")
+
+    def put(template: str, value: Column, indent: str = "  ") -> Column:
+        before, after = template.split("{}", 1) if "{}" in template else (template, "")
+        return F.concat(F.lit(indent + before), value.cast("string"), F.lit(after))  # null where the value is
+
+    when = has("extracted_date")
+    if "date_only" in ledger.columns:
+        when = F.when(F.col("date_only"), F.concat(when, F.lit(" (day only)"))).otherwise(when)
+    sized = F.when((has("width") > 0) & (has("height") > 0), F.concat_ws("x", has("width").cast("string"), has("height").cast("string")))
+    known = {**{c: has(c) for c in FIELDS}, "dimensions": sized, "extracted_date": when}
+    file = [put(NAME, F.substring_index("path", "/", -1)), put(PATH, F.col("path")), put(MOVED, has("moved")), *(put(line, known[c]) for c, line in FIELDS.items())]
+    decided = F.create_map(*[F.lit(x) for code, text in TEXT.items() for x in (code, text.split("{}")[0])])
+    reason = F.coalesce(F.try_element_at(decided, F.col("reason")), F.col("reason"), F.lit("unknown"))
+    said = F.when(F.col("reason") == "criterion_decided", F.concat(reason, F.coalesce(has("criterion"), F.lit("None")))).otherwise(reason)
+    name, text = REASON.split("{}", 1)[0], ": "
+    kept = [put(GROUP, F.col("_number"), ""), F.lit(KEPT.format(one)), *file, F.concat(F.lit(f"{name}Selection Reason{text}"), said)]
+    lost = [F.when(F.col("path") == F.col("_first"), F.lit(GONE.format(many))), *file, put(PERCENT, has("percent")), F.concat(F.lit(f"  {name}Deletion Reason{text}"), said)]
+    lines = F.array_compact(F.when(F.col("is_kept"), F.array(*kept)).otherwise(F.array(*lost)))
+    number = F.floor((F.col("_number") - 1) / GROUPS).alias("report")
+    out = rows.select(number, "grp", F.col("_number"), "is_kept", "path", F.posexplode(lines).alias("_at", "line"))
+    # a file's place in its report
+    at = F.struct("_number", (~F.col("is_kept")).alias("_lost"), "path", "_at")
+    return out.select("report", "grp", at.alias("at"), "line")
+
+
+def write_rendered(lines: DataFrame, kind: str, folder: str, prefix: str, *, dry_run: bool, bin_path: str) -> DataFrame:
+    """Write the lines of ``rendered`` into a folder that driver and tasks share, a file a report, and return (report, path). A
+    file is written beside its place and renamed, so a task that runs again changes nothing."""
+    ship(lines.sparkSession)
+    head = "\n".join(_head(kind, [], dry_run, bin_path, {}))
+
+    def run(frames):
+        import os
+        import uuid
+
+        out = name = beside = None
+
+        def closed():
+            out.close()
+            os.replace(beside, f"{folder}/{prefix}_{name:06d}.txt")
+            return name, f"{folder}/{prefix}_{name:06d}.txt"
+
+        done = []
+        for frame in frames:
+            for report, line in zip(frame["report"].tolist(), frame["line"].tolist(), strict=True):
+                if report != name:
+                    if out is not None:
+                        done.append(closed())
+                    name, beside = report, f"{folder}/.{uuid.uuid4().hex}"
+                    out = open(beside, "w", encoding="utf-8")  # noqa: SIM115
+                    out.write(head + "\n")
+                out.write(line + "\n")
+        if out is not None:
+            done.append(closed())
+        yield pd.DataFrame(done, columns=["report", "path"])
+
+    import pandas as pd
+
+    Path(folder).mkdir(parents=True, exist_ok=True)
+    dealt = lines.repartition("report").sortWithinPartitions("report", "at").select("report", "line")
+    return materialise(dealt.mapInPandas(run, "report long, path string"), "reports")
+
+
 def _head(kind: str, moves: list[Move], dry_run: bool, bin_path: str, counts: dict[str, int]) -> list[str]:
     failed = sum(m.outcome == "failed" for m in moves)
     lines = [f"{TITLES[kind][0]}: Deletion Report", "=" * 60, f"Dry run: {'yes' if dry_run else 'no'}", f"Bin: {bin_path}", f"Failed: {failed}"]
