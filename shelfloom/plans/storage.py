@@ -83,7 +83,8 @@ def _below(root: str, column: str = "path") -> F.Column:
 def scan_library(s, d):
     """Every skip test on real files: broken links, folders named like files, own output, hidden, patterns, sizes."""
     root = exported(s, d)
-    size = F.when(F.col("skip_reason").isin("unreadable", "not_regular"), F.lit(None)).otherwise(F.col("size"))
+    # what is no file has no size
+    size = F.when(F.col("skip_reason").isin("unreadable", "not_regular"), F.lit(-1)).otherwise(F.col("size"))
     return _scanned(s, root).select(_below(root).alias("place"), size.cast("long").alias("size"), "skip_reason")
 
 
@@ -188,7 +189,8 @@ def report_items(s, d):
 
 def report_groups(s, d):
     """The groups of reports, read back from their lines."""
-    return report.parse_groups(s, _reports(s, d)).drop("report", "grp")
+    found = report.parse_groups(s, _reports(s, d)).withColumn("dimensions", F.concat(F.col("width").cast("string"), F.lit("x"), F.col("height").cast("string")))
+    return found.drop("report", "grp", "width", "height")
 
 
 def thresholds(s, d):
@@ -229,7 +231,7 @@ seen AS (SELECT *, CASE
 def oracle_sql() -> dict[str, str]:
     bytes_of = "lpad(printf('%x', size), 16, '0')"
     return {
-        "scan_library": _SEEN + "SELECT place, CAST(CASE WHEN kind IN ('large', 'text') THEN size END AS BIGINT) AS size, skip_reason FROM seen",
+        "scan_library": _SEEN + "SELECT place, CAST(CASE WHEN kind IN ('large', 'text') THEN size ELSE -1 END AS BIGINT) AS size, skip_reason FROM seen",
         "skips_observed": _SEEN
         + "SELECT skip_reason AS reason, count(*) AS n, skip_reason IN ('too_large', 'excluded_pattern', 'hidden') AS liftable FROM seen WHERE skip_reason IS NOT NULL GROUP BY skip_reason",
         "file_digests": _SEEN
@@ -250,7 +252,7 @@ def oracle_sql() -> dict[str, str]:
         + """, chosen AS (SELECT grp, CASE reason WHEN 'criterion_decided' THEN 'Decided by ' || criterion WHEN 'tie' THEN 'All criteria about equal; the first by name stays'
             ELSE 'Less size' END AS reason FROM led WHERE is_kept)
         SELECT l.is_kept, c.reason, l.path, l.name, l.extracted_date || CASE WHEN l.date_only THEN ' (day only)' ELSE '' END AS extracted_date, l.date_source, l.filename_importance,
-          CAST(CASE WHEN l.width > 0 THEN l.width END AS BIGINT) AS width, CAST(CASE WHEN l.width > 0 THEN l.height END AS BIGINT) AS height, CAST(l.size_mb AS DOUBLE) AS size_mb, l.modified_time
+          CASE WHEN l.width > 0 THEN l.width || 'x' || l.height END AS dimensions, CAST(l.size_mb AS DOUBLE) AS size_mb, l.modified_time
         FROM led l LEFT JOIN chosen c USING (grp)""",
         "thresholds": """SELECT p_partkey, base, side, CAST(CASE WHEN side = 8 THEN greatest(1, b) ELSE greatest(1, round_even(b * side * side / 64.0, 0)) END AS INTEGER) AS threshold FROM (
           SELECT *, CASE WHEN base = 0 THEN 5 ELSE base END AS b FROM (

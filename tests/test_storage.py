@@ -167,22 +167,24 @@ def test_destinations_take_few_shuffles_and_split_a_hot_name(spark):
 
 
 def test_components_of_a_star_do_not_meet_in_one_task(spark):
-    n = 300_000
-    star = spark.range(1, n + 1).select(F.lit(0).cast("long").alias("u"), F.col("id").alias("v"))
-    least = star.union(star.select("v", "u")).groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n"))
-    before = spark.conf.get("spark.sql.adaptive.enabled"), spark.conf.get("spark.sql.shuffle.partitions"), spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
-    spark.conf.set("spark.sql.adaptive.enabled", "false")
-    spark.conf.set("spark.sql.shuffle.partitions", "16")
-    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    n = 1_000_000
+    star = spark.range(1, n + 1, 1, 8).select(F.lit(0).cast("long").alias("u"), F.col("id").alias("v"))
+    both = star.union(star.select("v", "u"))
+    least = both.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n"))
+    keep = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.enabled", "spark.sql.shuffle.partitions", "spark.sql.autoBroadcastJoinThreshold")}
+    for key, value in zip(keep, ("false", "16", "-1"), strict=True):
+        spark.conf.set(key, value)
     try:
-        met = graph._met(star.union(star.select("v", "u")), least, graph.HUB)
-        sizes = sorted(r["count"] for r in met.groupBy(F.spark_partition_id().alias("p")).count().collect())
+        met = graph._met(both, least, max(graph.HUB, 2 * n // graph.HUBS))
+        found = met.groupBy(F.spark_partition_id().alias("p"), (F.col("u") == 0).alias("hub")).agg(F.count(F.lit(1)).alias("n"), F.min("m"), F.max("m")).collect()
     finally:
-        for key, value in zip(("spark.sql.adaptive.enabled", "spark.sql.shuffle.partitions", "spark.sql.autoBroadcastJoinThreshold"), before, strict=True):
+        for key, value in keep.items():
             spark.conf.set(key, value)
-    assert sum(sizes) == 2 * n and sizes[-1] <= n // 4  # the hub's edges stay in the tasks that read them
-    found = graph.components(star.sample(0.1, 3), "u", "v")
-    assert found.select("component").distinct().count() == 1
+    for hub in (False, True):
+        sizes = sorted(r.n for r in found if r.hub == hub)
+        assert sum(sizes) == n and len(sizes) >= 8 and sizes[-1] <= 2 * sizes[len(sizes) // 2]
+    linked = graph.components(star.sample(0.02, 3), "u", "v")
+    assert linked.select("component").distinct().count() == 1
 
 
 def hashes(rng, n, copies, flips):
@@ -465,3 +467,39 @@ def test_a_large_picture_is_not_corrupt(spark, tmp_path):
     media = images.media(files.with_content(found))
     got = {os.path.basename(r.path): (r.verdict, r.width) for r in media.collect()}
     assert got == {"small.bmp": ("ok", 2), "large.bmp": ("unsupported", 2), "noise.bmp": ("corrupt", None)}
+
+
+# --- a whole run ---------------------------------------------------------------------------------
+
+
+def test_a_run_and_its_undoing(spark, tmp_path):
+    from shelfloom import flows, runs
+
+    lib = tmp_path / "lib"
+    for k in range(12):
+        (lib / f"d{k % 3}").mkdir(parents=True, exist_ok=True)
+        (lib / f"d{k % 3}" / f"note_{k}.txt").write_bytes(b"%d" % (k % 4) * 2000)
+    scan = Filters(min_size_bytes=10)
+    decided = flows.exact_ledger(spark, [str(lib)], "other", extensions=[".txt"], scan=scan)
+    assert decided.filter("is_kept").count() == 4 and decided.count() == 12
+    state, keep = f"{tmp_path}/state", dict(section="other", operation="duplicates", bin_root=f"{tmp_path}/bin", home=str(tmp_path))
+    dry = runs.carry_out(decided, state, run="r0", **keep)
+    assert {r.outcome for r in dry.collect()} == {"dry_run"} and len(list(lib.rglob("*.txt"))) == 12
+    done = runs.carry_out(decided, state, run="r1", dry_run=False, **keep).collect()
+    assert Counter(r.outcome for r in done) == {"moved": 8} and len(list(lib.rglob("*.txt"))) == 4
+    assert all(os.path.exists(r.destination) and not os.path.exists(r.original) and r.reason is None or r.reason for r in done)
+    # the same run again changes nothing
+    again = runs.carry_out(decided, state, run="r1", dry_run=False, **keep).collect()
+    assert sorted(map(tuple, again)) == sorted(map(tuple, done))
+    assert [(r.run, r.moved, r.dry_run) for r in ledger.runs(spark, f"{state}/ledger").orderBy("run").collect()] == [("r0", 0, True), ("r1", 8, False)]
+    first = done[0]
+    os.unlink(done[1].destination)
+    os.makedirs(os.path.dirname(first.original), exist_ok=True)
+    with open(first.original, "wb") as f:
+        f.write(b"another file")
+    would = runs.undo(spark, state, run="u0", section="other")
+    assert Counter(r.outcome for r in would.collect()) == {"would_restore": 8}
+    back = {r.original: (r.outcome, r.destination) for r in runs.undo(spark, state, run="u1", section="other", dry_run=False).collect()}
+    assert Counter(o for o, _ in back.values()) == {"restored": 7, "missing": 1} and back[done[1].original][0] == "missing"
+    assert back[first.original][1].endswith("_restored.txt") and open(first.original, "rb").read() == b"another file"
+    assert len(list(lib.rglob("*.txt"))) == 4 + 7 + 1
