@@ -219,7 +219,8 @@ def _place(source: str, target: str, unlink: bool) -> bool:
             if e.errno not in (errno.EXDEV, errno.EPERM, errno.ENOTSUP, errno.EMLINK):
                 raise
         else:
-            os.unlink(source)
+            # another attempt of the same task may have seen this link and taken the source away; the link is never taken back
+            Path(source).unlink(missing_ok=True)
             return True
     beside = f"{target}.part-{uuid.uuid4().hex}"
     try:
@@ -235,7 +236,7 @@ def _place(source: str, target: str, unlink: bool) -> bool:
         if os.path.exists(beside):
             os.unlink(beside)
     if unlink:
-        os.unlink(source)
+        Path(source).unlink(missing_ok=True)
     return True
 
 
@@ -255,7 +256,7 @@ def _moved(original: str, wanted: str, size: int | None, survivor: str | None, s
     for p in chosen:
         # an attempt before this one put it there and died before the source went
         if os.path.exists(p) and _equal(original, p):
-            os.unlink(original)
+            Path(original).unlink(missing_ok=True)
             return "moved", p
         if os.path.exists(p) and not os.path.getsize(p):
             os.unlink(p)  # the empty file that kept the place
@@ -268,6 +269,9 @@ def _moved(original: str, wanted: str, size: int | None, survivor: str | None, s
         if state == "force_deletable":
             os.chmod(original, 0o600)
         for target in _numbered(wanted, "_{}"):
+            if os.path.exists(target) and os.path.samefile(original, target):
+                Path(original).unlink(missing_ok=True)  # an attempt beside this one has linked it
+                return "moved", target
             if os.path.lexists(target):
                 continue
             note(target)

@@ -5,6 +5,7 @@ looked up there. What comes back is held against SQL over documents."""
 from __future__ import annotations
 
 import os
+import struct
 import uuid
 from collections.abc import Callable
 from datetime import datetime
@@ -15,6 +16,7 @@ from pyspark.sql import functions as F
 from shelfloom import journal, ledger, report
 from shelfloom.bin_index import BinIndex
 from shelfloom.config import Filters
+from shelfloom.functions import images
 from shelfloom.functions.hashing import threshold_of
 from shelfloom.operators import filters
 from shelfloom.plans.library import FILES_SQL, files, names
@@ -193,6 +195,27 @@ def report_groups(s, d):
     return found.drop("report", "grp", "width", "height")
 
 
+#: 72 bytes of digests a document, the grey pixels of a picture of 9 by 8.
+_PIXELS = "sha2(concat(text, '1'), 256) || sha2(concat(text, '2'), 256) || sha2(concat(text, '3'), 256)"
+_PICTURE = "CASE WHEN doc_id % 7 = 3 THEN 'cut' WHEN doc_id % 11 = 5 THEN 'heic' WHEN doc_id % 13 = 6 THEN 'noise' WHEN doc_id % 17 = 4 THEN 'short' ELSE 'whole' END"
+
+
+def picture_info(s, d):
+    """Header, verdict and hash of a picture that is made of each document: whole, cut off, of another format, noise, too short."""
+    docs = table(s, d, "documents").select("doc_id", F.expr(_PICTURE).alias("kind"), F.expr(_PIXELS).alias("h"))
+    head = b"BM" + struct.pack("<IHHI", 54 + 8 * 28, 0, 0, 54) + struct.pack("<IiiHHIIiiII", 40, 9, 8, 1, 24, 0, 8 * 28, 0, 0, 0, 0)
+    # rows from the last to the first, three equal bytes a pixel, rows of whole words
+    lines = [F.concat(*[F.repeat(F.substring("h", 2 * (9 * r + c) + 1, 2), 3) for c in range(9)], F.lit("00")) for r in reversed(range(8))]
+    whole = F.unhex(F.concat(F.lit(head.hex()), *lines))
+    content = F.when(F.col("kind") == "cut", F.substring(whole, 1, 100)).when(F.col("kind") == "short", F.substring(whole, 1, 40))
+    content = content.when(F.col("kind") == "whole", whole).otherwise(F.unhex("h"))
+    ext = F.when(F.col("kind") == "heic", ".heic").when(F.col("kind") == "noise", ".jpg").otherwise(".bmp")
+    media = images.media(docs.select(F.col("doc_id").cast("string").alias("path"), ext.alias("ext"), content.alias("content")))
+    bits = F.array_join(F.transform("dhash", lambda w: F.lpad(F.bin(w), 64, "0")), "")
+    size = F.concat_ws("x", F.col("width").cast("string"), F.col("height").cast("string"))
+    return media.select("path", F.when(F.col("width").isNotNull(), size).alias("dimensions"), "format", "verdict", bits.alias("dhash"))
+
+
 def thresholds(s, d):
     """The Hamming threshold of a base and a hash side, for every part."""
     p = table(s, d, "part").select("p_partkey", F.expr("CAST(p_size % 10 AS INT)").alias("base"), F.element_at(F.array(*map(F.lit, (8, 10, 12, 16))), (F.col("p_partkey") % 4 + 1).cast("int")).alias("side"))
@@ -200,7 +223,7 @@ def thresholds(s, d):
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (scan_library, skips_observed, file_digests, journalled_moves, run_history, undo_history, restore_indexed, report_items, report_groups, thresholds)}
+    return {f.__name__: f for f in (scan_library, skips_observed, file_digests, journalled_moves, run_history, undo_history, restore_indexed, report_items, report_groups, picture_info, thresholds)}
 
 
 _LIB = FILES_SQL.rstrip()
@@ -254,6 +277,12 @@ def oracle_sql() -> dict[str, str]:
         SELECT l.is_kept, c.reason, l.path, l.name, l.extracted_date || CASE WHEN l.date_only THEN ' (day only)' ELSE '' END AS extracted_date, l.date_source, l.filename_importance,
           CASE WHEN l.width > 0 THEN l.width || 'x' || l.height END AS dimensions, CAST(l.size_mb AS DOUBLE) AS size_mb, l.modified_time
         FROM led l LEFT JOIN chosen c USING (grp)""",
+        "picture_info": f"""WITH p AS (SELECT doc_id, {_PICTURE} AS kind, sha256(concat(text, '1')) || sha256(concat(text, '2')) || sha256(concat(text, '3')) AS h FROM documents),
+          v AS (SELECT *, list_transform(range(0, 72), lambda i: CAST('0x' || substr(h, 2 * i + 1, 2) AS INTEGER)) AS px FROM p)
+        SELECT CAST(doc_id AS VARCHAR) AS path, CASE WHEN kind IN ('whole', 'cut', 'short') THEN '9x8' END AS dimensions, CASE WHEN kind IN ('whole', 'cut', 'short') THEN 'BMP' END AS format,
+          CASE kind WHEN 'whole' THEN 'ok' WHEN 'heic' THEN 'unsupported' ELSE 'corrupt' END AS verdict,
+          CASE WHEN kind = 'whole' THEN array_to_string(list_transform(range(0, 64), lambda i: CASE WHEN px[9 * (i // 8) + i % 8 + 2] > px[9 * (i // 8) + i % 8 + 1] THEN '1' ELSE '0' END), '') END AS dhash
+        FROM v""",
         "thresholds": """SELECT p_partkey, base, side, CAST(CASE WHEN side = 8 THEN greatest(1, b) ELSE greatest(1, round_even(b * side * side / 64.0, 0)) END AS INTEGER) AS threshold FROM (
           SELECT *, CASE WHEN base = 0 THEN 5 ELSE base END AS b FROM (
             SELECT p_partkey, CAST(p_size % 10 AS INTEGER) AS base, CAST(CASE p_partkey % 4 WHEN 0 THEN 8 WHEN 1 THEN 10 WHEN 2 THEN 12 ELSE 16 END AS INTEGER) AS side FROM part))""",

@@ -357,6 +357,27 @@ def test_journal_copies_where_links_do_not_work(tmp_path, monkeypatch):
     assert not (tmp_path / "c").exists() and (tmp_path / "t/y.bin").read_bytes() == b"c" * 9
 
 
+def test_two_attempts_of_one_move_leave_one_file(tmp_path, monkeypatch):
+    (tmp_path / "a").write_bytes(b"a" * 9)
+    source, wanted = str(tmp_path / "a"), str(tmp_path / "t/a")
+    link = os.link
+
+    def beside(src, dst):
+        """While this attempt links the file, another moves it."""
+        monkeypatch.setattr(os, "link", link)
+        link(src, dst)
+        assert journal._moved(source, wanted, 9, None, False, [], lambda _: None, False) == ("moved", wanted)
+
+    monkeypatch.setattr(os, "link", beside)
+    assert journal._moved(source, wanted, 9, None, False, [], lambda _: None, False) == ("moved", wanted)
+    assert [p.read_bytes() for p in tmp_path.rglob("*") if p.is_file()] == [b"a" * 9]
+    (tmp_path / "b").write_bytes(b"b" * 9)
+    (tmp_path / "t").mkdir(exist_ok=True)
+    os.link(tmp_path / "b", tmp_path / "t/b")  # linked, and not yet unlinked
+    assert journal._moved(str(tmp_path / "b"), str(tmp_path / "t/b"), 9, None, False, [], lambda _: None, False) == ("moved", str(tmp_path / "t/b"))
+    assert not (tmp_path / "b").exists() and (tmp_path / "t/b").read_bytes() == b"b" * 9
+
+
 def test_one_driver_at_a_time(tmp_path):
     place = str(tmp_path)
     with journal.lease(place, 5), pytest.raises(journal.Held), journal.lease(place, 5):
