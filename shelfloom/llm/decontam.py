@@ -13,9 +13,11 @@ one of its windows.
 
 The items are a query set, shipped to the tasks in blocks of ``BLOCK_CHARS``
 characters, as q-grams of each item, not of each window. One block is one pass
-over the texts. More blocks mean more passes, one after another, each written
-and its index freed before the next; what the passes hand on are digests of the
-texts that hold an item.
+over the texts. Of several, the first pass is against a map of fixed size of all
+items' q-grams: only texts with a stretch that has as many of them as the least
+window asks for are kept, each once, and the blocks' passes, one after another,
+each written and its index freed before the next, go over these. The map knows
+every q-gram, so no text is lost by it.
 
 Defined results: null and empty texts hold nothing; items with fewer than ``Q``
 characters are too short to be evidence and match nothing; items under one
@@ -32,13 +34,16 @@ import itertools
 import re
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from shelfloom.llm.common import add_columns, fenced, materialise, renamed
+from shelfloom.llm.common import add_columns, fenced, materialise, renamed, ship
 
 Q = 12
+#: The map of all items' q-grams has 2 to this power bits (16 MiB), whatever the items.
+MAP_BITS = 27
 WINDOW = 80
 #: The smallest passage of a longer item that counts: so many words, or so many characters from a word start.
 WORDS, SHORT = 13, 64
@@ -286,6 +291,63 @@ def blocks(benchmark: DataFrame, *, id_col: str, text_col: str, size: int = BLOC
         yield held
 
 
+def _window_grams(text: str) -> tuple[np.ndarray, int]:
+    """The q-grams in an item's windows, and how many of them its least window asks of a text; 0 without windows."""
+    found = {text[a:b]: (a, b) for a, b in reversed(spans(text)) if b - a >= Q}.values()
+    if not found:
+        return np.empty(0, np.uint64), 0
+    step = np.zeros(len(text) + 2, np.int64)
+    for a, b in found:
+        step[a] += 1
+        step[b - Q + 1] -= 1
+    return qgrams(_codes(text))[np.cumsum(step)[: len(text) - Q + 1] > 0], min(b - a - Q + 1 - budget(b - a) * Q for a, b in found)
+
+
+def candidates(texts: DataFrame, benchmark: DataFrame, *, text_col: str) -> DataFrame:
+    """(_text): the different texts of ``texts`` (_text) that may hold an item, by a map of ``MAP_BITS`` bits."""
+    ship(texts.sparkSession)
+
+    def grams(batches):
+        for batch in batches:
+            for text in batch.column(0).to_pylist():
+                h, least = _window_grams(plain(text or "").strip())
+                if least:
+                    at = np.unique(h >> np.uint64(64 - MAP_BITS)).astype(np.int64)
+                    yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(np.full(len(at), least))], names=["at", "least"])
+
+    found = renamed(benchmark, _text=text_col).mapInArrow(grams, "at long, least long")
+    found = materialise(found.groupBy("at").agg(F.min("least").alias("least")), "decontam-grams")
+    least = found.agg(F.min("least")).first()[0]
+    if least is None:
+        return texts.limit(0)
+    # MAP_BITS bits reach the driver, in pieces that tasks have made
+    pieces = found.groupBy(F.floor(F.col("at") / 32768).alias("piece")).agg(F.bitmap_construct_agg(F.col("at") % 32768).alias("bits"))
+    known = np.zeros((1 << MAP_BITS) // 8, np.uint8)
+    for r in pieces.toLocalIterator():
+        known[r.piece * 4096 : (r.piece + 1) * 4096] = np.frombuffer(r.bits, np.uint8)
+    shipped = texts.sparkSession.sparkContext.broadcast(known)
+
+    def may_hold(text: str) -> bool:
+        there, whole = shipped.value, plain(text)
+        for s in range(0, len(whole), PIECE):
+            h = (qgrams(_codes(whole[s : s + PIECE + WINDOW + 4 * BAND])) >> np.uint64(64 - MAP_BITS)).astype(np.int64)
+            if len(h):
+                hit = np.concatenate([[0], np.cumsum(there[h >> 3] >> (h & 7).astype(np.uint8) & 1, dtype=np.int64)])
+                reach = min(len(h), WINDOW + BAND)
+                if (hit[reach:] - hit[: len(hit) - reach]).max() >= least:
+                    return True
+        return False
+
+    def kept(batches):
+        for batch in batches:
+            for k in range(0, batch.num_rows, 256):
+                part = batch.slice(k, 256)
+                yield part.filter(pa.array([bool(t) and may_hold(t) for t in part.column(0).to_pylist()], pa.bool_()))
+
+    some = texts.select("_text").mapInArrow(kept, texts.select("_text").schema)
+    return materialise(some.dropDuplicates(["_text"]), "decontam-candidates")
+
+
 def _kind(id_type: T.DataType) -> T.ArrayType:
     return T.ArrayType(T.StructType([T.StructField("item_id", id_type), T.StructField("n_windows", T.LongType())]))
 
@@ -312,13 +374,12 @@ def _digest(column) -> F.Column:
     return F.unhex(F.sha2(F.coalesce(column, F.lit("")), 256))
 
 
-def marks(rows: DataFrame, text_col: str, found, id_type: T.DataType) -> DataFrame:
-    """(_digest, _item, _n) of the texts that hold an item, over several blocks
-    of items: one pass over the texts a block, its result written and its index
+def marks(texts: DataFrame, found, id_type: T.DataType) -> DataFrame:
+    """(_digest, _item, _n) of the ``texts`` (_text) that hold an item, over several
+    blocks of items: one pass over the texts a block, its result written and its index
     freed before the next, so that memory and Python stages stay those of one
     block. Equal texts are marked once."""
     out = None
-    texts = rows.select(F.col(text_col).alias("_text"))
     for items in found:
         marked, shipped = _pass(texts, "_text", items, "_m", id_type)
         hits = marked.filter(F.size("_m") > 0).select(_digest(F.col("_text")).alias("_digest"), F.explode("_m").alias("_i"))
@@ -348,7 +409,8 @@ def marked(
     if len(first) < 2:
         out, _ = _pass(rows, text, first[0] if first else [], "_found", id_type)
     else:
-        hits = marks(rows, text, itertools.chain(first, found), id_type).groupBy("_digest").agg(
+        texts = candidates(rows.select(F.col(text).alias("_text")), benchmark, text_col=item_text_col)
+        hits = marks(texts, itertools.chain(first, found), id_type).groupBy("_digest").agg(
             F.sort_array(F.collect_list(F.struct(F.col("_item").isNull().alias("last"), F.col("_item").alias("item_id"), F.col("_n").alias("n_windows")))).alias("_all")
         )
         plain_marks = F.transform(F.coalesce(F.col("_all"), F.array().cast(f"array<struct<last:boolean,item_id:{id_type.simpleString()},n_windows:bigint>>")), lambda m: F.struct(m["item_id"].alias("item_id"), m["n_windows"].alias("n_windows")))
