@@ -488,3 +488,12 @@ def test_sql_of_new_operators(spark, name):
 def test_simhash_stage_still_leads_by_smallest_id(spark):
     docs = spark.createDataFrame([(k, "same words in all of these texts here") for k in range(5, 15)] + [(1, "other")], "doc_id long, text string")
     assert sorted(r.doc_id for r in simhash.keep_one(docs).collect()) == [1, 5]
+
+
+def test_only_texts_that_may_hold_an_item_meet_several_blocks(spark):
+    docs, items = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "benchmark"))
+    held = {r.doc_id for r in decontam.query(None, docs, items).collect()}
+    kept = {r._text for r in decontam.candidates(docs.select(F.col("text").alias("_text")), items, text_col="text").collect()}
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    assert held and {texts[d] for d in held} <= kept and len(kept) < len(texts) / 2
+    assert decontam.candidates(docs.select(F.col("text").alias("_text")), items.limit(0), text_col="text").count() == 0
