@@ -398,6 +398,24 @@ def test_media(spark):
     assert images.can_decode(".jpg") and not images.can_decode(".CR2") and not images.can_decode(".webp")
 
 
+def test_noise_that_begins_like_a_picture(spark):
+    """Of 65,536 files of noise one begins with BM and one with the mark of a JPEG."""
+    noise = bytes.fromhex("c3b311775fd387d0340a72650c9362b68a3e813f098941f4a147426a59d6") * 3
+    for begin in (b"BM", b"\xff\xd8"):
+        data = begin + noise + b"\xff\xc0\0\x11\x08\0\x10\0\x10\x03" + noise
+        assert images.header(data) is None
+        assert images.verdict(data, ".jpg") == "corrupt" and images.verdict(data, ".heic") == "unsupported"
+    body = lambda size, *more: b"BM" + struct.pack("<IHHI", 100, 0, 0, 54) + struct.pack("<I", size) + struct.pack(*more)
+    assert images.header(body(40, "<iiHH", 9, -8, 1, 24)) == (9, 8, "BMP", "RGB") == images.header(body(12, "<HHHH", 9, 8, 1, 24))
+    assert images.header(body(40, "<iiHH", 9, 8, 3, 24)) is None is images.header(body(41, "<iiHH", 9, 8, 1, 24))
+    assert images.verdict(body(12, "<HHHH", 9, 8, 1, 24) + b"\0" * 300, ".bmp") == "unsupported"
+    # sides that the columns cannot hold do not end the job
+    wide = b"\x89PNG\r\n\x1a\n\0\0\0\rIHDR" + struct.pack(">IIBBBBB", 1 << 31, 1, 8, 0, 0, 0, 0) + b"\0" * 60
+    rows = [("wide", ".png", wide), ("tall", ".bmp", body(40, "<iiHH", 9, -(1 << 31), 1, 24) + b"\0" * 300)]
+    found = images.media(spark.createDataFrame(rows, "path string, ext string, content binary")).collect()
+    assert [(r.width, r.verdict) for r in found] == [(None, "corrupt")] * 2
+
+
 def test_similar_flow_over_files(spark, tmp_path):
     """Folder to ledger to report and back."""
     x, other = picture(1), picture(9)
