@@ -1,25 +1,29 @@
 """Near-duplicates by the similarity of five-word shingle sets.
 
 Two texts are near copies if the Jaccard similarity of their sets of five-word
-shingles is ``SIMILAR`` (0.8) or more. Candidates come from MinHash signatures
-of ``BANDS`` bands of ``ROWS`` values: texts that share a band and agree in at
-least ``LEAST`` values of the whole signature. Each candidate is verified on
-the whole shingle sets, so every link is right. A pair at exactly 0.8 shares
+shingles is ``SIMILAR`` (0.8) or more. Links come by SimHash, as in ``simhash``:
+fingerprints of the sets, tiles by the bit counts of four quarters, exclusive-or
+and bit counts within ``RADIUS`` bits. Each is verified on the whole shingle sets, so
+every link is right; what the verified links join is a component.
+
+A fingerprint alone would lose links: at 0.8 the expected distance is 10 bits, and
+about one pair in five is further apart than ``RADIUS``. So the rest is made up
+for: MinHash signatures of ``BANDS`` bands of ``ROWS`` values bring together the sets
+that share a band and agree in at least ``LEAST`` values of the whole signature, and
+those that are not joined yet are verified too. A pair at exactly 0.8 shares
 no band with probability (1 - 0.8^4)^32, about 5 in 10^8, and has under
 ``LEAST`` equal values about as rarely; more similar pairs are lost less often.
 
 A bucket is a band value that several sets share. It is dealt into parts of about
 ``PART`` sets or ``PART_BYTES`` bytes of them, at random and anew for every band,
-so that no bucket is one task's work. In the first round each member of a part names the one before it
-that it agrees with most; what the verified links join, over all bands, is a
-component. In the second the shingle sets of buckets with several components
+so that no bucket is one task's work. The shingle sets of buckets with several components
 come together, every two parts of a bucket in a task of their own, and their
 pairs are verified there until nothing more joins, so no pair is taken for
 granted. This work is quadratic in the sets of one bucket that agree in
-``LEAST`` values and are not joined.
+``LEAST`` values and are not joined; that of the tiles is quadratic in all sets.
 
 Texts are read twice: for the signatures, and for the shingle sets of those that
-share a bucket. Which these are, the second pass learns from a bitmap of fixed
+have a link to verify or share a bucket. Which these are, the second pass learns from a bitmap of fixed
 size, so that no text is shuffled to find out; it may let through too many, and
 an exact join of what it hands on leaves those that are needed.
 
@@ -46,6 +50,12 @@ SIMILAR = (4, 5)
 BANDS, ROWS = 32, 4
 LEAST = 77
 BLOCK = 1 << 12
+#: Bits that linked fingerprints differ in at most: beyond 12, links of unrelated texts outnumber those of near copies.
+RADIUS = 12
+#: Fingerprints of a tile, and bit counts of a quarter that share a cell.
+TILE, GRAIN = 1 << 14, 4
+#: Links that a fingerprint names itself at most, each the nearest of a class of the others by hash.
+CLASSES = 8
 #: Sets, and bytes of sets, that a part of a bucket has on average at most; a task holds two parts.
 PART = 512
 PART_BYTES = 8 << 20
@@ -87,6 +97,12 @@ def signature(hashes: np.ndarray) -> bytes | None:
     return ((least * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(48)).astype("<u2").tobytes()
 
 
+def fingerprint(hashes: np.ndarray) -> int:
+    """64-bit SimHash of the set, signed."""
+    step = simhash.BLOCK_HASHES
+    return simhash.signed(simhash.majority((hashes[k : k + step] for k in range(0, len(hashes), step)), len(hashes)))
+
+
 def similar(a: np.ndarray, b: np.ndarray) -> bool:
     if SIMILAR[1] * min(len(a), len(b)) < SIMILAR[0] * max(len(a), len(b)):
         return False
@@ -95,19 +111,39 @@ def similar(a: np.ndarray, b: np.ndarray) -> bool:
 
 
 def _marked(rows: DataFrame) -> DataFrame:
-    """(_id, _digest, _key, _sig, _low, _size) of every row; ``_low`` is the low
-    byte of each value of the signature, ``_size`` the bytes of the set."""
+    """(_id, _digest, _key, _sig, _fp, _size) of every row; ``_fp`` is the
+    fingerprint of the set, ``_size`` its bytes."""
 
     def factory():
         def one(text):
             h = shingles(text)
-            sig = signature(h)
-            return key_of(h), sig, sig and sig[::2], h.nbytes
+            return key_of(h), signature(h), fingerprint(h), h.nbytes
 
         return one
 
-    out = T.StructType([*(T.StructField(n, T.BinaryType()) for n in ("_key", "_sig", "_low")), T.StructField("_size", T.LongType())])
-    return add_columns(rows, ["_text"], out, factory).select("_id", "_digest", "_key", "_sig", "_low", "_size")
+    out = T.StructType([*(T.StructField(n, T.BinaryType()) for n in ("_key", "_sig")), *(T.StructField(n, T.LongType()) for n in ("_fp", "_size"))])
+    return add_columns(rows, ["_text"], out, factory).select("_id", "_digest", "_key", "_sig", "_fp", "_size")
+
+
+def _alike(distinct: DataFrame) -> DataFrame:
+    """(_a, _b): keys of sets whose fingerprints are linked by tiles, or equal. A
+    fingerprint that several sets share stands for the least of them."""
+    prints = distinct.filter("_sig is not null").select("_key", F.col("_fp").alias("fp"))
+    first = materialise(prints.groupBy("fp").agg(F.min("_key").alias("_first")), "shingle-prints")
+    near = simhash.links(first.select("fp"), RADIUS, TILE, GRAIN, nearest=True)
+    # a fingerprint of a dense group has links in many tiles: of every class of others the nearest stays
+    bits = F.bit_count(F.col("u").bitwiseXOR(F.col("v")))
+    ways = near.select("u", "v", bits.alias("_bits")).union(near.select(F.col("v"), F.col("u"), bits))
+    kept = ways.groupBy("u", F.pmod(F.xxhash64("v"), F.lit(CLASSES))).agg(F.min(F.struct("_bits", "v")).alias("_n"))
+    near = kept.select(F.least("u", "_n.v").alias("u"), F.greatest("u", "_n.v").alias("v")).distinct()
+    ends = (first.select(F.col("fp").alias(end), F.col("_first").alias(name)) for end, name in (("u", "_a"), ("v", "_b")))
+    for end, side in zip("uv", ends):
+        near = near.join(side, end)
+    equal = prints.join(first, "fp").filter("_key <> _first").select(F.col("_key").alias("_a"), F.col("_first").alias("_b"))
+    found = near.select("_a", "_b").union(equal)
+    found = materialise(found.select(F.greatest("_a", "_b").alias("_a"), F.least("_a", "_b").alias("_b")).distinct(), "shingle-pairs")
+    discard(first)
+    return found
 
 
 def _buckets(distinct: DataFrame) -> DataFrame:
@@ -140,54 +176,41 @@ def _buckets(distinct: DataFrame) -> DataFrame:
     return met.select("_bucket", part, (F.col("_parts") - 1).alias("_last"), "_key")
 
 
-def pairs(sigs: np.ndarray, groups: np.ndarray | None, band: int, split: int):
+def pairs(sigs: np.ndarray, groups: np.ndarray, band: int, split: int):
     """Candidates (i, j), i > j, of one part of a bucket, or of two of which the
-    second begins at ``split``: without ``groups`` the best for each i, else all
-    of different groups, in the first band they share."""
+    second begins at ``split``: all of different groups, in the first band they
+    share."""
     for i in range(max(1, split), len(sigs)):
-        best, top = -1, LEAST - 1
         stop = split or i
         for k in range(0, stop, BLOCK):
             equal = sigs[k : min(stop, k + BLOCK)] == sigs[i]
             count = equal.sum(axis=1)
-            if groups is None:
-                j = int(count.argmax())
-                if count[j] > top:
-                    best, top = k + j, count[j]
-                continue
             for j in np.flatnonzero((count >= LEAST) & (groups[k : k + len(count)] != groups[i])).tolist():
                 # the caller may have joined the groups since
                 if groups[k + j] != groups[i] and not equal[j].reshape(BANDS, ROWS)[:band].all(axis=1).any():
                     yield i, k + j
-        if best >= 0:
-            yield i, best
 
 
-def _compared(rows: DataFrame, verify: bool) -> DataFrame:
-    """(_a, _b): candidates of pairs of parts (_bucket, _u, _v, _part, _key,
-    _sig); with ``verify`` (and _group, _set) the verified links that join all
-    similar pairs of different groups."""
-    shape = pa.schema([("_a", pa.binary()), ("_b", pa.binary())])
-    kind = "<u2" if verify else "u1"
+def _compared(rows: DataFrame) -> DataFrame:
+    """(u, v): groups of pairs of parts (_bucket, _u, _v, _part, _key, _sig,
+    _group, _set) that verified links join, enough of these for all similar
+    pairs."""
+    shape = pa.schema([("u", pa.binary()), ("v", pa.binary())])
 
     def run(batches):
         at, held = None, []
 
         def done():
-            keys, sigs = [h[1] for h in held], np.frombuffer(b"".join(h[2] for h in held), kind).reshape(len(held), BANDS * ROWS)
-            ids = np.unique(np.array([h[3] for h in held], object), return_inverse=True)[1] if verify else None
+            names, sigs = [h[3] for h in held], np.frombuffer(b"".join(h[2] for h in held), "<u2").reshape(len(held), BANDS * ROWS)
+            ids = np.unique(np.array([h[3] for h in held], object), return_inverse=True)[1]
             split = sum(h[0] == at[1] for h in held) if at[1] != at[2] else 0
             a, b = [], []
             for i, j in pairs(sigs, ids, at[0] & 31, split):
-                if verify:
-                    if not similar(np.frombuffer(held[i][4], "<u8"), np.frombuffer(held[j][4], "<u8")):
-                        continue
-                    ids[ids == ids[j]] = ids[i]
-                a.append(keys[i])
-                b.append(keys[j])
-                if len(a) >= BLOCK:
-                    yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], schema=shape)
-                    a, b = [], []
+                if not similar(np.frombuffer(held[i][4], "<u8"), np.frombuffer(held[j][4], "<u8")):
+                    continue
+                ids[ids == ids[j]] = ids[i]
+                a.append(names[i])
+                b.append(names[j])
             if a:
                 yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], schema=shape)
 
@@ -203,8 +226,7 @@ def _compared(rows: DataFrame, verify: bool) -> DataFrame:
             yield from done()
 
     dealt = rows.repartition("_bucket", "_u", "_v").sortWithinPartitions("_bucket", "_u", "_v", "_part", "_key")
-    found = dealt.mapInArrow(run, "_a binary, _b binary")
-    return found.select(F.greatest("_a", "_b").alias("_a"), F.least("_a", "_b").alias("_b")).distinct()
+    return dealt.mapInArrow(run, "u binary, v binary").distinct()
 
 
 def _verified(candidates: DataFrame, sets: DataFrame) -> DataFrame:
@@ -253,8 +275,8 @@ def _bitmap(digests: DataFrame) -> np.ndarray:
 
 
 def _sets(rows: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(_key, _set, _sig) of the sets of ``wanted`` (_key, _text): each is made
-    from the one text with that digest."""
+    """(_key, _set, _sig) of the sets of ``wanted`` (_key, _text), written: each
+    is made from the one text with that digest."""
     shipped = rows.sparkSession.sparkContext.broadcast(_bitmap(wanted))  # MAP_BITS / 8 bytes
     digest = text_digest("_text")
     keyed = rows.select(F.pmod(F.xxhash64(digest), F.lit(MAP_BITS)).alias("_at"), digest.alias("_digest"), "_text")
@@ -273,32 +295,36 @@ def _sets(rows: DataFrame, wanted: DataFrame) -> DataFrame:
 
     made = keyed.mapInArrow(run, "_digest binary, _set binary, _sig binary")
     exact = made.join(wanted, F.col("_digest") == F.col("_text")).select("_key", "_set", "_sig")
-    return exact.dropDuplicates(["_key"])
+    out = materialise(exact.dropDuplicates(["_key"]), "shingle-sets")
+    shipped.destroy()
+    return out
 
 
-def links(rows: DataFrame, distinct: DataFrame) -> DataFrame:
-    """(u, v): links between keys of sets that are similar enough, enough of
-    them to connect every such pair. ``distinct`` has (_key, _text, _sig, _low),
-    the digest of one text and the signature of each set."""
+def components(rows: DataFrame, distinct: DataFrame) -> DataFrame:
+    """(node, component) of every key whose set is similar enough to another.
+    ``distinct`` has (_key, _text, _sig, _fp, _size), the digest of one text, the
+    signature and the fingerprint of each set."""
+    candidates = _alike(distinct)
     buckets = materialise(_buckets(distinct), "shingle-buckets")
-    needed = buckets.select("_key").distinct()
-    held = materialise(distinct.join(needed, "_key", "left_semi").select("_key", "_text", "_low"), "shingle-held")
-    place = ["_bucket", "_u", "_v", "_part"]
-    alone = buckets.withColumns({"_u": F.col("_part"), "_v": F.col("_part")})
-    candidates = materialise(_compared(alone.join(held.select("_key", "_low"), "_key").select(*place, "_key", "_low"), False), "shingle-pairs")
-    sets = materialise(_sets(rows, held.select("_key", "_text")), "shingle-sets")
+    needed = buckets.select("_key").union(candidates.select("_a")).union(candidates.select("_b")).distinct()
+    held = materialise(distinct.join(needed, "_key", "left_semi").select("_key", "_text"), "shingle-held")
+    sets = _sets(rows, held)
     first = _verified(candidates, sets)
-    discard(candidates)
     groups = materialise(graph.components(first, "u", "v"), "shingle-groups")
     named = buckets.join(groups, F.col("_key") == F.col("node"), "left").select("_bucket", "_part", "_last", "_key", F.coalesce("component", "_key").alias("_group"))
     # a bucket of one component has nothing left to compare
     open_ = named.groupBy("_bucket").agg(F.min("_group").alias("_l"), F.max("_group").alias("_m"), F.max("_last").alias("_last"))
     rest = named.drop("_last").join(open_.filter("_l < _m").select("_bucket", "_last"), "_bucket").withColumn("_other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_last"))))
-    rest = rest.withColumns({"_u": F.least("_part", "_other"), "_v": F.greatest("_part", "_other")}).join(sets, "_key").select(*place, "_key", "_sig", "_group", "_set")
-    rest = materialise(_compared(rest, True).select(F.col("_a").alias("u"), F.col("_b").alias("v")), "shingle-links")
-    for done in (buckets, held, sets, groups):
+    rest = rest.withColumns({"_u": F.least("_part", "_other"), "_v": F.greatest("_part", "_other")}).join(sets, "_key")
+    rest = materialise(_compared(rest.select("_bucket", "_u", "_v", "_part", "_key", "_sig", "_group", "_set")), "shingle-links")
+    # groups are the nodes of the second graph, so it is as small as what the tiles have missed
+    joined = materialise(graph.components(rest, "u", "v"), "shingle-joined")
+    other = joined.select(F.col("node").alias("_n"), F.col("component").alias("_c"))
+    named = groups.join(other, F.col("component") == F.col("_n"), "left").select("node", F.coalesce("_c", "component").alias("component"))
+    out = materialise(named.union(joined.join(groups, "node", "left_anti").select("node", "component")), "shingle-groups")
+    for done in (candidates, buckets, held, sets, first, groups, rest, joined):
         discard(done)
-    return first.union(rest)
+    return out
 
 
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -307,10 +333,10 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     rows = renamed(docs, _id=id_col, _text=text_col)
     marked = materialise(_marked(rows.withColumn("_digest", text_digest("_text"))), "shingle-rows")
     distinct = marked.groupBy("_key").agg(
-        simhash.least_row().alias("own"), F.min("_digest").alias("_text"), F.min("_sig").alias("_sig"), F.min("_low").alias("_low"), F.min("_size").alias("_size")
+        simhash.least_row().alias("own"), F.min("_digest").alias("_text"), F.min("_sig").alias("_sig"), F.min("_fp").alias("_fp"), F.min("_size").alias("_size")
     )
     distinct = materialise(distinct, "shingle-distinct")
-    named = simhash.named_components(distinct.select("_key", "own"), links(rows, distinct), "_key").select(F.col("_key").alias("_k"), "least")
+    named = simhash.named(distinct.select("_key", "own"), components(rows, distinct), "_key").select(F.col("_key").alias("_k"), "least")
     named = materialise(named, "shingle-components")
     return marked.join(named, F.col("_key") == F.col("_k")).select("_id", "_digest", "_key", "least")
 

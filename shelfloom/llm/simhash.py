@@ -13,6 +13,11 @@ block by block.
 Only distinct fingerprints are compared. Each comparison hands on a forest, not
 all pairs of a dense group, and the forests become components in ``graph``.
 
+A wide radius skips few pairs of cells, and many small cells would be sent to one
+another; ``grain`` then makes cells of that many bit counts a quarter, whose least
+difference decides. Who verifies the links takes ``nearest`` ones of a dense group
+in place of the forest, as a forest holds only while all its links do.
+
 Defined results: a null or word-free text has fingerprint zero and links like
 any other; repeated rows share fingerprint and component; the component id is
 the smallest non-null id reachable (null if there is none); whole texts count.
@@ -52,35 +57,43 @@ def fingerprint(text: str | None, shingle: int = 3) -> int:
     starts = (ends - lengths).tolist()
     stops = ends[min(shingle, len(words)) - 1 :].tolist()
     digest = xxhash.xxh64_intdigest
-    ones, total = np.zeros(64, np.int64), len(stops)
-    for k in range(0, total, BLOCK_HASHES):
-        h = [digest(line[a:b], SEED) for a, b in zip(starts[k : k + BLOCK_HASHES], stops[k : k + BLOCK_HASHES])]
-        bits = np.unpackbits(np.array(h, "<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+    total = len(stops)
+    blocks = ([digest(line[a:b], SEED) for a, b in zip(starts[k : k + BLOCK_HASHES], stops[k : k + BLOCK_HASHES])] for k in range(0, total, BLOCK_HASHES))
+    return majority(blocks, total)
+
+
+def majority(blocks, total: int) -> int:
+    """The bits that more than half of all ``total`` hashes of the blocks have."""
+    ones = np.zeros(64, np.int64)
+    for h in blocks:
+        bits = np.unpackbits(np.asarray(h, "<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
         ones += bits.sum(axis=0, dtype=np.int64)
     return int(np.packbits(2 * ones > total, bitorder="little").view("<u8")[0])
 
 
+def signed(f: int) -> int:
+    return f - (1 << 64) if f >> 63 else f
+
+
 def with_fingerprint(docs: DataFrame, *, text_col: str = "text", name: str = "fp", shingle: int = 3) -> DataFrame:
     """``docs`` with the fingerprint as a long (its 64 bits, signed)."""
 
     def factory():
-        def one(text):
-            f = fingerprint(text, shingle)
-            return (f - (1 << 64) if f >> 63 else f,)
-
-        return one
+        return lambda text: (signed(fingerprint(text, shingle)),)
 
     return add_columns(docs, [text_col], T.StructType([T.StructField(name, T.LongType())]), factory)
 
 
-def _cells(fps: np.ndarray) -> np.ndarray:
-    quarters = np.bitwise_count(fps.view(np.uint16).reshape(-1, 4)).astype(np.int64)
+def _cells(fps: np.ndarray, grain: int = 1) -> np.ndarray:
+    quarters = np.bitwise_count(fps.view(np.uint16).reshape(-1, 4)).astype(np.int64) // grain
     return quarters @ np.array([SIDE**3, SIDE**2, SIDE, 1])
 
 
-def _near(radius: int) -> np.ndarray:
-    """Differences of the four bit counts that the radius allows."""
-    steps = [d for d in itertools.product(range(-radius, radius + 1), repeat=4) if sum(map(abs, d)) <= radius]
+def _near(radius: int, grain: int = 1) -> np.ndarray:
+    """Differences of the four bit counts, in grains, that the radius allows."""
+    top = min(SIDE, (radius + grain - 1) // grain)
+    # counts of cells that are d grains apart differ by d * grain - (grain - 1) at least
+    steps = [d for d in itertools.product(range(-top, top + 1), repeat=4) if sum(max(0, abs(x) * grain - grain + 1) for x in d) <= radius]
     return np.array(steps, np.int64)
 
 
@@ -110,7 +123,22 @@ def _star(left: np.ndarray, right: np.ndarray, radius: int) -> tuple[np.ndarray,
     return np.concatenate([left[rows], left[spread[linked]]]), np.concatenate([left, right[linked]])
 
 
-def _tiles(fps: DataFrame, sizes: np.ndarray) -> DataFrame:
+def _nearest(left: np.ndarray, right: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """Links between two arrays: all of them while they are few, else to each
+    value the nearest of the other array."""
+    apart = np.bitwise_count(left.view(np.uint64)[:, None] ^ right.view(np.uint64)[None, :])
+    i, j = np.nonzero(apart <= radius)
+    other = left[i] != right[j]
+    i, j = i[other], j[other]
+    if len(i) > 2 * (len(left) + len(right)):
+        order = np.argsort(apart[i, j], kind="stable")
+        i, j = i[order], j[order]
+        best = np.union1d(np.unique(i, return_index=True)[1], np.unique(j, return_index=True)[1])
+        i, j = i[best], j[best]
+    return left[i], right[j]
+
+
+def _tiles(fps: DataFrame, sizes: np.ndarray, grain: int) -> DataFrame:
     """(tile, fps binary): the fingerprints of each tile together."""
     schema = pa.schema([("tile", pa.int64()), ("fp", pa.int64())])
 
@@ -118,7 +146,7 @@ def _tiles(fps: DataFrame, sizes: np.ndarray) -> DataFrame:
         for batch in batches:
             f = batch.column(0).to_numpy()
             if len(f):
-                cell = _cells(f)
+                cell = _cells(f, grain)
                 tile = cell * (1 << 32) + _sub(f, sizes[cell])
                 yield pa.RecordBatch.from_arrays([pa.array(tile), pa.array(f)], schema=schema)
 
@@ -126,10 +154,10 @@ def _tiles(fps: DataFrame, sizes: np.ndarray) -> DataFrame:
     return placed.groupBy("tile").agg(F.collect_list("fp").alias("fps"))
 
 
-def _sent(tiles: DataFrame, sizes: np.ndarray, radius: int) -> DataFrame:
+def _sent(tiles: DataFrame, sizes: np.ndarray, radius: int, grain: int) -> DataFrame:
     """(u, v, tile, fps): each tile under the key of every pair that it has to
     be compared in, with the tiles of the cells near its own and with itself."""
-    steps = _near(radius)
+    steps = _near(radius, grain)
     sides = np.array([SIDE**3, SIDE**2, SIDE, 1])
     schema = pa.schema([("u", pa.int64()), ("v", pa.int64()), ("tile", pa.int64()), ("fps", pa.binary())])
 
@@ -150,16 +178,17 @@ def _sent(tiles: DataFrame, sizes: np.ndarray, radius: int) -> DataFrame:
     return tiles.mapInArrow(run, "u long, v long, tile long, fps binary")
 
 
-def links(fps: DataFrame, radius: int = 3, tile: int = TILE) -> DataFrame:
+def links(fps: DataFrame, radius: int = 3, tile: int = TILE, grain: int = 1, nearest: bool = False) -> DataFrame:
     """(u, v): links between distinct fingerprints that differ in 1 to
-    ``radius`` bits, enough of them to connect every linked pair. ``fps`` has
-    one column ``fp`` of distinct values."""
+    ``radius`` bits, enough of them to connect every linked pair; with
+    ``nearest`` those that are likeliest to stand a test that follows. ``fps``
+    has one column ``fp`` of distinct values."""
     ship(fps.sparkSession)
 
     def count(batches):
         for batch in batches:
             f = batch.column(0).to_numpy()
-            cell, n = np.unique(_cells(f), return_counts=True) if len(f) else (f, f)
+            cell, n = np.unique(_cells(f, grain), return_counts=True) if len(f) else (f, f)
             yield pa.RecordBatch.from_pydict({"cell": pa.array(cell, pa.int64()), "n": pa.array(n, pa.int64())})
 
     # One number per cell, at most 83,521 whatever the size of the input.
@@ -170,7 +199,7 @@ def links(fps: DataFrame, radius: int = 3, tile: int = TILE) -> DataFrame:
 
     def compared(left, right):
         for part in _blocks(left, right):
-            u, v = _star(*part, radius)
+            u, v = (_nearest if nearest else _star)(*part, radius)
             differ = u != v
             if differ.any():
                 yield pa.RecordBatch.from_arrays([pa.array(u[differ]), pa.array(v[differ])], schema=shape)
@@ -188,7 +217,7 @@ def links(fps: DataFrame, radius: int = 3, tile: int = TILE) -> DataFrame:
                 else:
                     at, held = key, f
 
-    sent = _sent(_tiles(fps, sizes), sizes, radius)
+    sent = _sent(_tiles(fps, sizes, grain), sizes, radius, grain)
     return sent.repartition("u", "v").sortWithinPartitions("u", "v", "tile").mapInArrow(compare, "u long, v long").distinct()
 
 
@@ -213,11 +242,15 @@ def components(marked: DataFrame, radius: int = 3) -> DataFrame:
 
 def named_components(smallest: DataFrame, edges: DataFrame, key: str) -> DataFrame:
     """(key, least) of every key in ``smallest`` (key, own)."""
-    groups = materialise(graph.components(edges, "u", "v"), "simhash-groups")
+    return named(smallest, materialise(graph.components(edges, "u", "v"), "simhash-groups"), key)
+
+
+def named(smallest: DataFrame, groups: DataFrame, key: str) -> DataFrame:
+    """``named_components`` of the groups (node, component)."""
     # A group's members are few against the table; its least row is a grouped minimum.
     member = groups.join(smallest, F.col("node") == F.col(key)).select("node", "component", "own")
-    named = member.groupBy("component").agg(F.min("own").alias("group_least"))
-    linked = groups.join(named, "component").select("node", "group_least")
+    leads = member.groupBy("component").agg(F.min("own").alias("group_least"))
+    linked = groups.join(leads, "component").select("node", "group_least")
     return smallest.join(linked, F.col(key) == F.col("node"), "left").select(key, F.coalesce("group_least", "own").alias("least"))
 
 
