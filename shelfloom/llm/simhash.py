@@ -16,7 +16,9 @@ all pairs of a dense group, and the forests become components in ``graph``.
 A wide radius skips few pairs of cells, and many small cells would be sent to one
 another; ``grain`` then makes cells of that many bit counts a quarter, whose least
 difference decides. Who verifies the links takes ``nearest`` ones of a dense group
-in place of the forest, as a forest holds only while all its links do.
+in place of the forest, as a forest holds only while all its links do. Of these a pair of
+tiles hands on one for each fingerprint and class of others at most, whatever the number
+of links between them.
 
 Defined results: a null or word-free text has fingerprint zero and links like
 any other; repeated rows share fingerprint and component; the component id is
@@ -40,6 +42,10 @@ from shelfloom.operators import graph
 SEED = 42
 TILE = 4096
 BLOCK_CELLS = 1 << 20
+#: Rows and columns of a block that nearest links are looked for in: small enough for a processor's cache.
+NEAR_BLOCK = (64, 4096)
+#: A value's class is the parities of its bits under these masks, so that values of a dense group are of all classes.
+CLASSES = tuple(int(m) for m in np.random.default_rng(7).integers(0, 1 << 63, 3))
 SIDE = 17  # bit counts of a quarter: 0 to 16
 CELLS = SIDE**4
 BLOCK_HASHES = 1 << 16
@@ -123,11 +129,26 @@ def _star(left: np.ndarray, right: np.ndarray, radius: int) -> tuple[np.ndarray,
     return np.concatenate([left[rows], left[spread[linked]]]), np.concatenate([left, right[linked]])
 
 
-def _nearest(left: np.ndarray, right: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+def class_of(value: F.Column) -> F.Column:
+    """Number of the value's class."""
+    return sum((F.bit_count(value.bitwiseAND(F.lit(m))) % 2 * (1 << k) for k, m in enumerate(CLASSES)), F.lit(0))
+
+
+def _classes(values: np.ndarray) -> np.ndarray:
+    return sum((np.bitwise_count(values & m) % 2).astype(np.int64) << k for k, m in enumerate(CLASSES))
+
+
+def _nearest(left: np.ndarray, right: np.ndarray, radius: int, room: tuple[np.ndarray, ...] | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Links between two arrays: all of them while they are few, else to each
-    value the nearest of the other array."""
-    apart = np.bitwise_count(left.view(np.uint64)[:, None] ^ right.view(np.uint64)[None, :])
-    i, j = np.nonzero(apart <= radius)
+    value the nearest of the other array. ``room`` is memory for the cells."""
+    shape = len(left), len(right)
+    mixed, apart, near = (r[: len(left), : len(right)] for r in room) if room else (np.empty(shape, t) for t in (np.uint64, np.uint8, bool))
+    # unsigned, as numpy counts the bits of a signed number's absolute value
+    np.bitwise_xor(left.view(np.uint64)[:, None], right.view(np.uint64)[None, :], out=mixed)
+    np.less_equal(np.bitwise_count(mixed, out=apart), radius, out=near)
+    if not near.any():
+        return left[:0], right[:0]
+    i, j = np.nonzero(near)
     other = left[i] != right[j]
     i, j = i[other], j[other]
     if len(i) > 2 * (len(left) + len(right)):
@@ -138,6 +159,48 @@ def _nearest(left: np.ndarray, right: np.ndarray, radius: int) -> tuple[np.ndarr
     return left[i], right[j]
 
 
+def _best(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of links, each once, those that lead to the nearest of a class of others for one of their ends."""
+    a, b = np.concatenate([u, v]), np.concatenate([v, u])
+    kind = _classes(b)
+    order = np.lexsort((b, np.bitwise_count((a ^ b).view(np.uint64)), kind, a))
+    a, b, kind = a[order], b[order], kind[order]
+    first = np.ones(len(a), bool)
+    first[1:] = (a[1:] != a[:-1]) | (kind[1:] != kind[:-1])
+    return _once(a[first], b[first])
+
+
+def _once(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    u, v = np.minimum(u, v), np.maximum(u, v)
+    order = np.lexsort((v, u))
+    u, v = u[order], v[order]
+    first = np.ones(len(u), bool)
+    first[1:] = (u[1:] != u[:-1]) | (v[1:] != v[:-1])
+    return u[first], v[first]
+
+
+def _nearest_of_tiles(left: np.ndarray, right: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """Links between two tiles, or within one: all while they are few, else for each value the nearest of every class of
+    others that its blocks name, so that a dense group's links grow with its values and not with their square."""
+    few = 2 * (len(left) + len(right))
+    rows, columns = NEAR_BLOCK
+    room = tuple(np.empty(NEAR_BLOCK, t) for t in (np.uint64, np.uint8, bool))
+    u, v = [left[:0]], [left[:0]]
+    held = 0
+    for k in range(0, len(left), rows):
+        # within a tile the pairs above the diagonal do
+        for m in range(k if left is right else 0, len(right), columns):
+            a, b = _nearest(left[k : k + rows], right[m : m + columns], radius, room)
+            u.append(a)
+            v.append(b)
+            held += len(a)
+        if held > 16 * few:
+            a, b = _best(np.concatenate(u), np.concatenate(v))
+            u, v, held = [a], [b], len(a)
+    a, b = _once(np.concatenate(u), np.concatenate(v))
+    return _best(a, b) if len(a) > few else (a, b)
+
+
 def _tiles(fps: DataFrame, sizes: np.ndarray, grain: int) -> DataFrame:
     """(tile, fps binary): the fingerprints of each tile together."""
     schema = pa.schema([("tile", pa.int64()), ("fp", pa.int64())])
@@ -198,8 +261,7 @@ def links(fps: DataFrame, radius: int = 3, tile: int = TILE, grain: int = 1, nea
     shape = pa.schema([("u", pa.int64()), ("v", pa.int64())])
 
     def compared(left, right):
-        for part in _blocks(left, right):
-            u, v = (_nearest if nearest else _star)(*part, radius)
+        for u, v in [_nearest_of_tiles(left, right, radius)] if nearest else (_star(*part, radius) for part in _blocks(left, right)):
             differ = u != v
             if differ.any():
                 yield pa.RecordBatch.from_arrays([pa.array(u[differ]), pa.array(v[differ])], schema=shape)
@@ -218,7 +280,9 @@ def links(fps: DataFrame, radius: int = 3, tile: int = TILE, grain: int = 1, nea
                     at, held = key, f
 
     sent = _sent(_tiles(fps, sizes, grain), sizes, radius, grain)
-    return sent.repartition("u", "v").sortWithinPartitions("u", "v", "tile").mapInArrow(compare, "u long, v long").distinct()
+    # large tiles are few bytes for their work: a count of parts keeps adaptive execution from putting many pairs into one task
+    parts = [min(4096, max(1, int(sizes.sum() * (sizes.sum() + 1) // 2)))] if nearest else []
+    return sent.repartition(*parts, "u", "v").sortWithinPartitions("u", "v", "tile").mapInArrow(compare, "u long, v long").distinct()
 
 
 def _blocks(left: np.ndarray, right: np.ndarray):

@@ -73,3 +73,68 @@ def test_sets_of_one_fingerprint(spark):
     found = shingles._alike(spark.createDataFrame(rows, "_key binary, _sig binary, _fp long, _size long")).collect()
     got = {(bytes(r._a), bytes(r._b)) for r in found}
     assert {(b"\1", b"\0"), (b"\2", b"\0")} <= got and (b"\2", b"\1") not in got
+
+
+def test_links_of_a_dense_group_grow_with_its_values(spark):
+    def count(n):
+        rng = np.random.default_rng(11)
+        base, prints = int(rng.integers(0, 1 << 64, dtype=np.uint64)), set()
+        while len(prints) < n:
+            x = base
+            for bit in rng.integers(0, 64, rng.integers(1, 6)):
+                x ^= 1 << int(bit)
+            prints.add(simhash.signed(x))
+        fps = spark.createDataFrame([(p,) for p in sorted(prints)], "fp long")
+        return simhash.links(fps, shingles.RADIUS, 1 << 16, 17, nearest=True).count()
+
+    small, large = count(2000), count(8000)
+    assert 2000 < small <= 8 * 2000 and large <= 8 * 8000 and large < 5 * small
+
+
+def test_nearest_of_every_class(spark):
+    rng = np.random.default_rng(5)
+    u, v = rng.integers(-1 << 63, 1 << 63, (2, 4000))
+    v[:3000] = u[rng.integers(0, 50, 3000)]  # some values have many links
+    a, b = simhash._best(u, v)
+    links = spark.createDataFrame(zip(u.tolist(), v.tolist()), "u long, v long")
+    bits = F.bit_count(F.col("u").bitwiseXOR(F.col("v"))).alias("bits")
+    ways = links.select("u", "v", bits).union(links.select("v", "u", bits))
+    kept = ways.groupBy("u", simhash.class_of(F.col("v"))).agg(F.min(F.struct("bits", "v")).alias("n"))
+    want = {(min(r.u, r.n.v), max(r.u, r.n.v)) for r in kept.collect()}
+    assert set(zip(a.tolist(), b.tolist())) == want and len(a) == len(want) < 4000
+
+
+def test_buckets_are_those_that_sets_share(spark):
+    docs = spark.createDataFrame(copies(30), "doc_id long, text string")
+    marked = shingles._marked(common.renamed(docs, _id="doc_id", _text="text").withColumn("_digest", common.text_digest("_text")))
+    sigs = {bytes(r._key): bytes(r._sig) for r in marked.collect()}
+    width = 2 * shingles.ROWS
+    met = {}
+    for key, sig in sigs.items():
+        for band in range(shingles.BANDS):
+            met.setdefault((band, sig[band * width : (band + 1) * width]), []).append(key)
+    want = sorted((band, sorted(keys)) for (band, _), keys in met.items() if len(keys) > 1)
+    found = {}
+    for r in shingles._buckets(marked.select("_key", "_sig", "_size")).collect():
+        found.setdefault(r._bucket, []).append(bytes(r._key))
+    assert want and sorted((b & 31, sorted(keys)) for b, keys in found.items()) == want
+
+
+def test_only_sets_of_agreeing_pairs_follow(spark):
+    sig = np.arange(shingles.BANDS * shingles.ROWS, dtype="<u2")
+    other = sig + np.uint16(500)
+    other[:4] = sig[:4]  # shares the first band and nothing else
+    late = sig.copy()
+    late[:28] += np.uint16(900)  # of the bands, the eighth is the first that it shares
+    rows = [(0, 0, 0, 0, bytes([k]), s.tobytes(), bytes([g])) for k, s, g in ((1, sig, 1), (2, sig, 2), (3, other, 3), (4, sig, 1))]
+    rows += [(7, 0, 0, 0, bytes([k]), s.tobytes(), bytes([k])) for k, s in ((1, sig), (5, late), (2, sig))]
+    shape = "_bucket long, _u long, _v long, _part long, _key binary, _sig binary, _group binary"
+    got = sorted((r._bucket, bytes(r._key)) for r in shingles._agreed(spark.createDataFrame(rows, shape)).collect())
+    assert got == [(0, b"\1"), (0, b"\2"), (0, b"\4"), (7, b"\1"), (7, b"\2"), (7, b"\5")]
+
+
+def test_sizes_refuse_before_sets(spark):
+    distinct = spark.createDataFrame([(b"a", 800), (b"b", 640), (b"c", 632), (b"d", 1000)], "_key binary, _size long")
+    pairs = [(b"a", b"b"), (b"a", b"c"), (b"d", b"a"), (b"d", b"b")]
+    got = {(bytes(r._a), bytes(r._b)) for r in shingles._fitting(spark.createDataFrame(pairs, "_a binary, _b binary"), distinct).collect()}
+    assert got == {(b"a", b"b"), (b"d", b"a")}
